@@ -17,6 +17,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.digest(d.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.digest(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.digest(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -24,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_warc, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
