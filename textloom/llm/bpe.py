@@ -31,11 +31,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, sliced, written
+from .common import block_bodies, block_tables, body_table, column_bytes, replayable, written
 
 SPACES = "[\x20\x09-\x0d]"
 
@@ -77,10 +76,6 @@ class Encoder:
         return [(self.tok.id_to_token(i) or "").encode() for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
 
 
-def _texts(table: pa.Table | pa.RecordBatch, column: int) -> list[bytes]:
-    return [t for c in pa.table(table).column(column).chunks for t in bytes_list(c)]
-
-
 def _by_bucket(texts: list[bytes], buckets: int) -> list[list[bytes]]:
     """The distinct chunks, sorted, by bucket: the same for the same texts in whichever process."""
     out: list[list[bytes]] = [[] for _ in range(buckets)]
@@ -89,49 +84,17 @@ def _by_bucket(texts: list[bytes], buckets: int) -> list[list[bytes]]:
     return out
 
 
-def _blocks(kept: int, block_bytes: int) -> Callable:
-    """Runs of batches as (block number, table). The numbers follow the task's partition and the order in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for whole in batches:
-            for batch in sliced(whole, kept, block_bytes // 4):
-                held.append(batch)
-                size += batch.nbytes
-                if size >= block_bytes:
-                    yield (part << 24) + n, pa.Table.from_batches(held)
-                    n, held, size = n + 1, [], 0
-        if held:
-            yield (part << 24) + n, pa.Table.from_batches(held)
-
-    return run
-
-
 def _dictionaries(kept: int, block_bytes: int, buckets: int) -> Callable:
-    blocks = _blocks(kept, block_bytes)
+    blocks = block_tables(kept, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches):
-            found = [(k, zstandard.compress(b"\n".join(ws), 3)) for k, ws in enumerate(_by_bucket(_texts(table, kept), buckets)) if ws]
+            found = [(k, zstandard.compress(b"\n".join(ws), 3)) for k, ws in enumerate(_by_bucket(column_bytes(table, kept), buckets)) if ws]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([z for _, z in found], pa.binary())], ["bucket", "block", "chunks"])
 
     return run
 
 
-def _bodies(kept: int, block_bytes: int) -> Callable:
-    blocks = _blocks(kept, block_bytes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in blocks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as w:
-                w.write_table(table)
-            body = zstandard.compress(sink.getvalue(), 3)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([body], pa.binary())], ["block", "body"])
-
-    return run
-
-
 def _encode(path: str) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         lists = [zstandard.decompress(z).decode().split("\n") for z in table.column("chunks").to_pylist()]
@@ -148,8 +111,8 @@ def _encode(path: str) -> Callable:
 
 def _assemble(path: str, kept: int, buckets: int, full: bool) -> Callable:
     def run(bodies: pa.Table, dictionaries: pa.Table) -> pa.Table:
-        table = pa.ipc.open_stream(zstandard.decompress(bodies.column("body")[0].as_py())).read_all()
-        texts = _texts(table, kept)
+        table = body_table(bodies)
+        texts = column_bytes(table, kept)
         pieces, ids_of, text_of = Encoder(path).pieces(), {}, {}
         packed = {r["bucket"]: r for r in dictionaries.to_pylist()}
         for k, words in enumerate(_by_bucket(texts, buckets)):
@@ -175,12 +138,6 @@ def _assemble(path: str, kept: int, buckets: int, full: bool) -> Callable:
     return run
 
 
-def replayable(df: DataFrame) -> bool:
-    """Whether the plan is only projections and filters over files: run again, it gives the same rows in the same order."""
-    nodes = re.findall(r"^[ :+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
-    return set(nodes) <= {"Project", "Filter", "Relation"}
-
-
 def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 24 << 20, full: bool = False) -> DataFrame:
     """`keep` columns, n_tokens, ids_sha256 and decoded_sha256; with `full`, ids (array of int) and decoded too."""
     path = tokenizer or tokenizer_file()
@@ -193,7 +150,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
     buckets = max(8, 2 * base.rdd.getNumPartitions())
     sent = base.mapInArrow(_dictionaries(len(keep), block_bytes, buckets), "bucket int, block bigint, chunks binary")
     ids = sent.groupBy("bucket").applyInArrow(_encode(path), "bucket int, block bigint, n int, ids binary")
-    bodies = base.mapInArrow(_bodies(len(keep), block_bytes), "block bigint, body binary")
+    bodies = block_bodies(base, len(keep), block_bytes)
     more = ", ids array<int>, decoded string" if full else ""
     return bodies.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(path, len(keep), buckets, full), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 

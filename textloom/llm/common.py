@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,8 +86,52 @@ def sliced(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
         start = end
 
 
-def utf8(text: str | None) -> bytes:
-    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+def block_tables(kept: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, pa.Table]]]:
+    """Runs of batches as (block number, table); strings are in column `kept`. Numbers follow the partition and the order in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for whole in batches:
+            for batch in sliced(whole, kept, block_bytes // 4):
+                held.append(batch)
+                size += batch.nbytes
+                if size >= block_bytes:
+                    yield (part << 24) + n, pa.Table.from_batches(held)
+                    n, held, size = n + 1, [], 0
+        if held:
+            yield (part << 24) + n, pa.Table.from_batches(held)
+
+    return run
+
+
+def block_bodies(df: DataFrame, kept: int, block_bytes: int) -> DataFrame:
+    """The blocks themselves: block, body (the compressed table)."""
+    blocks = block_tables(kept, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], ["block", "body"])
+
+    return df.mapInArrow(run, "block bigint, body binary")
+
+
+def body_table(bodies: pa.Table) -> pa.Table:
+    if bodies.num_rows != 1:
+        raise RuntimeError("the documents changed between two passes; write them as a table first")
+    return pa.ipc.open_stream(zstandard.decompress(bodies.column("body")[0].as_py())).read_all()
+
+
+def column_bytes(table: pa.Table, column: int) -> list[bytes]:
+    return [t for c in table.column(column).chunks for t in bytes_list(c)]
+
+
+def replayable(df: DataFrame) -> bool:
+    """Whether the plan is only projections and filters over files: run again, it gives the same rows in the same order."""
+    nodes = re.findall(r"^[ :+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    return set(nodes) <= {"Project", "Filter", "Relation"}
 
 
 def bytes_list(col: pa.Array) -> list[bytes]:

@@ -29,6 +29,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_table(spark, sf_dir, "pages"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
@@ -48,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_warc, op8_jaccard, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_warc, op5_repeats, op8_jaccard, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
