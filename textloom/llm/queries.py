@@ -35,6 +35,12 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_scoring
+
+    return lm_scoring.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
@@ -54,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_warc, op5_repeats, op8_jaccard, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_warc, op5_repeats, op7_scores, op8_jaccard, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
