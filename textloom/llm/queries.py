@@ -17,6 +17,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.digest(d.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.digest(_table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -35,6 +41,12 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    return embed_dedup.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_scoring
 
@@ -60,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_warc, op5_repeats, op7_scores, op8_jaccard, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_language, op4_warc, op5_repeats, op6_embeddings, op7_scores, op8_jaccard, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
