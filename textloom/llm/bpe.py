@@ -109,7 +109,7 @@ def _encode(path: str) -> Callable:
     return run
 
 
-def _assemble(path: str, kept: int, buckets: int, full: bool) -> Callable:
+def _assemble(path: str, kept: int, buckets: int, with_ids: bool, with_text: bool) -> Callable:
     def run(bodies: pa.Table, dictionaries: pa.Table) -> pa.Table:
         table = body_table(bodies)
         texts = column_bytes(table, kept)
@@ -125,21 +125,30 @@ def _assemble(path: str, kept: int, buckets: int, full: bool) -> Callable:
             raw, start = flat[len(words) :].tobytes(), 0
             for w, end in zip(words, ends):
                 ids_of[w], text_of[w], start = raw[4 * start : 4 * end], b" ".join(names[start:end]), end
-        cols = [[], [], [], [], []]
+        counts, digests, decoded_digests, all_ids, all_texts = [], [], [], [], []
         for t in texts:
             chunks = t.split()
             ids = b"".join(map(ids_of.__getitem__, chunks))
             decoded = b" ".join(filter(None, map(text_of.__getitem__, chunks)))
-            for c, v in zip(cols, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), np.frombuffer(ids, dtype="<u4").astype(np.int32) if full else None, decoded.decode() if full else None)):
-                c.append(v)
-        out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())] + ([pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())] if full else [])
-        return pa.table([*table.columns[:kept], *out], [*table.column_names[:kept], *("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")[: len(out)]])
+            counts.append(len(ids) // 4)
+            digests.append(hashlib.sha256(ids).hexdigest())
+            decoded_digests.append(hashlib.sha256(decoded).hexdigest())
+            if with_ids:
+                all_ids.append(ids)
+            if with_text:
+                all_texts.append(decoded)
+        out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded_digests, pa.string())}
+        if with_ids:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
+        if with_text:
+            out["decoded"] = pa.array(all_texts, pa.binary()).cast(pa.string())
+        return pa.table([*table.columns[:kept], *out.values()], [*table.column_names[:kept], *out])
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 24 << 20, full: bool = False) -> DataFrame:
-    """`keep` columns, n_tokens, ids_sha256 and decoded_sha256; with `full`, ids (array of int) and decoded too."""
+def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 24 << 20, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """`keep` columns, n_tokens, ids_sha256 and decoded_sha256; on demand, ids (array of int) and the decoded text too."""
     path = tokenizer or tokenizer_file()
     with open(path, encoding="utf-8") as f:
         check_tokenizer(json.load(f))
@@ -149,10 +158,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
     buckets = max(8, 2 * base.rdd.getNumPartitions())
     sent = base.mapInArrow(_dictionaries(len(keep), block_bytes, buckets), "bucket int, block bigint, chunks binary")
-    ids = sent.groupBy("bucket").applyInArrow(_encode(path), "bucket int, block bigint, n int, ids binary")
+    found = sent.groupBy("bucket").applyInArrow(_encode(path), "bucket int, block bigint, n int, ids binary")
     bodies = block_bodies(base, len(keep), block_bytes)
-    more = ", ids array<int>, decoded string" if full else ""
-    return bodies.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(path, len(keep), buckets, full), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    more = ", ids array<int>" * ids + ", decoded string" * decoded
+    return bodies.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_assemble(path, len(keep), buckets, ids, decoded), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
