@@ -3,8 +3,8 @@
 A document's set is that of its distinct shingles of k words, each as a 64-bit hash; one of fewer words is one shingle.
 
 1. Equal sets are one class. A task gives the tiles of one member of each class only, however many copies there are.
-2. Size bands. Classes fall into bands of set size whose ends differ by at most num/den, so a class can only link within
-   its band and with the next ones; it is entered in its own band and, if a partner may be there, in the next.
+2. Size bands. Classes fall into bands of set size, each half as large again as the one before; a class is entered in
+   its own band and, if a partner may be there, in the next ones.
 3. Tiles. Sets of sizes a and b that link differ in at most (den - num)(a + b) / (den + num) shingles. With d the largest
    such difference in a band, the shingles of each set are dealt by hash into d + 1 parts: d differing shingles touch d
    parts at most, so sets that link agree wholly in one part. A tile is the classes of a band that agree in one part;
@@ -16,8 +16,8 @@ A document's set is that of its distinct shingles of k words, each as a 64-bit h
 5. Linked classes form components. Tiles whose classes lie in more than one component are settled pair by pair across
    components, in blocks of `block` classes, again by bitmaps first. Most tiles have one component by then.
 
-Tiles are found by an aggregate that combines before the shuffle and a join that Spark can split, so a tile that many
-documents share is not one task's. Pairs are joined with texts, and sets made from those, as texts are smaller.
+A block of documents links the members of a tile that it has itself, and sends the smallest one only, so a tile that many
+documents share is one row a block where blocks meet. Pairs are joined with texts, and sets made from those, as texts are smaller.
 
 Defined cases: texts that are null or without words have an empty set and link with nothing; a null id stands for
 nothing, and its rows come back with a null component; rows that repeat an id: each has its own set size, and the
@@ -31,10 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, connected_components, sliced, written
+from .common import block_tables, bytes_list, column_bytes, connected_components, from_planes, planes, sliced, written
 
 #: A-Z to a-z and the other ASCII spaces to a plain one.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
@@ -95,11 +96,12 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
-    """Lower ends of the size bands: in each, the smallest size is at least num/den of the largest."""
+@lru_cache
+def _ends(most: int = 1 << 40) -> np.ndarray:
+    """Lower ends of the size bands."""
     ends = [1]
     while ends[-1] < most:
-        ends.append(max(ends[-1] + 1, ends[-1] * den // num))
+        ends.append(max(ends[-1] + 1, ends[-1] * 3 // 2))
     return np.array(ends)
 
 
@@ -117,7 +119,7 @@ def _part_keys(s: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.nda
 
 def tiles(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """All tiles of a set. That a part is empty says little, so such a part is told apart by a second deal of the set."""
-    ends, n, out = _ends(num, den), len(s), []
+    ends, n, out = _ends(), len(s), []
     if not n:
         return np.zeros(0, np.uint64)
     own = band = int(np.searchsorted(ends, n, side="right")) - 1
@@ -133,11 +135,6 @@ def tiles(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-@lru_cache
-def _ends(num: int, den: int) -> np.ndarray:
-    return bands(num, den)
-
-
 def bitmap(s: np.ndarray) -> np.ndarray:
     """A hashed bitmap of the set, as WORDS_OF_BITMAP words."""
     bits = np.unique((s >> np.uint64(7)) % np.uint64(64 * WORDS_OF_BITMAP))
@@ -146,27 +143,81 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """id, n (set size), s (128-bit fingerprint of the set; null if empty), tiles over rows (id, t).
-
-    Of rows with equal sets in one task, only the first has tiles.
-    """
+def sketches(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_bytes: int = 24 << 20) -> DataFrame:
+    """Three kinds of rows over rows (id, t): id, n, s (set size and 128-bit fingerprint of the set; null if empty) and first
+    (whether its tiles were given); tile, a, b for the members b of a tile that one block has several of, a the smallest;
+    bucket, packed for the smallest member of each tile of a block."""
+    blocks = block_tables(1, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for whole in batches:
-            for b in sliced(whole, 1):
-                sets = shingle_sets(bytes_list(b.column(1)), k)
-                prints = [None if not len(s) else mix(s).sum(dtype=np.uint64).tobytes() + mix(s ^ _M2).sum(dtype=np.uint64).tobytes() for s in sets]
-                found: list[np.ndarray | None] = []
-                for i, (s, f) in enumerate(zip(sets, prints)):
-                    new = f is not None and b.column(0)[i].is_valid and (len(s), f) not in seen
-                    found.append(tiles(s, num, den).view(np.int64) if new else None)
-                    if new and len(seen) < 1 << 20:
-                        seen.add((len(s), f))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "s", "tiles"])
-
-    return docs.mapInArrow(run, "id bigint, n bigint, s binary, tiles array<bigint>")
+        seen: set[tuple[int, bytes]] = set()
+        for _, table in blocks(batches):
+            ids, texts = table.column(0).combine_chunks(), column_bytes(table, 1)
+            sizes, prints, first, who, keys = [], [], [], [], []
+            for start in range(0, len(texts), 512):
+                for i, s in enumerate(shingle_sets(texts[start : start + 512], k), start):
+                    f = None if not len(s) else mix(s).sum(dtype=np.uint64).tobytes() + mix(s ^ _M2).sum(dtype=np.uint64).tobytes()
+                    new = f is not None and ids[i].is_valid and (len(s), f) not in seen
+                    if new:
+                        found = tiles(s, num, den)
+                        who.append(np.full(len(found), i))
+                        keys.append(found)
+                        if len(seen) < 1 << 20:
+                            seen.add((len(s), f))
+                    sizes.append(len(s))
+                    prints.append(f)
+                    first.append(new)
+            yield _rows(id=ids, n=pa.array(sizes, pa.int64()), s=pa.array(prints, pa.binary()), first=pa.array(first))
+            if not keys:
+                continue
+            member, tile = ids.fill_null(0).to_numpy()[np.concatenate(who)], np.concatenate(keys)
+            order = np.lexsort((member, tile))
+            member, tile = member[order], tile[order]
+            heads = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+            counts = np.diff(np.append(heads, len(tile)))
+            least = np.repeat(member[heads], counts)
+            many = np.repeat(counts > 1, counts)
+            if many.any():
+                yield _rows(tile=pa.array(tile[many].view(np.int64)), a=pa.array(least[many]), b=pa.array(member[many]))
+            tile, member = tile[heads], member[heads]
+            edges = np.searchsorted(tile >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+            full = np.flatnonzero(np.diff(edges)).tolist()
+            packed = [zstandard.compress(planes(np.diff(tile[edges[q] : edges[q + 1]], prepend=np.uint64(0))) + planes(member[edges[q] : edges[q + 1]].astype(np.int64).view(np.uint64)), 1) for q in full]
+            yield _rows(bucket=pa.array(full, pa.int32()), packed=pa.array(packed, pa.binary()))
+
+    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, (t, _) in _ROWS.items()))
+
+
+_ROWS = {"id": ("bigint", pa.int64()), "n": ("bigint", pa.int64()), "s": ("binary", pa.binary()), "first": ("boolean", pa.bool_()), "tile": ("bigint", pa.int64()), "a": ("bigint", pa.int64()), "b": ("bigint", pa.int64()), "bucket": ("int", pa.int32()), "packed": ("binary", pa.binary())}
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(size, t)) for n, (_, t) in _ROWS.items()], list(_ROWS))
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """tile, a, b for the blocks' smallest members b of a tile that several blocks have, a the smallest of all."""
+    tile, member = [], []
+    for raw in map(zstandard.decompress, table.column("packed").to_pylist()):
+        n = len(raw) // 16
+        tile.append(np.cumsum(from_planes(raw[: 8 * n], n), dtype=np.uint64))
+        member.append(from_planes(raw[8 * n :], n).view(np.int64))
+    tile, member = np.concatenate(tile), np.concatenate(member)
+    order = np.argsort(tile, kind="stable")
+    same = np.concatenate((tile[order][1:] == tile[order][:-1], [False]))
+    order = order[same | np.concatenate(([False], same[:-1]))]
+    order = order[np.lexsort((member[order], tile[order]))]
+    tile, member = tile[order], member[order]
+    heads = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1]))) if len(tile) else np.zeros(0, np.int64)
+    least = np.repeat(member[heads], np.diff(np.append(heads, len(tile))))
+    return pa.table([pa.array(tile.view(np.int64)), pa.array(least), pa.array(member)], ["tile", "a", "b"])
+
+
+def only(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows whose id is in `ids` (a written table): by broadcast up to `most` ids, else by a shuffle."""
+    ids = ids.distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
 
 
 def _bitmaps(docs: DataFrame, k: int) -> DataFrame:
@@ -183,6 +234,7 @@ def _bitmaps(docs: DataFrame, k: int) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by their texts in rows (id, t): bitmaps first, then the exact intersection."""
+    docs = only(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     left, right = docs.alias("l"), docs.alias("r")
     rows = pairs.join(right, F.col("b") == F.col("r.id")).select("a", "b", F.col("r.t").alias("tb")).join(left, F.col("a") == F.col("l.id")).select("a", "b", F.col("l.t").alias("ta"), "tb")
 
@@ -213,27 +265,28 @@ def _links(a: int, b: int, both: int, num: int, den: int) -> bool:
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    found = written(sketches(base, k, num, den), "sketches")
-    rows = found.filter("tiles is not null").select("id", F.explode("tiles").alias("tile"))
-    least = rows.groupBy("tile").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("tile", "a")
-    shared = written(rows.join(least, "tile").select("tile", "a", F.col("id").alias("b")), "shared")
+    found = written(sketches(base, k, num, den, max(8, 2 * base.rdd.getNumPartitions())), "sketches")
+    across = found.filter("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet, "tile bigint, a bigint, b bigint")
+    shared = written(found.filter("tile is not null").select("tile", "a", "b").union(across), "shared")
     pairs = written(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
+    found = found.filter("n is not null").select("id", "n", "s", "first")
     edges = written(verify(pairs, base, k, num, den), "links")
     roots = connected_components(edges)
     # tiles that still hold classes of more than one component
-    placed = shared.join(roots.withColumnRenamed("node", "b"), "b", "left").select("tile", "b", F.coalesce("root", "b").alias("root"))
+    members = shared.select("tile", "b").distinct()
+    placed = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("tile", "b", F.coalesce("root", "b").alias("root"))
     still = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("tile", "m")
     rest = written(placed.join(still, "tile"), "open")
     if not rest.isEmpty():
-        bits = _bitmaps(base.join(rest.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), k)
+        bits = _bitmaps(only(base, rest.select(F.col("b").alias("id"))), k)
         more = written(_across(rest.join(bits, "b"), num, den, block).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         edges = written(edges.union(verify(more, base, k, num, den)), "links")
         roots = connected_components(edges)
-    classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("tiles").isNotNull(), F.col("id"))).alias("node"))
+    classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("first"), F.col("id"))).alias("node"))
     classes = classes.join(roots, "node", "left").select("s", "n", "lo", F.coalesce("root", "node").alias("root"))
     labels = classes.groupBy("root").agg(F.min("lo").alias("component_id"))
     own = classes.join(labels, "root").select("s", "n", "component_id")
-    return found.drop("tiles").join(own, ["s", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return found.drop("first").join(own, ["s", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def _across(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -272,4 +325,5 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents without those whose component has a smaller id: one of each group stays, and all without a set."""
     gone = join_components(docs, k, num, den, text, doc_id).filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    gone = written(gone, "copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, doc_id, "left_anti").select(*docs.columns)

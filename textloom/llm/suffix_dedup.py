@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import chunks
-from .common import block_bodies, block_tables, body_table, column_bytes, replayable, written
+from .common import block_bodies, block_tables, body_table, column_bytes, from_planes, planes, replayable, written
 from .induced_sort import sort_file
 
 _LATE = np.iinfo(np.int64).max
@@ -93,15 +93,6 @@ def _cut(table: pa.Table, kept: int, width: int, buckets: int) -> Cut:
     return Cut(ids, column_bytes(table, kept), width, buckets)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which compress better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T).tobytes()
-
-
-def _from_planes(b: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
-
-
 def _rows(kept: int, block_bytes: int, width: int, buckets: int) -> Callable:
     blocks = block_tables(kept, block_bytes)
 
@@ -112,7 +103,7 @@ def _rows(kept: int, block_bytes: int, width: int, buckets: int) -> Callable:
             for k in np.flatnonzero(np.diff(cut.edges)).tolist():
                 at = cut.by_bucket[cut.edges[k] : cut.edges[k + 1]]
                 g = cut.row_gram[at]  # ascending
-                out.append((k, len(at), zstandard.compress(_planes(np.diff(g, prepend=np.uint64(0))) + _planes(cut.row_hash[at]) + _planes(cut.row_id[at].view(np.uint64)), 1)))
+                out.append((k, len(at), zstandard.compress(planes(np.diff(g, prepend=np.uint64(0))) + planes(cut.row_hash[at]) + planes(cut.row_id[at].view(np.uint64)), 1)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "block", "n", "packed"])
 
     return run
@@ -125,7 +116,7 @@ def _judge(table: pa.Table) -> pa.Table:
     for i, packed in enumerate(table.column("packed").to_pylist()):
         raw, n = zstandard.decompress(packed), int(sizes[i])
         s = slice(at[i], at[i + 1])
-        gram[s], hashes[s], ids[s] = np.cumsum(_from_planes(raw[: 8 * n], n), dtype=np.uint64), _from_planes(raw[8 * n : 16 * n], n), _from_planes(raw[16 * n :], n)
+        gram[s], hashes[s], ids[s] = np.cumsum(from_planes(raw[: 8 * n], n), dtype=np.uint64), from_planes(raw[8 * n : 16 * n], n), from_planes(raw[16 * n :], n)
     block = np.repeat(blocks, sizes)
     # few grams occur twice: only those are put in order
     order = np.argsort(gram, kind="stable")
