@@ -1,9 +1,345 @@
-"""The registered queries of the core engine."""
+"""The registered queries of the core engine, each with SQL that DuckDB runs over the same tables.
 
+Scorers, weights and masks that stand in for a model here are test doubles; their output says nothing of any model.
+Figures are rounded, as sums of floating-point numbers depend on their order.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import heads, layout, limits, models, rank, tokens
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+DIGITS = 6
+WORDS_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+'))"
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@_query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.v, c.v), 9) AS score FROM e q, e c WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    found = rank.top_k(e.filter("vec_id % 50 = 0"), e, 5, "vec_id", "embedding", "vec_id", "embedding")
+    return found.withColumn("score", F.round("score", DIGITS))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.select("vec_id", "embedding").join(other, "vec_id")
+
+
+_PAIRS_SQL = "(SELECT a.vec_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+
+
+@_query(f"SELECT vec_id, round(list_dot_product(a, b), 6) AS dot FROM {_PAIRS_SQL}")
+def dot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("vec_id", F.round(V.dot(F.col("embedding"), F.col("other")), DIGITS).alias("dot"))
+
+
+@_query("SELECT vec_id, round(list_dot_product(a[1:40], b[1:40]), 6) AS dot FROM " + _PAIRS_SQL)
+def dot_shorter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("vec_id", F.round(V.dot(F.col("embedding"), F.slice("other", 1, 40)), DIGITS).alias("dot"))
+
+
+def _with_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _neighbours(spark, sf_dir)
+    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    return pairs.union(pairs.select(-F.col("vec_id") - 1, "embedding", zero))
+
+
+@_query(f"""
+SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine FROM {_PAIRS_SQL}
+UNION ALL SELECT -vec_id - 1, 0.0::DOUBLE FROM {_PAIRS_SQL}""")
+def cosine_zero_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_zero(spark, sf_dir).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), DIGITS).alias("cosine"))
+
+
+@_query(f"""
+SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN -1.0::DOUBLE ELSE round(list_cosine_similarity(a, b), 6) END AS cosine FROM {_PAIRS_SQL}
+UNION ALL SELECT -vec_id - 1, -1.0::DOUBLE FROM {_PAIRS_SQL}""")
+def selfcheck_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.when(F.col("vec_id") % 2 == 1, F.slice("other", 1, 10)).otherwise(F.col("other"))
+    return _with_zero(spark, sf_dir).select("vec_id", F.round(V.strict_cosine(F.col("embedding"), other), DIGITS).alias("cosine"))
+
+
+_SUMMARY = "round(list_sum(v), 6) AS total, round(v[1], 6) AS first, round(v[len(v)], 6) AS last, len(v)::INT AS size"
+
+
+def _summary(key: str, v: F.Column) -> list:
+    return [F.col(key), F.round(V.total(v), DIGITS).alias("total"), F.round(F.get(v, F.lit(0)), DIGITS).alias("first"), F.round(F.element_at(v, -1), DIGITS).alias("last"), F.size(v).alias("size")]
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)).alias("v"))
+
+
+_SCALED_SQL = "(SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 7)) AS w FROM embeddings)"
+
+
+@_query(f"SELECT vec_id, {_SUMMARY} FROM (SELECT vec_id, list_transform(w, lambda x: x / (sqrt(list_dot_product(w, w)) + 1e-12::DOUBLE)) AS v FROM {_SCALED_SQL})")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir).withColumn("v", V.l2_normalize(F.col("v"))).select(*_summary("vec_id", F.col("v")))
+
+
+@_query(f"SELECT vec_id, {_SUMMARY} FROM (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w) + 1e-12::DOUBLE)) AS v FROM {_SCALED_SQL})")
+def l2_normalize_inner_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir).withColumn("v", V.l2_normalize_inner(F.col("v"))).select(*_summary("vec_id", F.col("v")))
+
+
+_MASKED_SQL = "FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos, (vec_id % 3 > 0)::INT AS m FROM embeddings)"
+
+
+@_query(f"SELECT label, pos::INT AS pos, round(sum(x * m) / CASE WHEN sum(m) = 0 THEN 1 ELSE sum(m) END, 6) AS mean {_MASKED_SQL} GROUP BY ALL")
+def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a label as its tokens; a mean that combines before the shuffle."""
+    rows = _table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 > 0).cast("int").alias("m"), F.posexplode("embedding").alias("pos", "x"))
+    count = F.sum("m")
+    return rows.groupBy("label", "pos").agg(F.round(F.sum(F.col("x").cast("double") * F.col("m")) / F.when(count == 0, 1).otherwise(count), DIGITS).alias("mean"))
+
+
+@_query(f"SELECT label, pos::INT AS pos, round(sum(x * m) / greatest(sum(m)::DOUBLE, 1e-9::DOUBLE), 6) AS mean {_MASKED_SQL} GROUP BY ALL")
+def clamped_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 > 0).cast("int").alias("m"), F.posexplode("embedding").alias("pos", "x"))
+    return rows.groupBy("label", "pos").agg(F.round(F.sum(F.col("x").cast("double") * F.col("m")) / F.greatest(F.sum("m").cast("double"), F.lit(V.MASK_EPSILON)), DIGITS).alias("mean"))
+
+
+@_query(f"SELECT label, {_SUMMARY} FROM (SELECT label, arg_min(embedding::DOUBLE[], vec_id) AS v FROM embeddings GROUP BY label)")
+def cls_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
+    return first.select(*_summary("label", F.transform("v", lambda x: x.cast("double"))))
+
+
+@_query(f"SELECT label, {_SUMMARY} FROM (SELECT label, coalesce(arg_max(embedding::DOUBLE[], vec_id) FILTER (WHERE vec_id % 3 > 0), arg_max(embedding::DOUBLE[], vec_id)) AS v FROM embeddings GROUP BY label)")
+def last_token_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    last = e.groupBy("label").agg(F.coalesce(F.max_by(F.when(F.col("vec_id") % 3 > 0, F.col("embedding")), F.when(F.col("vec_id") % 3 > 0, F.col("vec_id"))), F.max_by("embedding", "vec_id")).alias("v"))
+    return last.select(*_summary("label", F.transform("v", lambda x: x.cast("double"))))
+
+
+@_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens FROM documents")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_tokens"))
+
+
+@_query(f"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn = 2 THEN NULL ELSE {WORDS_SQL} END AS n FROM conversations)
+SELECT conv_id, bool_and(n IS NOT NULL) AS token_accounting, 64 AS max_length,
+  CASE WHEN bool_and(n IS NOT NULL) THEN string_agg(n::VARCHAR, ',' ORDER BY turn, n) END AS token_count,
+  CASE WHEN bool_and(n IS NOT NULL) THEN string_agg(CASE WHEN n > 64 THEN 'true' ELSE 'false' END, ',' ORDER BY turn, n) END AS truncated
+FROM c GROUP BY conv_id""")
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a request; some turns stand for texts that a tokenizer refuses."""
+    c = _table(spark, sf_dir, "conversations")
+    refused = (F.col("role") == "user") & (F.col("turn") == 2)
+    counted = c.select("conv_id", "turn", F.when(~refused | refused.isNull(), T.word_count(F.col("text"))).alias("n_tokens"))
+    used = tokens.usage(counted, "conv_id", "turn", 64)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return used.select("conv_id", "token_accounting", "max_length", joined("token_count").alias("token_count"), joined("truncated").alias("truncated"))
+
+
+@_query(f"SELECT lang, count(*) AS n_texts, count(*) FILTER (WHERE {WORDS_SQL} > 256) AS n_truncated FROM documents GROUP BY lang")
+def truncation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _table(spark, sf_dir, "documents").select("lang", T.word_count(F.col("text")).alias("n"))
+    return counted.groupBy("lang").agg(F.count("*").alias("n_texts"), tokens.truncated_count(F.col("n"), 256).alias("n_truncated"))
+
+
+@_query(f"SELECT 'documents' AS source, count(*) AS n_texts, sum({WORDS_SQL})::BIGINT AS n_tokens FROM documents UNION ALL SELECT 'benchmark', count(*), sum({WORDS_SQL})::BIGINT FROM benchmark UNION ALL SELECT 'pages', count(*), sum({WORDS_SQL})::BIGINT FROM (SELECT html AS text FROM pages)")
+def tokenize_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, column in (("documents", "text"), ("benchmark", "text"), ("pages", "html")):
+        one = _table(spark, sf_dir, name).select(T.word_count(F.col(column)).alias("n")).agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_tokens")).select(F.lit(name).alias("source"), "n_texts", "n_tokens")
+        out = one if out is None else out.union(one)
+    return out
+
+
+_TOKENS_SQL = r"""
+SELECT doc_id, ascii(tok) % 97 AS token_id, greatest(0, (pos * 7 + len(tok)) % 11 - 4) / 4.0::DOUBLE AS w, pos % 5 > 0 AS m
+FROM (SELECT doc_id, unnest(w) AS tok, unnest(range(len(w))) AS pos FROM
+  (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+') AS w FROM documents))"""
+
+
+@_query(f"SELECT doc_id, token_id::INT AS token_id, max(w) AS weight FROM ({_TOKENS_SQL}) WHERE m AND w > 0 AND token_id NOT IN (0, 1, 2, 3) GROUP BY ALL")
+def lexical_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights by place and length stand for a model's projections."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "tok"))
+    shaped = rows.select("doc_id", (F.ascii("tok") % 97).alias("token_id"), (((F.col("pos") * 7 + F.length("tok")) % 11 - 4) / F.lit(4.0)).alias("p"), (F.col("pos") % 5 > 0).cast("int").alias("m"))
+    return heads.lexical_head(shaped, "doc_id", "token_id", "p", "m")
+
+
+@_query(f"""
+WITH h AS (SELECT doc_id, token_id, max(w) AS weight FROM ({_TOKENS_SQL}) WHERE m AND w > 0 AND token_id NOT IN (0, 1, 2, 3) GROUP BY ALL)
+SELECT doc_id, string_agg(token_id::VARCHAR, ',' ORDER BY token_id) AS indices, sum(weight) AS total FROM h GROUP BY doc_id""")
+def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = heads.sparse(lexical_head(spark, sf_dir), "doc_id", "token_id", "weight")
+    return made.select("doc_id", F.array_join(F.transform("sparse.indices", lambda x: x.cast("string")), ",").alias("indices"), V.total(F.col("sparse.values")).alias("total"))
+
+
+@_query("""
+SELECT label, id::INT AS id, round(max(ln(1 + greatest(x, 0))), 6) AS weight FROM
+(SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS id, vec_id FROM embeddings) WHERE vec_id % 4 > 0 GROUP BY ALL HAVING max(x) > 0""")
+def splade_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a label as positions, their components as logits."""
+    rows = _table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 4 > 0).cast("int").alias("m"), F.posexplode("embedding").alias("id", "x"))
+    return heads.splade_head(rows, "label", "id", "x", "m").withColumn("weight", F.round("weight", DIGITS))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a candidate of the benchmark item of its turn; a document's length stands for a scorer's logit."""
+    items = _table(spark, sf_dir, "benchmark")
+    n = items.count()
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("item_id"), "doc_id", F.char_length("text").alias("c"))
+    return docs.join(F.broadcast(items.select("item_id", F.char_length("text").alias("q"))) if n <= 100_000 else items.select("item_id", F.char_length("text").alias("q")), "item_id")
+
+
+def _raw() -> F.Column:
+    return ((F.col("c") % 29) - (F.col("q") % 13)) / F.lit(4.0)
+
+
+_CANDIDATES_SQL = "(SELECT item_id, doc_id, ((length(d.text) % 29) - (length(b.text) % 13)) / 4.0::DOUBLE AS raw FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
+
+
+@_query(f'SELECT item_id, doc_id AS "index", raw, row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, doc_id)::INT AS rank FROM {_CANDIDATES_SQL}')
+def rerank_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rerank(_candidates(spark, sf_dir), "item_id", "doc_id", _raw())
+
+
+@_query(f"SELECT item_id, doc_id, CASE WHEN raw < -2 THEN 0.0 ELSE round(1 / (1 + exp(-raw)), 6) END AS score FROM {_CANDIDATES_SQL}")
+def rerank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results below a logit are missing, as if the scorer had not given them."""
+    rows = _candidates(spark, sf_dir)
+    results = rows.select("item_id", F.col("doc_id").alias("index"), _raw().alias("raw")).filter("raw >= -2")
+    return rank.aligned_scores(rows.select("item_id", "doc_id"), results, "item_id", "doc_id").withColumn("score", F.round("score", DIGITS))
+
+
+@_query("SELECT conv_id, turn, least(greatest(CASE WHEN r = 0 THEN 256 ELSE r END, 16), 8192)::INT AS max_length, greatest(CASE WHEN b = 0 THEN 64 ELSE b END, 1)::INT AS max_batch FROM (SELECT conv_id, turn, (conv_id * 37 + turn * 11) % 9000 AS r, turn % 3 AS b FROM conversations)")
+def effective_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("conv_id") * 37 + F.col("turn") * 11) % 9000).alias("r"), (F.col("turn") % 3).alias("b"))
+    return asked.select("conv_id", "turn", limits.effective_length(F.col("r")).cast("int").alias("max_length"), limits.effective_batch(F.col("b")).cast("int").alias("max_batch"))
+
+
+@_query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN coalesce(CASE WHEN conv_id % 2 = 0 THEN 512 END, 128) ELSE 128 END AS cap FROM conversations")
+def cap_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("role") == "user", "query").otherwise("doc")
+    resident = F.when(F.col("conv_id") % 2 == 0, F.lit(512))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", limits.cap(kind, F.lit(128), resident).alias("cap"))
+
+
+def _literal(rows: list[tuple], names: str) -> str:
+    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, bool | int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@_query(_literal([(m.kind, m.variant, m.code, m.file, m.dimension, m.pooling, m.quantization, m.output_key) for m in models.registry()], "kind, variant, code, file, dimension, pooling, quantization, output_key"))
+def models_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.models(spark)
+
+
+@_query("SELECT kind, quantization, count(*) AS n, max(dimension) AS dimension FROM (" + _literal([(m.kind, m.quantization, m.dimension) for m in models.registry()], "kind, quantization, dimension") + ") GROUP BY ALL")
+def models_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.models(spark).groupBy("kind", "quantization").agg(F.count("*").alias("n"), F.max("dimension").alias("dimension"))
+
+
+@_query("""
+SELECT * FROM (VALUES ('dual', 'dual', 'embed', 1024, 8192, 'base', true, true), ('rerank', 'rerank', 'rerank', NULL, NULL, 'cross', false, false), ('counting', 'counting', 'tokenizer', NULL, NULL, 'counting', true, true))
+AS t(id, name, kind, dimension, max_sequence_length, tokenizer, available, tokenizer_available)""")
+def tokenizer_only_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registered = spark.createDataFrame([("dual", "dual", "embed", 1024, 8192, "base", True), ("rerank", "rerank", "rerank", None, None, "cross", False)], "id string, name string, kind string, dimension int, max_sequence_length int, tokenizer string, available boolean")
+    known = spark.createDataFrame([("base", True), ("cross", False), ("counting", True)], "name string, available boolean")
+    return models.served(registered, known)
+
+
+@_query("SELECT vec_id, count(*)::INT AS kept, round(sum(x), 6) AS total FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS j FROM embeddings) WHERE j < 63 AND (j + 1) % 4 > 0 GROUP BY vec_id")
+def multivector_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components stand for token vectors of one dimension each; every fourth place is masked."""
+    multi = F.transform("embedding", lambda x: F.array(x.cast("double")))
+    mask = F.transform("embedding", lambda x, i: F.when(i % 4 > 0, 1).otherwise(0))
+    kept = V.multivector_keep(multi, mask)
+    return _table(spark, sf_dir, "embeddings").select("vec_id", kept.alias("k")).select("vec_id", F.size("k").alias("kept"), F.round(V.total(F.flatten("k")), DIGITS).alias("total"))
+
+
+@_query("SELECT doc_id, (doc_id // 64)::BIGINT AS batch, (doc_id + doc_id // 63 + 1)::BIGINT AS place FROM documents")
+def batch_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", layout.batch_of(F.col("doc_id"), 64).alias("batch"), layout.pinned_place(F.col("doc_id"), 64).alias("place"))
+
+
+@_query("SELECT vec_id, pos::INT AS pos, round(1 / (1 + exp(-x)), 6) AS score FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)")
+def sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.round(V.sigmoid(F.col("x").cast("double")), DIGITS).alias("score"))
+
+
+@_query("SELECT item_id, 'query: ' || text || ' <img><img><img> end' AS prompt FROM benchmark")
+def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = T.fill_template("query: {text} <img> end", F.col("text"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", T.expand_placeholder(filled, "<img>", F.lit(3)).alias("prompt"))
+
+
+@_query("SELECT max(len(embedding))::INT AS dimension FROM embeddings")
+def measured_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("dimension"))
+
+
+@_query("SELECT conv_id, string_agg(turn::VARCHAR || ':' || role, ',' ORDER BY turn) AS roles FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id")
+def ordered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.requests import responses
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "turn", "role").alias("r")).distinct()
+    return responses(rows, "conv_id", "turn", {"r": "r"}).select("conv_id", F.array_join("r", ",").alias("roles"))
+
+
+@_query()
+def encode_tiny_onnx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hand-made model of one look-up; encoding is a model's pass, which SQL does not express."""
+    from ..operators.encode import encode
+    from .tiny import tiny_encoder
+
+    out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tiny_encoder())
+    return out.select("doc_id", F.size("encoding.dense").alias("dimension"), F.round(V.norm(F.col("encoding.dense")), 4).alias("norm"))
+
+
+@_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens FROM documents")
+def stream_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counting of token_count over a stream of the table's files."""
+    import uuid
+
+    from ..streaming.inference import read_rows, run_available
+
+    where = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/textloom'}/stream-{uuid.uuid4().hex}"
+    table = _table(spark, sf_dir, "documents")
+    folder = all(f.rsplit("/", 2)[-2] == "documents.parquet" for f in table.inputFiles())
+    stream = read_rows(spark, f"{sf_dir}/documents.parquet" if folder else sf_dir, table.schema, None if folder else "documents.parquet")
+    count = lambda df: df.select("doc_id", T.word_count(F.col("text")).alias("n_tokens"))
+    run_available(stream, count, f"{where}/out", f"{where}/checkpoint")
+    return spark.read.schema("doc_id bigint, n_tokens int").parquet(f"{where}/out")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v.strip() for k, v in _SQL.items()}
