@@ -34,7 +34,7 @@ def covers(h: np.ndarray, batch: int, length: int | None) -> np.ndarray:
 
 
 def cls_pool(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    return check_rank(h) if h.ndim == 2 else h[:, 0, :]
+    return h if check_rank(h).ndim == 2 else h[:, 0, :]
 
 
 def mean_pool(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def last_token_pool(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 def last_position_pool(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """For inputs that are padded on the left."""
-    return check_rank(h) if h.ndim == 2 else h[:, -1, :]
+    return h if check_rank(h).ndim == 2 else h[:, -1, :]
 
 
 POOLING = {"cls": cls_pool, "mean": mean_pool, "mean_clamped": mean_pool_clamped, "last": last_token_pool, "last_position": last_position_pool}
