@@ -170,7 +170,8 @@ class SuffixSorter:
     def sorted_lms(self, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """LMS places in order, and common prefixes of neighbours."""
         name, m = self.names(lms), len(lms)
-        rounds, rank, width = [self._disk("rank0", name)], name, 1
+        small = np.int32 if m < 2**31 - 2 else np.int64
+        rounds, rank, width = [self._disk("rank0", name.astype(small))], name, 1
         while 2 * width <= self.depth + 1 and rank.max(initial=0) + 1 < m:  # an LMS substring adds two symbols at least
             second = np.zeros(m, np.int64)
             second[: m - width] = rank[width:] + 1
@@ -179,7 +180,7 @@ class SuffixSorter:
             k = key[order]
             rank = np.empty(m, np.int64)
             rank[order] = np.cumsum(np.concatenate(([False], k[1:] != k[:-1])))
-            rounds.append(self._disk(f"rank{len(rounds)}", rank))
+            rounds.append(self._disk(f"rank{len(rounds)}", rank.astype(small)))
             width *= 2
         order = np.argsort(rank, kind="stable")
         a, b = order[:-1].copy(), order[1:].copy()

@@ -226,7 +226,7 @@ def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
     return run
 
 
-def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 24 << 20, shard_bytes: int = 16 << 20, full: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 24 << 20, shard_bytes: int = 4 << 20, full: bool = False) -> DataFrame:
     """`keep` columns, n_bytes, n_removed, n_spans, kept_sha256; with `full`, kept (the bytes that are left)."""
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_order"), *keep, F.col(f"`{text}`").alias("_text"))
     if not replayable(base):
@@ -239,7 +239,7 @@ def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id:
     bodies = block_bodies(base, kept, block_bytes)
     border = written(bodies.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_border_bytes(kept, width, buckets), "gram bigint, block bigint, id bigint, first bigint, piece binary"), "borders")
     shards = max(8, 1 + int((border.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // shard_bytes))
-    ranges = border.repartition(shards, "gram").mapInArrow(_sort_shard(width, 8 * shard_bytes), "block bigint, first bigint, count bigint")
+    ranges = border.repartition(shards, "gram").mapInArrow(_sort_shard(width, 16 * shard_bytes), "block bigint, first bigint, count bigint")
     told = verdicts.select("block", "bucket", "verdict", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("count")).unionByName(written(ranges, "ranges"), allowMissingColumns=True)
     more = ", kept binary" if full else ""
     return bodies.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(kept, width, buckets, full), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
