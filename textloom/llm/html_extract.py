@@ -171,8 +171,8 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def main_text(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order.
+def main_text(root: Node) -> Node:
+    """The tree of the main text.
 
     The node with the largest density sum is its core; the least density on the path from the body to it is the threshold.
     Where the core lies in an article or main element, that is the main text. Elsewhere, beside the path, a subtree
@@ -186,24 +186,20 @@ def main_text(root: Node) -> list[Node]:
         path.append(parent[id(path[-1])])
     semantic = [x for x in path if x.tag == "article"] or [x for x in path if x.tag == "main"]
     if semantic:
-        return [semantic[-1]]
+        return semantic[-1]
     threshold = min(x.density for x in path)
-    on_path = {id(x) for x in path}
-
-    def region(node: Node) -> Node:
-        if node is best:
-            return node
+    made = best
+    for below, node in zip(path, path[1:]):
         out = Node(node.tag)
         for p in node.parts:
             if isinstance(p, str) or p.tag in VOID:
                 out.parts.append(p)
-            elif id(p) in on_path:
-                out.parts.append(region(p))
+            elif p is below:
+                out.parts.append(made)
             elif p.c > 2 * p.lc and (p.density >= threshold or p.tag in TEXTUAL or p.tag in FORMATTING):
                 out.parts.append(p)
-        return out
-
-    return [region(root)]
+        made = out
+    return made
 
 
 def blocks(node: Node) -> str:
@@ -239,7 +235,7 @@ def extract_text(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    return "\n".join(filter(None, map(blocks, main_text(parse(html)))))
+    return blocks(main_text(parse(html)))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
