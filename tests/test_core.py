@@ -313,3 +313,55 @@ def test_png():
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
     assert (image_files.decode(raw) == x).all()
+
+
+def test_all_heads_with_tiny_models(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(9)]
+    tokenizer = tiny.tiny_tokenizer(words)
+    table, second, third = rng.standard_normal((10, 6)), rng.standard_normal((10, 1)), rng.standard_normal((10, 4))
+    texts = ["w3 w5 w3 w8", "w7", "w4 w6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ids = [[int(w[1:]) + 1 for w in t.split()] for t in texts]
+
+    def run(models, **settings):
+        e = E.Encoder(model=tiny.gather_model(models), tokenizer=tokenizer, max_length=8, **settings)
+        return [r.encoding for r in E.encode(df.repartition(2), e).orderBy("id").collect()]
+
+    for e, i in zip(run({"dense_out": table, "other": third}, output="dense_out", normalize=False), ids):
+        assert np.allclose(e.dense, table[i[0]], atol=1e-6)
+    for pooling, at in (("last", -1), ("last_position", -1)):
+        for e, i in zip(run({"x": table}, pooling=pooling, pad_left=pooling == "last_position", inner_epsilon=True), ids):
+            assert np.allclose(e.dense, table[i[at]] / np.linalg.norm(table[i[at]]), atol=1e-5)
+    for e, i in zip(run({"logits": table}, head="splade"), ids):
+        best = np.log1p(np.maximum(table[i], 0)).max(axis=0)
+        assert e.sparse["indices"] == np.flatnonzero(best > 0).tolist() and np.allclose(e.sparse["values"], best[best > 0], atol=1e-6)
+    weights = {k: max(float(table[k] @ np.arange(6)), 0) for i in ids for k in i}
+    dual = run({"pooled_dense": table, "hidden_states": table}, head="dual", weight=tuple(range(6)))
+    for e, i in zip(dual, ids):
+        assert np.allclose(e.dense, table[i[0]] / np.linalg.norm(table[i[0]]), atol=1e-5)
+        kept = sorted(k for k in set(i) if k > 3 and weights[k] > 0)
+        assert e.sparse["indices"] == kept and np.allclose(e.sparse["values"], [weights[k] for k in kept], atol=1e-5)
+    for e, i in zip(run({"pooled_a": table, "b": second, "c": third}, head="joint"), ids):
+        kept = sorted(k for k in set(i) if k > 3 and second[k, 0] > 0)
+        assert np.allclose(e.dense, table[i[0]], atol=1e-6) and e.sparse["indices"] == kept
+        assert len(e.multi) == len(i) - 1
+    with pytest.raises(Exception, match="three outputs"):
+        run({"pooled_a": table, "b": second}, head="joint")
+    scorer = E.scorer(E.Encoder(model=tiny.gather_model({"logits": second}), tokenizer=tokenizer, head="rerank"))
+    pairs = spark.createDataFrame([("r", 0, "w1", "w2"), ("r", 1, "w4", "w2")], "req string, pos int, q string, d string")
+    assert {r["index"]: round(r.raw, 5) for r in rank.rerank(pairs, "req", "pos", scorer("q", "d")).collect()} == {0: round(float(second[2, 0]), 5), 1: round(float(second[5, 0]), 5)}
+    fixed = run({"x": table}, fixed_shape=True, pooling="mean")
+    for a, b in zip(fixed, run({"x": table}, pooling="mean")):
+        assert np.allclose(a.dense, b.dense, atol=1e-5)
+
+
+def test_streaming(spark, tmp_path):
+    from textloom.streaming.inference import read_rows, run_available
+
+    rows = spark.createDataFrame([(i, "the and") for i in range(10)], "id int, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = read_rows(spark, str(tmp_path / "in"), rows.schema, files_a_batch=1)
+    for _ in range(2):  # the second run finds nothing new
+        run_available(stream, lambda df: E.encode(df, tiny.tiny_encoder()).select("id", F.size("encoding.dense").alias("n")), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).filter("n = 8").collect()) == list(range(10))

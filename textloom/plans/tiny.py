@@ -42,10 +42,20 @@ def _node(kind: str, inputs: list[str], outputs: list[str]) -> bytes:
     return b"".join(_field(1, i) for i in inputs) + b"".join(_field(2, o) for o in outputs) + _field(4, kind)
 
 
-def gather_model(table: np.ndarray, output: str = "last_hidden_state") -> bytes:
-    """A model from input_ids to the rows of a table."""
-    graph = _field(1, _node("Gather", ["table", "input_ids"], [output])) + _field(2, "tiny") + _field(5, _tensor("table", table.astype(np.float32)))
-    graph += _field(11, _value_info("input_ids", 7, ["batch", "length"])) + _field(12, _value_info(output, 1, ["batch", "length", "dimension"]))
+def gather_model(tables: dict[str, np.ndarray]) -> bytes:
+    """A model from input_ids to an output for each table: the rows of the ids, or, for names that start with pooled_, the
+    row of the first id."""
+    nodes, weights, outputs = b"", b"", b""
+    for name, table in tables.items():
+        pooled = name.startswith("pooled_")
+        nodes += _field(1, _node("Gather", [f"{name}_table", "first_id" if pooled else "input_ids"], [name]))
+        weights += _field(5, _tensor(f"{name}_table", table.astype(np.float32)))
+        outputs += _field(12, _value_info(name, 1, ["batch", "dimension"] if pooled else ["batch", "length", "dimension"]))
+    if any(n.startswith("pooled_") for n in tables):
+        axis = _field(1, "axis") + _field(3, 1) + _field(20, 2)
+        nodes = _field(1, _node("Gather", ["input_ids", "zero"], ["first_id"]) + _field(5, axis)) + nodes
+        weights += _field(5, _field(2, 7) + _field(8, "zero") + _field(9, np.zeros(1, np.int64).tobytes()))
+    graph = nodes + _field(2, "tiny") + weights + _field(11, _value_info("input_ids", 7, ["batch", "length"])) + outputs
     return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
 
 
@@ -58,4 +68,4 @@ def tiny_tokenizer(words: list[str]) -> str:
 def tiny_encoder(dimension: int = 8, **settings) -> Encoder:
     words = "the and that of with be is for in to de la que le et der die und el los".split()
     table = np.random.default_rng(3).standard_normal((len(words) + 1, dimension))
-    return Encoder(model=gather_model(table), tokenizer=tiny_tokenizer(words), pooling="mean", max_length=64, batch_size=64, **settings)
+    return Encoder(model=gather_model({"last_hidden_state": table}), tokenizer=tiny_tokenizer(words), pooling="mean", max_length=64, batch_size=64, **settings)
