@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -98,8 +99,11 @@ def block_tables(kept: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBat
                 if size >= block_bytes:
                     yield (part << 24) + n, pa.Table.from_batches(held)
                     n, held, size = n + 1, [], 0
+                    release()
         if held:
             yield (part << 24) + n, pa.Table.from_batches(held)
+            held = []
+        release()
 
     return run
 
@@ -128,6 +132,15 @@ def column_bytes(table: pa.Table, column: int) -> list[bytes]:
     return [t for c in table.column(column).chunks for t in bytes_list(c)]
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers are kept between tasks, and so would be what they once used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def planes(x: np.ndarray) -> bytes:
     """64-bit numbers with bytes of equal weight together, which compress better."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T).tobytes()

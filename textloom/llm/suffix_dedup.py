@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import chunks
-from .common import block_bodies, block_tables, body_table, column_bytes, from_planes, planes, replayable, written
+from .common import block_bodies, block_tables, body_table, column_bytes, from_planes, planes, release, replayable, written
 from .induced_sort import sort_file
 
 _LATE = np.iinfo(np.int64).max
@@ -138,6 +138,7 @@ def _judge(table: pa.Table) -> pa.Table:
 
 def _border_bytes(kept: int, width: int, buckets: int) -> Callable:
     def run(bodies: pa.Table, verdicts: pa.Table) -> pa.Table:
+        release()
         table = body_table(bodies)
         cut = _cut(table, kept, width, buckets)
         at = np.flatnonzero(cut.judged(verdicts) == BORDER)
@@ -169,6 +170,7 @@ def _sort_shard(width: int, budget: int) -> Callable:
                     size += len(out)
             if not meta:
                 return
+            release()
             block, ident, first, start, sizes = np.concatenate(meta, axis=1)
             found = []
             for place, common in sort_file(path, width, budget):
@@ -191,12 +193,14 @@ def _sort_shard(width: int, budget: int) -> Callable:
                 blk, at = blk[order], at[order]
                 heads = np.flatnonzero(np.concatenate(([True], (blk[1:] != blk[:-1]) | (at[1:] != at[:-1] + 1))))
                 yield pa.RecordBatch.from_arrays([pa.array(blk[heads]), pa.array(at[heads]), pa.array(np.diff(np.append(heads, len(at))).astype(np.int64))], ["block", "first", "count"])
+        release()
 
     return run
 
 
 def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
     def run(bodies: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         table = body_table(bodies)
         cut = _cut(table, kept, width, buckets)
         ranges = told.filter(pa.compute.is_null(told.column("verdict")))
@@ -207,7 +211,9 @@ def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
         change = np.zeros(int(cut.begins[-1]) + 1, np.int32)
         np.add.at(change, first, 1)
         np.add.at(change, first + count + width - 1, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        np.cumsum(change, out=change)
+        gone = change[:-1] > 0
+        del change
         sizes = np.diff(cut.begins)
         opened = gone & ~np.concatenate(([False], gone[:-1]))
         removed, spans, digests, left = [], [], [], []
@@ -226,14 +232,14 @@ def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
     return run
 
 
-def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 24 << 20, shard_bytes: int = 4 << 20, full: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, shard_bytes: int = 4 << 20, full: bool = False) -> DataFrame:
     """`keep` columns, n_bytes, n_removed, n_spans, kept_sha256; with `full`, kept (the bytes that are left)."""
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_order"), *keep, F.col(f"`{text}`").alias("_text"))
     if not replayable(base):
         base = written(base, "repeats")
     kept = len(keep) + 1
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
-    buckets = max(8, 2 * base.rdd.getNumPartitions())
+    buckets = max(32, 2 * base.rdd.getNumPartitions())
     rows = base.mapInArrow(_rows(kept, block_bytes, width, buckets), "bucket int, block bigint, n int, packed binary")
     verdicts = written(rows.groupBy("bucket").applyInArrow(_judge, "bucket int, block bigint, verdict binary"), "verdicts")
     bodies = block_bodies(base, kept, block_bytes)
