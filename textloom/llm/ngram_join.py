@@ -6,15 +6,19 @@ A document's set is that of its distinct shingles of k words, each as a 64-bit h
 2. Size bands. Classes fall into bands of set size, each half as large again as the one before; a class is entered in
    its own band and, if a partner may be there, in the next ones.
 3. Tiles. Sets of sizes a and b that link differ in at most (den - num)(a + b) / (den + num) shingles. With d the largest
-   such difference in a band, the shingles of each set are dealt by hash into d + 1 parts: d differing shingles touch d
-   parts at most, so sets that link agree wholly in one part. A tile is the classes of a band that agree in one part;
-   parts that are empty agree as well. Only classes that share a tile are compared, and no pair that links is lost.
+   such difference in a band, the shingles of each set are dealt by hash into more than d parts: d differing shingles
+   touch d parts at most, so sets that link agree wholly in the others. A tile is the classes of a band that agree in one
+   part and have shingles there. A set with so many empty parts that all those which agree may be empty is dealt again,
+   by another hash, until it has fewer; of two sets that link, the one that is done first shares a tile with the other in
+   that deal. Sets that are never done (with low thresholds only) share one tile of their band. So no pair that links is
+   lost, and only classes that share a tile are compared.
 4. In a tile, the class with the smallest id is compared with each other one: edges of a star, not all pairs. Pairs are
    compared once, first by hashed bitmaps of their sets: a bit set in one and not in the other is at least one shingle of
    the one that the other lacks, so the counts of such bits bound the overlap from above. Pairs that the bound leaves
    are compared by exact intersection of their sorted arrays.
-5. Linked classes form components. Tiles whose classes lie in more than one component are settled pair by pair across
-   components, in blocks of `block` classes, again by bitmaps first. Most tiles have one component by then.
+5. Linked classes form components. Where a tile's classes lie in more than one, each class is compared with the likeliest
+   one of another component, by bitmaps, round after round while that links any; at last, all pairs across components
+   that the bitmaps leave are compared, in blocks of `block` classes. Most tiles have one component by then.
 
 A block of documents links the members of a tile that it has itself, and sends the smallest one only, so a tile that many
 documents share is one row a block where blocks meet. Pairs are joined with texts, and sets made from those, as texts are smaller.
@@ -26,6 +30,7 @@ component joins them all; an empty table gives no rows; extra columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,12 +40,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_tables, bytes_list, column_bytes, connected_components, from_planes, planes, sliced, written
+from .common import block_tables, bytes_list, column_bytes, connected_components, from_planes, planes, release, sliced, small_batches, written
 
 #: A-Z to a-z and the other ASCII spaces to a plain one.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-WORDS_OF_BITMAP = 16
+WORDS_OF_BITMAP = 32
+DEALS = 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,20 +123,37 @@ def _part_keys(s: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.nda
     return mix(sums + mix(np.arange(parts, dtype=np.uint64) * _M1 + np.uint64(seed))), empty
 
 
+@lru_cache(1 << 12)
+def _parts(band: int, num: int, den: int) -> int:
+    """More than the shingles that differ in sets of the band, by as many as parts are likely to be empty."""
+    low, high = int(_ends()[band]) * num // den, int(_ends()[band + 1]) - 1
+    differ = (den - num) * 2 * high // (den + num)
+    spare = 0
+    for _ in range(4):
+        parts = differ + 1 + spare
+        empty = parts * math.exp(-max(low, 1) / parts)
+        spare = min(math.ceil(empty + 3 * math.sqrt(empty)), differ + 4) if differ else 0
+    return differ + 1 + spare
+
+
 def tiles(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """All tiles of a set. That a part is empty says little, so such a part is told apart by a second deal of the set."""
+    """All tiles of a set."""
     ends, n, out = _ends(), len(s), []
     if not n:
         return np.zeros(0, np.uint64)
     own = band = int(np.searchsorted(ends, n, side="right")) - 1
     while band == own or n * den >= num * int(ends[band]):  # a partner as small as the band's smallest may link
-        parts = ((den - num) * 2 * (int(ends[band + 1]) - 1)) // (den + num) + 1
+        parts = _parts(band, num, den)
+        partner = min(int(ends[band + 1]) - 1, n * den // num)
+        sure = parts - (den - num) * (n + partner) // (den + num)  # parts that agree with any partner in the band
         tag = np.uint64((band * 0x5851F42D4C957F2D + 1) & 0xFFFFFFFFFFFFFFFF)
-        keys, empty = _part_keys(s, parts, 0)
-        out.append(mix(keys[~empty] ^ tag))
-        for p in np.flatnonzero(empty):
-            again, _ = _part_keys(s, parts, int(p) + 1)
-            out.append(mix(mix(again) + tag + np.uint64(p)))
+        for deal in range(DEALS):
+            keys, empty = _part_keys(s, parts, deal)
+            out.append(mix(keys[~empty] ^ tag))
+            if int(empty.sum()) < sure:
+                break
+        else:
+            out.append(mix(np.array([tag])))
         band += 1
     return np.unique(np.concatenate(out))
 
@@ -143,7 +166,7 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_bytes: int = 24 << 20) -> DataFrame:
+def sketches(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_bytes: int = 12 << 20) -> DataFrame:
     """Three kinds of rows over rows (id, t): id, n, s (set size and 128-bit fingerprint of the set; null if empty) and first
     (whether its tiles were given); tile, a, b for the members b of a tile that one block has several of, a the smallest;
     bucket, packed for the smallest member of each tile of a block."""
@@ -198,6 +221,7 @@ def _rows(**columns: pa.Array) -> pa.RecordBatch:
 
 def _meet(table: pa.Table) -> pa.Table:
     """tile, a, b for the blocks' smallest members b of a tile that several blocks have, a the smallest of all."""
+    release()
     tile, member = [], []
     for raw in map(zstandard.decompress, table.column("packed").to_pylist()):
         n = len(raw) // 16
@@ -264,24 +288,34 @@ def _links(a: int, b: int, both: int, num: int, den: int) -> bool:
 
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    found = written(sketches(base, k, num, den, max(8, 2 * base.rdd.getNumPartitions())), "sketches")
+    found = written(sketches(base, k, num, den, max(32, 2 * base.rdd.getNumPartitions())), "sketches")
     across = found.filter("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet, "tile bigint, a bigint, b bigint")
     shared = written(found.filter("tile is not null").select("tile", "a", "b").union(across), "shared")
     pairs = written(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
     found = found.filter("n is not null").select("id", "n", "s", "first")
     edges = written(verify(pairs, base, k, num, den), "links")
     roots = connected_components(edges)
-    # tiles that still hold classes of more than one component
-    members = shared.select("tile", "b").distinct()
-    placed = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("tile", "b", F.coalesce("root", "b").alias("root"))
-    still = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("tile", "m")
-    rest = written(placed.join(still, "tile"), "open")
-    if not rest.isEmpty():
-        bits = _bitmaps(only(base, rest.select(F.col("b").alias("id"))), k)
-        more = written(_across(rest.join(bits, "b"), num, den, block).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        edges = written(edges.union(verify(more, base, k, num, den)), "links")
-        roots = connected_components(edges)
+    members, bits, every = shared.select("tile", "b").distinct(), None, False
+    while True:
+        # tiles that still hold classes of more than one component
+        placed = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("tile", "b", F.coalesce("root", "b").alias("root"))
+        still = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("tile", "m")
+        rest = written(placed.join(still, "tile"), "open")
+        if rest.isEmpty():
+            break
+        if bits is None:
+            bits = written(_bitmaps(only(base, rest.select(F.col("b").alias("id"))), k), "bitmaps")
+        more = written(_across(rest.join(bits, "b"), num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        new = written(verify(more, base, k, num, den), "links")
+        if not new.isEmpty():
+            edges, pairs = written(edges.union(new), "links"), written(pairs.union(more), "pairs")
+            roots = connected_components(edges)
+        elif every:
+            break
+        else:
+            every, pairs = True, written(pairs.union(more), "pairs")
     classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("first"), F.col("id"))).alias("node"))
     classes = classes.join(roots, "node", "left").select("s", "n", "lo", F.coalesce("root", "node").alias("root"))
     labels = classes.groupBy("root").agg(F.min("lo").alias("component_id"))
@@ -289,10 +323,11 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     return found.drop("first").join(own, ["s", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def _across(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Pairs (a < b) of one tile but of different components that the bitmaps leave, from rows (tile, b, root, m, size, bits).
+def _across(rows: DataFrame, num: int, den: int, block: int, every: bool) -> DataFrame:
+    """Pairs (a < b) of one tile but of different components that the bitmaps leave, from rows (tile, b, root, m, size, bits):
+    every one, or for each class the likeliest only.
 
-    A tile of n classes is cut into blocks by hash; each pair of blocks is one group, so a group holds about 2 x block
+    A tile of m classes is cut into blocks by hash; each pair of blocks is one group, so a group holds about 2 x block
     classes whatever the tile's size.
     """
     cut = rows.withColumn("m", F.ceil(F.col("m") / block).cast("int")).withColumn("p", F.pmod(F.xxhash64("b"), F.col("m")).cast("int"))
@@ -304,15 +339,17 @@ def _across(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
         ids, roots, size = table["b"].to_numpy(), table["root"].to_numpy(), table["size"].to_numpy().astype(np.int64)
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, WORDS_OF_BITMAP)
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        out_a, out_b = [], []
+        out = [np.zeros((2, 0), np.int64)]
         for i in left:
-            j = right[(roots[right] != roots[i]) & (ids[right] > ids[i] if p == q else True)]
+            j = right[(roots[right] != roots[i]) & (ids[right] > ids[i] if p == q and every else True)]
+            if not len(j):
+                continue
             bound = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1))
-            j = j[den * bound >= num * (size[i] + size[j] - bound)]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-        cat = lambda x: pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))
-        return pa.table([cat(out_a), cat(out_b)], ["a", "b"])
+            spare = den * bound - num * (size[i] + size[j] - bound)
+            j = j[spare >= 0] if every else j[[spare.argmax()]] if spare.max() >= 0 else j[:0]
+            out.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
     return pairs.groupBy("tile", "p", "q").applyInArrow(run, "a bigint, b bigint")
 
