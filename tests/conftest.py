@@ -24,5 +24,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from textloom.session import ship
+
+    ship(session)
     yield session
     session.stop()

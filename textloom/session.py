@@ -1,9 +1,16 @@
-"""Sessions with the settings that the operators expect."""
+"""Sessions with the settings that the operators expect, and this package on the executors."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """For tests and benchmarks; a cluster brings its own session."""
@@ -17,3 +24,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once an application, so that they need no path to it."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(path)
