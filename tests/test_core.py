@@ -365,3 +365,17 @@ def test_streaming(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         run_available(stream, lambda df: E.encode(df, tiny.tiny_encoder()).select("id", F.size("encoding.dense").alias("n")), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
         assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).filter("n = 8").collect()) == list(range(10))
+
+
+def test_settings(spark, monkeypatch):
+    from textloom.operators.settings import Settings
+
+    assert Settings.read({}) == Settings() and Settings().max_length == 256
+    assert Settings.read({"max_batch": "8", "pin_shapes": "on", "providers": "A, B"}) == Settings(max_batch=8, pin_shapes=True, providers=("A", "B"))
+    for bad in ({"max_batch": "many"}, {"max_batch": "0"}, {"pin_shapes": "perhaps"}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            Settings.read(bad)
+    monkeypatch.setenv("TEXTLOOM_MAX_LENGTH", "99")
+    assert Settings.from_env().max_length == 99
+    spark.conf.set("spark.textloom.max_batch", "3")
+    assert Settings.from_session(spark).max_batch == 3
