@@ -33,9 +33,9 @@ def gram_hashes(flat: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def content_hashes(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def content_hashes(h: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each range of GRAM bytes or more, from the hashes of the grams that cover it."""
-    out = size.astype(np.uint64) * _B
+    out = size.astype(np.uint64) * _B + np.uint64(seed)
     for k in range(0, int(size.max(initial=GRAM)) - GRAM + 1, GRAM):
         out = mix((out ^ h[start + np.minimum(k, size - GRAM)]) * _A)
     return mix((out ^ h[start + size - GRAM]) * _A)
