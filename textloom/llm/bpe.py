@@ -26,7 +26,10 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_bodies, block_tables, body_table, column_bytes, replayable, written
+from .common import block_bodies, block_tables, body_table, column_bytes, prepare, release, replayable, written
 
 SPACES = "[\x20\x09-\x0d]"
 
 
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(2)
+def _pieces(path: str) -> list[bytes]:
+    return _encoder(path).pieces()
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -69,7 +82,13 @@ class Encoder:
         self.tok.no_padding()
 
     def ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # without offsets, where there is such
+        found = [e.ids for e in encode(chunks, add_special_tokens=False)]
+        flat, out, at = array("I", chain.from_iterable(found)).tobytes(), [], 0
+        for f in found:
+            out.append(flat[at : at + 4 * len(f)])
+            at += 4 * len(f)
+        return out
 
     def pieces(self) -> list[bytes]:
         """The id-to-piece table. The tokenizer has no decoder step: decode() puts one space between pieces."""
@@ -97,9 +116,10 @@ def _dictionaries(kept: int, block_bytes: int, buckets: int) -> Callable:
 
 def _encode(path: str) -> Callable:
     def run(table: pa.Table) -> pa.Table:
+        release()
         lists = [zstandard.decompress(z).decode().split("\n") for z in table.column("chunks").to_pylist()]
         distinct = sorted(set().union(*lists))
-        ids = dict(zip(distinct, Encoder(path).ids(distinct)))
+        ids = dict(zip(distinct, _encoder(path).ids(distinct)))
         out = []
         for words in lists:
             found = [ids[w] for w in words]
@@ -111,9 +131,10 @@ def _encode(path: str) -> Callable:
 
 def _assemble(path: str, kept: int, buckets: int, with_ids: bool, with_text: bool) -> Callable:
     def run(bodies: pa.Table, dictionaries: pa.Table) -> pa.Table:
+        release()
         table = body_table(bodies)
         texts = column_bytes(table, kept)
-        pieces, ids_of, text_of = Encoder(path).pieces(), {}, {}
+        pieces, ids_of, text_of = _pieces(path), {}, {}
         packed = {r["bucket"]: r for r in dictionaries.to_pylist()}
         for k, words in enumerate(_by_bucket(texts, buckets)):
             if not words:
@@ -125,11 +146,12 @@ def _assemble(path: str, kept: int, buckets: int, with_ids: bool, with_text: boo
             raw, start = flat[len(words) :].tobytes(), 0
             for w, end in zip(words, ends):
                 ids_of[w], text_of[w], start = raw[4 * start : 4 * end], b" ".join(names[start:end]), end
+        silent = b"" in text_of.values()  # chunks without tokens
         counts, digests, decoded_digests, all_ids, all_texts = [], [], [], [], []
         for t in texts:
             chunks = t.split()
             ids = b"".join(map(ids_of.__getitem__, chunks))
-            decoded = b" ".join(filter(None, map(text_of.__getitem__, chunks)))
+            decoded = b" ".join(filter(None, map(text_of.__getitem__, chunks)) if silent else map(text_of.__getitem__, chunks))
             counts.append(len(ids) // 4)
             digests.append(hashlib.sha256(ids).hexdigest())
             decoded_digests.append(hashlib.sha256(decoded).hexdigest())
@@ -147,8 +169,9 @@ def _assemble(path: str, kept: int, buckets: int, with_ids: bool, with_text: boo
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 24 << 20, ids: bool = False, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, ids: bool = False, decoded: bool = False) -> DataFrame:
     """`keep` columns, n_tokens, ids_sha256 and decoded_sha256; on demand, ids (array of int) and the decoded text too."""
+    prepare(docs.sparkSession)
     path = tokenizer or tokenizer_file()
     with open(path, encoding="utf-8") as f:
         check_tokenizer(json.load(f))
@@ -156,7 +179,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
     if not replayable(base):
         base = written(base, "encode")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
-    buckets = max(8, 2 * base.rdd.getNumPartitions())
+    buckets = max(32, 2 * base.rdd.getNumPartitions())
     sent = base.mapInArrow(_dictionaries(len(keep), block_bytes, buckets), "bucket int, block bigint, chunks binary")
     found = sent.groupBy("bucket").applyInArrow(_encode(path), "bucket int, block bigint, n int, ids binary")
     bodies = block_bodies(base, len(keep), block_bytes)
@@ -171,7 +194,7 @@ def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds `out`, the decoded text of an array of ids, by a join of each position with the id-to-piece table."""
-    table = df.sparkSession.createDataFrame(list(enumerate(p.decode() for p in Encoder(tokenizer or tokenizer_file()).pieces())), "id int, piece string")
+    table = df.sparkSession.createDataFrame(list(enumerate(p.decode() for p in _pieces(tokenizer or tokenizer_file()))), "id int, piece string")
     keyed = df.withColumn("_key", F.xxhash64(ids)).select("_key", ids).dropDuplicates(["_key"])
     rows = keyed.select("_key", F.posexplode(ids).alias("pos", "id")).join(F.broadcast(table), "id")
     joined = rows.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias(out))
