@@ -82,6 +82,8 @@ PLAIN = "\n".join(unescape(PARAGRAPH.format(i))[3:-4] for i in range(5))
         (f"<body><div class=cookie-notice>We use cookies.</div><div>{BODY}<ul><li>one<li>two</ul></div><!-- <p>gone</p> --></body>", PLAIN + "\none\ntwo"),
         (f"<body><div style='display:none'>{BODY}</div><section>{BODY}</section></body>", PLAIN),
         ("<article><p>a&nbsp;&nbsp;b\t c<br>d<p><b>e<p>f</b>g</article>", "a b c\nd\ne\nfg"),
+        (f"<body><div class='page with-sidebar'><div class=sidebar>s</div><article>{BODY}</article></div></body>", PLAIN),
+        (f"<body><div><div>{BODY}</div></div><section id=comments><article class=comment-body><p>I like this a lot, thank you for it.</p></article></section></body>", PLAIN),
         ("<article><p>1 < 2 and a <b>bold</b>move &#x41;&copy;</p></article>", "1 < 2 and a boldmove A©"),
     ],
 )

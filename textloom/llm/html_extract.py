@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import prepare, sliced
 
 # Names of HTML elements by their role in the standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,27 +57,40 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _SPACE = re.compile(r"\s+")
 
 
+NEVER, UNLESS = 1, 2
+
+
 class Node:
     __slots__ = ("tag", "parts", "drop", "c", "t", "lc", "lt", "density", "total")
 
-    def __init__(self, tag: str, drop: bool = False):
+    def __init__(self, tag: str, drop: int = 0):
         self.tag, self.parts, self.drop = tag, [], drop
 
 
-def dropped(tag: str, attributes: str) -> bool:
-    """Whether the element is never main text."""
+def dropped(tag: str, attributes: str) -> int:
+    """Whether the element is never main text: NEVER, or UNLESS it holds the article, by its name only."""
     if tag in BOILERPLATE:
-        return True
+        return NEVER
     if not attributes or tag in ("html", "body", "main", "article") or "=" not in attributes and "hidden" not in attributes:
-        return "hidden" in attributes.split() if attributes else False
+        return NEVER if attributes and "hidden" in attributes.split() else 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+            return NEVER
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return NEVER
         if name in ("class", "id") and LABELS.search(re.sub(r"[_\s]", "-", re.sub(r"(?<=[a-z])(?=\d)", "-", value))):
+            return UNLESS
+    return 0
+
+
+def holds_article(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        if at.tag in ("article", "main") and not at.drop:
             return True
+        todo.extend(p for p in at.parts if not isinstance(p, str) and p.drop != NEVER)
     return False
 
 
@@ -124,13 +137,13 @@ def parse(html: str) -> Node:
                         break
                 elif name in SCOPE and name not in ("td", "th") or name in SCOPE and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot"):
                     break
-        node = Node(tag, dropped(tag, m[3] or "") or tag == "header" and not any(x.tag in ("article", "main") for x in stack))
+        node = Node(tag, dropped(tag, m[3] or "") or (UNLESS if tag == "header" and not any(x.tag in ("article", "main") for x in stack) else 0))
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             node.parts.append(html[at : end.start() if end else n])
             at = end.end() if end else n
-            node.drop = node.drop or tag in ("title", "xmp", "plaintext")
+            node.drop = NEVER
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             stack.append(node)
         elif tag not in VOID and tag not in ("svg", "path", "g", "use", "rect", "circle"):
@@ -144,7 +157,7 @@ def measure(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        node.parts = [p for p in node.parts if isinstance(p, str) or not p.drop]
+        node.parts = [p for p in node.parts if isinstance(p, str) or not p.drop or p.drop == UNLESS and node.tag not in ("article", "main") and holds_article(p)]
         todo.extend(p for p in node.parts if not isinstance(p, str))
     order.reverse()
     for node in order:
@@ -240,6 +253,7 @@ def extract_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """`keep` columns, text, n_chars of every page."""
+    prepare(pages.sparkSession)
     base = pages.select(*keep, F.col(f"`{html}`").alias("_html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
     kept = len(keep)
