@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _made: set[str] = set()
 
 
@@ -40,6 +42,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def prepare(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Send this package to the workers, and let Arrow batches of this session hold `most` bytes at most: long texts would else fill the executors' memory beyond
+    the heap, where each task has several batches at once. A smaller setting stays."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    m = re.fullmatch(r"(\d+)([bkmg]?)b?", str(spark.conf.get(key, "64m")).lower())
+    if m is None or int(m[1]) * units[m[2] or "b"] > most or int(m[1]) <= 0:
+        spark.conf.set(key, str(most))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, sliced, written
+from .common import bytes_list, prepare, release, sliced, written
 
 #: A-Z to a-z; every other ASCII character outside 0-9a-z to a space; bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -36,21 +36,25 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The hash set of a benchmark slice's windows, by window length."""
+    """The hash set of a benchmark slice's windows, by window length: hashes, ascending, with the words' numbers and the item."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], n: int):
         self.vocab: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in split_words(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.owners[tuple(ids[i : i + size])].update(() if item is None else (item,))
-        self.owners = dict(self.owners)
-        self.hashes = {}
-        for size in {len(w) for w in self.owners}:
-            rows = np.array([w for w in self.owners if len(w) == size], dtype=np.int64)
-            self.hashes[size] = np.unique(hash_windows([rows[:, k] for k in range(size)]))
+        rows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.items: list[int | None] = [i for i, _ in items]
+        for at, (_, text) in enumerate(items):
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in split_words(text)], dtype=np.int32)
+            if size := min(n, len(ids)):
+                windows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                rows[size].append((windows, np.full(len(windows), at, np.int32)))
+        self.windows = {}
+        for size, parts in rows.items():
+            words, owner = np.concatenate([w for w, _ in parts]), np.concatenate([o for _, o in parts])
+            hashes = hash_windows([words[:, k] for k in range(size)])
+            order = np.lexsort((owner, hashes))
+            hashes, owner, words = hashes[order], owner[order], words[order]
+            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]) | (words[1:] != words[:-1]).any(axis=1)))
+            self.windows[size] = hashes[new], words[new], owner[new]
 
     def scan(self, words: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[int]]]:
         """For each document: the indices of its hit words, sorted, and the items found."""
@@ -62,17 +66,20 @@ class Windows:
         hit = np.zeros(len(ids), dtype=bool)
         found: list[set[int]] = [set() for _ in words]
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size, known in self.hashes.items():
+        for size, (known, known_words, owner) in self.windows.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
             hashes = hash_windows([ids[at + k] for k in range(size)])
-            near = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-            for i in at[near]:
-                owners = self.owners.get(tuple(ids[i : i + size].tolist()))
-                if owners is not None:
-                    hit[i : i + size] = True
-                    found[int(np.searchsorted(starts, i, side="right")) - 1] |= owners
+            place = np.searchsorted(known, hashes)
+            near = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == hashes)
+            for i, h, k in zip(at[near].tolist(), hashes[near], place[near].tolist()):
+                while k < len(known) and known[k] == h:
+                    if (known_words[k] == ids[i : i + size]).all():
+                        hit[i : i + size] = True
+                        if (item := self.items[owner[k]]) is not None:
+                            found[int(np.searchsorted(starts, i, side="right")) - 1].add(item)
+                    k += 1
         return [np.flatnonzero(hit[starts[k] : starts[k] + counts[k]]) for k in range(len(words))], found
 
 
@@ -84,36 +91,42 @@ def hash_windows(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_bytes: int = 4 << 20) -> DataFrame:
     """`keep` columns of every document, then n_words, n_hit, hit_words (indices of hit words), item_ids (sorted as strings)."""
     spark = docs.sparkSession
+    prepare(spark)
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     slices = 1 + int((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // slice_bytes)
-    cur = docs.select(*keep, F.col(text).alias("_text"))
+    inside = text in keep  # else the text goes along until the last slice
+    cur = docs.select(*keep) if inside else docs.select(*keep, F.col(text).alias("_text"))
+    at = keep.index(text) if inside else len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cur.select(*keep).schema)
     for k in range(slices):
         part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(slices)) == k)
         sent = spark.sparkContext.broadcast(Windows([(r.i, r.t.encode()) for r in part.toLocalIterator()], n))
-        cur = cur.mapInArrow(_scanner(sent, len(keep), first=k == 0, last=k == slices - 1), fields + ("" if k == slices - 1 else ", _text string") + ", n_words bigint, n_hit bigint, hit_words array<int>, item_ids array<string>")
+        cur = cur.mapInArrow(_scanner(sent, at, len(keep) + (not inside and k < slices - 1), first=k == 0), fields + ("" if inside or k == slices - 1 else ", _text string") + ", n_words bigint, n_hit bigint, hit_words array<int>, item_ids array<string>")
         if k < slices - 1:
             cur = written(cur, "leaks")
     return cur
 
 
-def _scanner(sent, kept: int, first: bool, last: bool):
+def _scanner(sent, at: int, kept: int, first: bool):
+    """Scans the text in column `at`; the first `kept` columns stay."""
+
     def run(batches):
         windows = sent.value
         for whole in batches:
-            for batch in sliced(whole, kept):
-                words = [split_words(t) for t in bytes_list(batch.column(kept))]
+            for batch in sliced(whole, at):
+                words = [split_words(t) for t in bytes_list(batch.column(at))]
                 hits, found = windows.scan(words)
                 items = [{str(i) for i in f} for f in found]
                 if not first:
-                    hits = [np.union1d(a, np.array(b, dtype=np.int64)) for a, b in zip(hits, batch.column("hit_words").to_pylist())]
-                    items = [a | set(b) for a, b in zip(items, batch.column("item_ids").to_pylist())]
-                cols = [batch.column(i) for i in range(kept + (not last))]
+                    hits = [np.union1d(a, np.array(b, dtype=np.int64)) for a, b in zip(hits, batch.column(batch.num_columns - 2).to_pylist())]
+                    items = [a | set(b) for a, b in zip(items, batch.column(batch.num_columns - 1).to_pylist())]
+                cols = batch.columns[:kept]
                 cols += [pa.array([len(w) for w in words], pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array([h.astype(np.int32) for h in hits], pa.list_(pa.int32())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[: kept + (not last)], "n_words", "n_hit", "hit_words", "item_ids"])
+                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:kept], "n_words", "n_hit", "hit_words", "item_ids"])
+        release()
 
     return run
 
@@ -123,25 +136,26 @@ def digest(leaks: DataFrame) -> DataFrame:
     return leaks.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "drop", text: str = "text", slice_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "drop", text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """The documents without leaks, with their own columns: mode "drop" drops a document with any hit word, "cut" removes
     each maximal run of hit words from its text (the characters between the run's words included) and keeps the rest."""
     if mode not in ("drop", "cut"):
         raise ValueError(f"mode is drop or cut, not {mode!r}")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_body"))
-    marked = find_leaks(packed, benchmark, n, text="_body", keep=("_row",), slice_bytes=slice_bytes)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    marked = find_leaks(docs.toDF(*names), benchmark, n, text=names[at], keep=tuple(names), slice_bytes=slice_bytes)
+    back = [F.col(k).alias(c) for k, c in zip(names, docs.columns)]
     if mode == "drop":
-        return marked.filter("n_hit = 0").select("_row.*")
-    rows = marked.select("_row", F.col(f"_row.`{text}`").alias("_body"), "hit_words")
-    kind = rows.schema["_row"].dataType.simpleString()
+        return marked.filter("n_hit = 0").select(*back)
+    rows = marked.select(*names, "hit_words")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
         for b in batches:
-            cut = [None if t is None else cut_words(t, h) if len(h) else t for t, h in zip(b.column("_body").to_pylist(), b.column("hit_words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(cut, pa.string())], ["_row", "_body"])
+            cut = [None if t is None else cut_words(t, h) if len(h) else t for t, h in zip(b.column(at).to_pylist(), b.column("hit_words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(cut, pa.string()), *b.columns[at + 1 : -1]], names)
 
-    out = rows.mapInArrow(run, f"_row {kind}, _body string")
-    return out.select(*[F.col("_body").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
+    return rows.mapInArrow(run, fields).select(*back)
 
 
 def cut_words(text: str, hit: list[int]) -> str:

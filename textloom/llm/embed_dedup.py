@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, prepare, written
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -169,6 +169,7 @@ def _compare(cosine: float) -> Callable:
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", trees: int = 5, leaf: int = 384, tile: int = 2048, sample: int = 20_000, spill: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
+    prepare(rows.sparkSession)
     base = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<float>").alias("v"), F.col(f"`{label}`").cast("long").alias("label"))
     found = written(clean(base), "vectors")
     groups = found.filter("vec is not null and id is not null").groupBy("label", "digest").agg(F.min("id").alias("head"), F.count("*").alias("rows"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import prepare, sliced
 
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
@@ -98,6 +98,7 @@ class Model:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", bits: int = 16, smoothing: float = 0.5, most_langs: int = 256) -> Model:
     """Learns from every row of `rows` whose text and language are not null."""
+    prepare(rows.sparkSession)
     learn = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
     names = [r.l for r in learn.select("l").distinct().limit(most_langs + 1).collect()]
     if len(names) > most_langs:
@@ -114,6 +115,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", bits: int = 16,
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, lang_pred, score."""
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_tables, bytes_list, column_bytes, connected_components, from_planes, planes, release, sliced, small_batches, written
+from .common import block_tables, bytes_list, column_bytes, connected_components, from_planes, planes, prepare, release, sliced, written
 
 #: A-Z to a-z and the other ASCII spaces to a plain one.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
@@ -278,6 +278,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
                         if _links(len(x), len(y), int((y[at] == x).sum()), num, den):
                             good.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        release()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -288,7 +289,7 @@ def _links(a: int, b: int, both: int, num: int, den: int) -> bool:
 
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
     found = written(sketches(base, k, num, den, max(32, 2 * base.rdd.getNumPartitions())), "sketches")
     across = found.filter("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet, "tile bigint, a bigint, b bigint")

@@ -11,6 +11,8 @@ of whichever documents meet in one shard, so no match is lost, and none crosses
    repeat it byte for byte. A gram with different chunks is a border between what repeats and what does not.
 3. Blocks give the bytes of border chunks, which are suffix-sorted in shards of about `shard_bytes`, in files on the
    task's own disk while it runs. Windows whose common prefix covers `width` bytes are equal; the earliest stays.
+   Border chunks of a gram that has more than `hot` of them are judged a window at a time instead, by 128-bit hashes of
+   the windows, as one shard would have to hold them all.
 4. Blocks meet their verdicts and remove bytes.
 
 Defined cases: a null text is empty and keeps its hash of nothing; texts under `width` bytes lose nothing; of rows that
@@ -32,8 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import chunks
-from .common import block_bodies, block_tables, body_table, column_bytes, from_planes, planes, release, replayable, written
+from .anchors import chunks, content_hashes, gram_hashes
+from .common import block_bodies, block_tables, body_table, column_bytes, from_planes, planes, prepare, release, replayable, written
 from .induced_sort import sort_file
 
 _LATE = np.iinfo(np.int64).max
@@ -198,6 +200,37 @@ def _sort_shard(width: int, budget: int) -> Callable:
     return run
 
 
+def _windows(width: int) -> Callable:
+    """Two hashes, id, block and place of each window of border chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                b = whole.slice(start, 4096)
+                pieces = b.column(b.schema.get_field_index("piece")).to_pylist()
+                sizes = np.array([len(p) for p in pieces])
+                count = sizes - width + 1
+                row = np.repeat(np.arange(len(pieces)), count)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = (np.cumsum(sizes) - sizes)[row] + offset
+                h = gram_hashes(np.frombuffer(b"".join(pieces), np.uint8))
+                keys = [content_hashes(h, at, np.full(len(at), width), seed).view(np.int64) for seed in (1, 2)]
+                block, ident, first = (b.column(b.schema.get_field_index(c)).to_numpy()[row] for c in ("block", "id", "first"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, ident, block, first + offset)], ["k1", "k2", "id", "block", "first"])
+
+    return run
+
+
+def _judge_hot(border: DataFrame, width: int) -> DataFrame:
+    """block, first, count of windows that are not the earliest of their bytes, a window at a time: for chunks of grams that
+    very many documents have in as many surroundings. No key gathers more than what repeats; sums combine before the
+    shuffle, and the join back is one that Spark can split."""
+    windows = written(border.mapInArrow(_windows(width), "k1 bigint, k2 bigint, id bigint, block bigint, first bigint"), "windows")
+    earliest = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "block", "first")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "e")
+    later = windows.join(earliest, ["k1", "k2"]).filter(F.struct("id", "block", "first") != F.col("e"))
+    return later.select("block", "first", F.lit(1).cast("long").alias("count"))
+
+
 def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
     def run(bodies: pa.Table, told: pa.Table) -> pa.Table:
         release()
@@ -217,6 +250,7 @@ def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
         sizes = np.diff(cut.begins)
         opened = gone & ~np.concatenate(([False], gone[:-1]))
         removed, spans, digests, left = [], [], [], []
+        null = table.column(kept).is_null().to_pylist() if full else []
         for i, (a, b) in enumerate(zip(cut.begins[:-1].tolist(), cut.begins[1:].tolist())):
             mask = gone[a:b]
             n = int(np.count_nonzero(mask))
@@ -225,15 +259,17 @@ def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
             spans.append(int(np.count_nonzero(opened[a:b])) + (a > 0 and n > 0 and bool(mask[0]) and bool(gone[a - 1])) if n else 0)
             digests.append(hashlib.sha256(rest).hexdigest())
             if full:
-                left.append(rest)
-        out = [pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())] + ([pa.array(left, pa.binary())] if full else [])
+                left.append(None if null[i] else rest.decode("utf-8", "ignore"))
+        out = [pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())] + ([pa.array(left, pa.string())] if full else [])
         return pa.table([*table.columns[1:kept], *out], [*table.column_names[1:kept], *("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")[: len(out)]])
 
     return run
 
 
-def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, shard_bytes: int = 4 << 20, full: bool = False) -> DataFrame:
-    """`keep` columns, n_bytes, n_removed, n_spans, kept_sha256; with `full`, kept (the bytes that are left)."""
+def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, shard_bytes: int = 4 << 20, hot: int = 1024, full: bool = False) -> DataFrame:
+    """`keep` columns, n_bytes, n_removed, n_spans, kept_sha256; with `full`, kept (the text that is left, without
+    characters that are cut through; null for null)."""
+    prepare(docs.sparkSession)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_order"), *keep, F.col(f"`{text}`").alias("_text"))
     if not replayable(base):
         base = written(base, "repeats")
@@ -244,10 +280,18 @@ def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id:
     verdicts = written(rows.groupBy("bucket").applyInArrow(_judge, "bucket int, block bigint, verdict binary"), "verdicts")
     bodies = block_bodies(base, kept, block_bytes)
     border = written(bodies.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_border_bytes(kept, width, buckets), "gram bigint, block bigint, id bigint, first bigint, piece binary"), "borders")
+    often = border.groupBy("gram").count().filter(F.col("count") > hot).select("gram")
+    hot_ranges = None
+    if not often.isEmpty():
+        parts = written(border.join(often.withColumn("hot", F.lit(True)), "gram", "left"), "parts")
+        hot_ranges = _judge_hot(parts.filter("hot"), width)
+        border = parts.filter("hot is null").drop("hot")
     shards = max(8, 1 + int((border.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // shard_bytes))
     ranges = border.repartition(shards, "gram").mapInArrow(_sort_shard(width, 16 * shard_bytes), "block bigint, first bigint, count bigint")
+    if hot_ranges is not None:
+        ranges = ranges.union(hot_ranges)
     told = verdicts.select("block", "bucket", "verdict", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("count")).unionByName(written(ranges, "ranges"), allowMissingColumns=True)
-    more = ", kept binary" if full else ""
+    more = ", kept string" if full else ""
     return bodies.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(kept, width, buckets, full), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
 
 
@@ -258,18 +302,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents, with their own columns, without repeated bytes; a character that is cut through goes whole."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_body"))
-    found = find_repeats(packed, width, "_body", "_id", ("_row",), full=True).select("_row", "n_removed", "kept")
-    kind = found.schema["_row"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("n_removed"), pa.array(texts, pa.string())], ["_row", "n_removed", "_left"])
-
-    out = found.mapInArrow(run, f"_row {kind}, n_removed bigint, _left string")
-    left = F.when(F.col("n_removed") > 0, F.col("_left")).otherwise(F.col(f"_row.`{text}`"))
-    return out.select(*[left.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    others = tuple(n for i, n in enumerate(names) if i != at)
+    found = find_repeats(docs.toDF(*names), width, names[at], names[docs.columns.index(doc_id)], others, full=True)
+    return found.select(*[F.col("kept" if i == at else n).alias(c) for i, (n, c) in enumerate(zip(names, docs.columns))])
 
 
 def brute_force(docs: list[tuple[int, str | None]], width: int = 100) -> dict[int, tuple[int, int, int, str]]:

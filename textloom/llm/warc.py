@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, new_path, written
+from .common import bytes_list, new_path, prepare, written
 
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
@@ -81,6 +81,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, archive_bytes: int = 1 << 30) -> DataFrame:
     """Writes the archives now; the manifest: path, size, records."""
     spark = pages.sparkSession
+    prepare(spark)
     where, date = new_path(spark, "warc"), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(page_id).cast("long").alias("i"), F.col(url).alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h")).withColumn("d", F.sha1("h"))
     again = rows.filter(F.octet_length("h") >= revisit_from).groupBy("d").agg(F.max("i").alias("last"), F.count("*").alias("n")).filter("n > 1").select("d", "last")
