@@ -281,6 +281,9 @@ def test_jaccard_by_brute_force(spark, seed, k, num, den):
     docs = list(zip(rng.sample(range(10_000), len(docs)), docs)) + [(20_000, None), (20_001, ""), (20_002, " \n")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(frame(spark, docs).repartition(3).withColumn("tile", F.lit("clash")), k, num, den, block=8).collect()}
     assert got == near(docs, k, num, den)
+    if seed in (0, 3):  # by likeliest pairs first
+        again = ngram_join.join_components(frame(spark, docs), k, num, den, block=8, few=0)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in again.collect()} == got
 
 
 def test_jaccard_of_odd_rows(spark):

@@ -16,9 +16,10 @@ A document's set is that of its distinct shingles of k words, each as a 64-bit h
    compared once, first by hashed bitmaps of their sets: a bit set in one and not in the other is at least one shingle of
    the one that the other lacks, so the counts of such bits bound the overlap from above. Pairs that the bound leaves
    are compared by exact intersection of their sorted arrays.
-5. Linked classes form components. Where a tile's classes lie in more than one, each class is compared with the likeliest
-   one of another component, by bitmaps, round after round while that links any; at last, all pairs across components
-   that the bitmaps leave are compared, in blocks of `block` classes. Most tiles have one component by then.
+5. Linked classes form components. Where a tile's classes lie in more than one, all pairs across components that the
+   bitmaps leave are compared, in blocks of `block` classes; most tiles have one component by then. While such tiles are
+   large (more than `few` classes on average), each class is first compared with the likeliest one of another component
+   only, round after round as long as that links any, so that few pairs are left.
 
 A block of documents links the members of a tile that it has itself, and sends the smallest one only, so a tile that many
 documents share is one row a block where blocks meet. Pairs are joined with texts, and sets made from those, as texts are smaller.
@@ -287,7 +288,7 @@ def _links(a: int, b: int, both: int, num: int, den: int) -> bool:
     return den * both >= num * (a + b - both)
 
 
-def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 512) -> DataFrame:
+def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 512, few: int = 200) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
     prepare(docs.sparkSession)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
@@ -297,26 +298,28 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     pairs = written(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
     found = found.filter("n is not null").select("id", "n", "s", "first")
     edges = written(verify(pairs, base, k, num, den), "links")
-    roots = connected_components(edges)
-    members, bits, every = shared.select("tile", "b").distinct(), None, False
+    roots, every = connected_components(edges), False
+    members, bits = shared.select("tile", "b").distinct(), None
     while True:
         # tiles that still hold classes of more than one component
         placed = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("tile", "b", F.coalesce("root", "b").alias("root"))
         still = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("tile", "m")
         rest = written(placed.join(still, "tile"), "open")
-        if rest.isEmpty():
+        rows, sure = rest.agg(F.count("*"), F.sum("m")).first()
+        if not rows:
             break
+        every = every or sure <= few * rows  # an open tile's size, on average over its rows
         if bits is None:
             bits = written(_bitmaps(only(base, rest.select(F.col("b").alias("id"))), k), "bitmaps")
         more = written(_across(rest.join(bits, "b"), num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = written(verify(more, base, k, num, den), "links")
-        if not new.isEmpty():
-            edges, pairs = written(edges.union(new), "links"), written(pairs.union(more), "pairs")
+        linked = not new.isEmpty()
+        if linked:
+            edges = written(edges.union(new), "links")
             roots = connected_components(edges)
-        elif every:
+        if every:  # all pairs across components have been compared
             break
-        else:
-            every, pairs = True, written(pairs.union(more), "pairs")
+        every, pairs = not linked, written(pairs.union(more), "pairs")
     classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("first"), F.col("id"))).alias("node"))
     classes = classes.join(roots, "node", "left").select("s", "n", "lo", F.coalesce("root", "node").alias("root"))
     labels = classes.groupBy("root").agg(F.min("lo").alias("component_id"))
