@@ -311,7 +311,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         every = every or sure <= few * rows  # an open tile's size, on average over its rows
         if bits is None:
             bits = written(_bitmaps(only(base, rest.select(F.col("b").alias("id"))), k), "bitmaps")
-        more = written(_across(rest.join(bits, "b"), num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = written(_across(rest.join(F.broadcast(bits) if bits.count() <= 200_000 else bits, "b"), num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = written(verify(more, base, k, num, den), "links")
         linked = not new.isEmpty()
         if linked:
