@@ -11,7 +11,7 @@ of whichever documents meet in one shard, so no match is lost, and none crosses
    repeat it byte for byte. A gram with different chunks is a border between what repeats and what does not.
 3. Blocks give the bytes of border chunks, which are suffix-sorted in shards of about `shard_bytes`, in files on the
    task's own disk while it runs. Windows whose common prefix covers `width` bytes are equal; the earliest stays.
-   Border chunks of a gram that has more than `hot` of them are judged a window at a time instead, by 128-bit hashes of
+   Border chunks of a gram that has more than `hot` of them (by default, what fills half a shard) are judged a window at a time instead, by 128-bit hashes of
    the windows, as one shard would have to hold them all.
 4. Blocks meet their verdicts and remove bytes.
 
@@ -266,7 +266,7 @@ def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
     return run
 
 
-def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, shard_bytes: int = 4 << 20, hot: int = 1024, full: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, shard_bytes: int = 4 << 20, hot: int | None = None, full: bool = False) -> DataFrame:
     """`keep` columns, n_bytes, n_removed, n_spans, kept_sha256; with `full`, kept (the text that is left, without
     characters that are cut through; null for null)."""
     prepare(docs.sparkSession)
@@ -280,6 +280,7 @@ def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id:
     verdicts = written(rows.groupBy("bucket").applyInArrow(_judge, "bucket int, block bigint, verdict binary"), "verdicts")
     bodies = block_bodies(base, kept, block_bytes)
     border = written(bodies.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_border_bytes(kept, width, buckets), "gram bigint, block bigint, id bigint, first bigint, piece binary"), "borders")
+    hot = shard_bytes // (2 * width) if hot is None else hot  # chunks that alone fill much of a shard
     often = border.groupBy("gram").count().filter(F.col("count") > hot).select("gram")
     hot_ranges = None
     if not often.isEmpty():
