@@ -147,6 +147,13 @@ def test_quality_of_odd_rows(spark):
     assert np.allclose(whole, np.vstack([quality.features([(t or "").encode()]) for _, t in ODD]))
 
 
+def test_quality_counts_every_word():
+    line = " ".join(f"w{i}" for i in range(25))
+    flooded = " ".join("flood" if i % 25 else f"w{i}" for i in range(5000))  # every 25th word is another
+    got = quality.features([" ".join([line] * 200).encode(), flooded.encode(), b""])[:, quality.FEATURES.index("most frequent word")]
+    assert np.allclose(got, [0.04, 0.96, 0])
+
+
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer
 
