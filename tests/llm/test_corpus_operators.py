@@ -250,6 +250,22 @@ def test_the_tree_is_a_distribution(spark):
     assert len(small.logs) < len(tree.logs) and small.token_logs([b"abc"]).shape == (2,)
 
 
+def test_every_node_is_kept_and_scored_in_slices(spark):
+    import inspect
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(60)) for _ in range(40)]
+    train = frame(spark, [(t,) for t in texts], "t string")
+    tree, forest = lm_scoring.grow(train, least=4, gain=1.0), lm_scoring.grow_slices(train, slice_nodes=30, least=4, gain=1.0)
+    assert inspect.signature(lm_scoring.grow).parameters["most_nodes"].default is None
+    parts = [x.value for x in forest.slices]
+    assert len(parts) > 3 and {(d, c) for t in parts for d, c in zip(t.depths.tolist(), t.codes.tolist())} == set(zip(tree.depths.tolist(), tree.codes.tolist()))
+    assert np.allclose(forest.token_logs([t.encode() for t in texts] + [b"", "é".encode()]), tree.token_logs([t.encode() for t in texts] + [b"", "é".encode()]))
+    docs = frame(spark, list(enumerate(texts)))
+    one, many = ({r.doc_id: r.score for r in lm_scoring.score(docs, slice_nodes=n).collect()} for n in (1 << 17, 1))
+    assert one == pytest.approx(many) and len(one) == len(texts)
+
+
 # the Jaccard join
 
 

@@ -10,8 +10,8 @@ Growing the tree. Every training text is counted: tasks count runs of `DEPTH` sy
 two steps by the last two symbols of the context, in GROUPS groups, so whole subtrees below depth 2 meet; the counts of
 pairs of symbols, a table of fixed size, give the two levels above them. A context is a node if it occurs `least` times and
 its next-symbol counts diverge from its parent's distribution: n times the Kullback-Leibler divergence is `gain` nats or
-more; ancestors of nodes are nodes. If those are more than `most_nodes`, the bar is raised until they are not: the size of
-the model that is broadcast is bounded whatever the corpus, while what it is made of is all of it.
+more; ancestors of nodes are nodes. Every context that passes is kept, however many these are: the tree is broadcast in
+slices of about `slice_nodes` nodes by group, and texts are scored against one slice after the other.
 A node's distribution is its counts smoothed towards its parent's. A text is scored by the longest suffix of what
 precedes each symbol that is a node.
 
@@ -149,39 +149,43 @@ def count_grams(train: DataFrame, alphabet: Alphabet, fan_in: int = 32) -> DataF
     return train.mapInArrow(run, "group int, part int, grams binary").groupBy("group", "part").applyInArrow(merge, "group int, grams binary")
 
 
-def _smoothed(table: np.ndarray, parent: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distributions of rows of counts, smoothed towards their parents', and n times the divergence from those."""
-    n = table.sum(axis=1)
-    own = table / np.maximum(n, 1)[:, None]
-    divergence = n * np.where(own > 0, own * np.log(np.where(own > 0, own, 1) / parent), 0).sum(axis=1)
-    return (table + beta * parent) / (n + beta)[:, None], divergence
-
-
-def subtree(codes: np.ndarray, counts: np.ndarray, first: np.ndarray, least: float, gain: float, beta: float) -> list[tuple[int, int, float, np.ndarray]]:
-    """(depth, context code, bar, next-symbol distribution) of the nodes of depth 2 and more whose counts are given; the bar
-    is the largest divergence among a node and its descendants. first: the distribution of each symbol of depth 1."""
-    levels = []
+def subtree(codes: np.ndarray, counts: np.ndarray, first: np.ndarray, least: float, gain: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Depths, context codes, bars and next-symbol distributions of the nodes of depth 2 and more whose counts are given; the
+    bar is the largest divergence among a node and its descendants. first: the distribution of each symbol of depth 1."""
+    levels = []  # of each depth: contexts, their counts and parents, and the cells (context and next symbol) that occur
+    bars, above_ids = [], np.arange(KINDS)
     for d in range(2, DEPTH + 1):
-        context = codes >> BITS & ((1 << BITS * d) - 1)
-        ids, at = np.unique(context, return_inverse=True)
-        ok = np.flatnonzero(np.bincount(at, counts) >= least)
-        place = np.full(len(ids), -1)
-        place[ok] = np.arange(len(ok))
-        use = np.flatnonzero(place[at] >= 0)
-        cells = place[at[use]] * KINDS + (codes[use] & (KINDS - 1))
-        levels.append((ids[ok], np.bincount(cells, counts[use], len(ok) * KINDS).reshape(len(ok), KINDS)))
-    probs, bars, ups = [], [], []
-    above_ids, above = np.arange(KINDS), first
-    for d, (ids, table) in enumerate(levels, 2):
+        cells, at = np.unique(codes & ((1 << BITS * (d + 1)) - 1), return_inverse=True)
+        times = np.bincount(at, counts, len(cells))
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), np.diff(cells >> BITS) != 0)))
+        n, size = np.add.reduceat(times, heads) if len(heads) else np.zeros(0), np.diff(np.append(heads, len(cells)))
+        use = np.repeat(n >= least, size)
+        ids, size, n, cells, times = (cells[heads] >> BITS)[n >= least], size[n >= least], n[n >= least], cells[use], times[use]
+        row = np.repeat(np.arange(len(ids)), size)
         up = np.searchsorted(above_ids, ids & ((1 << BITS * (d - 1)) - 1))
-        made, divergence = _smoothed(table, above[up], beta)
-        probs.append(made)
-        bars.append(divergence)
-        ups.append(up)
-        above_ids, above = ids, made
+        if d == 2:
+            parent = first[up[row], cells & (KINDS - 1)]
+        else:  # what follows a context follows its suffixes, so the cell is there
+            parent = above_p[np.searchsorted(above_cells, cells & ((1 << BITS * d) - 1))]
+        above_p, above_cells, above_ids = (times + beta * parent) / (n[row] + beta), cells, ids
+        bars.append(np.bincount(row, times * np.log(times / n[row] / parent), len(ids)).astype(float))
+        levels.append((ids, n, up, row, cells & (KINDS - 1), times))
     for k in range(len(levels) - 1, 0, -1):
-        np.maximum.at(bars[k - 1], ups[k], bars[k])
-    return [(d, int(ids[i]), float(bar[i]), p[i]) for d, (ids, bar, p) in enumerate(zip([x for x, _ in levels], bars, probs), 2) for i in np.flatnonzero(bar >= gain)]
+        np.maximum.at(bars[k - 1], levels[k][2], bars[k])
+    depths, kept, probs, above, place = [], [], [], first, np.arange(KINDS)
+    for d, ((ids, n, up, row, symbol, times), bar) in enumerate(zip(levels, bars), 2):
+        on = np.flatnonzero(bar >= gain)  # whose parents are on, too
+        here = np.full(len(ids), -1)
+        here[on] = np.arange(len(on))
+        made = beta * above[place[up[on]]]
+        sel = np.flatnonzero(here[row] >= 0)
+        made[here[row[sel]], symbol[sel]] += times[sel]
+        made /= (n[on] + beta)[:, None]
+        depths.append(np.full(len(on), d, np.int32))
+        kept.append(ids[on])
+        probs.append(made.astype("<f4"))
+        above, place = made, here
+    return np.concatenate(depths), np.concatenate(kept), np.concatenate([b[b >= gain] for b in bars]), np.vstack(probs)
 
 
 class Tree:
@@ -229,53 +233,110 @@ class Tree:
             state[live] = deeper[found]
         return state
 
+    def symbol_logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.logs.ravel()[self.states(context).astype(np.int64) * KINDS + symbol].astype(np.float64)
+
     def token_logs(self, texts: list[bytes]) -> np.ndarray:
         """The log10 probability of each token, in order: the words of a text, then its end."""
-        context, symbol, _, _, raw = self.alphabet.sequence(texts)
-        logs = self.logs.ravel()[self.states(context).astype(np.int64) * KINDS + symbol].astype(np.float64)
-        escaped = np.flatnonzero(symbol == ESCAPE)
-        logs[escaped] += self.alphabet.extra[raw[escaped]]
-        ends = np.flatnonzero(raw == 32)
-        return np.add.reduceat(logs, np.concatenate(([0], ends[:-1] + 1)))
-
-
-def grow(train: DataFrame, least: int = 16, gain: float = 20.0, beta: float = 4.0, most_nodes: int = 120_000) -> Tree:
-    """The tree of all rows (t)."""
-    alphabet = Alphabet(count_bytes(train))
-    grams = written(count_grams(train, alphabet), "grams")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(KINDS * KINDS, np.int64)
-        for b in batches:
-            for raw in b.column("grams").to_pylist():
-                codes, counts = _unpacked(raw)
-                np.add.at(total, codes & (KINDS * KINDS - 1), counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS * KINDS, dtype=np.int32)), pa.array(total)], ["pair", "n"])
-
-    table = np.zeros(KINDS * KINDS)
-    for r in grams.mapInArrow(pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        table[r["pair"]] = r["n"]
-    table = table.reshape(KINDS, KINDS)
-    root = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * KINDS)
-    first, _ = _smoothed(table, np.broadcast_to(root, table.shape), beta)
-
-    def nodes(table: pa.Table) -> pa.Table:
-        codes, counts = _merge([_unpacked(g) for g in table.column("grams").to_pylist()])
-        found = subtree(codes, counts, first, least, gain, beta)
-        return pa.table([pa.array([n[0] for n in found], pa.int32()), pa.array([n[1] for n in found], pa.int64()), pa.array([n[2] for n in found], pa.float64()), pa.array([n[3].astype("<f4").tobytes() for n in found], pa.binary())], ["depth", "code", "bar", "p"])
+        return _token_logs(self.alphabet, texts, self.symbol_logs)
+
+
+def _token_logs(alphabet: Alphabet, texts: list[bytes], symbol_logs: Callable) -> np.ndarray:
+    context, symbol, _, _, raw = alphabet.sequence(texts)
+    logs = symbol_logs(context, symbol)
+    escaped = np.flatnonzero(symbol == ESCAPE)
+    logs[escaped] += alphabet.extra[raw[escaped]]
+    ends = np.flatnonzero(raw == 32)
+    return np.add.reduceat(logs, np.concatenate(([0], ends[:-1] + 1)))
+
 
-    tree = written(grams.groupBy("group").applyInArrow(nodes, "depth int, code bigint, bar double, p binary"), "nodes")
-    bins, bar = tree.groupBy(F.floor(F.log("bar") * 16).alias("k")).count().collect(), gain
+class Forest:
+    """A tree in slices by group, each a broadcast of its own: all nodes that a context may need are in one slice."""
+
+    def __init__(self, alphabet: Alphabet, slices: list, of_group: np.ndarray):
+        self.alphabet, self.slices, self.of_group = alphabet, slices, of_group
+        self.most = 1 << 19 if len(slices) == 1 else 1 << 21  # bytes to score at once; slices are read once for these
+
+    def symbol_logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if len(self.slices) == 1:
+            return self.slices[0].value.symbol_logs(context, symbol)
+        logs, part = np.empty(len(context)), self.of_group[_group(context << BITS)]
+        for k, sent in enumerate(self.slices):
+            at = np.flatnonzero(part == k)
+            if len(at):
+                logs[at] = sent.value.symbol_logs(context[at], symbol[at])
+                sent.__dict__.pop("_value", None)  # one slice in memory at a time
+        return logs
+
+    def token_logs(self, texts: list[bytes]) -> np.ndarray:
+        return _token_logs(self.alphabet, texts, self.symbol_logs)
+
+
+class Grown:
+    """The nodes of the tree of all rows (t): those of depth 1 here, the others in a table."""
+
+    def __init__(self, train: DataFrame, least: int = 16, gain: float = 20.0, beta: float = 4.0):
+        self.alphabet = Alphabet(count_bytes(train))
+        grams = written(count_grams(train, self.alphabet), "grams")
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(KINDS * KINDS, np.int64)
+            for b in batches:
+                for raw in b.column("grams").to_pylist():
+                    codes, counts = _unpacked(raw)
+                    np.add.at(total, codes & (KINDS * KINDS - 1), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS * KINDS, dtype=np.int32)), pa.array(total)], ["pair", "n"])
+
+        table = np.zeros(KINDS * KINDS)
+        for r in grams.mapInArrow(pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            table[r["pair"]] = r["n"]
+        table = table.reshape(KINDS, KINDS)
+        self.root = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * KINDS)
+        first = (table + beta * self.root) / (table.sum(axis=1) + beta)[:, None]
+
+        def nodes(table: pa.Table) -> pa.Table:
+            codes, counts = _merge([_unpacked(g) for g in table.column("grams").to_pylist()])
+            depths, ids, bars, probs = subtree(codes, counts, first, least, gain, beta)
+            group = pa.array(np.full(len(ids), table.column("group")[0].as_py(), np.int32))
+            return pa.table([group, pa.array(depths), pa.array(ids), pa.array(bars), pa.array([p.tobytes() for p in probs], pa.binary())], ["group", "depth", "code", "bar", "p"])
+
+        self.table = written(grams.groupBy("group").applyInArrow(nodes, "group int, depth int, code bigint, bar double, p binary"), "nodes")
+        self.seen = np.flatnonzero(table.sum(axis=1) >= least)  # of depth 1, which are few, all that occur often enough
+        self.first = first[self.seen]
+
+    def tree(self, nodes: DataFrame) -> Tree:
+        """Of these rows of the table."""
+        got = nodes.select("depth", "code", "p").toArrow()
+        probs = np.frombuffer(b"".join(got.column("p").to_pylist()), "<f4").reshape(-1, KINDS)
+        return Tree(self.alphabet, self.root, np.concatenate((np.ones(len(self.seen), np.int32), got.column("depth").to_numpy())), np.concatenate((self.seen, got.column("code").to_numpy())), np.vstack((self.first.astype(np.float32), probs)))
+
+
+def grow(train: DataFrame, least: int = 16, gain: float = 20.0, beta: float = 4.0, most_nodes: int | None = None) -> Tree:
+    """The tree of all rows (t) in one piece, for corpora whose tree fits the driver; `most_nodes`, which `score` does not
+    use, keeps those of the highest bars."""
+    grown, bar = Grown(train, least, gain, beta), gain
+    if most_nodes is None:
+        return grown.tree(grown.table)
     total = 0
-    for r in sorted(bins, key=lambda r: -r["k"]):  # the highest bars first, as many as fit
+    for r in sorted(grown.table.groupBy(F.floor(F.log("bar") * 16).alias("k")).count().collect(), key=lambda r: -r["k"]):  # the highest bars first, as many as fit
         total += r["count"]
         if total > most_nodes:
             break
         bar = float(np.exp(r["k"] / 16))
-    got = tree.filter(F.floor(F.log("bar") * 16) >= int(np.floor(np.log(bar) * 16 + 1e-6))).toArrow()
-    probs = np.frombuffer(b"".join(got.column("p").to_pylist()), "<f4").reshape(-1, KINDS).astype(np.float64)
-    seen = np.flatnonzero(table.sum(axis=1) >= least)  # of depth 1, which are few, all that occur often enough
-    return Tree(alphabet, root, np.concatenate((np.ones(len(seen), np.int32), got.column("depth").to_numpy())), np.concatenate((seen, got.column("code").to_numpy())), np.vstack((first[seen], probs)))
+    return grown.tree(grown.table.filter(F.floor(F.log("bar") * 16) >= int(np.floor(np.log(bar) * 16 + 1e-6))))
+
+
+def grow_slices(train: DataFrame, slice_nodes: int = 1 << 17, **settings) -> Forest:
+    """The tree of all rows (t), every node of it; a slice has at most slice_nodes nodes or one group."""
+    grown, of_group, have, slices = Grown(train, **settings), np.zeros(GROUPS, np.int64), 0, 1
+    for r in sorted(grown.table.groupBy("group").count().collect(), key=lambda r: r["group"]):
+        if have and have + r["count"] > slice_nodes:
+            slices, have = slices + 1, 0
+        of_group[r["group"] :] = slices - 1
+        have += r["count"]
+    edges = np.searchsorted(of_group, np.arange(slices + 1)).tolist()
+    send = train.sparkSession.sparkContext.broadcast
+    return Forest(grown.alphabet, [send(grown.tree(grown.table.filter(F.col("group").between(a, b - 1)))) for a, b in zip(edges, edges[1:])], of_group)
 
 
 class Words:
@@ -314,7 +375,7 @@ def _sum_words(table: pa.Table) -> pa.Table:
     return pa.table([table.column("bucket"), table.column("block"), pa.array(out, pa.binary()), pa.array([int(counts.sum()) if f else 0 for f in first]), pa.array([int((counts > 0).sum()) if f else 0 for f in first])], ["bucket", "block", "counts", "n", "v"])
 
 
-def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, share: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, share: float = 0.5, slice_nodes: int = 1 << 17) -> DataFrame:
     """`keep` columns, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows that are not held out."""
     prepare(docs.sparkSession)
     out = held_out(10, 0) if is_held_out is None else is_held_out
@@ -323,7 +384,7 @@ def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str
         base = written(base, "scoring")
     kept = len(keep) + 1
     train = base.filter("not held_out").select(F.col("_text").alias("t"))
-    tree = docs.sparkSession.sparkContext.broadcast(grow(train))
+    forest = grow_slices(train, slice_nodes)
     buckets = max(32, 2 * base.rdd.getNumPartitions())
     sums = written(base.mapInArrow(_word_rows(kept, block_bytes, buckets), "bucket int, block bigint, words binary").groupBy("bucket").applyInArrow(_sum_words, "bucket int, block bigint, counts binary, n bigint, v bigint"), "words")
     n, v = sums.agg(F.sum("n"), F.sum("v")).first()
@@ -356,10 +417,10 @@ def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str
         tree_logs, start = [], 0
         while start < len(texts_here):
             end, size = start, 0
-            while end < len(texts_here) and (end == start or size + len(texts_here[end]) <= 1 << 19):
+            while end < len(texts_here) and (end == start or size + len(texts_here[end]) <= forest.most):
                 size += len(texts_here[end])
                 end += 1
-            tree_logs.append(tree.value.token_logs(texts_here[start:end]))
+            tree_logs.append(forest.token_logs(texts_here[start:end]))
             start = end
         logs = np.concatenate(tree_logs)
         if n:
