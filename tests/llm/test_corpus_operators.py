@@ -266,6 +266,19 @@ def test_every_node_is_kept_and_scored_in_slices(spark):
     assert one == pytest.approx(many) and len(one) == len(texts)
 
 
+def test_all_bytes_are_symbols_and_depth_follows_the_data(spark):
+    letters = [chr(c) for a, n in ((0x61, 26), (0x430, 32), (0x3B1, 24), (0x627, 20), (0x4E00, 60)) for c in range(a, a + n)]
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(30)) for _ in range(40)]
+    texts += [f"{a}{m}{a}" for m in ("mmmmm", "nnnnn") for a in "xy" for _ in range(60)]  # the last letter shows six before only
+    tree = lm_scoring.grow(frame(spark, [(t,) for t in texts], "t string"))
+    seen = set("".join(texts).encode())
+    assert len(seen) > 62 and len({int(tree.alphabet.symbol[b]) for b in seen} - {lm_scoring.END, lm_scoring.ESCAPE}) == len(seen)
+    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4) and tree.depths.max() == 6
+    right, wrong = (tree.token_logs([t])[0] for t in (b"xmmmmmx", b"xmmmmmy"))
+    assert right > wrong + 1
+
+
 # the Jaccard join
 
 

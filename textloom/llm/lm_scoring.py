@@ -2,16 +2,19 @@
 
 Tokens are words between ASCII white space, after A-Z are lower-cased, then one end. The tree predicts a text symbol by
 symbol: its words' bytes, a space after each word, then the end, so a sequence of tokens has exactly one sequence of
-symbols and the probabilities of all texts sum to one. The 62 most frequent bytes are symbols of their own; any other
-byte is an escape, then the byte by its share among escaped ones. A token's probability is `share` times its unigram one
+symbols and the probabilities of all texts sum to one. Every byte of the training texts is a symbol of its own; one that
+they lack is an escape, then any of those with equal shares. A token's probability is `share` times its unigram one
 plus 1 - share times the tree's.
 
-Growing the tree. Every training text is counted: tasks count runs of `DEPTH` symbols and the next one, and counts merge in
+Growing the tree. Every training text is counted: tasks count runs of `COUNTED` symbols and the next one, and counts merge in
 two steps by the last two symbols of the context, in GROUPS groups, so whole subtrees below depth 2 meet; the counts of
 pairs of symbols, a table of fixed size, give the two levels above them. A context is a node if it occurs `least` times and
 its next-symbol counts diverge from its parent's distribution: n times the Kullback-Leibler divergence is `gain` nats or
 more; ancestors of nodes are nodes. Every context that passes is kept, however many these are: the tree is broadcast in
 slices of about `slice_nodes` nodes by group, and texts are scored against one slice after the other.
+Then, while the last depth has nodes, the contexts one symbol longer than these are counted by another pass and tested in the
+same way. What bounds the depth is a code of 63 bits for a context and the next symbol: 9 symbols of context where the
+training texts have up to 62 kinds of bytes, 8 up to 126, 6 beyond.
 A node's distribution is its counts smoothed towards its parent's. A text is scored by the longest suffix of what
 precedes each symbol that is a node.
 
@@ -37,7 +40,7 @@ from .common import block_bodies, block_tables, body_table, bytes_list, column_b
 from .langid import held_out
 from .ngram_join import word_hashes
 
-DEPTH, BITS, KINDS = 5, 6, 64
+DEPTH, COUNTED = 9, 5
 END, ESCAPE = 0, 1
 GROUPS = 128
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256)], np.uint8)
@@ -56,29 +59,33 @@ def normal_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Alphabet:
     def __init__(self, counts: np.ndarray):
         """counts: of each byte in the normalised training texts."""
-        own = np.argsort(-counts, kind="stable")[: KINDS - 2]
+        own = np.argsort(-counts, kind="stable")
         own = own[counts[own] > 0]
+        self.kinds = len(own) + 2  # 227 at most: 31 bytes are folded into others
+        self.bits = max(6, (self.kinds - 1).bit_length())
+        self.depth = min(DEPTH, 63 // self.bits - 1)
         self.symbol = np.full(256, ESCAPE, np.uint8)
         self.symbol[own] = np.arange(len(own)) + 2
         rest = np.where(self.symbol == ESCAPE, counts + 0.5, 0.0)
         self.extra = np.where(self.symbol == ESCAPE, np.log10(np.where(rest > 0, rest, 1) / max(rest.sum(), 1e-9)), 0.0)
 
-    def sequence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts (codes of the DEPTH symbols before) and symbols of all scored places, each text's first one and
+    def sequence(self, texts: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts (codes of the `depth` symbols before, of all that a code holds by default) and symbols of all scored places, each text's first one and
         number of places, and the bytes at the places (space for the end)."""
         flat, sizes = normal_bytes(texts)
-        # DEPTH ends before each text and one after it; the one after it and those before the next are apart
-        begin = np.concatenate(([0], np.cumsum(sizes + DEPTH + 1)[:-1])) + DEPTH
-        total = int((sizes + DEPTH + 1).sum())
+        depth = depth or self.depth
+        # depth ends before each text and one after it; the one after it and those before the next are apart
+        begin = np.concatenate(([0], np.cumsum(sizes + depth + 1)[:-1])) + depth
+        total = int((sizes + depth + 1).sum())
         out, raw = np.zeros(total, np.uint8), np.full(total, 32, np.uint8)
         at = np.arange(len(flat)) + np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
         out[at], raw[at] = self.symbol[flat], flat
         scored = np.ones(total, bool)
-        scored[(begin[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
+        scored[(begin[:, None] - 1 - np.arange(depth)).ravel()] = False
         places = np.flatnonzero(scored)
         context = np.zeros(total, np.int64)
-        for d in range(DEPTH, 0, -1):
-            context[DEPTH:] = context[DEPTH:] << BITS | out[DEPTH - d : total - d]
+        for d in range(depth, 0, -1):
+            context[depth:] = context[depth:] << self.bits | out[depth - d : total - d]
         count = sizes + 1
         return context[places], out[places], np.concatenate(([0], np.cumsum(count)[:-1])), count, raw[places]
 
@@ -116,27 +123,41 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
-def _group(codes: np.ndarray) -> np.ndarray:
-    return (codes >> BITS & (KINDS * KINDS - 1)) * 2654435761 % (1 << 32) * GROUPS >> 32
+def _group(contexts: np.ndarray, bits: int) -> np.ndarray:
+    return (contexts & ((1 << 2 * bits) - 1)) * 2654435761 % (1 << 32) * GROUPS >> 32
 
 
-def count_grams(train: DataFrame, alphabet: Alphabet, fan_in: int = 32) -> DataFrame:
-    """group, grams (context and next symbol, with counts; packed), a few rows for each group."""
+def count_grams(train: DataFrame, alphabet: Alphabet, depth: int = COUNTED, below: np.ndarray | None = None, fan_in: int = 32) -> DataFrame:
+    """group, grams (context and next symbol, with counts; packed), a few rows for each group. below: only contexts that
+    end with one of these, which are one symbol shorter."""
+    bits, shorter = alphabet.bits, (1 << alphabet.bits * (depth - 1)) - 1
+    sent = train.sparkSession.sparkContext.broadcast(below)
+    slot = lambda c: (c * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> 41
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         parts, part = [], TaskContext.get().partitionId()
+        if sent.value is not None:
+            likely = np.zeros(1 << 22, bool)
+            likely[slot(sent.value)] = True
         for whole in batches:
             for b in sliced(whole, 0, 4 << 20):
-                context, symbol, *_ = alphabet.sequence(bytes_list(b.column(0)))
-                code, n = np.unique(context << BITS | symbol, return_counts=True)
+                context, symbol, *_ = alphabet.sequence(bytes_list(b.column(0)), depth)
+                if sent.value is not None:
+                    at = np.flatnonzero(likely[slot(context & shorter)])
+                    context, symbol = context[at], symbol[at]
+                code, n = np.unique(context << bits | symbol, return_counts=True)
+                if sent.value is not None:
+                    end = code >> bits & shorter
+                    real = sent.value[np.minimum(np.searchsorted(sent.value, end), len(sent.value) - 1)] == end
+                    code, n = code[real], n[real]
                 parts.append((code, n.astype(np.int64)))
                 if len(parts) >= 8:
                     parts = [_merge(parts)]
         if parts:
             codes, counts = _merge(parts)
-            group = _group(codes)
+            group = _group(codes >> bits, bits)
             order = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
             found = [(k, _packed(codes[at], counts[at])) for k in range(GROUPS) if len(at := order[edges[k] : edges[k + 1]])]
@@ -149,30 +170,30 @@ def count_grams(train: DataFrame, alphabet: Alphabet, fan_in: int = 32) -> DataF
     return train.mapInArrow(run, "group int, part int, grams binary").groupBy("group", "part").applyInArrow(merge, "group int, grams binary")
 
 
-def subtree(codes: np.ndarray, counts: np.ndarray, first: np.ndarray, least: float, gain: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Depths, context codes, bars and next-symbol distributions of the nodes of depth 2 and more whose counts are given; the
+def subtree(codes: np.ndarray, counts: np.ndarray, first: np.ndarray, bits: int, least: float, gain: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Depths, context codes, bars and next-symbol distributions of the nodes of depths 2 to COUNTED whose counts are given; the
     bar is the largest divergence among a node and its descendants. first: the distribution of each symbol of depth 1."""
     levels = []  # of each depth: contexts, their counts and parents, and the cells (context and next symbol) that occur
-    bars, above_ids = [], np.arange(KINDS)
-    for d in range(2, DEPTH + 1):
-        cells, at = np.unique(codes & ((1 << BITS * (d + 1)) - 1), return_inverse=True)
+    bars, above_ids = [], np.arange(len(first))
+    for d in range(2, COUNTED + 1):
+        cells, at = np.unique(codes & ((1 << bits * (d + 1)) - 1), return_inverse=True)
         times = np.bincount(at, counts, len(cells))
-        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), np.diff(cells >> BITS) != 0)))
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), np.diff(cells >> bits) != 0)))
         n, size = np.add.reduceat(times, heads) if len(heads) else np.zeros(0), np.diff(np.append(heads, len(cells)))
         use = np.repeat(n >= least, size)
-        ids, size, n, cells, times = (cells[heads] >> BITS)[n >= least], size[n >= least], n[n >= least], cells[use], times[use]
+        ids, size, n, cells, times = (cells[heads] >> bits)[n >= least], size[n >= least], n[n >= least], cells[use], times[use]
         row = np.repeat(np.arange(len(ids)), size)
-        up = np.searchsorted(above_ids, ids & ((1 << BITS * (d - 1)) - 1))
+        up = np.searchsorted(above_ids, ids & ((1 << bits * (d - 1)) - 1))
         if d == 2:
-            parent = first[up[row], cells & (KINDS - 1)]
+            parent = first[up[row], cells & ((1 << bits) - 1)]
         else:  # what follows a context follows its suffixes, so the cell is there
-            parent = above_p[np.searchsorted(above_cells, cells & ((1 << BITS * d) - 1))]
+            parent = above_p[np.searchsorted(above_cells, cells & ((1 << bits * d) - 1))]
         above_p, above_cells, above_ids = (times + beta * parent) / (n[row] + beta), cells, ids
         bars.append(np.bincount(row, times * np.log(times / n[row] / parent), len(ids)).astype(float))
-        levels.append((ids, n, up, row, cells & (KINDS - 1), times))
+        levels.append((ids, n, up, row, cells & ((1 << bits) - 1), times))
     for k in range(len(levels) - 1, 0, -1):
         np.maximum.at(bars[k - 1], levels[k][2], bars[k])
-    depths, kept, probs, above, place = [], [], [], first, np.arange(KINDS)
+    depths, kept, probs, above, place = [], [], [], first, np.arange(len(first))
     for d, ((ids, n, up, row, symbol, times), bar) in enumerate(zip(levels, bars), 2):
         on = np.flatnonzero(bar >= gain)  # whose parents are on, too
         here = np.full(len(ids), -1)
@@ -188,6 +209,27 @@ def subtree(codes: np.ndarray, counts: np.ndarray, first: np.ndarray, least: flo
     return np.concatenate(depths), np.concatenate(kept), np.concatenate([b[b >= gain] for b in bars]), np.vstack(probs)
 
 
+def deeper(codes: np.ndarray, counts: np.ndarray, depth: int, ids: np.ndarray, bars: np.ndarray, probs: np.ndarray, bits: int, least: float, gain: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As subtree, of `depth`, below the nodes given; a bar is no higher than the parent's, so that of any bar the nodes above
+    it are a tree."""
+    order = np.argsort(ids)
+    ids, bars, probs = ids[order], bars[order], probs[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), np.diff(codes >> bits) != 0)))
+    size = np.diff(np.append(heads, len(codes)))
+    n, context = np.add.reduceat(counts, heads) if len(heads) else np.zeros(0), codes[heads] >> bits
+    up, row = np.searchsorted(ids, context & ((1 << bits * (depth - 1)) - 1)), np.repeat(np.arange(len(heads)), size)
+    symbol = codes & ((1 << bits) - 1)
+    divergence = np.bincount(row, counts * np.log(counts / n[row] / probs[up[row], symbol]), len(heads))
+    on = np.flatnonzero((n >= least) & (divergence >= gain))
+    here = np.full(len(heads), -1)
+    here[on] = np.arange(len(on))
+    made = beta * probs[up[on]].astype(float)
+    sel = np.flatnonzero(here[row] >= 0)
+    made[here[row[sel]], symbol[sel]] += counts[sel]
+    made /= (n[on] + beta)[:, None]
+    return np.full(len(on), depth, np.int32), context[on], np.minimum(divergence[on], bars[up[on]]).astype(float), made.astype("<f4")
+
+
 class Tree:
     """Nodes are numbered by depth and code; 0 is the root."""
 
@@ -200,41 +242,45 @@ class Tree:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tables": None}
 
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The state of each context of three symbols, and for each further depth the state that a symbol before leads to."""
+    def tables(self) -> tuple[int, np.ndarray, list[np.ndarray]]:
+        """A number of symbols, the state of each context of as many, and for each further depth the state that a symbol before
+        leads to."""
         if self._tables is None:
-            dense = np.zeros(KINDS**3, np.int32)
-            for d in range(1, 4):
+            bits, kinds = self.alphabet.bits, self.alphabet.kinds
+            flat = 3 if bits < 8 else 2
+            dense = np.zeros(1 << bits * flat, np.int32)
+            for d in range(1, flat + 1):
                 sel = np.flatnonzero(self.depths == d)
-                dense.reshape(-1, KINDS**d)[:, self.codes[sel]] = sel + 1
+                dense.reshape(-1, 1 << bits * d)[:, self.codes[sel]] = sel + 1
             further = []
-            for d in range(4, DEPTH + 1):
+            for d in range(flat + 1, self.alphabet.depth + 1):
                 sel, up = np.flatnonzero(self.depths == d), np.flatnonzero(self.depths == d - 1)
                 first = int(up[0]) if len(up) else 0
-                child = np.full((len(up), KINDS), -1, np.int32)
+                child = np.full((len(up), kinds), -1, np.int32)
                 if len(sel):
-                    child[np.searchsorted(self.codes[up], self.codes[sel] & ((1 << BITS * (d - 1)) - 1)), self.codes[sel] >> BITS * (d - 1)] = sel + 1
+                    child[np.searchsorted(self.codes[up], self.codes[sel] & ((1 << bits * (d - 1)) - 1)), self.codes[sel] >> bits * (d - 1)] = sel + 1
                 further.append((first + 1, child))
-            self._tables = dense, further
+            self._tables = flat, dense, further
         return self._tables
 
     def states(self, context: np.ndarray) -> np.ndarray:
         """The node that is the longest suffix of each context."""
-        dense, further = self.tables()
-        state = dense[context & (KINDS**3 - 1)]
+        flat, dense, further = self.tables()
+        bits = self.alphabet.bits
+        state = dense[context & ((1 << bits * flat) - 1)]
         live = None
-        for d, (first, child) in enumerate(further, 4):
+        for d, (first, child) in enumerate(further, flat + 1):
             if not len(child):
                 break
             live = np.flatnonzero((state >= first) & (state < first + len(child))) if live is None else live
-            deeper = child[state[live] - first, context[live] >> BITS * (d - 1) & (KINDS - 1)]
-            found = deeper >= 0
+            down = child[state[live] - first, context[live] >> bits * (d - 1) & ((1 << bits) - 1)]
+            found = down >= 0
             live = live[found]
-            state[live] = deeper[found]
+            state[live] = down[found]
         return state
 
     def symbol_logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return self.logs.ravel()[self.states(context).astype(np.int64) * KINDS + symbol].astype(np.float64)
+        return self.logs.ravel()[self.states(context).astype(np.int64) * self.alphabet.kinds + symbol].astype(np.float64)
 
     def token_logs(self, texts: list[bytes]) -> np.ndarray:
         """The log10 probability of each token, in order: the words of a text, then its end."""
@@ -255,12 +301,12 @@ class Forest:
 
     def __init__(self, alphabet: Alphabet, slices: list, of_group: np.ndarray):
         self.alphabet, self.slices, self.of_group = alphabet, slices, of_group
-        self.most = 1 << 19 if len(slices) == 1 else 1 << 21  # bytes to score at once; slices are read once for these
+        self.most = 1 << 19 if len(slices) == 1 else 1 << 22  # bytes to score at once; slices are read once for these
 
     def symbol_logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         if len(self.slices) == 1:
             return self.slices[0].value.symbol_logs(context, symbol)
-        logs, part = np.empty(len(context)), self.of_group[_group(context << BITS)]
+        logs, part = np.empty(len(context)), self.of_group[_group(context, self.alphabet.bits)]
         for k, sent in enumerate(self.slices):
             at = np.flatnonzero(part == k)
             if len(at):
@@ -277,37 +323,57 @@ class Grown:
 
     def __init__(self, train: DataFrame, least: int = 16, gain: float = 20.0, beta: float = 4.0):
         self.alphabet = Alphabet(count_bytes(train))
+        bits, kinds = self.alphabet.bits, self.alphabet.kinds
         grams = written(count_grams(train, self.alphabet), "grams")
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(KINDS * KINDS, np.int64)
+            total = np.zeros(1 << 2 * bits, np.int64)
             for b in batches:
                 for raw in b.column("grams").to_pylist():
                     codes, counts = _unpacked(raw)
-                    np.add.at(total, codes & (KINDS * KINDS - 1), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS * KINDS, dtype=np.int32)), pa.array(total)], ["pair", "n"])
+                    np.add.at(total, codes & ((1 << 2 * bits) - 1), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["pair", "n"])
 
-        table = np.zeros(KINDS * KINDS)
-        for r in grams.mapInArrow(pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table = np.zeros(1 << 2 * bits)
+        for r in grams.mapInArrow(pairs, "pair int, n bigint").filter("n > 0").groupBy("pair").agg(F.sum("n").alias("n")).collect():
             table[r["pair"]] = r["n"]
-        table = table.reshape(KINDS, KINDS)
-        self.root = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * KINDS)
+        table = table.reshape(1 << bits, -1)[:kinds, :kinds]
+        self.root = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * kinds)
         first = (table + beta * self.root) / (table.sum(axis=1) + beta)[:, None]
 
+        def rows(group: int, found: tuple) -> pa.Table:
+            depths, ids, bars, probs = found
+            return pa.table([pa.array(np.full(len(ids), group, np.int32)), pa.array(depths), pa.array(ids), pa.array(bars), pa.array([p.tobytes() for p in probs], pa.binary())], ["group", "depth", "code", "bar", "p"])
+
         def nodes(table: pa.Table) -> pa.Table:
             codes, counts = _merge([_unpacked(g) for g in table.column("grams").to_pylist()])
-            depths, ids, bars, probs = subtree(codes, counts, first, least, gain, beta)
-            group = pa.array(np.full(len(ids), table.column("group")[0].as_py(), np.int32))
-            return pa.table([group, pa.array(depths), pa.array(ids), pa.array(bars), pa.array([p.tobytes() for p in probs], pa.binary())], ["group", "depth", "code", "bar", "p"])
-
-        self.table = written(grams.groupBy("group").applyInArrow(nodes, "group int, depth int, code bigint, bar double, p binary"), "nodes")
+            return rows(table.column("group")[0].as_py(), subtree(codes, counts, first, bits, least, gain, beta))
+
+        def more(depth: int) -> Callable:
+            def run(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
+                codes, counts = _merge([_unpacked(g) for g in table.column("grams").to_pylist()] or [(np.zeros(0, np.int64),) * 2])
+                probs = np.frombuffer(b"".join(above.column("p").to_pylist()), "<f4").reshape(-1, kinds)
+                return rows(key[0].as_py(), deeper(codes, counts, depth, above.column("code").to_numpy(), above.column("bar").to_numpy(), probs, bits, least, gain, beta))
+
+            return run
+
+        fields = "group int, depth int, code bigint, bar double, p binary"
+        self.table = last = written(grams.groupBy("group").applyInArrow(nodes, fields), "nodes")
+        for depth in range(COUNTED + 1, self.alphabet.depth + 1):  # below the nodes of the depth before, while there are any
+            last = last.filter(F.col("depth") == depth - 1)
+            below = np.sort(last.select("code").toArrow().column(0).to_numpy())
+            if not len(below):
+                break
+            found = count_grams(train, self.alphabet, depth, below)
+            last = written(found.groupBy("group").cogroup(last.groupBy("group")).applyInArrow(more(depth), fields), "nodes")
+            self.table = self.table.union(last)
         self.seen = np.flatnonzero(table.sum(axis=1) >= least)  # of depth 1, which are few, all that occur often enough
         self.first = first[self.seen]
 
     def tree(self, nodes: DataFrame) -> Tree:
         """Of these rows of the table."""
         got = nodes.select("depth", "code", "p").toArrow()
-        probs = np.frombuffer(b"".join(got.column("p").to_pylist()), "<f4").reshape(-1, KINDS)
+        probs = np.frombuffer(b"".join(got.column("p").to_pylist()), "<f4").reshape(-1, self.alphabet.kinds)
         return Tree(self.alphabet, self.root, np.concatenate((np.ones(len(self.seen), np.int32), got.column("depth").to_numpy())), np.concatenate((self.seen, got.column("code").to_numpy())), np.vstack((self.first.astype(np.float32), probs)))
 
 
@@ -326,7 +392,7 @@ def grow(train: DataFrame, least: int = 16, gain: float = 20.0, beta: float = 4.
     return grown.tree(grown.table.filter(F.floor(F.log("bar") * 16) >= int(np.floor(np.log(bar) * 16 + 1e-6))))
 
 
-def grow_slices(train: DataFrame, slice_nodes: int = 1 << 17, **settings) -> Forest:
+def grow_slices(train: DataFrame, slice_nodes: int = 1 << 15, **settings) -> Forest:
     """The tree of all rows (t), every node of it; a slice has at most slice_nodes nodes or one group."""
     grown, of_group, have, slices = Grown(train, **settings), np.zeros(GROUPS, np.int64), 0, 1
     for r in sorted(grown.table.groupBy("group").count().collect(), key=lambda r: r["group"]):
@@ -336,7 +402,11 @@ def grow_slices(train: DataFrame, slice_nodes: int = 1 << 17, **settings) -> For
         have += r["count"]
     edges = np.searchsorted(of_group, np.arange(slices + 1)).tolist()
     send = train.sparkSession.sparkContext.broadcast
-    return Forest(grown.alphabet, [send(grown.tree(grown.table.filter(F.col("group").between(a, b - 1)))) for a, b in zip(edges, edges[1:])], of_group)
+    sent = []
+    for a, b in zip(edges, edges[1:]):
+        sent.append(send(grown.tree(grown.table.filter(F.col("group").between(a, b - 1)))))
+        release()
+    return Forest(grown.alphabet, sent, of_group)
 
 
 class Words:
@@ -375,7 +445,7 @@ def _sum_words(table: pa.Table) -> pa.Table:
     return pa.table([table.column("bucket"), table.column("block"), pa.array(out, pa.binary()), pa.array([int(counts.sum()) if f else 0 for f in first]), pa.array([int((counts > 0).sum()) if f else 0 for f in first])], ["bucket", "block", "counts", "n", "v"])
 
 
-def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, share: float = 0.5, slice_nodes: int = 1 << 17) -> DataFrame:
+def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, share: float = 0.5, slice_nodes: int = 1 << 15) -> DataFrame:
     """`keep` columns, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows that are not held out."""
     prepare(docs.sparkSession)
     out = held_out(10, 0) if is_held_out is None else is_held_out
