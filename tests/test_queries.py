@@ -35,6 +35,20 @@ def test_without_sql(spark):
         assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_whole_texts_are_encoded(spark, monkeypatch):
+    from textloom.operators import encode as E
+    from textloom.plans import tiny
+
+    used, made = [], tiny.tiny_encoder
+    monkeypatch.setattr(tiny, "tiny_encoder", lambda **settings: used.append(made(**settings)) or used[-1])
+    assert catalogue.encode_tiny_onnx(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    monkeypatch.undo()
+    assert used[0].max_length >= tiny.WHOLE
+    tail = spark.createDataFrame([(1, "zz " * 64 + "the " * 9), (2, "zz " * 64)], "id long, text string")
+    cut, whole = ({r.id: r.encoding.dense for r in E.encode(tail, e).collect()} for e in (tiny.tiny_encoder(), tiny.tiny_encoder(max_length=tiny.WHOLE)))
+    assert cut[1] == cut[2] and whole[1] != whole[2]
+
+
 def test_entry(spark):
     import __spark_entry__
 

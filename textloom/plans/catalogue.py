@@ -315,9 +315,9 @@ def ordered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_tiny_onnx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hand-made model of one look-up; encoding is a model's pass, which SQL does not express."""
     from ..operators.encode import encode
-    from .tiny import tiny_encoder
+    from .tiny import WHOLE, tiny_encoder
 
-    out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tiny_encoder())
+    out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tiny_encoder(max_length=WHOLE, batch_size=8))
     return out.select("doc_id", F.size("encoding.dense").alias("dimension"), F.round(V.norm(F.col("encoding.dense")), 4).alias("norm"))
 
 

@@ -65,7 +65,11 @@ def tiny_tokenizer(words: list[str]) -> str:
     return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocab, "unk_token": "[UNK]"}})
 
 
-def tiny_encoder(dimension: int = 8, **settings) -> Encoder:
+#: A max_length that no text reaches.
+WHOLE = 1 << 40
+
+
+def tiny_encoder(dimension: int = 8, max_length: int = 64, batch_size: int = 64, **settings) -> Encoder:
     words = "the and that of with be is for in to de la que le et der die und el los".split()
     table = np.random.default_rng(3).standard_normal((len(words) + 1, dimension))
-    return Encoder(model=gather_model({"last_hidden_state": table}), tokenizer=tiny_tokenizer(words), pooling="mean", max_length=64, batch_size=64, **settings)
+    return Encoder(model=gather_model({"last_hidden_state": table}), tokenizer=tiny_tokenizer(words), pooling="mean", max_length=max_length, batch_size=batch_size, **settings)
