@@ -73,6 +73,19 @@ def test_warc_round_trip_of_odd_pages(spark, tmp_path):
     assert {r.record_type for r in warc.read_archives(warc.write_archives(df.filter("page_id < 3"), revisit_from=2)).collect()} == {"response"}
 
 
+def test_warc_headers_of_any_length_and_the_count(spark):
+    rng = random.Random(5)
+    pages = [(i, "http://a/" + "%x" % rng.getrandbits(4 * n), f"page {i}") for i, n in enumerate((10, 70_000, 300_000, 20))]
+    df = frame(spark, pages, "page_id long, url string, html string")
+    manifest = warc.write_archives(df)
+    for size in (5_000, 1 << 20):
+        rows = warc.check_count(warc.read_archives(manifest, range_bytes=size), manifest).collect()
+        assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in rows) == pages
+    assert warc.digest(df).count() == 4 and warc.digest(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="not the 5"):
+        warc.check_count(warc.read_archives(manifest), manifest.limit(1).selectExpr("path", "size", "5L AS records"))
+
+
 def test_warc_archives_are_gzip_and_damage_is_noticed(spark, tmp_path):
     import gzip
 

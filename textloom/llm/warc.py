@@ -152,7 +152,7 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str]
             at += k
             member = _Member(file, at, window[k:])
             try:
-                while b"\r\n\r\n" not in member.out and len(member.out) < 1 << 16 and member.out[:5] == b"WARC/"[: len(member.out)] and member.more(1 << 12):
+                while b"\r\n\r\n" not in member.out and member.out[:5] == b"WARC/"[: len(member.out)] and member.more(max(1 << 12, len(member.out))):
                     pass
                 if not member.out.startswith(b"WARC/") or b"\r\n\r\n" not in member.out:
                     raise ValueError
@@ -214,6 +214,16 @@ def read_archives(manifest: DataFrame, range_bytes: int = 16 << 20, payload: boo
     return ranges.mapInArrow(run, _FIELDS + (", payload binary" if payload else ""))
 
 
+def check_count(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The records, or an error if they are not as many as the manifest states. Takes a pass over them."""
+    found, stated = records.count(), manifest.agg(F.sum("records")).first()[0] or 0
+    if found != stated:
+        raise ValueError(f"the archives gave {found} records, not the {stated} of the manifest")
+    return records
+
+
 def digest(pages: DataFrame) -> DataFrame:
-    """The columns that the query returns: every page written to archives and read back."""
-    return read_archives(write_archives(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The columns that the query returns: every page written to archives and read back, and the number of records compared."""
+    manifest = write_archives(pages)
+    records = read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return check_count(written(records, "records"), manifest)
