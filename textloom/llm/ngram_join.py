@@ -13,16 +13,17 @@ A document's set is that of its distinct shingles of k words, each as a 64-bit h
    that deal. Sets that are never done (with low thresholds only) share one tile of their band. So no pair that links is
    lost, and only classes that share a tile are compared.
 4. In a tile, the class with the smallest id is compared with each other one: edges of a star, not all pairs. Pairs are
-   compared once, first by hashed bitmaps of their sets: a bit set in one and not in the other is at least one shingle of
-   the one that the other lacks, so the counts of such bits bound the overlap from above. Pairs that the bound leaves
-   are compared by exact intersection of their sorted arrays.
+   compared once, first by set sizes and hashed bitmaps of their sets: a bit that differs is at least one shingle that only
+   one of the two has, so the count of such bits bounds the overlap from above. The bitmaps, not the texts, travel to the
+   pairs. For pairs that the bound leaves, and whose sets are not equal, the texts are fetched and the sorted sets intersected.
 5. Linked classes form components. Where a tile's classes lie in more than one, all pairs across components that the
-   bitmaps leave are compared, in blocks of `block` classes; most tiles have one component by then. While such tiles are
-   large (more than `few` classes on average), each class is first compared with the likeliest one of another component
-   only, round after round as long as that links any, so that few pairs are left.
+   bitmaps leave are compared, in blocks of `block` classes; most tiles have one component by then, and tiles of the same
+   classes are compared once. While such tiles are large (more than `few` classes on average), each class is first
+   compared with the likeliest one of another component only, round after round as long as that links any, so that few
+   pairs are left.
 
 A block of documents links the members of a tile that it has itself, and sends the smallest one only, so a tile that many
-documents share is one row a block where blocks meet. Pairs are joined with texts, and sets made from those, as texts are smaller.
+documents share is one row a block where blocks meet.
 
 Defined cases: texts that are null or without words have an empty set and link with nothing; a null id stands for
 nothing, and its rows come back with a null component; rows that repeat an id: each has its own set size, and the
@@ -38,16 +39,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_tables, bytes_list, column_bytes, connected_components, from_planes, planes, prepare, release, sliced, written
+from .common import block_tables, bytes_list, column_bytes, connected_components, drop, from_planes, planes, prepare, release, replayable, sliced, written
 
 #: A-Z to a-z and the other ASCII spaces to a plain one.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-WORDS_OF_BITMAP = 32
 DEALS = 12
+TILE_BITS = 48  # tiles that agree by chance cost a comparison, no more
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -156,30 +157,48 @@ def tiles(s: np.ndarray, num: int, den: int) -> np.ndarray:
         else:
             out.append(mix(np.array([tag])))
         band += 1
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)) >> np.uint64(64 - TILE_BITS)
+
+
+def bitmap(s: np.ndarray, num: int, den: int) -> bytes:
+    """A hashed bitmap of the set: a bit is set if an odd number of shingles falls on it. It has four bits or more for each
+    shingle in which a set of this size may differ from one that links, as a power of two of 64-bit words."""
+    words = 1
+    while 16 * words < (den - num) * 2 * len(s) // (den + num):
+        words *= 2
+    odd = np.bincount(((s >> np.uint64(7)) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(maps: list[bytes], words: int) -> np.ndarray:
+    """The bitmaps as rows of `words` words, which none has fewer of: words that fall together are added bit by bit."""
+    sizes, out = np.array([len(m) for m in maps]), np.empty((len(maps), words), np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        flat = np.frombuffer(b"".join([maps[i] for i in at]), np.uint64)
+        out[at] = np.bitwise_xor.reduce(flat.reshape(len(at), -1, words), axis=1)
+    return out
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of the set, as WORDS_OF_BITMAP words."""
-    bits = np.unique((s >> np.uint64(7)) % np.uint64(64 * WORDS_OF_BITMAP))
-    out = np.zeros(WORDS_OF_BITMAP, np.uint64)
-    np.bitwise_or.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
-    return out
+def most_common(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound of each pair's overlap, from rows of bitmaps and set sizes: what is common falls on the same bits, so
+    bits that differ are at least one shingle each that only one of the two has."""
+    return (a + b - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
 
 
 def sketches(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_bytes: int = 12 << 20) -> DataFrame:
-    """Three kinds of rows over rows (id, t): id, n, s (set size and 128-bit fingerprint of the set; null if empty) and first
-    (whether its tiles were given); tile, a, b for the members b of a tile that one block has several of, a the smallest;
-    bucket, packed for the smallest member of each tile of a block."""
+    """Three kinds of rows over rows (id, t): id, n, s (set size and 128-bit fingerprint of the set; null if empty) and bits
+    (the bitmap, for those whose tiles were given); tile, a, b for the members b of a tile that one block has several of, a
+    the smallest; bucket, packed for the smallest member of each tile of a block."""
     blocks = block_tables(1, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, bytes]] = set()
         for _, table in blocks(batches):
             ids, texts = table.column(0).combine_chunks(), column_bytes(table, 1)
-            sizes, prints, first, who, keys = [], [], [], [], []
-            for start in range(0, len(texts), 512):
-                for i, s in enumerate(shingle_sets(texts[start : start + 512], k), start):
+            sizes, prints, maps, who, keys = [], [], [], [], []
+            for start, end in _runs(texts):
+                for i, s in enumerate(shingle_sets(texts[start:end], k), start):
                     f = None if not len(s) else mix(s).sum(dtype=np.uint64).tobytes() + mix(s ^ _M2).sum(dtype=np.uint64).tobytes()
                     new = f is not None and ids[i].is_valid and (len(s), f) not in seen
                     if new:
@@ -190,8 +209,8 @@ def sketches(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_by
                             seen.add((len(s), f))
                     sizes.append(len(s))
                     prints.append(f)
-                    first.append(new)
-            yield _rows(id=ids, n=pa.array(sizes, pa.int64()), s=pa.array(prints, pa.binary()), first=pa.array(first))
+                    maps.append(bitmap(s, num, den) if new else None)
+            yield _rows(id=ids, n=pa.array(sizes, pa.int64()), s=pa.array(prints, pa.binary()), bits=pa.array(maps, pa.binary()))
             if not keys:
                 continue
             member, tile = ids.fill_null(0).to_numpy()[np.concatenate(who)], np.concatenate(keys)
@@ -204,7 +223,7 @@ def sketches(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_by
             if many.any():
                 yield _rows(tile=pa.array(tile[many].view(np.int64)), a=pa.array(least[many]), b=pa.array(member[many]))
             tile, member = tile[heads], member[heads]
-            edges = np.searchsorted(tile >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+            edges = np.searchsorted(tile >> np.uint64(TILE_BITS - 32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
             full = np.flatnonzero(np.diff(edges)).tolist()
             packed = [zstandard.compress(planes(np.diff(tile[edges[q] : edges[q + 1]], prepend=np.uint64(0))) + planes(member[edges[q] : edges[q + 1]].astype(np.int64).view(np.uint64)), 1) for q in full]
             yield _rows(bucket=pa.array(full, pa.int32()), packed=pa.array(packed, pa.binary()))
@@ -212,7 +231,19 @@ def sketches(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_by
     return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, (t, _) in _ROWS.items()))
 
 
-_ROWS = {"id": ("bigint", pa.int64()), "n": ("bigint", pa.int64()), "s": ("binary", pa.binary()), "first": ("boolean", pa.bool_()), "tile": ("bigint", pa.int64()), "a": ("bigint", pa.int64()), "b": ("bigint", pa.int64()), "bucket": ("int", pa.int32()), "packed": ("binary", pa.binary())}
+_ROWS = {"id": ("bigint", pa.int64()), "n": ("bigint", pa.int64()), "s": ("binary", pa.binary()), "bits": ("binary", pa.binary()), "tile": ("bigint", pa.int64()), "a": ("bigint", pa.int64()), "b": ("bigint", pa.int64()), "bucket": ("int", pa.int32()), "packed": ("binary", pa.binary())}
+
+
+def _runs(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes (a longer one stands alone)."""
+    start = size = 0
+    for end, t in enumerate(texts):
+        if end > start and size + len(t) > most:
+            yield start, end
+            start, size = end, 0
+        size += len(t)
+    if texts:
+        yield start, len(texts)
 
 
 def _rows(**columns: pa.Array) -> pa.RecordBatch:
@@ -245,74 +276,95 @@ def only(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
 
 
-def _bitmaps(docs: DataFrame, k: int) -> DataFrame:
-    """b, size, bits over rows (id, t)."""
+def plausible(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link by set sizes and bitmaps in `signs` (id, n, s, bits), each once, and whether they surely
+    do, as their sets are equal."""
+    side = lambda c: signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("bits").alias(f"bits{c}"))
+    near = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").filter(near).select("a", "b", "na", "nb", "bitsa", "bitsb", ((F.col("sa") == F.col("sb")) & (F.col("na") == F.col("nb"))).alias("equal"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in sliced(whole, 1):
-                sets = shingle_sets(bytes_list(b.column(1)), k)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["b", "size", "bits"])
-
-    return docs.mapInArrow(run, "b bigint, size int, bits binary")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their texts in rows (id, t): bitmaps first, then the exact intersection."""
+            for b in (whole.slice(at, 4096) for at in range(0, whole.num_rows, 4096)):
+                na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+                x, y = b.column("bitsa").to_pylist(), b.column("bitsb").to_pylist()
+                words = np.minimum([len(m) for m in x], [len(m) for m in y]) // 8
+                keep = np.zeros(b.num_rows, bool)
+                for w in np.unique(words):
+                    at = np.flatnonzero(words == w)
+                    both = most_common(folded([x[i] for i in at], w), folded([y[i] for i in at], w), na[at], nb[at])
+                    keep[at] = _links(na[at], nb[at], both, num, den)
+                yield b.select(["a", "b", "equal"]).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, "a bigint, b bigint, equal boolean").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+
+
+def verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link: by bitmaps first, so that only texts of pairs that these leave are moved; then by the
+    exact intersection of the sets of the texts in rows (id, t)."""
+    pairs = written(plausible(pairs, signs, num, den), "plausible")
+    sure, pairs = pairs.filter("equal").select("a", "b"), pairs.filter("not equal").select("a", "b")
     docs = only(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     left, right = docs.alias("l"), docs.alias("r")
     rows = pairs.join(right, F.col("b") == F.col("r.id")).select("a", "b", F.col("r.t").alias("tb")).join(left, F.col("a") == F.col("l.id")).select("a", "b", F.col("l.t").alias("ta"), "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, 3, 2 << 20):
+            for batch in sliced(whole, 3, 1 << 20):
                 heads = bytes_list(batch.column(2))
                 distinct = list(dict.fromkeys(heads))
-                known = dict(zip(distinct, ((s, bitmap(s)) for s in shingle_sets(distinct, k))))
+                known = dict(zip(distinct, shingle_sets(distinct, k)))
                 good = []
                 for i, (head, y) in enumerate(zip(heads, shingle_sets(bytes_list(batch.column(3)), k))):
-                    x, bits = known[head]
-                    other = bitmap(y)
-                    bound = min(len(x) - int(np.bitwise_count(bits & ~other).sum()), len(y) - int(np.bitwise_count(other & ~bits).sum()))
-                    if len(x) and len(y) and _links(len(x), len(y), bound, num, den):
+                    x = known[head]
+                    if len(x) and len(y):
                         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                         if _links(len(x), len(y), int((y[at] == x).sum()), num, den):
                             good.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
         release()
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint").union(sure)
 
 
-def _links(a: int, b: int, both: int, num: int, den: int) -> bool:
+def _links(a, b, both, num: int, den: int):
     return den * both >= num * (a + b - both)
 
 
-def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 512, few: int = 200) -> DataFrame:
+def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 1024, few: int = 200) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    found = written(sketches(base, k, num, den, max(32, 2 * base.rdd.getNumPartitions())), "sketches")
-    across = found.filter("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet, "tile bigint, a bigint, b bigint")
-    shared = written(found.filter("tile is not null").select("tile", "a", "b").union(across), "shared")
+    if not replayable(base):
+        base = written(base, "jaccard")
+    rows = written(sketches(base, k, num, den, max(32, 2 * base.rdd.getNumPartitions())), "sketches")
+    across = rows.filter("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet, "tile bigint, a bigint, b bigint")
+    shared = written(rows.filter("tile is not null").select("tile", "a", "b").union(across), "shared")
+    found = written(rows.filter("n is not null").select("id", "n", "s", "bits"), "sets")
+    drop(rows)
+    signs = found.filter("bits is not null")
     pairs = written(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
-    found = found.filter("n is not null").select("id", "n", "s", "first")
-    edges = written(verify(pairs, base, k, num, den), "links")
+    edges = written(verify(pairs, signs, base, k, num, den), "links")
     roots, every = connected_components(edges), False
-    members, bits = shared.select("tile", "b").distinct(), None
+    members = shared.select("tile", "b").repartition("tile").distinct()  # one exchange serves the window below, too
+    of_tile = Window.partitionBy("tile")
     while True:
-        # tiles that still hold classes of more than one component
-        placed = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("tile", "b", F.coalesce("root", "b").alias("root"))
-        still = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2").select("tile", "m")
-        rest = written(placed.join(still, "tile"), "open")
-        rows, sure = rest.agg(F.count("*"), F.sum("m")).first()
-        if not rows:
+        # tiles that still hold classes of more than one component; of those with the same classes, one
+        known = roots.withColumnRenamed("node", "b")
+        placed = members.join(F.broadcast(known) if known.count() <= 1_000_000 else known, "b", "left").select("tile", "b", F.coalesce("root", "b").alias("root"))
+        figures = {"lo": F.min("root"), "hi": F.max("root"), "m": F.count("*"), "x": F.bit_xor(F.xxhash64("b")), "y": F.bit_xor(F.xxhash64("b", F.lit(1)))}
+        mixed = written(placed.withColumns({c: f.over(of_tile) for c, f in figures.items()}).filter("lo <> hi and m > 2").drop("lo", "hi"), "mixed")
+        one = mixed.groupBy("x", "y", "m").agg(F.min("tile").alias("tile")).select("tile")
+        rest = written(mixed.join(one, "tile").drop("x", "y"), "open")
+        drop(mixed)
+        open_rows, sure = rest.agg(F.count("*"), F.sum("m")).first()
+        if not open_rows:
             break
-        every = every or sure <= few * rows  # an open tile's size, on average over its rows
-        if bits is None:
-            bits = written(_bitmaps(only(base, rest.select(F.col("b").alias("id"))), k), "bitmaps")
-        more = written(_across(rest.join(F.broadcast(bits) if bits.count() <= 200_000 else bits, "b"), num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        new = written(verify(more, base, k, num, den), "links")
+        every = every or sure <= few * open_rows  # an open tile's size, on average over its rows
+        more = written(_across(rest.join(signs.select(F.col("id").alias("b"), F.col("n").alias("size"), "bits"), "b"), open_rows, num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        drop(rest)
+        new = written(verify(more, signs, base, k, num, den), "links")
         linked = not new.isEmpty()
         if linked:
             edges = written(edges.union(new), "links")
@@ -320,42 +372,77 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         if every:  # all pairs across components have been compared
             break
         every, pairs = not linked, written(pairs.union(more), "pairs")
-    classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("first"), F.col("id"))).alias("node"))
+    drop(shared, pairs)
+    classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("bits").isNotNull(), F.col("id"))).alias("node"))
     classes = classes.join(roots, "node", "left").select("s", "n", "lo", F.coalesce("root", "node").alias("root"))
     labels = classes.groupBy("root").agg(F.min("lo").alias("component_id"))
     own = classes.join(labels, "root").select("s", "n", "component_id")
-    return found.drop("first").join(own, ["s", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return found.drop("bits").join(own, ["s", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def _across(rows: DataFrame, num: int, den: int, block: int, every: bool) -> DataFrame:
-    """Pairs (a < b) of one tile but of different components that the bitmaps leave, from rows (tile, b, root, m, size, bits):
-    every one, or for each class the likeliest only.
+def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every: bool) -> DataFrame:
+    """Pairs (a < b) of one tile but of different components that the bitmaps leave, from `count` rows (tile, b, root, m, size,
+    bits): every one, or for each class the likeliest only.
 
-    A tile of m classes is cut into blocks by hash; each pair of blocks is one group, so a group holds about 2 x block
-    classes whatever the tile's size.
+    A tile of more than `block` classes is cut into blocks by hash, and each pair of blocks is apart; so many of these and of
+    small tiles as have some thousands of rows together are one group, whatever the tiles' sizes.
     """
-    cut = rows.withColumn("m", F.ceil(F.col("m") / block).cast("int")).withColumn("p", F.pmod(F.xxhash64("b"), F.col("m")).cast("int"))
-    pairs = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("tile", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.col("p").alias("own"), "b", "root", "size", "bits")
+    cut = rows.withColumn("m", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("b"), F.col("m")).cast("int"))
+    cut = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumns({"p": F.least("own", "q"), "q": F.greatest("own", "q")})
+    cut = cut.withColumn("k", F.pmod(F.xxhash64("tile", "p", "q"), F.lit(1 + count // 8192)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        p, q, own = table["p"][0].as_py(), table["q"][0].as_py(), table["own"].to_numpy()
-        ids, roots, size = table["b"].to_numpy(), table["root"].to_numpy(), table["size"].to_numpy().astype(np.int64)
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, WORDS_OF_BITMAP)
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        out = [np.zeros((2, 0), np.int64)]
-        for i in left:
-            j = right[(roots[right] != roots[i]) & (ids[right] > ids[i] if p == q and every else True)]
-            if not len(j):
-                continue
-            bound = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1))
-            spare = den * bound - num * (size[i] + size[j] - bound)
-            j = j[spare >= 0] if every else j[[spare.argmax()]] if spare.max() >= 0 else j[:0]
-            out.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))))
+        tile, p, q, own = (table[c].to_numpy() for c in ("tile", "p", "q", "own"))
+        order = np.lexsort((own, q, p, tile))
+        tile, p, q, own, ids, roots, size = (x[order] for x in (tile, p, q, own, table["b"].to_numpy(), table["root"].to_numpy(), table["size"].to_numpy()))
+        maps = table["bits"].to_pylist()
+        maps = [maps[i] for i in order]
+        # rows of a part that is one block, or the first of two, are compared with those after them, in its second block if there is one
+        at = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))) if len(tile) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(tile))
+        out, held = [np.zeros((2, 0), np.int64)], 0
+        for s, e in zip(at.tolist(), ends.tolist()):
+            words = min(map(len, maps[s:e])) // 8
+            bits = folded(maps[s:e], words)
+            if p[s] == q[s]:
+                left, first = np.arange(e - s - 1), np.arange(1, e - s)
+            else:
+                half = int(np.searchsorted(own[s:e], q[s]))
+                left, first = np.arange(half), np.full(half, half)
+            best, likeliest = np.full(e - s, -1), np.zeros(e - s, np.int64)
+            step = max(1, (1 << 21) // ((e - s) * words))
+            for low in range(0, len(left), step):
+                i, f = left[low : low + step], first[low : low + step]
+                n = e - s - f
+                i, j = np.repeat(i, n), np.repeat(f - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                apart = np.flatnonzero(roots[s + i] != roots[s + j])
+                i, j = i[apart], j[apart]
+                a, b = size[s + i], size[s + j]
+                both = most_common(bits[i], bits[j], a, b)
+                spare = den * both - num * (a + b - both)
+                live = np.flatnonzero(spare >= 0)
+                i, j, spare = i[live], j[live], spare[live]
+                if every:
+                    out.append(np.stack((np.minimum(ids[s + i], ids[s + j]), np.maximum(ids[s + i], ids[s + j]))))
+                    held += len(i)
+                    if held > 1 << 20:  # a pair may share many tiles
+                        out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+                        held = 0
+                    continue
+                for x, y in ((i, j), (j, i)):
+                    by = np.argsort(spare, kind="stable")
+                    by = by[spare[by] > best[x[by]]]
+                    likeliest[x[by]] = y[by]  # the last one assigned is the likeliest
+                    best[x[by]] = spare[by]
+            if not every:
+                x = np.flatnonzero(best >= 0)
+                out.append(np.stack((np.minimum(ids[s + x], ids[s + likeliest[x]]), np.maximum(ids[s + x], ids[s + likeliest[x]]))))
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        release()
         return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return pairs.groupBy("tile", "p", "q").applyInArrow(run, "a bigint, b bigint")
+    return cut.groupBy("k").applyInArrow(run, "a bigint, b bigint")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -364,7 +451,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents without those whose component has a smaller id: one of each group stays, and all without a set."""
-    gone = join_components(docs, k, num, den, text, doc_id).filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    gone = written(gone, "copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, doc_id, "left_anti").select(*docs.columns)
+    """The documents without those whose component has a smaller id: one of each group stays, and all without a set. Of rows
+    that repeat the smallest id of a group, one stays."""
+    found = written(join_components(docs, k, num, den, text, doc_id).filter("doc_id is not null and n_shingles > 0"), "components")
+    gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "copies")
+    left = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, doc_id, "left_anti").select(*docs.columns)
+    again = written(found.filter("component_id = doc_id").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "repeated")
+    drop(found)
+    if again.isEmpty():
+        return left
+    return left.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(left.join(again, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]))
