@@ -222,18 +222,32 @@ def tokens_of(text):
     return [*(text or "").encode().translate(fold).split(), None]
 
 
-def test_scores(spark):
-    docs = [(d["doc_id"], d["text"]) for d in rows_of("documents")] + [d for d in ODD if d[0] is not None]
-    docs = [(i + 1000 * k, t) for k, (i, t) in enumerate(docs)]
-    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, docs).withColumn("n", F.lit("clash")), block_bytes=1 << 16).collect()}
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 1 << 14}, {"depth": 1, "gain": 2.0}, {"depth": 4, "least": 3, "gain": 1.0, "spread": 0.5}])
+def test_scores_by_brute_force(spark, options):
+    rng = random.Random(7)
+    made = [" ".join(rng.choice(["ab", "Cd", "ef", "gh", "ij é"]) for _ in range(rng.randrange(80))) for _ in range(30)]
+    made += [f"{rng.choice('xyz')} the same long passage of words that many texts share {rng.choice('uvw')}" for _ in range(20)]
+    docs = [(d["doc_id"], d["text"]) for d in rows_of("documents")[:60]] + list(enumerate(made, 5000)) + [d for d in ODD if d[0] is not None]
+    docs = [(i + 10_000 * k, t) for k, (i, t) in enumerate(docs)]
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, docs).repartition(3).withColumn("n", F.lit("clash")), **options).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
+    expected = lm_scoring.brute_force([(i, t, held[i]) for i, t in docs], **{k: v for k, v in options.items() if k != "block_bytes"})
     c = Counter(w for i, t in docs if not held[i] for w in tokens_of(t))
     n, v = sum(c.values()), len(c)
+    apart = 0
     for i, t in docs:
-        words = tokens_of(t)
-        r = got[i]
+        words, r = tokens_of(t), got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(words), sum(c[w] > 0 for w in words), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)) and r.score < 0
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
+        assert (r.base_score, r.score) == pytest.approx(expected[i])
+        apart += r.score > r.base_score + 1
+    assert apart >= 20  # nodes are there
+
+
+def test_scores_of_held_out_texts_are_above_the_base(spark):
+    rows = lm_scoring.digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
+    tokens = sum(r.n_tokens for r in rows)
+    assert sum(r.score for r in rows) / tokens > sum(r.base_score for r in rows) / tokens + 0.1
 
 
 def test_scores_of_odd_rows(spark):
@@ -241,55 +255,25 @@ def test_scores_of_odd_rows(spark):
     assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (1, 2, 4)} == {1}
     assert lm_scoring.score(frame(spark, ODD).limit(0)).count() == 0
     none = lm_scoring.score(frame(spark, ODD), is_held_out=F.lit(True)).collect()
-    assert {r.train_tokens for r in none} == {0} and all(math.isfinite(r.score) and r.n_known == 0 for r in none)
-
-
-def test_the_tree_is_a_distribution(spark):
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice(["abc", "abd", "xyz", "é"]) for _ in range(40)) for _ in range(60)]
-    tree = lm_scoring.grow(frame(spark, [(t,) for t in texts], "t string"), least=4, gain=2.0)
-    assert len(tree.logs) > 20 and np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
-    # the state is the longest suffix that is a node
-    nodes = {(int(d), int(c)): k + 1 for k, (d, c) in enumerate(zip(tree.depths, tree.codes))}
-    context, *_ = tree.alphabet.sequence([t.encode() for t in texts[:5]] + [b"", b"q"])
-    for c, s in zip(context.tolist(), tree.states(context).tolist()):
-        best = 0
-        for d in range(1, lm_scoring.DEPTH + 1):
-            best = nodes.get((d, c & ((1 << 6 * d) - 1)), best)
-        assert s == best
-    whole = tree.token_logs([t.encode() for t in texts[:3]])
-    assert np.allclose(whole, np.concatenate([tree.token_logs([t.encode()]) for t in texts[:3]]))
-    small = lm_scoring.grow(frame(spark, [(t,) for t in texts], "t string"), least=4, gain=2.0, most_nodes=5)
-    assert len(small.logs) < len(tree.logs) and small.token_logs([b"abc"]).shape == (2,)
-
-
-def test_every_node_is_kept_and_scored_in_slices(spark):
-    import inspect
-
-    rng = random.Random(3)
-    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(60)) for _ in range(40)]
-    train = frame(spark, [(t,) for t in texts], "t string")
-    tree, forest = lm_scoring.grow(train, least=4, gain=1.0), lm_scoring.grow_slices(train, slice_nodes=30, least=4, gain=1.0)
-    assert inspect.signature(lm_scoring.grow).parameters["most_nodes"].default is None
-    parts = [x.value for x in forest.slices]
-    assert len(parts) > 3 and {(d, c) for t in parts for d, c in zip(t.depths.tolist(), t.codes.tolist())} == set(zip(tree.depths.tolist(), tree.codes.tolist()))
-    assert np.allclose(forest.token_logs([t.encode() for t in texts] + [b"", "é".encode()]), tree.token_logs([t.encode() for t in texts] + [b"", "é".encode()]))
-    docs = frame(spark, list(enumerate(texts)))
-    one, many = ({r.doc_id: r.score for r in lm_scoring.score(docs, slice_nodes=n).collect()} for n in (1 << 17, 1))
-    assert one == pytest.approx(many) and len(one) == len(texts)
-
-
-def test_all_bytes_are_symbols_and_depth_follows_the_data(spark):
-    letters = [chr(c) for a, n in ((0x61, 26), (0x430, 32), (0x3B1, 24), (0x627, 20), (0x4E00, 60)) for c in range(a, a + n)]
-    rng = random.Random(4)
-    texts = [" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(30)) for _ in range(40)]
-    texts += [f"{a}{m}{a}" for m in ("mmmmm", "nnnnn") for a in "xy" for _ in range(60)]  # the last letter shows six before only
-    tree = lm_scoring.grow(frame(spark, [(t,) for t in texts], "t string"))
-    seen = set("".join(texts).encode())
-    assert len(seen) > 62 and len({int(tree.alphabet.symbol[b]) for b in seen} - {lm_scoring.END, lm_scoring.ESCAPE}) == len(seen)
-    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4) and tree.depths.max() == 6
-    right, wrong = (tree.token_logs([t])[0] for t in (b"xmmmmmx", b"xmmmmmy"))
-    assert right > wrong + 1
+    assert {r.train_tokens for r in none} == {0} and all(r.score == r.base_score == 0 and r.n_known == 0 for r in none)
+
+
+def test_the_states_are_a_distribution():
+    """Behind any words, the probabilities of all tokens of training and of one that it lacks sum to one."""
+    train = ["a b c", "a b c", "a b d", "x a b c e", "b c", "b a b c"] * 4
+    p, nodes = lm_scoring.reference([(i, t, False) for i, t in enumerate(train)], gain=2.0)
+    known = {w for t in train for w in lm_scoring._tokens(t)}
+    assert {len(c) for c in nodes} >= {1, 2}
+    for behind in ((), (b"a",), (b"a", b"b"), (b"q", b"a", b"b"), (b"x", b"a", b"b", b"c"), (b"e",)):
+        assert sum(p(behind, w) for w in [*known, b"unseen"]) == pytest.approx(1)
+
+
+def test_distinct_keys():
+    rng = np.random.default_rng(3)
+    for hashes in (np.zeros(0, np.uint64), np.array([7], np.uint64), rng.integers(0, 50, 400).astype(np.uint64), rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64), np.repeat(rng.integers(0, 2**64 - 1, 40, dtype=np.uint64), 5), np.array([8, 3, 9, 1, 8, 3], np.uint64)):
+        keys = lm_scoring.Keys(hashes)
+        distinct, at = np.unique(hashes, return_inverse=True)
+        assert (keys.distinct == distinct).all() and (keys.at == at).all()
 
 
 # the Jaccard join

@@ -67,8 +67,9 @@ def drop(*tables: DataFrame) -> None:
             path = file.rsplit("/", 1)[0]
             for made in [m for m in _made if path.endswith(re.sub(r"^\w+:/*", "/", m))]:
                 drop_path(df.sparkSession, made)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def _drop_all() -> None:
@@ -147,6 +148,13 @@ def block_bodies(df: DataFrame, kept: int, block_bytes: int) -> DataFrame:
     return df.mapInArrow(run, "block bigint, body binary")
 
 
+def in_blocks(bodies: DataFrame, told: DataFrame, parts: int):
+    """Bodies and what is told about them, cogrouped by block in `parts` tasks: a number that follows the input's size, so that
+    a task holds a few blocks whatever spark.sql.shuffle.partitions is."""
+    n = max(parts, int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return bodies.repartition(n, "block").groupBy("block").cogroup(told.repartition(n, "block").groupBy("block"))
+
+
 def body_table(bodies: pa.Table) -> pa.Table:
     if bodies.num_rows != 1:
         raise RuntimeError("the documents changed between two passes; write them as a table first")

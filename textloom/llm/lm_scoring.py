@@ -1,33 +1,33 @@
-"""Language-model scoring with a probabilistic suffix tree, beside a smoothed unigram base.
-
-Tokens are words between ASCII white space, after A-Z are lower-cased, then one end. The tree predicts a text symbol by
-symbol: its words' bytes, a space after each word, then the end, so a sequence of tokens has exactly one sequence of
-symbols and the probabilities of all texts sum to one. Every byte of the training texts is a symbol of its own; one that
-they lack is an escape, then any of those with equal shares. A token's probability is `share` times its unigram one
-plus 1 - share times the tree's.
-
-Growing the tree. Every training text is counted: tasks count runs of `COUNTED` symbols and the next one, and counts merge in
-two steps by the last two symbols of the context, in GROUPS groups, so whole subtrees below depth 2 meet; the counts of
-pairs of symbols, a table of fixed size, give the two levels above them. A context is a node if it occurs `least` times and
-its next-symbol counts diverge from its parent's distribution: n times the Kullback-Leibler divergence is `gain` nats or
-more; ancestors of nodes are nodes. Every context that passes is kept, however many these are: the tree is broadcast in
-slices of about `slice_nodes` nodes by group, and texts are scored against one slice after the other.
-Then, while the last depth has nodes, the contexts one symbol longer than these are counted by another pass and tested in the
-same way. What bounds the depth is a code of 63 bits for a context and the next symbol: 9 symbols of context where the
-training texts have up to 62 kinds of bytes, 8 up to 126, 6 beyond.
-A node's distribution is its counts smoothed towards its parent's. A text is scored by the longest suffix of what
-precedes each symbol that is a node.
-
-The base needs each token's count over the corpus. Blocks send their distinct words, as 64-bit hashes with counts, by
-hash bucket; buckets sum them and send the sums back. No word, however frequent, is more than one entry a block.
-
-Defined cases: a null text is empty and has the end as its one token; without training texts the base is that of no counts
-and the tree is uniform; repeated rows count as often as they occur; a null id is never held out; an empty table gives no
-rows; extra columns are ignored. Two words whose 64-bit hashes agree would share a count.
+"""Language-model scoring with a probabilistic suffix tree of words, beside a smoothed unigram base.
+
+Tokens are words between ASCII white space, after A-Z are lower-cased, then one end. The root of the tree is the base:
+a token's share of the training tokens, smoothed so that all words that training lacks are one more token. A node is a
+context, the last 1 to `depth` words before a token; its distribution is its next-token counts smoothed towards that of
+its parent, the longest shorter suffix that is a node:
+
+    p(w) = (N(context, w) + s * p_parent(w)) / (N(context) + s), s = N(context) ** `spread`,
+
+as the number of different followers of a context grows with some such power of its count. A context is retained by a
+divergence test: over the training tokens w that follow it, each left out of the counts in turn, the sum of
+ln(p(w) / p_parent(w)) is `gain` nats or more. So chance followers count against a context, however few tokens it has. A text is
+scored token by token, by the longest suffix of what precedes the token that is a node.
+
+All counts are over all training texts and nothing of the tree is gathered on the driver or broadcast, so it grows with
+the input. A block (a run of whole documents of a task) keeps its texts as numbers of its distinct words. It asks for
+the counts of its distinct runs of words by sending them, as 64-bit hashes with its own counts, to hash buckets, which
+add up and answer; a run, however frequent, is one entry a block. The test is a sum over tokens as well: blocks that know
+the counts add up their tokens' shares for each context, in fixed point, and buckets sum these and answer which contexts
+are nodes. Runs longer than two words are asked for only where the words before the last one occur `least` times in training. Depth d
+takes d + 1 such exchanges.
+
+Defined cases: a null text is empty and has the end as its one token; without training texts every token has probability
+one; repeated rows count as often as they occur; a null id is never held out; an empty table gives no rows; extra columns
+are ignored. Two runs of words whose 64-bit hashes agree would share a count.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,478 +36,297 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_bodies, block_tables, body_table, bytes_list, column_bytes, prepare, release, replayable, sliced, written
+from .common import block_tables, column_bytes, drop, from_planes, in_blocks, planes, prepare, release, replayable, written
 from .langid import held_out
-from .ngram_join import word_hashes
-
-DEPTH, COUNTED = 9, 5
-END, ESCAPE = 0, 1
-GROUPS = 128
-_FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256)], np.uint8)
-
-
-def normal_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts, lower-cased, each followed by one space, and the number of these bytes in each text."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    flat = _FOLD[np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)]
-    inside = flat != 32
-    keep = inside | np.concatenate(([False], inside[:-1]))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    return flat[keep], np.add.reduceat(keep, starts, dtype=np.int64)
-
-
-class Alphabet:
-    def __init__(self, counts: np.ndarray):
-        """counts: of each byte in the normalised training texts."""
-        own = np.argsort(-counts, kind="stable")
-        own = own[counts[own] > 0]
-        self.kinds = len(own) + 2  # 227 at most: 31 bytes are folded into others
-        self.bits = max(6, (self.kinds - 1).bit_length())
-        self.depth = min(DEPTH, 63 // self.bits - 1)
-        self.symbol = np.full(256, ESCAPE, np.uint8)
-        self.symbol[own] = np.arange(len(own)) + 2
-        rest = np.where(self.symbol == ESCAPE, counts + 0.5, 0.0)
-        self.extra = np.where(self.symbol == ESCAPE, np.log10(np.where(rest > 0, rest, 1) / max(rest.sum(), 1e-9)), 0.0)
-
-    def sequence(self, texts: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts (codes of the `depth` symbols before, of all that a code holds by default) and symbols of all scored places, each text's first one and
-        number of places, and the bytes at the places (space for the end)."""
-        flat, sizes = normal_bytes(texts)
-        depth = depth or self.depth
-        # depth ends before each text and one after it; the one after it and those before the next are apart
-        begin = np.concatenate(([0], np.cumsum(sizes + depth + 1)[:-1])) + depth
-        total = int((sizes + depth + 1).sum())
-        out, raw = np.zeros(total, np.uint8), np.full(total, 32, np.uint8)
-        at = np.arange(len(flat)) + np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        out[at], raw[at] = self.symbol[flat], flat
-        scored = np.ones(total, bool)
-        scored[(begin[:, None] - 1 - np.arange(depth)).ravel()] = False
-        places = np.flatnonzero(scored)
-        context = np.zeros(total, np.int64)
-        for d in range(depth, 0, -1):
-            context[depth:] = context[depth:] << self.bits | out[depth - d : total - d]
-        count = sizes + 1
-        return context[places], out[places], np.concatenate(([0], np.cumsum(count)[:-1])), count, raw[places]
-
-
-def count_bytes(train: DataFrame) -> np.ndarray:
-    """Of each byte, over rows (t)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for whole in batches:
-            for b in sliced(whole, 0, 1 << 20):
-                total += np.bincount(normal_bytes(bytes_list(b.column(0)))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], ["byte", "n"])
-
-    out = np.zeros(256, np.int64)
-    for r in train.mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        out[r["byte"]] = r["n"]
-    return out
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    heads = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
-    return codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
-
-
-def _packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    return zstandard.compress(np.diff(codes.astype(np.int64), prepend=0).astype("<i8").tobytes() + counts.astype("<i8").tobytes(), 1)
-
-
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zstandard.decompress(raw), "<i8")
-    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
-
-
-def _group(contexts: np.ndarray, bits: int) -> np.ndarray:
-    return (contexts & ((1 << 2 * bits) - 1)) * 2654435761 % (1 << 32) * GROUPS >> 32
-
-
-def count_grams(train: DataFrame, alphabet: Alphabet, depth: int = COUNTED, below: np.ndarray | None = None, fan_in: int = 32) -> DataFrame:
-    """group, grams (context and next symbol, with counts; packed), a few rows for each group. below: only contexts that
-    end with one of these, which are one symbol shorter."""
-    bits, shorter = alphabet.bits, (1 << alphabet.bits * (depth - 1)) - 1
-    sent = train.sparkSession.sparkContext.broadcast(below)
-    slot = lambda c: (c * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> 41
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        parts, part = [], TaskContext.get().partitionId()
-        if sent.value is not None:
-            likely = np.zeros(1 << 22, bool)
-            likely[slot(sent.value)] = True
-        for whole in batches:
-            for b in sliced(whole, 0, 4 << 20):
-                context, symbol, *_ = alphabet.sequence(bytes_list(b.column(0)), depth)
-                if sent.value is not None:
-                    at = np.flatnonzero(likely[slot(context & shorter)])
-                    context, symbol = context[at], symbol[at]
-                code, n = np.unique(context << bits | symbol, return_counts=True)
-                if sent.value is not None:
-                    end = code >> bits & shorter
-                    real = sent.value[np.minimum(np.searchsorted(sent.value, end), len(sent.value) - 1)] == end
-                    code, n = code[real], n[real]
-                parts.append((code, n.astype(np.int64)))
-                if len(parts) >= 8:
-                    parts = [_merge(parts)]
-        if parts:
-            codes, counts = _merge(parts)
-            group = _group(codes >> bits, bits)
-            order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-            found = [(k, _packed(codes[at], counts[at])) for k in range(GROUPS) if len(at := order[edges[k] : edges[k + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([part // fan_in] * len(found), pa.int32()), pa.array([g for _, g in found], pa.binary())], ["group", "part", "grams"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        codes, counts = _merge([_unpacked(g) for g in table.column("grams").to_pylist()])
-        return pa.table([table.column("group").slice(0, 1), pa.array([_packed(codes, counts)], pa.binary())], ["group", "grams"])
-
-    return train.mapInArrow(run, "group int, part int, grams binary").groupBy("group", "part").applyInArrow(merge, "group int, grams binary")
-
-
-def subtree(codes: np.ndarray, counts: np.ndarray, first: np.ndarray, bits: int, least: float, gain: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Depths, context codes, bars and next-symbol distributions of the nodes of depths 2 to COUNTED whose counts are given; the
-    bar is the largest divergence among a node and its descendants. first: the distribution of each symbol of depth 1."""
-    levels = []  # of each depth: contexts, their counts and parents, and the cells (context and next symbol) that occur
-    bars, above_ids = [], np.arange(len(first))
-    for d in range(2, COUNTED + 1):
-        cells, at = np.unique(codes & ((1 << bits * (d + 1)) - 1), return_inverse=True)
-        times = np.bincount(at, counts, len(cells))
-        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), np.diff(cells >> bits) != 0)))
-        n, size = np.add.reduceat(times, heads) if len(heads) else np.zeros(0), np.diff(np.append(heads, len(cells)))
-        use = np.repeat(n >= least, size)
-        ids, size, n, cells, times = (cells[heads] >> bits)[n >= least], size[n >= least], n[n >= least], cells[use], times[use]
-        row = np.repeat(np.arange(len(ids)), size)
-        up = np.searchsorted(above_ids, ids & ((1 << bits * (d - 1)) - 1))
-        if d == 2:
-            parent = first[up[row], cells & ((1 << bits) - 1)]
-        else:  # what follows a context follows its suffixes, so the cell is there
-            parent = above_p[np.searchsorted(above_cells, cells & ((1 << bits * d) - 1))]
-        above_p, above_cells, above_ids = (times + beta * parent) / (n[row] + beta), cells, ids
-        bars.append(np.bincount(row, times * np.log(times / n[row] / parent), len(ids)).astype(float))
-        levels.append((ids, n, up, row, cells & ((1 << bits) - 1), times))
-    for k in range(len(levels) - 1, 0, -1):
-        np.maximum.at(bars[k - 1], levels[k][2], bars[k])
-    depths, kept, probs, above, place = [], [], [], first, np.arange(len(first))
-    for d, ((ids, n, up, row, symbol, times), bar) in enumerate(zip(levels, bars), 2):
-        on = np.flatnonzero(bar >= gain)  # whose parents are on, too
-        here = np.full(len(ids), -1)
-        here[on] = np.arange(len(on))
-        made = beta * above[place[up[on]]]
-        sel = np.flatnonzero(here[row] >= 0)
-        made[here[row[sel]], symbol[sel]] += times[sel]
-        made /= (n[on] + beta)[:, None]
-        depths.append(np.full(len(on), d, np.int32))
-        kept.append(ids[on])
-        probs.append(made.astype("<f4"))
-        above, place = made, here
-    return np.concatenate(depths), np.concatenate(kept), np.concatenate([b[b >= gain] for b in bars]), np.vstack(probs)
-
-
-def deeper(codes: np.ndarray, counts: np.ndarray, depth: int, ids: np.ndarray, bars: np.ndarray, probs: np.ndarray, bits: int, least: float, gain: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As subtree, of `depth`, below the nodes given; a bar is no higher than the parent's, so that of any bar the nodes above
-    it are a tree."""
-    order = np.argsort(ids)
-    ids, bars, probs = ids[order], bars[order], probs[order]
-    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), np.diff(codes >> bits) != 0)))
-    size = np.diff(np.append(heads, len(codes)))
-    n, context = np.add.reduceat(counts, heads) if len(heads) else np.zeros(0), codes[heads] >> bits
-    up, row = np.searchsorted(ids, context & ((1 << bits * (depth - 1)) - 1)), np.repeat(np.arange(len(heads)), size)
-    symbol = codes & ((1 << bits) - 1)
-    divergence = np.bincount(row, counts * np.log(counts / n[row] / probs[up[row], symbol]), len(heads))
-    on = np.flatnonzero((n >= least) & (divergence >= gain))
-    here = np.full(len(heads), -1)
-    here[on] = np.arange(len(on))
-    made = beta * probs[up[on]].astype(float)
-    sel = np.flatnonzero(here[row] >= 0)
-    made[here[row[sel]], symbol[sel]] += counts[sel]
-    made /= (n[on] + beta)[:, None]
-    return np.full(len(on), depth, np.int32), context[on], np.minimum(divergence[on], bars[up[on]]).astype(float), made.astype("<f4")
-
-
-class Tree:
-    """Nodes are numbered by depth and code; 0 is the root."""
-
-    def __init__(self, alphabet: Alphabet, root: np.ndarray, depths: np.ndarray, codes: np.ndarray, probs: np.ndarray):
-        order = np.lexsort((codes, depths))
-        self.alphabet, self.depths, self.codes = alphabet, depths[order], codes[order]
-        self.logs = np.log10(np.vstack([root[None, :], probs[order]])).astype(np.float32)
-        self._tables = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tables": None}
-
-    def tables(self) -> tuple[int, np.ndarray, list[np.ndarray]]:
-        """A number of symbols, the state of each context of as many, and for each further depth the state that a symbol before
-        leads to."""
-        if self._tables is None:
-            bits, kinds = self.alphabet.bits, self.alphabet.kinds
-            flat = 3 if bits < 8 else 2
-            dense = np.zeros(1 << bits * flat, np.int32)
-            for d in range(1, flat + 1):
-                sel = np.flatnonzero(self.depths == d)
-                dense.reshape(-1, 1 << bits * d)[:, self.codes[sel]] = sel + 1
-            further = []
-            for d in range(flat + 1, self.alphabet.depth + 1):
-                sel, up = np.flatnonzero(self.depths == d), np.flatnonzero(self.depths == d - 1)
-                first = int(up[0]) if len(up) else 0
-                child = np.full((len(up), kinds), -1, np.int32)
-                if len(sel):
-                    child[np.searchsorted(self.codes[up], self.codes[sel] & ((1 << bits * (d - 1)) - 1)), self.codes[sel] >> bits * (d - 1)] = sel + 1
-                further.append((first + 1, child))
-            self._tables = flat, dense, further
-        return self._tables
-
-    def states(self, context: np.ndarray) -> np.ndarray:
-        """The node that is the longest suffix of each context."""
-        flat, dense, further = self.tables()
-        bits = self.alphabet.bits
-        state = dense[context & ((1 << bits * flat) - 1)]
-        live = None
-        for d, (first, child) in enumerate(further, flat + 1):
-            if not len(child):
+from .ngram_join import mix, word_hashes
+
+END = np.uint64(0xA0761D6478BD642F)
+_M = np.uint64(0x9E3779B97F4A7C15)
+UNIT = 1 << 12  # of a nat, in sums of the divergence test
+
+
+class Keys:
+    """The distinct hashes of an array, ascending, and the place among them of each."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = np.uint64(max(1, len(hashes).bit_length()))
+        low = (np.uint64(1) << bits) - np.uint64(1)
+        order = (np.sort(hashes & ~low | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
+        found = hashes[order]
+        if (found[1:] < found[:-1]).any():  # two hashes that differ in the lowest bits only
+            order = np.argsort(hashes, kind="stable")
+            found = hashes[order]
+        new = np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1]))
+        self.distinct, self.at = found[new], np.empty(len(hashes), np.int64)
+        self.at[order] = np.cumsum(new) - 1
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, values, len(self.distinct))
+
+
+class Block:
+    """A block's tokens, and what the corpus has answered about them so far."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, train: np.ndarray, options: dict):
+        self.o, self.sizes = options, counts + 1
+        self.ends = np.cumsum(self.sizes)
+        self.h = np.empty(int(self.sizes.sum()), np.uint64)
+        word = np.ones(len(self.h), bool)
+        word[self.ends - 1] = False
+        self.h[word], self.h[~word] = hashes, END
+        self.pos = np.arange(len(self.h)) - np.repeat(self.ends - self.sizes, self.sizes)
+        self.train = np.repeat(train, self.sizes)
+        self.runs = [self.h]  # the hash of the run of words that ends at each token, by length
+        for k in range(1, options["depth"] + 1):
+            self.runs.append(mix(self.runs[-1] * _M + np.concatenate((np.zeros(min(k, len(self.h)), np.uint64), self.h[:-k])) + np.uint64(k)))
+
+    def exchange(self, answers: list[dict[str, np.ndarray]], n: int, v: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """What to ask next, given the answers so far: hashes, ascending, with this block's counts or shares of the test.
+        Once all is answered, self.p, self.known and self.state are set instead."""
+        asked = {}
+        one, two = Keys(self.h), self._behind(1)
+        pair = Keys(self.runs[1][two])
+        if not answers:
+            return {"words": (one.distinct, one.sums(self.train)), "pairs": (pair.distinct, pair.sums(self.train[two]))}
+        self.known = answers[0]["words"][one.at]
+        self.p = (self.known + 0.1) / (n + 0.1 * (v + 1))
+        self.state = np.zeros(len(self.h), np.int8)
+        before, live, follow = self.known, two, answers[0]["pairs"][pair.at]
+        for k in range(1, self.o["depth"] + 1):
+            # live: tokens behind contexts of k words that may be nodes; follow: how often training has both
+            size = before[live - 1]
+            live, follow, size = live[size >= self.o["least"]], follow[size >= self.o["least"]], size[size >= self.o["least"]].astype(float)
+            context, s, p = Keys(self.runs[k - 1][live - 1]), size ** self.o["spread"], self.p[live]
+            # a context that two tokens follow, each once, is no node, and neither is one that a single token follows if that is
+            # not enough: whoever sees this need not ask, and the sum of no shares tells all others the same
+            use = self.train[live]
+            closed = use & ((size == 2) & (follow == 1) | (follow == size) & (size * np.log((size - 1 + s * p) / (size - 1 + s) / p) < self.o["gain"]))
+            open_ = context.sums(closed) == 0
+            if len(answers) == k:
+                share = np.zeros(len(live))
+                share[use] = np.log((follow[use] - 1 + s[use] * p[use]) / (size[use] - 1 + s[use]) / p[use])
+                asked["test"] = context.distinct[open_], np.rint(context.sums(share)[open_] * UNIT)
+            else:
+                passed = np.zeros(len(open_), bool)
+                passed[open_] = answers[k]["test"] > 0
+                node = passed[context.at]
+                self.p[live[node]] = (follow[node] + s[node] * p[node]) / (size[node] + s[node])
+                self.state[live[node]] = k
+            if k == self.o["depth"]:
                 break
-            live = np.flatnonzero((state >= first) & (state < first + len(child))) if live is None else live
-            down = child[state[live] - first, context[live] >> bits * (d - 1) & ((1 << bits) - 1)]
-            found = down >= 0
-            live = live[found]
-            state[live] = down[found]
-        return state
-
-    def symbol_logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return self.logs.ravel()[self.states(context).astype(np.int64) * self.alphabet.kinds + symbol].astype(np.float64)
-
-    def token_logs(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each token, in order: the words of a text, then its end."""
-        return _token_logs(self.alphabet, texts, self.symbol_logs)
-
-
-def _token_logs(alphabet: Alphabet, texts: list[bytes], symbol_logs: Callable) -> np.ndarray:
-    context, symbol, _, _, raw = alphabet.sequence(texts)
-    logs = symbol_logs(context, symbol)
-    escaped = np.flatnonzero(symbol == ESCAPE)
-    logs[escaped] += alphabet.extra[raw[escaped]]
-    ends = np.flatnonzero(raw == 32)
-    return np.add.reduceat(logs, np.concatenate(([0], ends[:-1] + 1)))
-
-
-class Forest:
-    """A tree in slices by group, each a broadcast of its own: all nodes that a context may need are in one slice."""
-
-    def __init__(self, alphabet: Alphabet, slices: list, of_group: np.ndarray):
-        self.alphabet, self.slices, self.of_group = alphabet, slices, of_group
-        self.most = 1 << 19 if len(slices) == 1 else 1 << 22  # bytes to score at once; slices are read once for these
-
-    def symbol_logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        if len(self.slices) == 1:
-            return self.slices[0].value.symbol_logs(context, symbol)
-        logs, part = np.empty(len(context)), self.of_group[_group(context, self.alphabet.bits)]
-        for k, sent in enumerate(self.slices):
-            at = np.flatnonzero(part == k)
-            if len(at):
-                logs[at] = sent.value.symbol_logs(context[at], symbol[at])
-                sent.__dict__.pop("_value", None)  # one slice in memory at a time
-        return logs
-
-    def token_logs(self, texts: list[bytes]) -> np.ndarray:
-        return _token_logs(self.alphabet, texts, self.symbol_logs)
-
-
-class Grown:
-    """The nodes of the tree of all rows (t): those of depth 1 here, the others in a table."""
-
-    def __init__(self, train: DataFrame, least: int = 16, gain: float = 20.0, beta: float = 4.0):
-        self.alphabet = Alphabet(count_bytes(train))
-        bits, kinds = self.alphabet.bits, self.alphabet.kinds
-        grams = written(count_grams(train, self.alphabet), "grams")
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(1 << 2 * bits, np.int64)
-            for b in batches:
-                for raw in b.column("grams").to_pylist():
-                    codes, counts = _unpacked(raw)
-                    np.add.at(total, codes & ((1 << 2 * bits) - 1), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["pair", "n"])
-
-        table = np.zeros(1 << 2 * bits)
-        for r in grams.mapInArrow(pairs, "pair int, n bigint").filter("n > 0").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-            table[r["pair"]] = r["n"]
-        table = table.reshape(1 << bits, -1)[:kinds, :kinds]
-        self.root = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * kinds)
-        first = (table + beta * self.root) / (table.sum(axis=1) + beta)[:, None]
-
-        def rows(group: int, found: tuple) -> pa.Table:
-            depths, ids, bars, probs = found
-            return pa.table([pa.array(np.full(len(ids), group, np.int32)), pa.array(depths), pa.array(ids), pa.array(bars), pa.array([p.tobytes() for p in probs], pa.binary())], ["group", "depth", "code", "bar", "p"])
-
-        def nodes(table: pa.Table) -> pa.Table:
-            codes, counts = _merge([_unpacked(g) for g in table.column("grams").to_pylist()])
-            return rows(table.column("group")[0].as_py(), subtree(codes, counts, first, bits, least, gain, beta))
-
-        def more(depth: int) -> Callable:
-            def run(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
-                codes, counts = _merge([_unpacked(g) for g in table.column("grams").to_pylist()] or [(np.zeros(0, np.int64),) * 2])
-                probs = np.frombuffer(b"".join(above.column("p").to_pylist()), "<f4").reshape(-1, kinds)
-                return rows(key[0].as_py(), deeper(codes, counts, depth, above.column("code").to_numpy(), above.column("bar").to_numpy(), probs, bits, least, gain, beta))
-
-            return run
-
-        fields = "group int, depth int, code bigint, bar double, p binary"
-        self.table = last = written(grams.groupBy("group").applyInArrow(nodes, fields), "nodes")
-        for depth in range(COUNTED + 1, self.alphabet.depth + 1):  # below the nodes of the depth before, while there are any
-            last = last.filter(F.col("depth") == depth - 1)
-            below = np.sort(last.select("code").toArrow().column(0).to_numpy())
-            if not len(below):
+            here = np.zeros(len(self.h), np.int64)  # of the run of k + 1 words that ends at each token
+            here[live] = follow
+            before, live = here, self._behind(k + 1)
+            live = live[before[live - 1] >= self.o["least"]]
+            run = Keys(self.runs[k + 1][live])
+            if len(answers) == k:
+                asked["runs"] = run.distinct, run.sums(self.train[live])
                 break
-            found = count_grams(train, self.alphabet, depth, below)
-            last = written(found.groupBy("group").cogroup(last.groupBy("group")).applyInArrow(more(depth), fields), "nodes")
-            self.table = self.table.union(last)
-        self.seen = np.flatnonzero(table.sum(axis=1) >= least)  # of depth 1, which are few, all that occur often enough
-        self.first = first[self.seen]
-
-    def tree(self, nodes: DataFrame) -> Tree:
-        """Of these rows of the table."""
-        got = nodes.select("depth", "code", "p").toArrow()
-        probs = np.frombuffer(b"".join(got.column("p").to_pylist()), "<f4").reshape(-1, self.alphabet.kinds)
-        return Tree(self.alphabet, self.root, np.concatenate((np.ones(len(self.seen), np.int32), got.column("depth").to_numpy())), np.concatenate((self.seen, got.column("code").to_numpy())), np.vstack((self.first.astype(np.float32), probs)))
-
-
-def grow(train: DataFrame, least: int = 16, gain: float = 20.0, beta: float = 4.0, most_nodes: int | None = None) -> Tree:
-    """The tree of all rows (t) in one piece, for corpora whose tree fits the driver; `most_nodes`, which `score` does not
-    use, keeps those of the highest bars."""
-    grown, bar = Grown(train, least, gain, beta), gain
-    if most_nodes is None:
-        return grown.tree(grown.table)
-    total = 0
-    for r in sorted(grown.table.groupBy(F.floor(F.log("bar") * 16).alias("k")).count().collect(), key=lambda r: -r["k"]):  # the highest bars first, as many as fit
-        total += r["count"]
-        if total > most_nodes:
-            break
-        bar = float(np.exp(r["k"] / 16))
-    return grown.tree(grown.table.filter(F.floor(F.log("bar") * 16) >= int(np.floor(np.log(bar) * 16 + 1e-6))))
-
-
-def grow_slices(train: DataFrame, slice_nodes: int = 1 << 15, **settings) -> Forest:
-    """The tree of all rows (t), every node of it; a slice has at most slice_nodes nodes or one group."""
-    grown, of_group, have, slices = Grown(train, **settings), np.zeros(GROUPS, np.int64), 0, 1
-    for r in sorted(grown.table.groupBy("group").count().collect(), key=lambda r: r["group"]):
-        if have and have + r["count"] > slice_nodes:
-            slices, have = slices + 1, 0
-        of_group[r["group"] :] = slices - 1
-        have += r["count"]
-    edges = np.searchsorted(of_group, np.arange(slices + 1)).tolist()
-    send = train.sparkSession.sparkContext.broadcast
-    sent = []
-    for a, b in zip(edges, edges[1:]):
-        sent.append(send(grown.tree(grown.table.filter(F.col("group").between(a, b - 1)))))
+            follow = answers[k]["runs"][run.at]
+        return asked
+
+    def _behind(self, k: int) -> np.ndarray:
+        """The tokens that have k words before them."""
+        return np.flatnonzero(self.pos >= k)
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(keys >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+
+
+def _questions(block: int, asked: dict[str, tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    edges = {name: _edges(keys, buckets) for name, (keys, _) in asked.items()}
+    found = []
+    for k in range(buckets):
+        parts, sizes = [], {}
+        for name, (keys, values) in asked.items():
+            s = slice(edges[name][k], edges[name][k + 1])
+            sizes[name] = int(s.stop - s.start)
+            v = values[s].astype(np.int64)
+            parts += [planes(np.diff(keys[s], prepend=np.uint64(0))), planes(((v << 1) ^ (v >> 63)).view(np.uint64))] if sizes[name] else []
+        if any(sizes.values()):
+            found.append((k, zstandard.compress(pickle.dumps((sizes, b"".join(parts))), 1)))
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.int32()), pa.array([z for _, z in found], pa.binary())], ["block", "bucket", "packed"])
+
+
+def _answer(gain: float) -> Callable:
+    """Sums a bucket's questions of all blocks; nodes for the test."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = []
+        for raw in map(zstandard.decompress, table.column("packed").to_pylist()):
+            sizes, flat = pickle.loads(raw)
+            at, found = 0, {}
+            for name, n in sizes.items():
+                zigzag = from_planes(flat[at + 8 * n : at + 16 * n], n)
+                found[name] = np.cumsum(from_planes(flat[at : at + 8 * n], n), dtype=np.uint64), (zigzag >> np.uint64(1)).view(np.int64) ^ -(zigzag & np.uint64(1)).view(np.int64)
+                at += 16 * n
+            asked.append(found)
+        out, total, kinds = [{} for _ in asked], 0, 0
+        for name in sorted(set().union(*asked)):
+            have = [i for i, found in enumerate(asked) if name in found]
+            keys = Keys(np.concatenate([asked[i][name][0] for i in have]))
+            sums = np.zeros(len(keys.distinct), np.int64)
+            np.add.at(sums, keys.at, np.concatenate([asked[i][name][1] for i in have]))
+            if name == "words":
+                total, kinds = int(sums.sum()), int((sums > 0).sum())
+            every, at = (sums >= gain * UNIT).astype(np.uint8) if name == "test" else sums.astype(np.uint64), 0
+            for i in have:
+                n = len(asked[i][name][0])
+                got = every[keys.at[at : at + n]]
+                out[i][name] = got.tobytes() if name == "test" else planes(got)
+                at += n
+        packed = [zstandard.compress(pickle.dumps(o), 1) for o in out]
         release()
-    return Forest(grown.alphabet, sent, of_group)
+        first = [1] + [0] * (len(out) - 1)
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(packed, pa.binary()), pa.array([total * f for f in first], pa.int64()), pa.array([kinds * f for f in first], pa.int64())], ["block", "bucket", "packed", "n", "v"])
 
+    return run
 
-class Words:
-    """A block's distinct words as hashes, ascending, and how its texts use them."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int):
-        hashes, self.counts = word_hashes(texts)
-        self.distinct, self.at = np.unique(hashes, return_inverse=True)
-        self.train_counts = np.bincount(self.at[np.repeat(train, self.counts)], minlength=len(self.distinct)).astype(np.int64)
-        self.edges = np.searchsorted(self.distinct >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+def _received(told: pa.Table, steps: int) -> list[dict[str, np.ndarray]]:
+    """The answers of each exchange, in the order of the questions."""
+    out = []
+    step, bucket, packed = told.column("step").to_numpy(), told.column("bucket").to_numpy(), told.column("packed").to_pylist()
+    for k in range(steps):
+        at = np.flatnonzero(step == k)
+        parts = [pickle.loads(zstandard.decompress(packed[i])) for i in at[np.argsort(bucket[at])]]
+        found = {}
+        for name in ("words", "pairs", "test", "runs"):
+            if name == "test":
+                found[name] = np.frombuffer(b"".join(p.get(name, b"") for p in parts), np.uint8)
+            else:
+                found[name] = np.concatenate([np.zeros(0, np.int64), *(from_planes(p[name], len(p[name]) // 8).astype(np.int64) for p in parts if name in p)])
+        out.append(found)
+    return out
 
 
-def _word_rows(kept: int, block_bytes: int, buckets: int) -> Callable:
+def _bodies(kept: int, block_bytes: int) -> Callable:
+    """Blocks as numbers: the hashes of words that occur more than once in the block and of each word its place among these,
+    from 1 on, or 0 for one that occurs once, whose hashes follow in their order."""
     blocks = block_tables(kept, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches):
-            words = Words(column_bytes(table, kept), ~table.column("held_out").to_numpy().astype(bool), buckets)
-            out = []
-            for k in np.flatnonzero(np.diff(words.edges)).tolist():
-                s = slice(words.edges[k], words.edges[k + 1])
-                out.append((k, zstandard.compress(np.diff(words.distinct[s], prepend=np.uint64(0)).tobytes() + words.train_counts[s].astype("<u4").tobytes(), 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([z for _, z in out], pa.binary())], ["bucket", "block", "words"])
+            hashes, counts = word_hashes(column_bytes(table, kept))
+            words = Keys(hashes)
+            times = np.bincount(words.at, minlength=len(words.distinct))
+            rank = np.argsort(-times, kind="stable")[: int((times > 1).sum())]
+            place = np.zeros(len(times), np.uint32)
+            place[rank] = np.arange(len(rank)) + 1
+            at = place[words.at]
+            sink = pa.BufferOutputStream()
+            rest = table.select(range(kept))
+            with pa.ipc.new_stream(sink, rest.schema) as w:
+                w.write_table(rest)
+            body = pickle.dumps((sink.getvalue().to_pybytes(), words.distinct[rank], hashes[at == 0], counts, at.view(np.uint8).reshape(-1, 4).T.copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.compress(body, 3)], pa.binary())], ["block", "packed"])
 
     return run
 
 
-def _sum_words(table: pa.Table) -> pa.Table:
-    parts = []
-    for raw in map(zstandard.decompress, table.column("words").to_pylist()):
-        n = len(raw) // 12
-        parts.append((np.cumsum(np.frombuffer(raw[: 8 * n], np.uint64), dtype=np.uint64), np.frombuffer(raw[8 * n :], "<u4").astype(np.int64)))
-    words, counts = _merge(parts)
-    out = [zstandard.compress(counts[np.searchsorted(words, w)].astype("<u8").tobytes(), 1) for w, _ in parts]
-    first = [True] + [False] * (len(out) - 1)
-    return pa.table([table.column("bucket"), table.column("block"), pa.array(out, pa.binary()), pa.array([int(counts.sum()) if f else 0 for f in first]), pa.array([int((counts > 0).sum()) if f else 0 for f in first])], ["bucket", "block", "counts", "n", "v"])
+def _opened(bodies: pa.Table | pa.RecordBatch, options: dict) -> tuple[pa.Table, Block]:
+    rest, often, once, counts, at = pickle.loads(zstandard.decompress(bodies.column("packed")[0].as_py()))
+    table = pa.ipc.open_stream(rest).read_all()
+    at = np.ascontiguousarray(at.T).view(np.uint32).ravel()
+    hashes = np.append(np.uint64(0), often)[at]
+    hashes[at == 0] = once
+    return table, Block(hashes, counts, ~table.column("held_out").to_numpy().astype(bool), options)
 
 
-def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, share: float = 0.5, slice_nodes: int = 1 << 15) -> DataFrame:
+def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 8 << 20, depth: int = 3, least: int = 2, gain: float = 8.0, spread: float = 0.6) -> DataFrame:
     """`keep` columns, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows that are not held out."""
     prepare(docs.sparkSession)
     out = held_out(10, 0) if is_held_out is None else is_held_out
     base = docs.select(*keep, out.alias("held_out"), F.col(text).alias("_text"))
     if not replayable(base):
         base = written(base, "scoring")
-    kept = len(keep) + 1
-    train = base.filter("not held_out").select(F.col("_text").alias("t"))
-    forest = grow_slices(train, slice_nodes)
-    buckets = max(32, 2 * base.rdd.getNumPartitions())
-    sums = written(base.mapInArrow(_word_rows(kept, block_bytes, buckets), "bucket int, block bigint, words binary").groupBy("bucket").applyInArrow(_sum_words, "bucket int, block bigint, counts binary, n bigint, v bigint"), "words")
-    n, v = sums.agg(F.sum("n"), F.sum("v")).first()
-    texts = train.count()
-    n, v = (n or 0) + texts, (v or 0) + (texts > 0)
+    kept, parts = len(keep) + 1, base.rdd.getNumPartitions()
+    options, buckets = {"depth": depth, "least": least, "gain": gain, "spread": spread}, max(32, 4 * parts)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep, "held_out").schema)
+    bodies = written(base.mapInArrow(_bodies(kept, block_bytes), "block bigint, packed binary"), "blocks")
+    row = "block bigint, bucket int, packed binary"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                yield _questions(one.column("block")[0].as_py(), _opened(one, options)[1].exchange([], 0, 0), buckets)
+                release()
+
+    questions, told, n, v = bodies.mapInArrow(first, row), None, 0, 0
+    for step in range(depth + 1):
+        summed = questions.groupBy("bucket").applyInArrow(_answer(gain), f"{row}, n bigint, v bigint")
+        answers = written(summed.withColumn("step", F.lit(step)), "answers")
+        if step == 0:
+            n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
+        told = answers if told is None else told.union(answers)
+        if step < depth:
+            questions = in_blocks(bodies, told, 4 * parts).applyInArrow(_next(step + 1, n, v, buckets, options), row)
+        drop()
+
+    def last(bodies: pa.Table, told: pa.Table) -> pa.Table:
+        release()
+        table, block = _opened(bodies, options)
+        block.exchange(_received(told, depth + 1), n, v)
+        total = lambda x: np.add.reduceat(x, block.ends - block.sizes) if len(block.sizes) else x
+        base_score = total(np.log10(block.known + 0.1)) - block.sizes * np.log10(n + 0.1 * (v + 1))
+        columns = [pa.array(block.sizes), pa.array(total((block.known > 0).astype(np.int64))), pa.array(np.full(len(block.sizes), n, np.int64)), pa.array(base_score), pa.array(total(np.log10(block.p)))]
+        return pa.table([*table.columns, *columns], [*table.column_names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    def run(bodies: pa.Table, counts: pa.Table) -> pa.Table:
+    return in_blocks(bodies, told, 4 * parts).applyInArrow(last, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _next(steps: int, n: int, v: int, buckets: int, options: dict) -> Callable:
+    def run(bodies: pa.Table, told: pa.Table) -> pa.Table:
         release()
-        table = body_table(bodies)
-        texts_here = column_bytes(table, kept)
-        words = Words(texts_here, np.zeros(len(texts_here), bool), buckets)
-        c = np.full(len(words.distinct), -1, np.int64)
-        for bucket, packed in zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist()):
-            got = np.frombuffer(zstandard.decompress(packed), "<u8")
-            if len(got) != words.edges[bucket + 1] - words.edges[bucket]:
-                raise RuntimeError("the documents changed between two passes; write them as a table first")
-            c[words.edges[bucket] : words.edges[bucket + 1]] = got
-        if (c < 0).any():
-            raise RuntimeError("the documents changed between two passes; write them as a table first")
-        tokens = words.counts + 1
-        last = np.cumsum(tokens) - 1
-        count = np.empty(int(tokens.sum()), np.int64)  # of each token, in order
-        word = np.ones(len(count), bool)
-        word[last] = False
-        count[word], count[last] = c[words.at], texts
-        firsts = last - words.counts
-        total = lambda x: np.add.reduceat(x, firsts) if len(firsts) else x
-        base_score = total(np.log10(count + 0.1)) - tokens * np.log10(n + 0.1 * (v + 1))
-        tree_logs, start = [], 0
-        while start < len(texts_here):
-            end, size = start, 0
-            while end < len(texts_here) and (end == start or size + len(texts_here[end]) <= forest.most):
-                size += len(texts_here[end])
-                end += 1
-            tree_logs.append(forest.token_logs(texts_here[start:end]))
-            start = end
-        logs = np.concatenate(tree_logs)
-        if n:
-            known = np.flatnonzero(count)
-            apart = np.log10(1 - share)
-            unigram = np.log10(count[known] / n) + np.log10(share)
-            high = np.maximum(unigram, logs[known] + apart)
-            logs += apart
-            logs[known] = high + np.log10(10 ** (unigram - high) + 10 ** (logs[known] - high))
-        scores = total(logs)
-        out = [pa.array(tokens.astype(np.int64)), pa.array(total((count > 0).astype(np.int64))), pa.array(np.full(len(tokens), n, np.int64)), pa.array(base_score), pa.array(scores)]
-        return pa.table([*table.columns[:kept], *out], [*table.column_names[:kept], "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    bodies = block_bodies(base, kept, block_bytes)
-    return bodies.groupBy("block").cogroup(sums.drop("n", "v").groupBy("block")).applyInArrow(run, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        _, block = _opened(bodies, options)
+        asked = block.exchange(_received(told, steps), n, v)
+        return pa.Table.from_batches([_questions(bodies.column("block")[0].as_py(), asked, buckets)])
+
+    return run
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The columns that the query returns."""
     return score(docs)
+
+
+def reference(docs: list[tuple[int, str | None, bool]], depth: int = 3, least: int = 2, gain: float = 8.0, spread: float = 0.6) -> tuple[Callable, set[tuple]]:
+    """By the definition, from rows (id, text, held out) with counts of tuples of words: the probability of a token behind
+    others, and the nodes; for tests."""
+    from collections import Counter, defaultdict
+
+    train = [_tokens(t) for _, t, out in docs if not out]
+    grams = Counter(tuple(w[a : a + k]) for w in train for k in range(1, depth + 2) for a in range(len(w) - k + 1))
+    n, v = sum(map(len, train)), len({w for t in train for w in t})
+    nodes: set[tuple] = set()
+
+    def p(behind: tuple, w) -> float:
+        context = behind[max(0, len(behind) - depth) :]
+        if not context:
+            return (grams[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        below = p(context[1:], w)
+        return (grams[(*context, w)] + grams[context] ** spread * below) / (grams[context] + grams[context] ** spread) if context in nodes else below
+
+    for k in range(1, depth + 1):
+        tests: dict[tuple, float] = defaultdict(float)
+        for t in train:
+            for j in range(k, len(t)):
+                c = tuple(t[j - k : j])
+                if grams[c] >= least:
+                    s, q = grams[c] ** spread, p(c[1:], t[j])
+                    tests[c] += np.log((grams[(*c, t[j])] - 1 + s * q) / (grams[c] - 1 + s) / q)
+        nodes |= {c for c, x in tests.items() if x >= gain}
+    return p, nodes
+
+
+def _tokens(text: str | None) -> list[bytes | None]:
+    return [*(text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split(), None]
+
+
+def brute_force(docs: list[tuple[int, str | None, bool]], **options) -> dict[int, tuple[float, float]]:
+    """Base and score of each text; for tests."""
+    p, _ = reference(docs, **options)
+    texts = {i: _tokens(t) for i, t, _ in docs}
+    return {i: (sum(np.log10(p((), w)) for w in t), sum(np.log10(p(tuple(t[:j]), w)) for j, w in enumerate(t))) for i, t in texts.items()}
