@@ -59,17 +59,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _made.discard(path)
 
 
-def drop(*tables: DataFrame) -> None:
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that `written` gave; no plan that is still to run may read them. Shuffle files of finished jobs go, too:
-    Spark removes these when the driver's JVM collects what refers to them, which may else be half an hour later."""
+    Spark removes them when the driver's JVM collects what refers to them, which may else be half an hour later. It holds on
+    to the last job until another one runs."""
     for df in tables:
         for file in df.inputFiles()[:1]:
             path = file.rsplit("/", 1)[0]
             for made in [m for m in _made if path.endswith(re.sub(r"^\w+:/*", "/", m))]:
-                drop_path(df.sparkSession, made)
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark._jvm.System.gc()
+                drop_path(spark, made)
+    spark.range(1).count()
+    spark._jvm.System.gc()
 
 
 def _drop_all() -> None:
@@ -219,7 +219,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         before, cur = cur, written(small, "edges")
-        drop(before)
+        drop(cur.sparkSession, before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     spark = cur.sparkSession

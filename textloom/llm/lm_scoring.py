@@ -263,7 +263,7 @@ def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str
         told = answers if told is None else told.union(answers)
         if step < depth:
             questions = in_blocks(bodies, told, 4 * parts).applyInArrow(_next(step + 1, n, v, buckets, options), row)
-        drop()
+        drop(docs.sparkSession)
 
     def last(bodies: pa.Table, told: pa.Table) -> pa.Table:
         release()

@@ -48,6 +48,7 @@ from .common import block_tables, bytes_list, column_bytes, connected_components
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 DEALS = 12
+PRECISION = 16
 TILE_BITS = 48  # tiles that agree by chance cost a comparison, no more
 
 
@@ -161,10 +162,11 @@ def tiles(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray, num: int, den: int) -> bytes:
-    """A hashed bitmap of the set: a bit is set if an odd number of shingles falls on it. It has four bits or more for each
-    shingle in which a set of this size may differ from one that links, as a power of two of 64-bit words."""
+    """A hashed bitmap of the set: a bit is set if an odd number of shingles falls on it. It has PRECISION bits or more for each
+    shingle in which a set of this size may differ from one that links, as a power of two of 64-bit words: then sets that
+    differ in a seventh more are told apart, as few shingles fall together."""
     words = 1
-    while 16 * words < (den - num) * 2 * len(s) // (den + num):
+    while 64 * words < PRECISION * (den - num) * 2 * len(s) // (den + num):
         words *= 2
     odd = np.bincount(((s >> np.uint64(7)) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -342,7 +344,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     across = rows.filter("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet, "tile bigint, a bigint, b bigint")
     shared = written(rows.filter("tile is not null").select("tile", "a", "b").union(across), "shared")
     found = written(rows.filter("n is not null").select("id", "n", "s", "bits"), "sets")
-    drop(rows)
+    drop(spark, rows)
     signs = found.filter("bits is not null")
     pairs = written(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
     edges = written(verify(pairs, signs, base, k, num, den), "links")
@@ -357,13 +359,13 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         mixed = written(placed.withColumns({c: f.over(of_tile) for c, f in figures.items()}).filter("lo <> hi and m > 2").drop("lo", "hi"), "mixed")
         one = mixed.groupBy("x", "y", "m").agg(F.min("tile").alias("tile")).select("tile")
         rest = written(mixed.join(one, "tile").drop("x", "y"), "open")
-        drop(mixed)
+        drop(spark, mixed)
         open_rows, sure = rest.agg(F.count("*"), F.sum("m")).first()
         if not open_rows:
             break
         every = every or sure <= few * open_rows  # an open tile's size, on average over its rows
         more = written(_across(rest.join(signs.select(F.col("id").alias("b"), F.col("n").alias("size"), "bits"), "b"), open_rows, num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-        drop(rest)
+        drop(spark, rest)
         new = written(verify(more, signs, base, k, num, den), "links")
         linked = not new.isEmpty()
         if linked:
@@ -372,7 +374,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         if every:  # all pairs across components have been compared
             break
         every, pairs = not linked, written(pairs.union(more), "pairs")
-    drop(shared, pairs)
+    drop(spark, shared, pairs)
     classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("bits").isNotNull(), F.col("id"))).alias("node"))
     classes = classes.join(roots, "node", "left").select("s", "n", "lo", F.coalesce("root", "node").alias("root"))
     labels = classes.groupBy("root").agg(F.min("lo").alias("component_id"))
@@ -457,7 +459,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: s
     gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "copies")
     left = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, doc_id, "left_anti").select(*docs.columns)
     again = written(found.filter("component_id = doc_id").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "repeated")
-    drop(found)
+    drop(docs.sparkSession, found)
     if again.isEmpty():
         return left
     return left.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(left.join(again, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]))
