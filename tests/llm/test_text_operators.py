@@ -91,6 +91,78 @@ def test_extraction_of_odd_pages(html, text):
     assert html_extract.extract_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article>{BODY}<p class='notice-period'>n</p><div class='social-history'><p>s</p></div><p class=life-form>l</p></article>", PLAIN + "\nn\ns\nl"),
+        (f"<body><article><p>Take <math><mi>x</mi></math> and <label>a label</label>.</p>{BODY}</article></body>", "Take x and a label.\n" + PLAIN),
+        (f"<body><main><article>{BODY}</article><article>{BODY}</article></main><div class=ad>Buy this now.</div></body>", PLAIN + "\n" + PLAIN),
+        (f"<body><main><h1>Title</h1><article>{BODY}</article></main></body>", "Title\n" + PLAIN),
+        (f"<body><ul><li><a href=a>A</a><li><a href=b>B</a></ul><div><div>{BODY}</div></div><div>Buy this, it is cheap.</div></body>", PLAIN),
+        (f"<body><form><nav><a href=a>A</a></nav><div>{BODY}</div><input name=q></form></body>", PLAIN),
+        (f"<body><header><div><article>{BODY}</article></div></body>", PLAIN),
+        (f"<article>{BODY}<ul><li><a href=a>One link</a><li><a href=b>Another</a></ul><article><p>I like this.</p></article></article>", PLAIN),
+        (f"<body><p>{'word ' * 40}</p><p>{'more ' * 40}</p></body>", ("word " * 40).strip() + "\n" + ("more " * 40).strip()),
+    ],
+)
+def test_extraction_goes_by_density(html, text):
+    assert html_extract.extract_text(html) == text
+
+
+def test_names_decide_nothing_on_the_tables_pages(monkeypatch):
+    pages = [p["html"] for p in rows_of("pages")]
+    found = [html_extract.extract_text(h) for h in pages]
+    monkeypatch.setattr(html_extract, "NAMES", frozenset())
+    assert [html_extract.extract_text(h) for h in pages] == found
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_densities_by_their_definition(seed):
+    """Characters, tags and links counted anew for every node, and the formula as it is published."""
+    import math
+    import random
+
+    rng = random.Random(seed)
+    made = lambda depth: "".join(rng.choice(["some words ", f"<p>{'w ' * rng.randrange(9)}</p>", f"<a href=x>{'l' * rng.randrange(1, 9)}</a>", f"<div>{made(depth - 1) if depth else ''}</div>", "<br>", "<b>bold</b>"]) for _ in range(rng.randrange(1, 7)))
+    root = html_extract.parse(f"<body>{made(3)}</body>")
+    html_extract.clear(root)
+
+    def figures(node, link=False):
+        c = t = lc = lt = 0
+        for p in node.parts:
+            if isinstance(p, str):
+                c, lc = c + len("".join(p.split())), lc + link * len("".join(p.split()))
+            else:
+                inner = figures(p, link or p.tag == "a")
+                c, t, lc, lt = c + inner[0], t + 1 + inner[1], lc + inner[2], lt + inner[3] + (p.tag == "a" or link)
+        return c, t, lc, lt
+
+    body = figures(root)
+    for node in html_extract.measure(root):
+        c, t, lc, lt = figures(node, node.tag == "a")
+        assert (node.c, node.t, node.lc) == (c, t, lc)
+        lt = node.lt
+        if c:
+            base = math.log(c / max(c - lc, 1) * lc + body[2] / max(body[0], 1) * c + math.e)
+            assert node.density == pytest.approx(c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)), 1e-7) / base, abs=1e-4)
+        assert node.total == pytest.approx(sum(p.density for p in node.children() if p.tag not in html_extract.FORMATTING))
+
+
+def test_extraction_of_deep_and_long_pages_takes_linear_time():
+    import time
+
+    def took(html):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            html_extract.extract_text(html)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    for page in (lambda n: "<div>" * n + "</p>x</i>" * n, lambda n: "<span>" * n + "<p>x</p>" * n, lambda n: "<form>" * n + "x" + "<ul><li>y" * n, lambda n: "<header><b>" * n + "z"):
+        assert took(page(8000)) < 40 * took(page(800)) + 0.2
+
+
 def test_extraction_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<p>x", "t"), (2, "v", "<p>" + LONG + "</p>", "t")], "page_id long, url string, html string, text string")
     got = html_extract.digest(pages).collect()

@@ -6,10 +6,17 @@ composite density is
     C / T * log(C * T / (LC * LT)), the logarithm to base ln(C / (C - LC) * LC + lb / cb * C + e)
 
 where lb and cb are the body's link characters and characters: characters a tag, less the more of them are links. A node's
-density sum is that of its children's densities. The threshold is the least density on the path from the body to the
-node with the largest density sum, the core of the main text; see main_text() for what stays beside it.
+density sum is that of its children's densities, but for those that only mark words within a line. The core is the node below the body with the
+largest sum, or the body if none has any. The threshold is the least density on the path from the body to the core.
 
-Before that, what is never main text goes by its tag, role or name (BOILERPLATE, LABELS): it would otherwise count.
+The main text is the core's whole subtree, without parts that are mostly links (several of them) and less dense than the
+threshold, and without small parts that a class or id names as a whole as adverts, comments and the like (NAMES).
+Beside the path, a subtree stays if its density and its density sum reach the threshold, as a second article's do, or if
+it is a paragraph, list, table or the like as dense as that and not mostly links; headings right on the path stay. No name of a class or id counts in finding the core.
+
+By their tag go what is no text of the page (scripts, controls, media), and navigation, asides, footers, forms and
+headers outside articles, unless one holds more than half of the page's characters, as a form around a whole page does;
+by their attributes, what is hidden or has the role of such a part; and articles inside the article, which are comments.
 Texts of blocks have white space runs, also from character references, as one space, are trimmed and joined by line breaks.
 
 Parsing follows HTML's rules where they matter here: raw text in script, style and the like ends only at its own end tag,
@@ -24,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,27 +45,23 @@ from .common import prepare, sliced
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-BOILERPLATE = frozenset("head script style noscript template iframe object embed svg canvas math audio video map nav aside footer form button input select option textarea label fieldset dialog menu noembed noframes".split())
+NO_TEXT = frozenset("head script style noscript template iframe object embed svg canvas audio video map button input select option textarea dialog menu noembed noframes".split())
+ASIDE = frozenset("nav aside footer form fieldset header".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "optgroup", "option", "legend"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 SCOPE = frozenset("table td th ul ol dl article section main body html div blockquote aside nav footer header form".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span abbr cite q sub sup mark ins del time kbd var samp".split())
+HEADING = frozenset("h1 h2 hgroup".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure details".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status tablist".split())
-LABELS = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|adslot|banner|sponsor|sponsored|promo|promotion|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|widget|widgets|toolbar|"
-    r"footer|masthead|site-?header|page-?header|header|topbar|"
-    r"cookie|cookies|consent|gdpr|notice|notices|notification|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|"
-    r"comment|comments|commentlist|discussion|disqus|replies|respond|"
-    r"share|sharing|social|related|recommended|recommendations|trending|tags|tagcloud|skip|toc|search|form|copyright)(?![a-z])"
-)
+#: Names that say in one word what a part within an article is; they must be the whole name.
+NAMES = frozenset("ad ads advert advertisement sponsored promo comments comment-list disqus_thread sidebar cookie-notice newsletter share related breadcrumb breadcrumbs pagination".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"\s+")
 
 
-NEVER, UNLESS = 1, 2
+NEVER, UNLESS, NAMED = 1, 2, 3
 
 
 class Node:
@@ -66,32 +70,24 @@ class Node:
     def __init__(self, tag: str, drop: int = 0):
         self.tag, self.parts, self.drop = tag, [], drop
 
+    def children(self) -> list[Node]:
+        return [p for p in self.parts if not isinstance(p, str)]
+
 
 def dropped(tag: str, attributes: str) -> int:
-    """Whether the element is never main text: NEVER, or UNLESS it holds the article, by its name only."""
-    if tag in BOILERPLATE:
+    """Whether the element is never main text: NEVER, or UNLESS it holds most of the page, or NAMED as no part of the article."""
+    if tag in NO_TEXT:
         return NEVER
-    if not attributes or tag in ("html", "body", "main", "article") or "=" not in attributes and "hidden" not in attributes:
-        return NEVER if attributes and "hidden" in attributes.split() else 0
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return NEVER
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return NEVER
-        if name in ("class", "id") and LABELS.search(re.sub(r"[_\s]", "-", re.sub(r"(?<=[a-z])(?=\d)", "-", value))):
-            return UNLESS
-    return 0
-
-
-def holds_article(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        at = todo.pop()
-        if at.tag in ("article", "main") and not at.drop:
-            return True
-        todo.extend(p for p in at.parts if not isinstance(p, str) and p.drop != NEVER)
-    return False
+    if attributes and tag not in ("html", "body", "main", "article"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return NEVER
+            if name == "role" and value in ROLES:
+                return UNLESS
+            if name in ("class", "id") and not NAMES.isdisjoint(value.split()):
+                return NAMED
+    return UNLESS if tag in ASIDE else 0
 
 
 def parse(html: str) -> Node:
@@ -99,6 +95,12 @@ def parse(html: str) -> Node:
     root = Node("html")
     stack, at, n = [root], 0, len(html)
     find = _TOKEN.search
+    open_tags: Counter[str] = Counter()  # of the stack, so that no tag is looked for in vain
+
+    def close(k: int) -> None:
+        open_tags.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = find(html, at)
         if m is None:
@@ -112,54 +114,58 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if not open_tags[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in FORMATTING and stack[k].tag in SCOPE:
                     break  # a formatting element's end does not close what holds it
             continue
         if tag in ("html", "body"):
-            if tag == "body" and any(x.tag == "head" for x in stack):
-                del stack[next(k for k, x in enumerate(stack) if x.tag == "head") :]
+            if tag == "body" and open_tags["head"]:
+                close(next(k for k, x in enumerate(stack) if x.tag == "head"))
             continue
         if tag not in ("title", "meta", "link", "base", "script", "style", "noscript", "template") and stack[-1].tag == "head":
-            stack.pop()  # content ends the head
-        if tag in CLOSES_P or tag in IMPLIED:
-            implied = IMPLIED.get(tag, frozenset())
+            close(len(stack) - 1)  # content ends the head
+        implied = IMPLIED.get(tag, frozenset())
+        if tag in CLOSES_P and open_tags["p"] or any(open_tags[x] for x in implied):
             for k in range(len(stack) - 1, 0, -1):
                 name = stack[k].tag
                 if name == "p" and tag in CLOSES_P or name in implied:
-                    del stack[k:]
+                    close(k)
                     if name == "p" or tag in ("li", "dt", "dd", "option"):
                         break
                 elif name in SCOPE and name not in ("td", "th") or name in SCOPE and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot"):
                     break
-        node = Node(tag, dropped(tag, m[3] or "") or (UNLESS if tag == "header" and not any(x.tag in ("article", "main") for x in stack) else 0))
+        drop = dropped(tag, m[3] or "")
+        inside = open_tags["article"] or open_tags["main"]
+        node = Node(tag, 0 if tag == "header" and drop == UNLESS and inside else NEVER if tag == "article" and open_tags["article"] else drop)
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             node.parts.append(html[at : end.start() if end else n])
             at = end.end() if end else n
             node.drop = NEVER
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag not in ("svg", "path", "g", "use", "rect", "circle"):
+        elif tag not in VOID and not ((m[3] or "").endswith("/") and tag in ("svg", "path", "g", "use", "rect", "circle")):
             stack.append(node)  # a slash means nothing on an element with content
+            open_tags[tag] += 1
     return root
 
 
-def measure(root: Node) -> list[Node]:
-    """Sets the figures of all nodes that stay; they are returned, children before parents."""
+def in_order(root: Node) -> list[Node]:
+    """All nodes, children before parents."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        node.parts = [p for p in node.parts if isinstance(p, str) or not p.drop or p.drop == UNLESS and node.tag not in ("article", "main") and holds_article(p)]
-        todo.extend(p for p in node.parts if not isinstance(p, str))
-    order.reverse()
+        todo.extend(node.children())
+    return order[::-1]
+
+
+def count(order: list[Node]) -> None:
+    """Sets the characters, tags, link characters and link tags of the nodes."""
     for node in order:
         c = t = lc = lt = 0
         for p in node.parts:
@@ -170,8 +176,25 @@ def measure(root: Node) -> list[Node]:
         if node.tag == "a":
             lc, lt = c, t
         node.c, node.t, node.lc, node.lt = c, t, lc, lt
-    body = order[-1]
-    share = body.lc / body.c if body.c else 0.0
+
+
+def clear(root: Node) -> None:
+    """Takes out what goes by its tag or attributes."""
+    for node in in_order(root):
+        node.parts = [p for p in node.parts if isinstance(p, str) or p.drop != NEVER]
+    count(in_order(root))
+    most, todo = root.c / 2, [root]
+    while todo:
+        node = todo.pop()
+        node.parts = [p for p in node.parts if isinstance(p, str) or p.drop != UNLESS or p.c > most]
+        todo.extend(node.children())
+
+
+def measure(root: Node) -> list[Node]:
+    """Sets densities and density sums of all nodes; they are returned, children before parents."""
+    order = in_order(root)
+    count(order)
+    share = root.lc / root.c if root.c else 0.0
     for node in order:
         c, t, lc, lt = node.c, max(node.t, 1), node.lc, node.lt
         if not c:
@@ -179,37 +202,30 @@ def measure(root: Node) -> list[Node]:
         else:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             node.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0000001)) / base
-    for node in order:
-        node.total = sum(p.density for p in node.parts if not isinstance(p, str)) + node.density * (not any(not isinstance(p, str) for p in node.parts))
+        node.total = sum(p.density for p in node.children() if p.tag not in FORMATTING)
     return order
 
 
 def main_text(root: Node) -> Node:
-    """The tree of the main text.
-
-    The node with the largest density sum is its core; the least density on the path from the body to it is the threshold.
-    Where the core lies in an article or main element, that is the main text. Elsewhere, beside the path, a subtree
-    stays if its density reaches the threshold, or if it is a heading, paragraph or the like that is not mostly links.
-    """
+    """The tree of the main text."""
+    clear(root)
     order = measure(root)
-    parent = {id(p): node for node in order for p in node.parts if not isinstance(p, str)}
-    best = max((x for x in order if x.tag not in FORMATTING), key=lambda x: x.total)
-    path = [best]
+    parent = {id(p): node for node in order for p in node.children()}
+    core = max(order, key=lambda x: (x is not root) * x.total)  # the root if no other has any
+    core = core if core.total and core is not root else root
+    path = [core]
     while id(path[-1]) in parent:
         path.append(parent[id(path[-1])])
-    semantic = [x for x in path if x.tag == "article"] or [x for x in path if x.tag == "main"]
-    if semantic:
-        return semantic[-1]
     threshold = min(x.density for x in path)
-    made = best
+    for node in in_order(core):
+        node.parts = [p for p in node.parts if isinstance(p, str) or not (p.drop == NAMED and 2 * p.c < core.c) and (p.tag in FORMATTING or p.lt < 2 or 2 * p.lc < p.c or p.density >= threshold)]
+    made = core
     for below, node in zip(path, path[1:]):
         out = Node(node.tag)
         for p in node.parts:
-            if isinstance(p, str) or p.tag in VOID:
-                out.parts.append(p)
-            elif p is below:
+            if p is below:
                 out.parts.append(made)
-            elif p.c > 2 * p.lc and (p.density >= threshold or p.tag in TEXTUAL or p.tag in FORMATTING):
+            elif not isinstance(p, str) and 2 * p.lc < p.c and (p.tag in HEADING or p.density >= threshold and (p.total >= threshold or p.tag in TEXTUAL)):
                 out.parts.append(p)
         made = out
     return made
