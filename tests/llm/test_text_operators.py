@@ -193,6 +193,32 @@ def test_language_of_odd_rows(spark):
         langid.fit(learn, most_langs=1)
 
 
+def test_language_by_brute_force(spark):
+    """Grams of runs of letters counted one by one; priors are shares of training rows; letters of all planes count."""
+    learn = [("en", "The cat, and 2 dogs!"), ("en", "a dog"), ("en", None), ("de", "Der Hund und die Katze"), ("x", "\U00031350\U00031351 \U00031350"), (None, "nothing")]
+    df = frame(spark, [(i, t, k) for i, (k, t) in enumerate(learn)], "doc_id long, text string, lang string")
+    model = langid.fit(df, bits=16)
+
+    def grams_of(text):
+        marked = "\0" * 3 + "".join(c if c.isalpha() else " " for c in text.lower()) + "\0" * 3
+        import re
+
+        body = re.sub(" +", " ", marked.strip("\0"))
+        return [langid.grams([g], 16) for g in [body]][0][0]
+
+    counts = {k: np.full(1 << 16, 0.5) for k in ("de", "en", "x")}
+    rows = {k: sum(1 for a, t in learn if a == k and t is not None) for k in counts}
+    for k, t in learn:
+        if k and t is not None:
+            for row in grams_of(t):
+                np.add.at(counts[k], row, 1)
+    for text in ("the dog", "Katze", "\U00031350", "und and", "q"):
+        logs = {k: np.log(rows[k] / sum(rows.values())) + sum(np.log(c / c.sum())[row].sum() for row in grams_of(text)) for k, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        lang, score = model.predict([text])
+        assert lang == [best] and score[0] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), rel=1e-4)
+
+
 def test_quality_on_held_out_rows(spark):
     got = {r.doc_id: r for r in queries.op9_quality(spark, "/root/testdata/sf0.01").collect()}
     held = [x for x in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist() if got[x["doc_id"]].held_out]

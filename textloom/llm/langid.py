@@ -10,7 +10,8 @@ Scoring is by batch: all texts of a batch are one array of bucket numbers, each
 of a text are summed.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any training row every text is `und`;
-ties go to the language that sorts first; the score is the posterior probability of the language under uniform priors;
+ties go to the language that sorts first; the score is the posterior probability of the language, whose prior is its share of
+the training rows;
 rows with a null language are not trained on; repeated rows count as often as they occur; extra columns are ignored.
 """
 
@@ -32,8 +33,8 @@ _letters: np.ndarray | None = None
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
-    return _letters[np.minimum(codes, 0x2FFFF)] & (codes < 0x30000)
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _letters[codes]
 
 
 def grams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,14 +80,14 @@ def count_grams(rows: DataFrame, bits: int) -> DataFrame:
 
 
 class Model:
-    def __init__(self, langs: list[str], weights: np.ndarray, bits: int):
-        self.langs, self.weights, self.bits = langs, weights, bits
+    def __init__(self, langs: list[str], weights: np.ndarray, bits: int, priors: np.ndarray | None = None):
+        self.langs, self.weights, self.bits, self.priors = langs, weights, bits, np.zeros(len(langs)) if priors is None else priors
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         buckets, starts, has = grams(texts, self.bits)
-        scores = np.zeros((len(texts), len(self.langs)))
+        scores = np.tile(self.priors, (len(texts), 1))
         for row in buckets:
             for k, column in enumerate(self.weights):
                 scores[:, k] += np.add.reduceat(column[row], starts, dtype=np.float64)
@@ -100,17 +101,18 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", bits: int = 16,
     """Learns from every row of `rows` whose text and language are not null."""
     prepare(rows.sparkSession)
     learn = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    names = [r.l for r in learn.select("l").distinct().limit(most_langs + 1).collect()]
-    if len(names) > most_langs:
+    rows_of = {r.l: r.n for r in learn.groupBy("l").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(rows_of) > most_langs:
         raise ValueError(f"more than {most_langs} languages; the matrix would not be bounded")
-    names.sort()
+    names = sorted(rows_of)
     if not names:
         return Model([], np.zeros((0, 1 << bits), np.float32), bits)
     found = count_grams(learn, bits).toPandas()
     counts = np.zeros((len(names), 1 << bits))
     counts[found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     counts += smoothing
-    return Model(names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), bits)
+    shares = np.array([rows_of[x] for x in names], float)
+    return Model(names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), bits, np.log(shares / shares.sum()))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
