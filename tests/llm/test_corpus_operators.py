@@ -214,6 +214,31 @@ def test_vectors_by_brute_force(spark):
     assert kept.columns == df.columns and {r.vec_id for r in kept.collect()} >= set(expected.values()) | {9001}
 
 
+def test_double_vectors_and_several_lengths(spark):
+    rows = [(1, [1e300, 1e300], 0), (2, [2e300, 2e300], 0), (3, [1e-300, 0.0], 0), (4, [3e-310, 0.0], 0), (5, [1.0, 1.0, 1.0], 0), (6, [2.0, 2.0, 2.0], 0), (7, [1.0, -0.0, 0.0], 0), (8, [1.0, 0.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7)}
+    near_one = [(1, [1.0, 0.0], 0), (2, [0.98, float(np.sqrt(1 - 0.98**2)) * (1 + 1e-12)], 0), (3, [0.98 + 1e-9, float(np.sqrt(1 - (0.98 + 1e-9) ** 2))], 0)]
+    x = np.array([v for _, v, _ in near_one])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(frame(spark, near_one, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i + 1: int((x[i] @ x.T >= 0.98).sum()) - 1 for i in range(3)}
+
+
+def test_recall_where_the_sample_does_not_reach_the_leaves(spark):
+    """Four levels below those that the sample has rows for; recall against brute force as the contract has it."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((300, 32))
+    x = np.vstack([c + rng.standard_normal((10, 32)) * 0.06 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    forest = embed_dedup.Forest(x[:200], len(x), 5, 6, 0.98, 1.0)
+    assert forest.depth == 9 and forest.own == 4
+    rows = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(rows, sample=200, leaf=6).collect()}
+    assert linked.sum() > 5000 and sum(got.values()) >= 0.95 * linked.sum() and all(got[i] <= n for i, n in enumerate(linked.sum(axis=1)))
+
+
 # scoring
 
 

@@ -1,8 +1,10 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 1. Rows with the same label and the same components are one class: its smallest id stands for it.
-2. A forest of `trees` trees is fitted on at most `sample` classes, on the driver: a tree splits its nodes by random
-   directions at the median of the sample's projections, and stops at about `leaf` classes a leaf. Every class is then
+2. A forest of `trees` trees is fitted on a sample of the classes, on the driver: a tree splits its nodes by random
+   directions at the median of the sample's projections, and stops at about `leaf` classes a leaf, however many levels that
+   takes; below those where the sample has rows enough, the nodes of a level are split at the whole sample's median. The
+   sample has at most `sample` classes and `sample_bytes` bytes for each length of vectors. Every class is then
    indexed: it descends each tree, and into both children where its projection is within a margin of the split, which is
    `spill` standard deviations of the projected difference of two vectors that just link.
 3. Classes are compared within leaves only, by their cosine in double precision. A leaf larger than `tile` is cut into
@@ -31,26 +33,29 @@ from .common import connected_components, prepare, written
 
 
 def clean(rows: DataFrame) -> DataFrame:
-    """id, label, dim, digest, vec (raw 32-bit components; null where the row links with nothing) over rows (id, v, label)."""
+    """id, label, dim, digest, vec (raw components, in the column's own precision; null where the row links with nothing) over
+    rows (id, v, label)."""
+    kind = np.float64 if rows.schema["v"].dataType.elementType.typeName() == "double" else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims, digests, vecs = [], [], []
-            for v, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = None if v is None or label is None or not v or any(c is None for c in v) else np.array(v, np.float32) + np.float32(0)
-                if x is None or not np.isfinite(x).all() or not x.any():
-                    x = None
-                raw = None if x is None else x.tobytes()
-                dims.append(0 if x is None else len(x))
-                digests.append(None if raw is None else hashlib.blake2b(raw, digest_size=16).digest())
-                vecs.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["id", "label", "dim", "digest", "vec"])
+            col = b.column(1)
+            flat = col.values.to_numpy(zero_copy_only=False).astype(kind) + kind(0)  # a null is not a number
+            edges = col.offsets.to_numpy()
+            good = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))[edges]
+            full = np.concatenate(([0], np.cumsum(flat != 0)))[edges]
+            use = (np.diff(good) == 0) & (np.diff(full) > 0) & col.is_valid().to_numpy(zero_copy_only=False) & b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            dims = np.where(use, np.diff(edges), 0)
+            vecs = [flat[edges[i] : edges[i + 1]].tobytes() if u else None for i, u in enumerate(use.tolist())]
+            digests = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(dims.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["id", "label", "dim", "digest", "vec"])
 
     return rows.mapInArrow(run, "id bigint, label bigint, dim int, digest binary, vec binary")
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+def unit(raw: list[bytes], dim: int) -> np.ndarray:
+    flat = b"".join(raw)
+    x = np.frombuffer(flat, np.float64 if len(flat) == 8 * dim * len(raw) else np.float32).reshape(len(raw), dim).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -59,14 +64,17 @@ class Forest:
     def __init__(self, sample: np.ndarray, total: int, trees: int, leaf: int, cosine: float, spill: float, seed: int = 11):
         n, dim = sample.shape
         rng = np.random.default_rng(seed + dim)
-        self.depth = int(np.clip(np.ceil(np.log2(max(total, 1) / leaf)), 0, np.floor(np.log2(max(n / 8, 1)))))
+        self.depth = int(max(0, np.ceil(np.log2(max(total, 1) / leaf))))
+        # down to where the sample has some rows a node, nodes have split points of their own; further levels have one each
+        self.own = min(self.depth, int(np.floor(np.log2(max(n / 8, 1)))))
         self.margin = spill * np.sqrt(2 - 2 * cosine) / np.sqrt(dim)
         self.directions = rng.standard_normal((trees, self.depth, dim))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
-        self.splits = np.zeros((trees, 1 << self.depth))
+        self.splits = np.zeros((trees, 1 << self.own))
+        self.common = np.array([[np.median(sample @ self.directions[t, d]) for d in range(self.depth)] for t in range(trees)])
         for t in range(trees):
             node = np.ones(n, np.int64)
-            for d in range(self.depth):
+            for d in range(self.own):
                 p = sample @ self.directions[t, d]
                 order = np.lexsort((p, node))
                 heads = np.flatnonzero(np.diff(node[order], prepend=-1))
@@ -80,7 +88,7 @@ class Forest:
         for t in range(len(self.directions)):
             row, node = np.arange(len(x)), np.ones(len(x), np.int64)
             for d in range(self.depth):
-                gap = (x @ self.directions[t, d])[row] - self.splits[t, node]
+                gap = (x @ self.directions[t, d])[row] - (self.splits[t, node] if d < self.own else self.common[t, d])
                 low, high = gap < self.margin, gap >= -self.margin
                 row, node = np.concatenate((row[low], row[high])), np.concatenate((2 * node[low], 2 * node[high] + 1))
             who.append(row)
@@ -99,7 +107,7 @@ def index(heads: DataFrame, forests: dict[int, Forest]) -> DataFrame:
                 dims = b.column("dim").to_numpy()
                 for dim in np.unique(dims):
                     part = b.take(pa.array(np.flatnonzero(dims == dim)))
-                    who, where = sent.value[int(dim)].leaves(unit(part.column("vec").to_pylist()))
+                    who, where = sent.value[int(dim)].leaves(unit(part.column("vec").to_pylist(), int(dim)))
                     order = np.lexsort((where, who))
                     who, where = who[order], where[order]
                     lists = np.split(where, np.flatnonzero(np.diff(who)) + 1)
@@ -131,7 +139,7 @@ def _compare(cosine: float) -> Callable:
         table = table.combine_chunks()
         n, leaf = table.num_rows, table["leaf"][0].as_py()
         p, q, own = table["p"][0].as_py(), table["q"][0].as_py(), table["own"].to_numpy()
-        ids, rows, x = table["id"].to_numpy(), table["rows"].to_numpy(), unit(table["vec"].to_pylist())
+        ids, rows, x = table["id"].to_numpy(), table["rows"].to_numpy(), unit(table["vec"].to_pylist(), table["dim"][0].as_py())
         # the leaves before this one that classes of the tile share, as bits
         lists = [np.frombuffer(e, "<i8") for e in table["every"].to_pylist()]
         flat, at = np.concatenate(lists), np.repeat(np.arange(n), [len(e) for e in lists])
@@ -167,17 +175,18 @@ def _compare(cosine: float) -> Callable:
     return run
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", trees: int = 5, leaf: int = 384, tile: int = 2048, sample: int = 20_000, spill: float = 1.0) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", trees: int = 5, leaf: int = 384, tile: int = 2048, sample: int = 20_000, sample_bytes: int = 32 << 20, spill: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     prepare(rows.sparkSession)
-    base = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<float>").alias("v"), F.col(f"`{label}`").cast("long").alias("label"))
+    base = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>" if "double" in rows.schema[embedding].dataType.simpleString() else "array<float>").alias("v"), F.col(f"`{label}`").cast("long").alias("label"))
     found = written(clean(base), "vectors")
     groups = found.filter("vec is not null and id is not null").groupBy("label", "digest").agg(F.min("id").alias("head"), F.count("*").alias("rows"))
     heads = written(found.filter("vec is not null").join(groups, ["label", "digest"]).filter("id = head").dropDuplicates(["label", "digest"]).select("id", "label", "dim", "vec", "rows"), "heads")
     forests = {}
     for r in heads.groupBy("dim").count().collect():  # a table of vectors has one length, seldom a few
-        fitted = heads.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id")).select("vec").limit(sample).collect()
-        forests[r["dim"]] = Forest(unit([bytes(x["vec"]) for x in fitted]), r["count"], trees, leaf, cosine, spill)
+        most = max(1, min(sample, sample_bytes // (8 * r["dim"])))
+        fitted = heads.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id")).select("vec").limit(most).toArrow()
+        forests[r["dim"]] = Forest(unit(fitted.column("vec").to_pylist(), r["dim"]), r["count"], trees, leaf, cosine, spill)
     entries = written(index(heads, forests), "leaves")
     keys = ["label", "dim", "leaf"]
     sizes = entries.groupBy(*keys).agg(F.count("*").alias("m")).filter("m > 1").withColumn("m", F.ceil(F.col("m") / tile).cast("int"))
