@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,14 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 UNIT = 1 << 12  # of a nat, in sums of the divergence test
 
 
+_SMALL = 1 << 16
+
+
+@lru_cache(4)
+def _power(spread: float) -> np.ndarray:
+    return np.arange(_SMALL + 1) ** spread
+
+
 class Keys:
     """The distinct hashes of an array, ascending, and the place among them of each."""
 
@@ -57,8 +66,8 @@ class Keys:
             order = np.argsort(hashes, kind="stable")
             found = hashes[order]
         new = np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1]))
-        self.distinct, self.at = found[new], np.empty(len(hashes), np.int64)
-        self.at[order] = np.cumsum(new) - 1
+        self.distinct, self.at = found[new], np.empty(len(hashes), np.int32)
+        self.at[order] = np.cumsum(new, dtype=np.int32) - 1
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, values, len(self.distinct))
@@ -67,68 +76,77 @@ class Keys:
 class Block:
     """A block's tokens, and what the corpus has answered about them so far."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, train: np.ndarray, options: dict):
+    def __init__(self, often: np.ndarray, once: np.ndarray, at: np.ndarray, counts: np.ndarray, train: np.ndarray, options: dict):
+        """Words as in _bodies(): hashes of those that occur more than once and of the others, and each word's place."""
         self.o, self.sizes = options, counts + 1
         self.ends = np.cumsum(self.sizes)
-        self.h = np.empty(int(self.sizes.sum()), np.uint64)
-        word = np.ones(len(self.h), bool)
+        word = np.ones(int(self.sizes.sum()), bool)
         word[self.ends - 1] = False
-        self.h[word], self.h[~word] = hashes, END
-        self.pos = np.arange(len(self.h)) - np.repeat(self.ends - self.sizes, self.sizes)
+        hashes = np.concatenate((often, once, [END]))
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        place = at.astype(np.int32) - 1
+        place[at == 0] = np.arange(len(often), len(often) + len(once), dtype=np.int32)
+        self.words, self.word = hashes[order], np.full(len(word), rank[-1], np.int32)
+        self.word[word] = rank[place]
+        self.h = self.words[self.word]
+        self.pos = np.arange(len(word), dtype=np.int32) - np.repeat((self.ends - self.sizes).astype(np.int32), self.sizes)
         self.train = np.repeat(train, self.sizes)
-        self.runs = [self.h]  # the hash of the run of words that ends at each token, by length
-        for k in range(1, options["depth"] + 1):
-            self.runs.append(mix(self.runs[-1] * _M + np.concatenate((np.zeros(min(k, len(self.h)), np.uint64), self.h[:-k])) + np.uint64(k)))
 
     def exchange(self, answers: list[dict[str, np.ndarray]], n: int, v: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """What to ask next, given the answers so far: hashes, ascending, with this block's counts or shares of the test.
         Once all is answered, self.p, self.known and self.state are set instead."""
-        asked = {}
-        one, two = Keys(self.h), self._behind(1)
-        pair = Keys(self.runs[1][two])
+        live = np.flatnonzero(self.pos)  # tokens behind contexts of k words that may be nodes
+        run = self.h.copy()  # the hash of the context and the token
+        run[live] = mix(self.h[live] * _M + self.h[live - 1] + np.uint64(1))
+        runs = Keys(run[live])
         if not answers:
-            return {"words": (one.distinct, one.sums(self.train)), "pairs": (pair.distinct, pair.sums(self.train[two]))}
-        self.known = answers[0]["words"][one.at]
+            return {"words": (self.words, np.bincount(self.word, self.train, len(self.words))), "pairs": (runs.distinct, runs.sums(self.train[live]))}
+        self.known = answers[0]["words"][self.word]
         self.p = (self.known + 0.1) / (n + 0.1 * (v + 1))
-        self.state = np.zeros(len(self.h), np.int8)
-        before, live, follow = self.known, two, answers[0]["pairs"][pair.at]
+        self.state, asked = np.zeros(len(self.h), np.int8), {}
+        # contexts, the place among them of the one that ends at each token, and how often training has it
+        contexts, place, before, at, follow = self.words, self.word, self.known, runs.at, answers[0]["pairs"][runs.at]
         for k in range(1, self.o["depth"] + 1):
-            # live: tokens behind contexts of k words that may be nodes; follow: how often training has both
             size = before[live - 1]
-            live, follow, size = live[size >= self.o["least"]], follow[size >= self.o["least"]], size[size >= self.o["least"]].astype(float)
-            context, s, p = Keys(self.runs[k - 1][live - 1]), size ** self.o["spread"], self.p[live]
-            # a context that two tokens follow, each once, is no node, and neither is one that a single token follows if that is
-            # not enough: whoever sees this need not ask, and the sum of no shares tells all others the same
-            use = self.train[live]
-            closed = use & ((size == 2) & (follow == 1) | (follow == size) & (size * np.log((size - 1 + s * p) / (size - 1 + s) / p) < self.o["gain"]))
-            open_ = context.sums(closed) == 0
+            often = size >= self.o["least"]
+            live, at, follow, size = live[often], at[often], follow[often], size[often].astype(float)
+            context, use = place[live - 1], self.train[live]
+            s = _power(self.o["spread"])[np.minimum(size, _SMALL).astype(np.int32)]
+            large = size > _SMALL
+            s[large] = size[large] ** self.o["spread"]
+            # a context that two tokens follow, each once, is no node: whoever sees this need not ask, and the sum of no shares
+            # tells all others the same
+            left = np.zeros(len(contexts), bool)
+            left[context] = True
+            left[context[use & (size == 2) & (follow == 1)]] = False
             if len(answers) == k:
-                share = np.zeros(len(live))
-                share[use] = np.log((follow[use] - 1 + s[use] * p[use]) / (size[use] - 1 + s[use]) / p[use])
-                asked["test"] = context.distinct[open_], np.rint(context.sums(share)[open_] * UNIT)
+                i = np.flatnonzero(use)
+                p, many = self.p[live[i]], size[i] - 1 + s[i]
+                share = np.log((follow[i] - 1 + s[i] * p) / (many * p))
+                asked["test"] = contexts[left], np.rint(np.bincount(context[i], share, len(contexts))[left] * UNIT)
             else:
-                passed = np.zeros(len(open_), bool)
-                passed[open_] = answers[k]["test"] > 0
-                node = passed[context.at]
-                self.p[live[node]] = (follow[node] + s[node] * p[node]) / (size[node] + s[node])
-                self.state[live[node]] = k
+                passed = np.zeros(len(contexts), bool)
+                passed[left] = answers[k]["test"] > 0
+                i = np.flatnonzero(passed[context])
+                self.p[live[i]] = (follow[i] + s[i] * self.p[live[i]]) / (size[i] + s[i])
+                self.state[live[i]] = k
             if k == self.o["depth"]:
                 break
-            here = np.zeros(len(self.h), np.int64)  # of the run of k + 1 words that ends at each token
-            here[live] = follow
-            before, live = here, self._behind(k + 1)
-            live = live[before[live - 1] >= self.o["least"]]
-            run = Keys(self.runs[k + 1][live])
+            place, before = np.zeros(len(self.h), np.int32), np.zeros(len(self.h), np.int64)
+            contexts, place[live], before[live] = runs.distinct, at, follow
+            live = live[follow >= self.o["least"]] + 1
+            live = live[live < len(self.h)]
+            live = live[self.pos[live] > k]  # not those of the next text
+            run[live] = mix(run[live] * _M + self.h[live - k - 1] + np.uint64(k + 1))
+            runs = Keys(run[live])
             if len(answers) == k:
-                asked["runs"] = run.distinct, run.sums(self.train[live])
+                asked["runs"] = runs.distinct, runs.sums(self.train[live])
                 break
-            follow = answers[k]["runs"][run.at]
+            at, follow = runs.at, answers[k]["runs"][runs.at]
         return asked
 
-    def _behind(self, k: int) -> np.ndarray:
-        """The tokens that have k words before them."""
-        return np.flatnonzero(self.pos >= k)
-
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
@@ -220,7 +238,7 @@ def _bodies(kept: int, block_bytes: int) -> Callable:
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
             body = pickle.dumps((sink.getvalue().to_pybytes(), words.distinct[rank], hashes[at == 0], counts, at.view(np.uint8).reshape(-1, 4).T.copy()))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.compress(body, 3)], pa.binary())], ["block", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.compress(body, 1)], pa.binary())], ["block", "packed"])
 
     return run
 
@@ -229,9 +247,7 @@ def _opened(bodies: pa.Table | pa.RecordBatch, options: dict) -> tuple[pa.Table,
     rest, often, once, counts, at = pickle.loads(zstandard.decompress(bodies.column("packed")[0].as_py()))
     table = pa.ipc.open_stream(rest).read_all()
     at = np.ascontiguousarray(at.T).view(np.uint32).ravel()
-    hashes = np.append(np.uint64(0), often)[at]
-    hashes[at == 0] = once
-    return table, Block(hashes, counts, ~table.column("held_out").to_numpy().astype(bool), options)
+    return table, Block(often, once, at, counts, ~table.column("held_out").to_numpy().astype(bool), options)
 
 
 def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 8 << 20, depth: int = 3, least: int = 2, gain: float = 8.0, spread: float = 0.6) -> DataFrame:
@@ -242,7 +258,7 @@ def score(docs: DataFrame, is_held_out=None, text: str = "text", keep: tuple[str
     if not replayable(base):
         base = written(base, "scoring")
     kept, parts = len(keep) + 1, base.rdd.getNumPartitions()
-    options, buckets = {"depth": depth, "least": least, "gain": gain, "spread": spread}, max(32, 4 * parts)
+    options, buckets = {"depth": depth, "least": least, "spread": spread}, max(32, 4 * parts)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep, "held_out").schema)
     bodies = written(base.mapInArrow(_bodies(kept, block_bytes), "block bigint, packed binary"), "blocks")
     row = "block bigint, bucket int, packed binary"
