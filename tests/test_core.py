@@ -122,6 +122,8 @@ def test_words_and_templates(spark):
         T.fill_template("none", F.col("t"))
     with pytest.raises(Exception, match="expected one"):
         one(spark, "t string", ("no slot",), T.expand_placeholder(F.col("t"), "<img>", F.lit(2)))
+    r = one(spark, "t string, n string", ("a <img> b <img>", None), T.expand_placeholder(F.col("t"), "<img>", F.lit(0)), T.expand_placeholder(F.col("t"), "<img>", F.lit(3)), T.expand_placeholder(F.col("n"), "<img>", F.lit(3)))
+    assert tuple(r) == ("a <img> b <img>", "a <img><img><img> b <img>", None)
     assert A.spans(np.array([5, 5, 1, 5]), 5) == [(0, 2), (3, 4)] and A.spans(np.array([]), 5) == []
 
 
@@ -152,7 +154,12 @@ def test_top_k_ties_zero_vectors_and_slices(spark, monkeypatch):
     assert got == [(1, 1, 1, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 0.0), (3, 3, 1, 1.0), (3, 1, 2, 0.0), (3, 2, 3, 0.0)]
     monkeypatch.setattr(rank, "QUERY_BYTES", 16)
     assert [tuple(r) for r in rank.top_k(queries, corpus, 3).orderBy("query_id", "rank").collect()] == got
-    assert rank.top_k(queries, corpus, 99).count() == 10
+    assert rank.top_k(queries, corpus, 99).count() == 8  # the vector that is null is no result
+    odd = corpus.union(spark.createDataFrame([(6, [-1.0, 0.1]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, None]), (None, [1.0, 0.0]), (10, [1.0])], corpus.schema))
+    for ask in (rank.top_k, rank.top_k_native):
+        found = [(r.id, round(r.score, 3)) for r in ask(odd.filter("id = 1"), odd, 99).orderBy("rank").collect()]
+        assert found == [(1, 1.0), (2, 1.0), (10, 1.0), (3, 0.0), (4, 0.0), (6, -0.995)]
+        assert ask(odd.filter("id = 7"), odd, 3).count() == 0
     native = rank.top_k_native(queries.filter("id = 1"), corpus.filter("vector is not null"), 2)
     assert [tuple(r) for r in native.orderBy("rank").collect()] == [(1, 1, 1, 1.0), (1, 2, 2, 1.0)]
     assert rank.top_k(queries.limit(0), corpus, 3).count() == 0
@@ -165,6 +172,113 @@ def test_rerank_and_alignment(spark):
     assert [(r["rank"], r["index"], r["document"]) for r in rank.rerank(docs, "req", "pos", raw, "doc").orderBy("rank").collect()] == [(1, 1, "d1"), (2, 0, "d0"), (3, 2, "d2")]
     results = spark.createDataFrame([("r", 1, 0.0), ("r", 5, 9.0)], "req string, index int, raw double")
     assert [r.score for r in rank.aligned_scores(docs, results, "req", "pos").orderBy("pos").collect()] == [0.0, 0.5, 0.0]
+    again = spark.createDataFrame([("r", 1, 3.0, 1), ("r", 1, 0.0, 2), ("r", 0, 0.0, 3)], "req string, index int, raw double, at int")
+    assert [r.score for r in rank.aligned_scores(docs, again, "req", "pos", order="at").orderBy("pos").collect()] == [0.5, 0.5, 0.0]
+
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)  # with many ties
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    got = {}
+    for r in rank.top_k(corpus.filter("id < 20"), corpus, 7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
+    for i in range(20):
+        n = np.linalg.norm(x, axis=1) * np.linalg.norm(x[i])
+        scores = np.round(np.where(n > 0, x @ x[i] / np.where(n > 0, n, 1), 0), 9)
+        best = sorted(range(300), key=lambda j: (-scores[j], j))[:7]
+        assert [got[i][k + 1] for k in range(7)] == [(j, scores[j]) for j in best]
+
+
+def test_scorer_of_nulls_and_session_keys(spark):
+    e = tiny.formula_encoder({"logits": 1}, head="rerank")
+    pairs = spark.createDataFrame([("the", "x"), (None, "x"), ("the", None)], "q string, d string")
+    assert [r.s for r in pairs.select(E.scorer(e)("q", "d").alias("s")).collect()] == [0.5, None, None]
+    E._cache.clear()
+    first = E.session(tiny.formula_encoder({"x": 2}))
+    assert E.session(tiny.formula_encoder({"x": 2})) is first
+    others = [E.session(tiny.formula_encoder({"x": 2}, **o)) for o in ({"fixed_shape": True, "max_length": 9}, {"max_length": 9}, {"max_length": 8}, {"max_length": 7})]
+    assert all(o is not first for o in others) and len(E._cache) == E.KEPT
+    assert others[0][1].padding["length"] == 9 and others[1][1].padding["length"] is None
+
+
+def test_pinned_and_capped_encoding(spark):
+    texts = ["the and", "of", "with be is for", "in", "to de la que"]
+    plain, pinned = (list(E.encode_rows(tiny.formula_encoder({"x": 4}, batch_size=3, pooling="mean", **o), texts)) for o in ({}, {"pin": True}))
+    assert all(np.allclose(a["dense"], b["dense"]) for a, b in zip(plain, pinned)) and len(pinned) == 5
+    e = tiny.formula_encoder({"x": 4}, pooling="mean")
+    df = spark.createDataFrame([("the and of", 1), ("the", 9), ("the and of", 9), (None, 3), ("x", None)], "t string, n int")
+    got = [r.e.dense for r in df.select(E.capped_encoder(e)("t", "n").alias("e")).collect()]
+    assert got[0] == got[1] != got[2] and got[3] is None and got[4] is None
+
+
+def test_requests_to_responses(spark, tmp_path):
+    from textloom.operators import serve
+
+    lines = [{"request_id": "a", "texts": ["the and of", "with"], "kind": "query", "max_length": 16}, {"request_id": "b", "texts": ["of", None], "kind": "doc"}, {"request_id": "c", "texts": [], "kind": "doc"}]
+    (tmp_path / "in.json").write_text("\n".join(map(json.dumps, lines)))
+    asked = requests.read_requests(spark, str(tmp_path / "in.json"))
+    rows = {r.request_id: r for r in serve.embed_requests(asked, tiny.formula_encoder({"x": 4}, pooling="mean"), resident=32).collect()}
+    assert set(rows) == {"a", "b"} and (rows["a"].max_length, rows["b"].max_length) == (32, 256)
+    assert rows["a"].token_count == [3, 1] and rows["a"].truncated == [False, False] and rows["a"].token_accounting
+    assert len(rows["b"].dense) == 2 and rows["b"].dense[1] is None and rows["b"].token_count is None and rows["b"].truncated is None and not rows["b"].token_accounting
+    requests.write_responses(serve.embed_requests(asked, tiny.formula_encoder({"x": 4})), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    pairs = spark.createDataFrame([("r", "the", ["x", None, "y"])], "request_id string, query string, documents array<string>")
+    (got,) = serve.rerank_requests(pairs, tiny.formula_encoder({"logits": 1}, head="rerank")).collect()
+    assert got.scores == pytest.approx([1 / (1 + np.exp(-0.5)), 0.0, 1 / (1 + np.exp(-0.5))])
+
+
+def test_models_load_by_name(spark, tmp_path):
+    def put(code, file, model):
+        where = tmp_path / ("models--" + code.replace("/", "--")) / "snapshots" / "r1"
+        (where / file).parent.mkdir(parents=True, exist_ok=True)
+        (where / file).write_bytes(model)
+        (where / "tokenizer.json").write_text(tiny.tiny_tokenizer([*tiny.WORDS, "[PAD]"]))
+        (where / "config.json").write_text("{}")
+        (where / "special_tokens_map.json").write_text("{}")
+        (where / "tokenizer_config.json").write_text(json.dumps({"model_max_length": 64, "pad_token": "[PAD]"}))
+
+    table = tiny.formula_table(4)
+    table = np.vstack([table, np.zeros((1, 4))])
+    put("Xenova/all-MiniLM-L12-v2", "onnx/model.onnx", tiny.gather_model({"last_hidden_state": table}))
+    put("onnx-community/embeddinggemma-300m-ONNX", "onnx/model.onnx", tiny.gather_model({"last_hidden_state": -table, "sentence_embedding": table}))
+    put("Qwen/Qwen3-Embedding-0.6B", "onnx/x.onnx", tiny.gather_model({"last_hidden_state": table}))
+    put("BAAI/bge-reranker-base", "onnx/model.onnx", tiny.gather_model({"logits": table}))
+    df = spark.createDataFrame([("the and",), ("of",)], "text string")
+    mean = models.load("dense", "allminilml12v2", str(tmp_path))
+    assert mean.pooling == "mean" and mean.quantization == "none"
+    first, second = (np.array(r.encoding.dense) for r in E.encode(df, mean).collect())
+    both = (table[1] + table[2]) / 2
+    assert np.allclose(first, both / np.linalg.norm(both), atol=1e-5) and np.allclose(second, table[4] / np.linalg.norm(table[4]), atol=1e-5)
+    gemma = models.load("dense", "EmbeddingGemma300M", str(tmp_path))
+    assert gemma.output == "sentence_embedding" and np.allclose(E.encode(df, gemma).first().encoding.dense, first, atol=1e-5)
+    decoder = models.load("decoder", "Qwen/Qwen3-Embedding-0.6B", str(tmp_path), file="onnx/x.onnx")
+    assert decoder.pad_left and np.allclose(E.encode(df, decoder).first().encoding.dense, table[2] / np.linalg.norm(table[2]), atol=1e-5)
+    scorer = E.scorer(models.load("rerank", "BAAI/bge-reranker-base", str(tmp_path)))
+    assert df.select(scorer("text", "text").alias("s")).first().s == pytest.approx(table[1, 0])
+    with pytest.raises(FileNotFoundError):
+        models.load("dense", "BGEBaseENV15", str(tmp_path))
+    with pytest.raises(ValueError, match="file="):
+        models.load("decoder", "Qwen/Qwen3-Embedding-4B", str(tmp_path))
+    assert models.load("dense", "AllMiniLML12V2", str(tmp_path), batch_size=7).batch_size == 7
+
+
+def test_image_models_load_by_name(spark, tmp_path):
+    """A model that is the mean of each channel."""
+    from textloom.plans.tiny import _field, _node, _value_info
+
+    graph = _field(1, _node("GlobalAveragePool", ["pixel_values"], ["pooled"])) + _field(1, _node("Flatten", ["pooled"], ["image_embeds"])) + _field(2, "t")
+    graph += _field(11, _value_info("pixel_values", 1, ["n", "c", "h", "w"])) + _field(12, _value_info("image_embeds", 1, ["n", "c"]))
+    where = tmp_path / "models--Qdrant--clip-ViT-B-32-vision" / "snapshots" / "r"
+    where.mkdir(parents=True)
+    (where / "model.onnx").write_bytes(_field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13)))
+    (where / "preprocessor_config.json").write_text(json.dumps({"do_resize": True, "size": {"height": 2, "width": 2}, "do_rescale": True, "rescale_factor": 1 / 255, "do_normalize": False, "do_center_crop": False}))
+    config, run = images.load_image_model("Qdrant/clip-ViT-B-32-vision", str(tmp_path))
+    picture = b"P6 2 2 255\n" + bytes([255, 0, 0] * 2 + [0, 255, 0] * 2)
+    df = spark.createDataFrame([(bytearray(picture),), (None,)], "content binary")
+    rows = images.embed_images(df, config, run).collect()
+    assert np.allclose(rows[0].embedding, [0.5**0.5, 0.5**0.5, 0], atol=1e-4) and rows[1].embedding is None
 
 
 @given(st.lists(st.integers(), max_size=40), st.integers(2, 9))
@@ -195,7 +309,7 @@ def test_settling():
 
 def test_models(spark):
     found = models.models(spark)
-    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"dense": 46, "sparse": 2, "joint": 1, "rerank": 4, "image": 5}
+    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"dense": 46, "sparse": 2, "joint": 1, "rerank": 4, "image": 5, "decoder": 4, "moe": 1}
     assert models.get_model("dense", "bgem3").dimension == 1024 and models.get_model("rerank", "BAAI/BGE-reranker-base").kind == "rerank"
     with pytest.raises(ValueError):
         models.get_model("dense", "BAAI/bge-m3")

@@ -39,8 +39,8 @@ def test_whole_texts_are_encoded(spark, monkeypatch):
     from textloom.operators import encode as E
     from textloom.plans import tiny
 
-    used, made = [], tiny.tiny_encoder
-    monkeypatch.setattr(tiny, "tiny_encoder", lambda **settings: used.append(made(**settings)) or used[-1])
+    used, made = [], tiny.formula_encoder
+    monkeypatch.setattr(tiny, "formula_encoder", lambda *outputs, **settings: used.append(made(*outputs, **settings)) or used[-1])
     assert catalogue.encode_tiny_onnx(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     monkeypatch.undo()
     assert used[0].max_length >= tiny.WHOLE

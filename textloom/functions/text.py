@@ -28,8 +28,7 @@ def fill_template(template: str, text: Column, slot: str = "{text}") -> Column:
 
 
 def expand_placeholder(text: Column, placeholder: str, times: Column) -> Column:
-    """The first placeholder, repeated `times` times; an error where it does not occur exactly once."""
-    found = (F.length(text) - F.length(F.replace(text, F.lit(placeholder), F.lit("")))) / len(placeholder)
+    """The text with its first placeholder repeated `times` times; as it is for 0 times, and an error if there is none."""
     at = F.locate(placeholder, text)
     out = F.concat(F.substring(text, F.lit(1), at - 1), F.repeat(F.lit(placeholder), times), F.substring(text, at + len(placeholder), F.length(text)))
-    return F.when(found == 1, out).otherwise(F.raise_error(F.lit(f"expected one {placeholder}")).cast("string"))
+    return F.when(times < 1, text).when(text.isNull() | (at > 0), out).otherwise(F.raise_error(F.lit(f"expected one {placeholder} at least")).cast("string"))

@@ -6,6 +6,7 @@ a Python worker and kept for its model and settings.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..sources.tokenizer_files import load_tokenizer
-from .layout import chunked
+from ..session import ship_active
+from .layout import chunked, pinned, settled, unpinned
 
 #: Names that an embedding output may have, in order of precedence, when there are several outputs.
 PRECEDENCE = ("text_embeds", "last_hidden_state", "sentence_embedding")
 DEFAULT_BATCH = 256
+KEPT = 4
 _cache: dict[tuple, tuple] = {}
 
 
@@ -45,6 +48,8 @@ class Encoder:
     batch_size: int = DEFAULT_BATCH
     pad_left: bool = False
     fixed_shape: bool = False
+    pin: bool = False
+    ruler: str = "ruler"
     quantization: str = "none"
     threads: int = 1
     providers: tuple[str, ...] = ("CPUExecutionProvider",)
@@ -78,8 +83,13 @@ def session(e: Encoder):
     """(session, tokenizer, names of inputs) of this worker."""
     import onnxruntime as ort
 
-    key = (e.model if isinstance(e.model, str) else hash(e.model), e.tokenizer, e.max_length, e.providers, e.threads, e.pad_left)
-    if key not in _cache:
+    digest = lambda x: x if isinstance(x, str) else hashlib.blake2b(x).digest()
+    key = (digest(e.model), e.tokenizer, e.max_length, e.providers, e.threads, e.pad_left, e.fixed_shape, tuple((n, digest(b)) for n, b in e.external))
+    if key in _cache:
+        _cache[key] = _cache.pop(key)  # the last one used is the last to go
+    else:
+        while len(_cache) >= KEPT:
+            _cache.pop(next(iter(_cache)))
         options = ort.SessionOptions()
         options.graph_optimization_level = ort.GraphOptimizationLevel.ORT_ENABLE_ALL
         options.intra_op_num_threads = e.threads  # tasks share the machine
@@ -120,10 +130,17 @@ def select_by_fragment(outputs: dict[str, int], fragment: str, rank: int) -> str
     raise ValueError(f"cannot tell which of {', '.join(outputs)} is the {fragment} output")
 
 
-def forward(e: Encoder, texts: list, pairs: list[str] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Outputs by name, ids and mask of one batch."""
+def forward(e: Encoder, texts: list, pairs: list[str] | None = None, cap: int | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Outputs by name, ids and mask of one batch; cap: at most so many tokens of each text, below the encoder's own limit."""
     s, tok, names = session(e)
-    encoded = tok.encode_batch(list(zip(texts, pairs)) if pairs is not None else list(texts))
+    own = tok.truncation
+    if cap is not None and own is not None and cap < own["max_length"]:
+        tok.enable_truncation(cap)
+    try:
+        encoded = tok.encode_batch(list(zip(texts, pairs)) if pairs is not None else list(texts))
+    finally:
+        if own is not None:
+            tok.enable_truncation(own["max_length"])
     ids, mask, kinds = (np.array([getattr(x, a) for x in encoded], dtype=np.int64) for a in ("ids", "attention_mask", "type_ids"))
     feed = {n: v for n, v in (("input_ids", ids), ("attention_mask", mask), ("token_type_ids", kinds)) if n in names}
     return dict(zip([o.name for o in s.get_outputs()], s.run(None, feed))), ids, mask
@@ -135,9 +152,23 @@ def dense(e: Encoder, outputs: dict[str, np.ndarray], mask: np.ndarray) -> np.nd
     return (arrays.l2_normalize_inner if e.inner_epsilon else arrays.l2_normalize)(v) if e.normalize else v.astype(np.float32)
 
 
-def encode_batch(e: Encoder, texts: list[str]) -> list[dict]:
+def encode_rows(e: Encoder, texts: list[str], cap: int | None = None) -> Iterator[dict]:
+    """As encode_batch, for any number of texts, in batches; with `pin`, in batches of one shape, each run until as many rows
+    come back as went in."""
+    if not e.pin:
+        for part in chunked(texts, e.batch_size):
+            yield from encode_batch(e, part, cap)
+        return
+    rows, at = pinned(texts, e.batch_size, e.ruler)
+    found: list[dict] = []
+    for part in chunked(rows, e.batch_size):
+        found.extend(settled(lambda part=part: encode_batch(e, part, cap), len(part)))
+    yield from unpinned(found, at)
+
+
+def encode_batch(e: Encoder, texts: list[str], cap: int | None = None) -> list[dict]:
     """A dict for each text: dense, sparse, multi, as the head gives them."""
-    outputs, ids, mask = forward(e, texts)
+    outputs, ids, mask = forward(e, texts, cap=cap)
     n, none = len(texts), [None] * len(texts)
     if e.transformer is not None:
         rows = [np.asarray(r, np.float32) for r in e.transformer(outputs, mask)]
@@ -170,19 +201,47 @@ def encode_batch(e: Encoder, texts: list[str]) -> list[dict]:
 ENCODING = "struct<dense: array<float>, sparse: struct<indices: array<bigint>, values: array<float>>, multi: array<array<float>>>"
 
 
+def _frame(found: list[dict | None]) -> pd.DataFrame:
+    rows = []
+    for r in found:
+        r = r or {"dense": None, "sparse": None, "multi": None}
+        sparse = None if r["sparse"] is None else {"indices": r["sparse"][0].astype(np.int64), "values": r["sparse"][1].astype(np.float32)}
+        rows.append({"dense": r["dense"], "sparse": sparse, "multi": None if r["multi"] is None else list(r["multi"])})
+    return pd.DataFrame(rows, columns=["dense", "sparse", "multi"])
+
+
 def encoder(e: Encoder):
     """A UDF from text to ENCODING; a null text gives null."""
+    ship_active()
 
     @F.pandas_udf("dense array<float>, sparse struct<indices: array<bigint>, values: array<float>>, multi array<array<float>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [{"dense": None, "sparse": None, "multi": None}] * len(texts)
+            found: list[dict | None] = [None] * len(texts)
             at = [i for i, t in enumerate(texts) if t is not None]
-            for part in chunked(at, e.batch_size):
-                for i, r in zip(part, encode_batch(e, [texts.iloc[i] for i in part])):
-                    sparse = None if r["sparse"] is None else {"indices": r["sparse"][0].astype(np.int64), "values": r["sparse"][1].astype(np.float32)}
-                    rows[i] = {"dense": r["dense"], "sparse": sparse, "multi": None if r["multi"] is None else list(r["multi"])}
-            yield pd.DataFrame(rows, columns=["dense", "sparse", "multi"])
+            for i, r in zip(at, encode_rows(e, [texts.iloc[i] for i in at])):
+                found[i] = r
+            yield _frame(found)
+
+    return run
+
+
+def capped_encoder(e: Encoder):
+    """A UDF from text and the most tokens of it to ENCODING; texts with one cap share batches. Nulls give null."""
+    ship_active()
+
+    @F.pandas_udf("dense array<float>, sparse struct<indices: array<bigint>, values: array<float>>, multi array<array<float>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, caps in batches:
+            found: list[dict | None] = [None] * len(texts)
+            by: dict[int, list[int]] = {}
+            for i, (t, c) in enumerate(zip(texts, caps)):
+                if t is not None and c == c and c is not None:
+                    by.setdefault(int(c), []).append(i)
+            for cap, at in by.items():
+                for i, r in zip(at, encode_rows(e, [texts.iloc[i] for i in at], cap)):
+                    found[i] = r
+            yield _frame(found)
 
     return run
 
@@ -202,19 +261,21 @@ def encode(df: DataFrame, e: Encoder, text: str = "text", out: str = "encoding")
 
 
 def scorer(e: Encoder):
-    """A UDF from query and document to the first logit."""
+    """A UDF from query and document to the first logit; null if either is null."""
+    ship_active()
 
     @F.pandas_udf("float")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, documents in batches:
-            out = np.zeros(len(queries), np.float32)
-            for part in chunked(range(len(queries)), e.batch_size):
-                rows = list(part)
+            out: list[float | None] = [None] * len(queries)
+            both = [i for i, (q, d) in enumerate(zip(queries, documents)) if q is not None and d is not None]
+            for rows in chunked(both, e.batch_size):
                 outputs, _, _ = forward(e, [queries.iloc[i] for i in rows], [documents.iloc[i] for i in rows])
                 if "logits" not in outputs:
                     raise ValueError(f"a reranker has an output named logits; there are {', '.join(outputs)}")
-                out[rows] = outputs["logits"].reshape(len(rows), -1)[:, 0]
-            yield pd.Series(out)
+                for i, x in zip(rows, outputs["logits"].reshape(len(rows), -1)[:, 0]):
+                    out[i] = float(x)
+            yield pd.Series(out, dtype="Float32")
 
     return run
 

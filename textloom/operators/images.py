@@ -5,6 +5,7 @@ Sizes are (height, width) throughout, also for targets that are not square.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,8 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..sources.images import decode, to_rgb
 
+_sessions: dict = {}
+
 
 def _weights(n: int, m: int) -> np.ndarray:
     """m x n weights of a Catmull-Rom resampling from n to m samples; wider where samples are lost."""
@@ -147,9 +151,48 @@ def position_ids(grid: tuple[int, int, int], merge: int = 2) -> np.ndarray:
     return np.tile(at, (t, 1))
 
 
+def onnx_runner(model: str | bytes, output: str | None = None, threads: int = 1) -> Callable[[np.ndarray], np.ndarray]:
+    """What embed_images runs for an ONNX model with one input: the named output, or the one that encode.select_output takes. The
+    session is built once a worker."""
+    key = model if isinstance(model, str) else hashlib.blake2b(model).digest()
+
+    def run(batch: np.ndarray) -> np.ndarray:
+        import onnxruntime as ort
+
+        from .encode import select_output
+
+        if key not in _sessions:
+            options = ort.SessionOptions()
+            options.intra_op_num_threads = threads
+            _sessions.clear()  # one model at a time
+            _sessions[key] = ort.InferenceSession(model, options, providers=["CPUExecutionProvider"])
+        session = _sessions[key]
+        found = dict(zip([o.name for o in session.get_outputs()], session.run(None, {session.get_inputs()[0].name: batch.astype(np.float32)})))
+        return select_output({"text_embeds" if n == "image_embeds" else n: v for n, v in found.items()}, "text_embeds" if output == "image_embeds" else output)
+
+    return run
+
+
+def load_image_model(name: str, cache: str) -> tuple[dict, Callable[[np.ndarray], np.ndarray]]:
+    """The preparation settings and the runner of a registered image model whose files lie in a cache of the hub's layout."""
+    import json
+
+    from ..sources.tokenizer_files import find_in_cache
+    from .models import get_model
+
+    info = get_model("image", name)
+    found = find_in_cache(cache, info.code, info.file), find_in_cache(cache, info.code, "preprocessor_config.json")
+    if None in found:
+        raise FileNotFoundError(f"{info.code}: no {info.file} with preprocessor_config.json under {cache}")
+    with open(found[1], encoding="utf-8") as f:
+        return json.load(f), onnx_runner(found[0], info.output_key)
+
+
 def embed_images(df: DataFrame, config: dict, run_batch: Callable[[np.ndarray], np.ndarray], content: str = "content", out: str = "embedding", batch_size: int = 32) -> DataFrame:
     """Adds the vector of each image; run_batch maps a stack of prepared images to one row each (rank 3: its first token)."""
 
+    ship(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from ..functions.arrays import cls_pool, l2_normalize

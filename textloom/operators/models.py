@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tokenizer_files import find_in_cache
+from .encode import Encoder
+
 # The dense text models: variant, code, file, dimension, pooling, quantisation.
 DENSE = """
 AllMiniLML6V2 | Qdrant/all-MiniLM-L6-v2-onnx | model.onnx | 384 | mean | none
@@ -56,13 +60,17 @@ SnowflakeArcticEmbedMLongQ | snowflake/snowflake-arctic-embed-m-long | onnx/mode
 SnowflakeArcticEmbedL | snowflake/snowflake-arctic-embed-l | onnx/model.onnx | 1024 | cls | none
 SnowflakeArcticEmbedLQ | snowflake/snowflake-arctic-embed-l | onnx/model_quantized.onnx | 1024 | cls | dynamic
 """
-# Models of the other families: variant, code, dimension (- where it has none).
+# Models of the other families: variant, code, file, dimension (- where it has none).
 OTHERS = {
-    "sparse": "SPLADEPPV1 | Qdrant/Splade_PP_en_v1 | -\nBGEM3 | BAAI/bge-m3 | -",
-    "joint": "BGEM3Q | gpahal/bge-m3-onnx-int8 | 1024",
-    "rerank": "BGERerankerBase | BAAI/bge-reranker-base | -\nBGERerankerV2M3 | rozgo/bge-reranker-v2-m3 | -\nJINARerankerV1TurboEn | jinaai/jina-reranker-v1-turbo-en | -\nJINARerankerV2BaseMultilingual | jinaai/jina-reranker-v2-base-multilingual | -",
-    "image": "ClipVitB32 | Qdrant/clip-ViT-B-32-vision | 512\nResnet50 | Qdrant/resnet50-onnx | 2048\nUnicomVitB16 | Qdrant/Unicom-ViT-B-16 | 768\nUnicomVitB32 | Qdrant/Unicom-ViT-B-32 | 512\nNomicEmbedVisionV15 | nomic-ai/nomic-embed-vision-v1.5 | 768",
+    "sparse": "SPLADEPPV1 | Qdrant/Splade_PP_en_v1 | model.onnx | -\nBGEM3 | BAAI/bge-m3 | onnx/model.onnx | -",
+    "joint": "BGEM3Q | gpahal/bge-m3-onnx-int8 | model_quantized.onnx | 1024",
+    "rerank": "BGERerankerBase | BAAI/bge-reranker-base | onnx/model.onnx | -\nBGERerankerV2M3 | perlets/bge-reranker-v2-m3 | onnx/model.onnx | -\nJINARerankerV1TurboEn | jinaai/jina-reranker-v1-turbo-en | onnx/model.onnx | -\nJINARerankerV2BaseMultilingual | jinaai/jina-reranker-v2-base-multilingual | onnx/model.onnx | -",
+    "image": "ClipVitB32 | Qdrant/clip-ViT-B-32-vision | model.onnx | 512\nResnet50 | Qdrant/resnet50-onnx | model.onnx | 2048\nUnicomVitB16 | Qdrant/Unicom-ViT-B-16 | model.onnx | 768\nUnicomVitB32 | Qdrant/Unicom-ViT-B-32 | model.onnx | 512\nNomicEmbedVisionV15 | nomic-ai/nomic-embed-vision-v1.5 | onnx/model.onnx | 768",
+    "decoder": "Qwen3Embedding06B | Qwen/Qwen3-Embedding-0.6B | - | 1024\nQwen3Embedding4B | Qwen/Qwen3-Embedding-4B | - | 2560\nQwen3Embedding8B | Qwen/Qwen3-Embedding-8B | - | 4096\nQwen3VLEmbedding2B | Qwen/Qwen3-VL-Embedding-2B | - | 2048",
+    "moe": "NomicEmbedTextV2MoE | nomic-ai/nomic-embed-text-v2-moe | - | 768",
 }
+#: How models of the other families are pooled, where they are.
+POOLING = {"decoder": "last_position", "moe": "mean", "image": "cls"}
 #: The output that is read by name instead of by precedence.
 OUTPUT_KEYS = {"EmbeddingGemma300M": "sentence_embedding", "EmbeddingGemma300MQ4": "sentence_embedding", "EmbeddingGemma300MQ": "sentence_embedding"}
 SCHEMA = "kind string, variant string, code string, file string, dimension int, pooling string, quantization string, output_key string"
@@ -87,8 +95,8 @@ def registry() -> list[ModelInfo]:
         found.append(ModelInfo("dense", variant, code, file, int(dim), pooling, quant, OUTPUT_KEYS.get(variant)))
     for kind, lines in OTHERS.items():
         for line in lines.splitlines():
-            variant, code, dim = (x.strip() for x in line.split("|"))
-            found.append(ModelInfo(kind, variant, code, None, None if dim == "-" else int(dim), None, "dynamic" if kind == "joint" else "none", None))
+            variant, code, file, dim = (x.strip() for x in line.split("|"))
+            found.append(ModelInfo(kind, variant, code, None if file == "-" else file, None if dim == "-" else int(dim), POOLING.get(kind), "dynamic" if kind == "joint" else "none", None))
     return found
 
 
@@ -113,3 +121,24 @@ def served(registered: DataFrame, tokenizers: DataFrame) -> DataFrame:
     null = lambda t: F.lit(None).cast(t)
     extra = alone.select(F.col("name").alias("id"), "name", F.lit("tokenizer").alias("kind"), null("int").alias("dimension"), null("int").alias("max_sequence_length"), F.col("name").alias("tokenizer"), "available", F.col("available").alias("tokenizer_available"))
     return rows.select("id", "name", "kind", "dimension", "max_sequence_length", "tokenizer", "available", "tokenizer_available").union(extra)
+
+
+#: Settings of an encoder that follow from a model's family.
+HEADS = {"dense": {}, "sparse": {"head": "splade"}, "joint": {"head": "joint"}, "rerank": {"head": "rerank"}, "decoder": {"pad_left": True, "inner_epsilon": True}, "moe": {}}
+
+
+def load(kind: str, name: str, cache: str, **settings) -> Encoder:
+    """The encoder of a registered model whose files lie in a cache of the hub's layout, with the registry's pooling, output key
+    and quantisation. Decoder and mixture-of-experts models have no file of their own there: state file=, an ONNX export's."""
+    info = get_model(kind, name)
+    if kind not in HEADS:
+        raise ValueError(f"{kind} models are not text encoders")
+    file = settings.pop("file", info.file)
+    if file is None:
+        raise ValueError(f"{info.code} has no registered file; state file=")
+    found = find_in_cache(cache, info.code, file), find_in_cache(cache, info.code)
+    for path, what in zip(found, (file, "tokenizer.json")):
+        if path is None:
+            raise FileNotFoundError(f"{info.code}: no {what} under {cache}")
+    chosen = {"pooling": info.pooling} if info.pooling else {}
+    return Encoder(**{"model": found[0], "tokenizer": str(Path(found[1]).parent), "output": info.output_key, "quantization": info.quantization, **chosen, **HEADS[kind], **settings})

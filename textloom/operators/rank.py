@@ -10,30 +10,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, sigmoid
+from ..session import ship
 
 #: Bytes of query vectors that one broadcast holds.
 QUERY_BYTES = 32 << 20
 
 
-def _matrix(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of a list column as a matrix in double precision, cut or filled with zeros to `dim`, and their norms."""
-    rows = [np.zeros(0) if v is None else np.nan_to_num(np.array(v, dtype=np.float64)) for v in col.to_pylist()]
-    dim = max(map(len, rows), default=0) if dim is None else dim
-    out = np.zeros((len(rows), dim))
-    norms = np.array([np.sqrt((r * r).sum()) for r in rows])
-    for i, r in enumerate(rows):
-        out[i, : min(len(r), dim)] = r[:dim]
-    return out, norms
+def _matrix(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list column: which vectors are known (not null, every component finite), these as a matrix in double precision,
+    cut or filled with zeros to `dim`, and their norms."""
+    flat, edges = col.values.to_numpy(zero_copy_only=False).astype(np.float64), col.offsets.to_numpy()
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))[edges]
+    known = np.flatnonzero((np.diff(bad) == 0) & col.is_valid().to_numpy(zero_copy_only=False))
+    start, size = edges[:-1][known], np.diff(edges)[known]
+    dim = int(size.max(initial=0)) if dim is None else dim
+    place = start[:, None] + np.arange(dim)
+    out = np.where(np.arange(dim) < size[:, None], flat[np.minimum(place, max(len(flat) - 1, 0))] if len(flat) else 0.0, 0.0)
+    squares = np.concatenate(([0.0], np.cumsum(np.where(np.isfinite(flat), flat, 0.0) ** 2))) if (size > dim).any() else None
+    norms = np.sqrt((out * out).sum(axis=1)) if squares is None else np.sqrt([(flat[i : i + n] ** 2).sum() for i, n in zip(start, size)])
+    return known, out, norms
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id", query_vector: str = "vector", corpus_id: str = "id", corpus_vector: str = "vector") -> DataFrame:
-    """query_id, id, rank, score: for each query the k corpus rows of the largest cosine, ties by smaller id.
+    """query_id, id, rank, score: for each query the k corpus rows of the largest cosine, ties by smaller id. Vectors that are
+    null or have components that are null or not finite are unknown: they are no results, and have none.
 
     Queries are broadcast in slices of QUERY_BYTES, so their number is not bounded; each corpus batch is multiplied with
     a slice and keeps its own k best, and the last ranking is over those. No pair beyond k a batch becomes a row.
     """
     if k < 1:
         raise ValueError("k is at least 1")
+    ship(queries.sparkSession)
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("q is not null")
     size = 8 * (asked.agg(F.sum(F.greatest(F.size("v"), F.lit(1)))).first()[0] or 0)
     slices = max(1, -(-size // QUERY_BYTES))
@@ -44,8 +51,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id", q
         table = part.toArrow().combine_chunks()
         if not table.num_rows:
             continue
-        q, norms = _matrix(table.column("v").combine_chunks())
-        sent = queries.sparkSession.sparkContext.broadcast((table.column("q").to_numpy(), q, norms))
+        known, q, norms = _matrix(table.column("v").combine_chunks())
+        sent = queries.sparkSession.sparkContext.broadcast((table.column("q").to_numpy()[known], q, norms))
         best = base.mapInArrow(_best_of(sent, k), "query_id bigint, id bigint, score double")
         found = best if found is None else found.union(best)
     if found is None:
@@ -60,18 +67,24 @@ def _best_of(sent, k: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, norms = _matrix(b.column(1), q.shape[1])
-            own = b.column(0).to_numpy()
+            known, x, norms = _matrix(b.column(1), q.shape[1])
+            own = b.column(0).to_numpy()[known]
+            if not len(own):
+                continue
             order = np.argsort(own, kind="stable")
             own, x, norms = own[order], x[order], norms[order]
+            n = min(k, len(own))
             for start in range(0, len(ids), 1024):
                 rows = slice(start, start + 1024)
                 scores = q[rows] @ x.T
                 length = q_norms[rows, None] * norms[None, :]
-                scores = np.where(length > 0, scores / np.where(length > 0, length, 1), 0.0)
-                top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], n)), pa.array(own[top].ravel()), pa.array(np.round(np.take_along_axis(scores, top, 1), 9).ravel())], ["query_id", "id", "score"])
+                scores = np.round(np.where(length > 0, scores / np.where(length > 0, length, 1), 0.0), 9)
+                # all that reach the n-th best score, then in order of score and id
+                who, at = np.nonzero(scores >= np.partition(scores, len(own) - n, axis=1)[:, len(own) - n, None])
+                by = np.lexsort((at, -scores[who, at], who))
+                who, at = who[by], at[by]
+                top = np.arange(len(who)) - np.searchsorted(who, who) < n
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][who[top]]), pa.array(own[at[top]]), pa.array(scores[who[top], at[top]])], ["query_id", "id", "score"])
 
     return run
 
@@ -81,8 +94,12 @@ def top_k_native(queries: DataFrame, corpus: DataFrame, k: int, query_id: str =
     one = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).limit(2).collect()
     if len(one) != 1:
         raise ValueError("top_k_native takes one query; use top_k for more")
+    if one[0].q is None or one[0].v is None or not all(x is not None and np.isfinite(x) for x in one[0].v):
+        corpus, one = corpus.limit(0), [one[0].asDict() | {"v": []}]
+        one = [type("Row", (), one[0])]
     vector = F.array(*[F.lit(float(x)) for x in one[0].v])
-    score = corpus.select(F.col(corpus_id).alias("id"), F.round(cosine(vector, F.col(corpus_vector)), 9).alias("score"))
+    known = F.col(corpus_vector).isNotNull() & ~F.exists(corpus_vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    score = corpus.filter(F.col(corpus_id).isNotNull() & known).select(F.col(corpus_id).alias("id"), F.round(cosine(vector, F.col(corpus_vector)), 9).alias("score"))
     top = score.orderBy(F.desc("score"), "id").limit(k)
     return top.select(F.lit(one[0].q).alias("query_id"), "id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "score")
 
@@ -96,10 +113,11 @@ def rerank(pairs: DataFrame, request: str, position: str, raw: Column, document:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(request).orderBy(F.desc("raw"), "index")))
 
 
-def aligned_scores(documents: DataFrame, results: DataFrame, request: str, position: str, index: str = "index", raw: str = "raw") -> DataFrame:
+def aligned_scores(documents: DataFrame, results: DataFrame, request: str, position: str, index: str = "index", raw: str = "raw", order: str | None = None) -> DataFrame:
     """request, position, score: each document's sigmoid score in the input's order; 0 where there is no result, and a
-    result without document vanishes."""
-    found = results.select(F.col(request).alias("_r"), F.col(index).alias("_i"), F.col(raw).alias("_raw"))
+    result without document vanishes. Of results that repeat an index the last by `order` counts, without it the largest."""
+    best = F.max(raw) if order is None else F.max_by(raw, order)
+    found = results.groupBy(F.col(request).alias("_r"), F.col(index).alias("_i")).agg(best.alias("_raw"))
     joined = documents.join(found, (F.col(request) == F.col("_r")) & (F.col(position) == F.col("_i")), "left")
     return joined.select(request, position, F.coalesce(sigmoid(F.col("_raw")), F.lit(0.0)).alias("score"))
 

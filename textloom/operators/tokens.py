@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tokenizer_files import load_tokenizer
+from ..session import ship_active
 from .limits import one_of, truncated
 
 _loaded: dict[str, object] = {}
@@ -48,6 +49,7 @@ class TokenizerRegistry:
 
 def counter(path: str | None):
     """A UDF: the number of tokens, special ones included, without truncation; null for a text that is refused or null."""
+    ship_active()
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import heads, layout, limits, models, rank, tokens
+from ..operators import encode, heads, layout, limits, models, rank, serve, tokens
+from ..sources.requests import responses
+from . import tiny
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -111,34 +113,39 @@ def l2_normalize_inner_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(spark, sf_dir).withColumn("v", V.l2_normalize_inner(F.col("v"))).select(*_summary("vec_id", F.col("v")))
 
 
-_MASKED_SQL = "FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos, (vec_id % 3 > 0)::INT AS m FROM embeddings)"
+_TOKEN_ROWS = "(SELECT vec_id // 8 AS text_id, vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos, (vec_id % 3 > 0)::INT AS m FROM embeddings)"
 
 
-@_query(f"SELECT label, pos::INT AS pos, round(sum(x * m) / CASE WHEN sum(m) = 0 THEN 1 ELSE sum(m) END, 6) AS mean {_MASKED_SQL} GROUP BY ALL")
+def _hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight vectors in a row as the tokens of a text: text_id, h (their vectors), m (a mask)."""
+    e = _table(spark, sf_dir, "embeddings").withColumn("text_id", F.floor(F.col("vec_id") / 8))
+    rows = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    grouped = e.groupBy("text_id").agg(rows.alias("r"))
+    return grouped.select("text_id", F.col("r.embedding").alias("h"), F.transform("r", lambda r: (r["vec_id"] % 3 > 0).cast("int")).alias("m"))
+
+
+def _pooled(spark: SparkSession, sf_dir: str, v: F.Column) -> DataFrame:
+    return _hidden(spark, sf_dir).select("text_id", F.posexplode(v).alias("pos", "x")).select("text_id", "pos", F.round(F.col("x").cast("double"), DIGITS).alias("x"))
+
+
+@_query(f"SELECT text_id, pos::INT AS pos, round(sum(x * m) / CASE WHEN sum(m) = 0 THEN 1 ELSE sum(m) END, 6) AS x FROM {_TOKEN_ROWS} GROUP BY ALL")
 def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of a label as its tokens; a mean that combines before the shuffle."""
-    rows = _table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 > 0).cast("int").alias("m"), F.posexplode("embedding").alias("pos", "x"))
-    count = F.sum("m")
-    return rows.groupBy("label", "pos").agg(F.round(F.sum(F.col("x").cast("double") * F.col("m")) / F.when(count == 0, 1).otherwise(count), DIGITS).alias("mean"))
+    return _pooled(spark, sf_dir, V.mean_pool(F.col("h"), F.col("m")))
 
 
-@_query(f"SELECT label, pos::INT AS pos, round(sum(x * m) / greatest(sum(m)::DOUBLE, 1e-9::DOUBLE), 6) AS mean {_MASKED_SQL} GROUP BY ALL")
+@_query(f"SELECT text_id, pos::INT AS pos, round(sum(x * m) / greatest(sum(m)::DOUBLE, 1e-9::DOUBLE), 6) AS x FROM {_TOKEN_ROWS} GROUP BY ALL")
 def clamped_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 > 0).cast("int").alias("m"), F.posexplode("embedding").alias("pos", "x"))
-    return rows.groupBy("label", "pos").agg(F.round(F.sum(F.col("x").cast("double") * F.col("m")) / F.greatest(F.sum("m").cast("double"), F.lit(V.MASK_EPSILON)), DIGITS).alias("mean"))
+    return _pooled(spark, sf_dir, V.mean_pool_clamped(F.col("h"), F.col("m")))
 
 
-@_query(f"SELECT label, {_SUMMARY} FROM (SELECT label, arg_min(embedding::DOUBLE[], vec_id) AS v FROM embeddings GROUP BY label)")
+@_query(f"SELECT text_id, pos::INT AS pos, round(arg_min(x, vec_id), 6) AS x FROM {_TOKEN_ROWS} GROUP BY ALL")
 def cls_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    return first.select(*_summary("label", F.transform("v", lambda x: x.cast("double"))))
+    return _pooled(spark, sf_dir, V.cls_pool(F.col("h")))
 
 
-@_query(f"SELECT label, {_SUMMARY} FROM (SELECT label, coalesce(arg_max(embedding::DOUBLE[], vec_id) FILTER (WHERE vec_id % 3 > 0), arg_max(embedding::DOUBLE[], vec_id)) AS v FROM embeddings GROUP BY label)")
+@_query(f"SELECT text_id, pos::INT AS pos, round(coalesce(arg_max(x, vec_id) FILTER (WHERE m = 1), arg_max(x, vec_id)), 6) AS x FROM {_TOKEN_ROWS} GROUP BY ALL")
 def last_token_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "embeddings")
-    last = e.groupBy("label").agg(F.coalesce(F.max_by(F.when(F.col("vec_id") % 3 > 0, F.col("embedding")), F.when(F.col("vec_id") % 3 > 0, F.col("vec_id"))), F.max_by("embedding", "vec_id")).alias("v"))
-    return last.select(*_summary("label", F.transform("v", lambda x: x.cast("double"))))
+    return _pooled(spark, sf_dir, V.last_token_pool(F.col("h"), F.col("m")))
 
 
 @_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens FROM documents")
@@ -249,17 +256,21 @@ def cap_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", limits.cap(kind, F.lit(128), resident).alias("cap"))
 
 
-def _literal(rows: list[tuple], names: str) -> str:
-    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, bool | int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
-
-
-@_query(_literal([(m.kind, m.variant, m.code, m.file, m.dimension, m.pooling, m.quantization, m.output_key) for m in models.registry()], "kind, variant, code, file, dimension, pooling, quantization, output_key"))
+# What is expected here is written apart from the registry.
+@_query("""
+SELECT * FROM (VALUES ('dense', 'AllMiniLML6V2', 'Qdrant/all-MiniLM-L6-v2-onnx', 'model.onnx', 384, 'mean', 'none', NULL), ('dense', 'BGESmallENV15Q', 'Qdrant/bge-small-en-v1.5-onnx-Q', 'model_optimized.onnx', 384, 'cls', 'static', NULL),
+('dense', 'MultilingualE5Large', 'Qdrant/multilingual-e5-large-onnx', 'model.onnx', 1024, 'mean', 'none', NULL), ('dense', 'EmbeddingGemma300M', 'onnx-community/embeddinggemma-300m-ONNX', 'onnx/model.onnx', 768, 'mean', 'none', 'sentence_embedding'),
+('sparse', 'BGEM3', 'BAAI/bge-m3', 'onnx/model.onnx', NULL, NULL, 'none', NULL), ('joint', 'BGEM3Q', 'gpahal/bge-m3-onnx-int8', 'model_quantized.onnx', 1024, NULL, 'dynamic', NULL), ('rerank', 'BGERerankerBase', 'BAAI/bge-reranker-base', 'onnx/model.onnx', NULL, NULL, 'none', NULL),
+('image', 'ClipVitB32', 'Qdrant/clip-ViT-B-32-vision', 'model.onnx', 512, 'cls', 'none', NULL), ('decoder', 'Qwen3Embedding06B', 'Qwen/Qwen3-Embedding-0.6B', NULL, 1024, 'last_position', 'none', NULL), ('moe', 'NomicEmbedTextV2MoE', 'nomic-ai/nomic-embed-text-v2-moe', NULL, 768, 'mean', 'none', NULL))
+AS t(kind, variant, code, file, dimension, pooling, quantization, output_key)""")
 def models_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.models(spark)
+    wanted = [("dense", "AllMiniLML6V2"), ("dense", "BGESmallENV15Q"), ("dense", "MultilingualE5Large"), ("dense", "EmbeddingGemma300M"), ("sparse", "BGEM3"), ("joint", "BGEM3Q"), ("rerank", "BGERerankerBase"), ("image", "ClipVitB32"), ("decoder", "Qwen3Embedding06B"), ("moe", "NomicEmbedTextV2MoE")]
+    return models.models(spark).join(F.broadcast(spark.createDataFrame(wanted, "kind string, variant string")), ["kind", "variant"])
 
 
-@_query("SELECT kind, quantization, count(*) AS n, max(dimension) AS dimension FROM (" + _literal([(m.kind, m.quantization, m.dimension) for m in models.registry()], "kind, quantization, dimension") + ") GROUP BY ALL")
+@_query("""
+SELECT * FROM (VALUES ('dense', 'none', 30::BIGINT, 1024), ('dense', 'dynamic', 12, 1024), ('dense', 'static', 4, 1024), ('sparse', 'none', 2, NULL), ('joint', 'dynamic', 1, 1024), ('rerank', 'none', 4, NULL), ('image', 'none', 5, 2048), ('decoder', 'none', 4, 4096), ('moe', 'none', 1, 768))
+AS t(kind, quantization, n, dimension)""")
 def models_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.models(spark).groupBy("kind", "quantization").agg(F.count("*").alias("n"), F.max("dimension").alias("dimension"))
 
@@ -300,25 +311,127 @@ def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT max(len(embedding))::INT AS dimension FROM embeddings")
 def measured_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("dimension"))
+    return spark.createDataFrame([(encode.dimension(_table(spark, sf_dir, "embeddings"), "embedding"),)], "dimension int")
 
 
 @_query("SELECT conv_id, string_agg(turn::VARCHAR || ':' || role, ',' ORDER BY turn) AS roles FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id")
 def ordered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.requests import responses
-
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "turn", "role").alias("r")).distinct()
     return responses(rows, "conv_id", "turn", {"r": "r"}).select("conv_id", F.array_join("r", ",").alias("roles"))
 
 
-@_query()
+# The hand-made model looks its outputs up by token id in a table that SQL states as a formula (tiny.formula_table).
+_X = "((7 * id + 3 * {place}) % 11 - 5) / 4.0::DOUBLE"
+_IDS = "list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]+'), lambda t: coalesce(list_position([{words}], t), 0))"
+
+
+def _ids_sql(text: str = "text") -> str:
+    return _IDS.format(text=text, words=", ".join(f"'{w}'" for w in tiny.WORDS))
+
+
+_IDS_ROWS = f"(SELECT doc_id, unnest(w) AS id, unnest(range(len(w))) AS pos, len(w) AS n FROM (SELECT doc_id, {_ids_sql()} AS w FROM documents))"
+_SPARSE_SQL = "SELECT d.doc_id, coalesce(indices, '') AS indices, coalesce(total, 0.0) AS total{more} FROM documents d LEFT JOIN (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS indices, round(sum(w), 4) AS total FROM ({rows}) GROUP BY doc_id) s USING (doc_id)"
+_HEAD_SQL = f"SELECT DISTINCT doc_id, id, 0.25 + {' + '.join(f'{k / 2} * ({_X.format(place=k)})' for k in range(8))} AS w FROM {_IDS_ROWS} WHERE id > 3"
+_HEAD = {"weight": tuple(k / 2 for k in range(8)), "bias": 0.25}
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _sparse(of: str = "encoding.sparse") -> list[F.Column]:
+    return [F.array_join(F.transform(f"{of}.indices", lambda x: x.cast("string")), ",").alias("indices"), F.round(V.total(F.col(f"{of}.values")), 4).alias("total")]
+
+
+def _dense(v: F.Column) -> list[F.Column]:
+    """Two digits, as the model computes in single precision."""
+    return [F.size(v).alias("dimension"), F.round(F.get(v, F.lit(0)).cast("double"), 2).alias("first"), F.round(F.element_at(v, -1).cast("double"), 2).alias("last")]
+
+
+@_query(f"""
+WITH p AS (SELECT doc_id, place, avg({_X.format(place="place")}) AS x FROM {_IDS_ROWS}, range(8) AS r(place) GROUP BY ALL),
+v AS (SELECT doc_id, list(x ORDER BY place) AS v FROM p GROUP BY doc_id)
+SELECT doc_id, len(v)::INT AS dimension, round(v[1] / (sqrt(list_dot_product(v, v)) + 1e-12::DOUBLE), 2) AS first, round(v[8] / (sqrt(list_dot_product(v, v)) + 1e-12::DOUBLE), 2) AS last FROM v""")
 def encode_tiny_onnx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hand-made model of one look-up; encoding is a model's pass, which SQL does not express."""
-    from ..operators.encode import encode
-    from .tiny import WHOLE, tiny_encoder
+    out = encode.encode(_documents(spark, sf_dir), tiny.formula_encoder({"last_hidden_state": 8}, batch_size=8, pooling="mean"))
+    return out.select("doc_id", *_dense(F.col("encoding.dense")))
+
+
+@_query(f"""
+WITH v AS (SELECT doc_id, list({_X.format(place="place")} ORDER BY place) AS v FROM {_IDS_ROWS}, range(8) AS r(place) WHERE pos = 0 GROUP BY doc_id)
+SELECT doc_id, len(v)::INT AS dimension, round(v[1] / (sqrt(list_dot_product(v, v)) + 1e-12::DOUBLE), 2) AS first, round(v[8] / (sqrt(list_dot_product(v, v)) + 1e-12::DOUBLE), 2) AS last FROM v""")
+def encode_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first token's vector, in batches of one shape; the named one of two outputs."""
+    out = encode.encode(_documents(spark, sf_dir), tiny.formula_encoder({"other": 3, "text_embeds": 8}, batch_size=8, pin=True))
+    return out.select("doc_id", *_dense(F.col("encoding.dense")))
+
+
+@_query(_SPARSE_SQL.format(more="", rows=f"SELECT * FROM ({_HEAD_SQL}) WHERE w > 0"))
+def encode_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode.encode(_documents(spark, sf_dir), tiny.formula_encoder({"hidden_states": 8}, batch_size=8, head="lexical", **_HEAD))
+    return out.select("doc_id", *_sparse())
+
+
+@_query(_SPARSE_SQL.format(more="", rows=f"SELECT doc_id, place AS id, max(ln(1 + greatest({_X.format(place='place')}, 0))) AS w FROM {_IDS_ROWS}, range(9) AS r(place) GROUP BY ALL HAVING max({_X.format(place='place')}) > 0"))
+def encode_splade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode.encode(_documents(spark, sf_dir), tiny.formula_encoder({"logits": 9}, batch_size=8, head="splade"))
+    return out.select("doc_id", *_sparse())
+
+
+@_query(_SPARSE_SQL.format(more=", dimension, first, last", rows=f"SELECT * FROM ({_HEAD_SQL}) WHERE w > 0") + f"""
+JOIN (SELECT doc_id, len(v)::INT AS dimension, round(v[1] / (sqrt(list_dot_product(v, v)) + 1e-12::DOUBLE), 2) AS first, round(v[8] / (sqrt(list_dot_product(v, v)) + 1e-12::DOUBLE), 2) AS last
+FROM (SELECT doc_id, list({_X.format(place="place")} ORDER BY place) AS v FROM {_IDS_ROWS}, range(8) AS r(place) WHERE pos = 0 GROUP BY doc_id)) USING (doc_id)""")
+def encode_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both heads of one pass."""
+    out = encode.encode(_documents(spark, sf_dir), tiny.formula_encoder({"pooled_dense": 8, "hidden_states": 8}, batch_size=8, head="dual", **_HEAD))
+    return out.select("doc_id", *_sparse(), *_dense(F.col("encoding.dense")))
+
 
-    out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tiny_encoder(max_length=WHOLE, batch_size=8))
-    return out.select("doc_id", F.size("encoding.dense").alias("dimension"), F.round(V.norm(F.col("encoding.dense")), 4).alias("norm"))
+@_query(_SPARSE_SQL.format(more=", dimension, first, last, n_vectors, vectors_total", rows=f"SELECT DISTINCT doc_id, id, {_X.format(place=0)} AS w FROM {_IDS_ROWS} WHERE id > 3 AND {_X.format(place=0)} > 0") + f"""
+JOIN (SELECT doc_id, 8 AS dimension, round({_X.format(place=0)}, 2) AS first, round({_X.format(place=7)}, 2) AS last FROM {_IDS_ROWS} WHERE pos = 0) USING (doc_id)
+JOIN (SELECT doc_id, (max(n) - 1)::INT AS n_vectors, coalesce(sum({' + '.join(f'({_X.format(place=k)})' for k in range(4))}) FILTER (WHERE pos < n - 1), 0.0) AS vectors_total FROM {_IDS_ROWS} GROUP BY doc_id) USING (doc_id)""")
+def encode_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense as it comes, weights by token id, and a vector for each token but one."""
+    out = encode.encode(_documents(spark, sf_dir), tiny.formula_encoder({"pooled_a": 8, "b": 1, "c": 4}, batch_size=8, head="joint"))
+    return out.select("doc_id", *_sparse(), *_dense(F.col("encoding.dense")), F.size("encoding.multi").alias("n_vectors"), V.total(F.flatten("encoding.multi")).alias("vectors_total"))
+
+
+@_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens, {WORDS_SQL} > 256 AS truncated FROM documents")
+def token_count_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a tokenizer file, with the flag of truncation."""
+    return tokens.with_counts(_documents(spark, sf_dir), "text", tiny.tiny_tokenizer(tiny.WORDS), 256).drop("text")
+
+
+_FIRST_ID_SQL = f"(SELECT item_id, doc_id, {_X.format(place=0)} AS raw FROM (SELECT b.item_id, d.doc_id, ({_ids_sql('d.text')})[1] AS id FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id))"
+
+
+@_query(f"SELECT item_id AS request_id, string_agg(round(1 / (1 + exp(-raw)), 4)::VARCHAR, ',' ORDER BY doc_id) AS scores, count(*)::INT AS n FROM {_FIRST_ID_SQL} GROUP BY item_id")
+def rerank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their candidates as requests; the hand-made scorer's logit goes by the pair's first token, so the document
+    is given first."""
+    rows = _candidates(spark, sf_dir).join(_documents(spark, sf_dir), "doc_id")
+    scorer = encode.scorer(tiny.formula_encoder({"logits": 1}, batch_size=8, head="rerank"))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    results = rank.rerank(rows.join(items, "item_id"), "item_id", "doc_id", scorer(F.col("text"), F.col("item")))
+    scored = rank.aligned_scores(rows.select("item_id", "doc_id"), results, "item_id", "doc_id", order="rank").withColumn("score", F.round("score", 4))
+    packed = responses(scored, "item_id", "doc_id", {"scores": "score"})
+    return packed.select(F.col("item_id").alias("request_id"), F.array_join(F.transform("scores", lambda x: x.cast("string")), ",").alias("scores"), F.size("scores").alias("n"))
+
+
+@_query(f"""
+WITH t AS (SELECT conv_id, turn, {_ids_sql()} AS w, CASE WHEN conv_id % 3 = 0 THEN 16 WHEN conv_id % 3 = 1 THEN 256 ELSE 40 END AS cap FROM conversations),
+r AS (SELECT conv_id, turn, len(w) AS n, cap, unnest(w[1:cap]) AS id FROM t),
+m AS (SELECT conv_id, turn, n, cap, avg({_X.format(place=0)}) AS x FROM r GROUP BY ALL)
+SELECT conv_id AS request_id, max(cap)::INT AS max_length, string_agg(n::VARCHAR, ',' ORDER BY turn) AS token_count, string_agg(CASE WHEN n > cap THEN 'true' ELSE 'false' END, ',' ORDER BY turn) AS truncated, true AS token_accounting, round(sum(x), 3) AS first_total FROM m GROUP BY conv_id""")
+def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as requests with limits of their own: 0 for the default, one below the least, one between."""
+    c = _table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    asked = c.groupBy(F.col("conv_id").alias("request_id")).agg(turns["text"].alias("texts")).withColumn("kind", F.lit("doc"))
+    asked = asked.withColumn("max_length", F.when(F.col("request_id") % 3 == 0, 3).when(F.col("request_id") % 3 == 1, 0).otherwise(40))
+    out = serve.embed_requests(asked, tiny.formula_encoder({"last_hidden_state": 4}, batch_size=8, pooling="mean", normalize=False))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("request_id", "max_length", joined("token_count").alias("token_count"), joined("truncated").alias("truncated"), "token_accounting", F.round(V.total(F.transform("dense", lambda v: v[0])), 3).alias("first_total"))
 
 
 @_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens FROM documents")
@@ -328,7 +441,12 @@ def stream_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming.inference import read_rows, run_available
 
-    where = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/textloom'}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "/tmp/textloom"
+    where = f"{shared}/stream-{uuid.uuid4().hex}"
     table = _table(spark, sf_dir, "documents")
     folder = all(f.rsplit("/", 2)[-2] == "documents.parquet" for f in table.inputFiles())
     stream = read_rows(spark, f"{sf_dir}/documents.parquet" if folder else sf_dir, table.schema, None if folder else "documents.parquet")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,8 +35,17 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(application)
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{root.name}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, str(file.relative_to(root.parent)))
     spark.sparkContext.addPyFile(path)
+
+
+def ship_active() -> None:
+    """The same for the session that is active, if there is one: for operators that get columns only."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
