@@ -167,6 +167,37 @@ def test_repeats_by_brute_force(spark, seed):
     assert repeats(df, block_bytes=1 << 12, shard_bytes=1 << 13) == expected
     assert repeats(df) == expected
     assert repeats(df, block_bytes=1 << 12, hot=1) == expected
+    assert repeats(df, block_bytes=1 << 14, hot=3, shard_bytes=1 << 11) == expected
+
+
+def test_a_passage_in_very_many_surroundings_is_divided(spark):
+    """Chunks of one gram differ on both sides of it, some in few bytes only."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(130))
+    around = ["".join(rng.choice("klmnop") for _ in range(60)) for _ in range(12)]
+    docs = [(i, rng.choice(around)[: rng.randrange(60)] + passage[: rng.choice([80, 101, 130])] + rng.choice(around)[rng.randrange(60) :] + str(i % 7)) for i in range(400)]
+    expected = Counter((k, *v) for k, v in suffix_dedup.brute_force(docs).items())
+    assert sum(n for (_, _, n, _, _), c in expected.items()) > 0
+    for hot in (2, 20, 10_000):
+        assert repeats(frame(spark, docs), hot=hot, block_bytes=1 << 12) == expected
+    with pytest.raises(ValueError, match="width"):
+        suffix_dedup.find_repeats(frame(spark, docs), width=250)
+
+
+@pytest.mark.parametrize("budget", [1 << 10, 1 << 14])
+def test_a_shard_several_times_its_budget(tmp_path, budget, monkeypatch):
+    """The queues spill: most tuples of a sort go through files."""
+    rng = random.Random(11)
+    base = [bytes(rng.randrange(97, 101) for _ in range(700)) for _ in range(30)]
+    pieces = [rng.choice(base)[rng.randrange(300) :] for _ in range(300)]
+    spilled = []
+    spill = induced_sort.Spool.spill
+    monkeypatch.setattr(induced_sort.Spool, "spill", lambda self: spilled.append(sum(len(p) for p, _ in self.held)) or spill(self))
+    s, order, _ = sort_pieces(pieces, tmp_path, budget)
+    assert sum(spilled) > len(s) / 2 and sorted(order) == list(range(len(s)))
+    end = [s.index(0, i) for i in order[:: 97]]
+    keys = [tuple(s[a : min(e, a + 100)]) for a, e in zip(order[::97], end)]
+    assert keys == sorted(keys)
 
 
 def test_repeats_of_odd_rows(spark):

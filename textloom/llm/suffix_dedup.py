@@ -11,8 +11,9 @@ of whichever documents meet in one shard, so no match is lost, and none crosses
    repeat it byte for byte. A gram with different chunks is a border between what repeats and what does not.
 3. Blocks give the bytes of border chunks, which are suffix-sorted in shards of about `shard_bytes`, in files on the
    task's own disk while it runs. Windows whose common prefix covers `width` bytes are equal; the earliest stays.
-   Border chunks of a gram that has more than `hot` of them (by default, what fills half a shard) are judged a window at a time instead, by 128-bit hashes of
-   the windows, as one shard would have to hold them all.
+   A gram with more than `hot` different chunks (by default, what fills a sixteenth of a shard) is divided first: its windows
+   fall into halves by where the gram lies in them, and the bytes that all windows of a half share are a longer gram.
+   The sorter's queues hold `shard_bytes` in memory and the rest on disk, so they spill in any shard of about its size.
 4. Blocks meet their verdicts and remove bytes.
 
 Defined cases: a null text is empty and keeps its hash of nothing; texts under `width` bytes lose nothing; of rows that
@@ -34,9 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import chunks, content_hashes, gram_hashes
-from .common import block_bodies, block_tables, body_table, column_bytes, from_planes, planes, prepare, release, replayable, written
-from .induced_sort import sort_file
+from .anchors import GRAM, chunks, gram_hashes
+from .common import block_bodies, block_tables, body_table, column_bytes, drop, from_planes, in_blocks, planes, prepare, release, replayable, sliced, written
+from .induced_sort import CAP, sort_file
 
 _LATE = np.iinfo(np.int64).max
 SEVERAL = np.uint64(0)  # in place of a chunk's hash
@@ -200,35 +201,63 @@ def _sort_shard(width: int, budget: int) -> Callable:
     return run
 
 
-def _windows(width: int) -> Callable:
-    """Two hashes, id, block and place of each window of border chunks."""
+def _halves(width: int) -> Callable:
+    """Rows (gram, block, id, first, piece, lo, hi, place) cut in two by where in a window the gram lies: lo to hi bytes from its
+    start. All windows of a half share more bytes around the gram, and these are its new gram. place: of the first gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                b = whole.slice(start, 4096)
-                pieces = b.column(b.schema.get_field_index("piece")).to_pylist()
-                sizes = np.array([len(p) for p in pieces])
-                count = sizes - width + 1
-                row = np.repeat(np.arange(len(pieces)), count)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                at = (np.cumsum(sizes) - sizes)[row] + offset
-                h = gram_hashes(np.frombuffer(b"".join(pieces), np.uint8))
-                keys = [content_hashes(h, at, np.full(len(at), width), seed).view(np.int64) for seed in (1, 2)]
-                block, ident, first = (b.column(b.schema.get_field_index(c)).to_numpy()[row] for c in ("block", "id", "first"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, ident, block, first + offset)], ["k1", "k2", "id", "block", "first"])
+            for b in sliced(whole, whole.schema.get_field_index("piece"), 1 << 20):
+                rows: list[tuple] = []
+                for gram, block, ident, first, piece, lo, hi, place in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("gram", "block", "id", "first", "piece", "lo", "hi", "place"))):
+                    if place is None:  # the leftmost gram with this hash is the minimiser
+                        found = gram_hashes(np.frombuffer(piece, np.uint8)) >> np.uint64(16)
+                        place = int(np.flatnonzero(found == np.uint64(gram))[0])
+                    mid = (lo + hi) // 2
+                    for u, v in ((lo, mid), (mid + 1, hi)):
+                        start, end = max(0, place - v), min(len(piece) - width, place - u)
+                        if start <= end:
+                            part = piece[start : end + width]
+                            new = hashlib.blake2b(b"%d %d " % (u, v) + piece[place - u : place + width - v], digest_size=8).digest()
+                            rows.append((int.from_bytes(new, "big", signed=True), block, ident, first + start, part, u, v, place - start, hashlib.blake2b(part, digest_size=16).digest()))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["gram", "block", "id", "first", "piece", "lo", "hi", "place", "same"])
 
     return run
 
 
-def _judge_hot(border: DataFrame, width: int) -> DataFrame:
-    """block, first, count of windows that are not the earliest of their bytes, a window at a time: for chunks of grams that
-    very many documents have in as many surroundings. No key gathers more than what repeats; sums combine before the
-    shuffle, and the join back is one that Spark can split."""
-    windows = written(border.mapInArrow(_windows(width), "k1 bigint, k2 bigint, id bigint, block bigint, first bigint"), "windows")
-    earliest = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "block", "first")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "e")
-    later = windows.join(earliest, ["k1", "k2"]).filter(F.struct("id", "block", "first") != F.col("e"))
-    return later.select("block", "first", F.lit(1).cast("long").alias("count"))
+def _divided(border: DataFrame, width: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """The chunks with no gram that has more than `hot` different ones, and the ranges that this has already shown to repeat.
+
+    Chunks of such a gram are cut in two (_halves); of halves that are equal byte for byte the earliest stays and the others
+    repeat it; a new gram with one kind of half needs no sorting, and one that still has too many is cut again. A gram that is
+    a whole window has one kind, so this ends after log2(width) cuts. A lookup by the bytes' 128-bit hash is what equal means.
+    """
+    repeats = None
+    rest = border.select(*_PIECE, F.lit(0).alias("lo"), F.lit(width - GRAM).alias("hi"), F.lit(None).cast("int").alias("place"))
+    cold = None
+    while True:
+        often = written(rest.groupBy("gram").count().filter(F.col("count") > hot).select("gram"), "often")
+        many = often.count()
+        if not many:
+            cold = rest if cold is None else cold.union(rest)
+            return cold.select(*_PIECE), repeats
+        flags = F.broadcast(often.withColumn("hot", F.lit(True))) if many <= 1_000_000 else often.withColumn("hot", F.lit(True))
+        parts = written(rest.join(flags, "gram", "left"), "parts")
+        calm = parts.filter("hot is null").drop("hot")
+        cold = calm if cold is None else cold.union(calm)
+        cut = written(parts.filter("hot").drop("hot").mapInArrow(_halves(width), "gram bigint, block bigint, id bigint, first bigint, piece binary, lo int, hi int, place int, same binary"), "halves")
+        when = F.struct("id", "block", "first")
+        kinds = written(cut.groupBy("gram", "same").agg(F.min(F.struct(when.alias("e"), "piece", "lo", "hi", "place")).alias("r"), F.count("*").alias("n")).select("gram", "same", "r.*", "n"), "kinds")
+        later = cut.select("gram", "same", "block", "first", when.alias("w"), (F.octet_length("piece") - width + 1).cast("long").alias("count"))
+        later = later.join(kinds.filter("n > 1").select("gram", "same", "e"), ["gram", "same"]).filter("w <> e").select("block", "first", "count")
+        repeats = written(later if repeats is None else repeats.union(later), "repeats")
+        several = written(kinds.groupBy("gram").count().filter("count > 1").select("gram"), "several")
+        rest = kinds.join(several, "gram", "left_semi").select("gram", "e.block", "e.id", "e.first", "piece", "lo", "hi", "place")
+
+
+_PIECE = ("gram", "block", "id", "first", "piece")
 
 
 def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
@@ -269,6 +298,8 @@ def _remove(kept: int, width: int, buckets: int, full: bool) -> Callable:
 def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 12 << 20, shard_bytes: int = 4 << 20, hot: int | None = None, full: bool = False) -> DataFrame:
     """`keep` columns, n_bytes, n_removed, n_spans, kept_sha256; with `full`, kept (the text that is left, without
     characters that are cut through; null for null)."""
+    if not GRAM <= width <= CAP:
+        raise ValueError(f"width is {GRAM} to {CAP} bytes, not {width}")
     prepare(docs.sparkSession)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_order"), *keep, F.col(f"`{text}`").alias("_text"))
     if not replayable(base):
@@ -276,24 +307,20 @@ def find_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id:
     kept = len(keep) + 1
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
     buckets = max(32, 2 * base.rdd.getNumPartitions())
+    tasks = buckets
     rows = base.mapInArrow(_rows(kept, block_bytes, width, buckets), "bucket int, block bigint, n int, packed binary")
     verdicts = written(rows.groupBy("bucket").applyInArrow(_judge, "bucket int, block bigint, verdict binary"), "verdicts")
     bodies = block_bodies(base, kept, block_bytes)
-    border = written(bodies.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_border_bytes(kept, width, buckets), "gram bigint, block bigint, id bigint, first bigint, piece binary"), "borders")
-    hot = shard_bytes // (2 * width) if hot is None else hot  # chunks that alone fill much of a shard
-    often = border.groupBy("gram").count().filter(F.col("count") > hot).select("gram")
-    hot_ranges = None
-    if not often.isEmpty():
-        parts = written(border.join(often.withColumn("hot", F.lit(True)), "gram", "left"), "parts")
-        hot_ranges = _judge_hot(parts.filter("hot"), width)
-        border = parts.filter("hot is null").drop("hot")
+    border = written(in_blocks(bodies, verdicts, tasks).applyInArrow(_border_bytes(kept, width, buckets), "gram bigint, block bigint, id bigint, first bigint, piece binary"), "borders")
+    drop(docs.sparkSession)
+    border, repeats = _divided(border, width, max(1, shard_bytes // (16 * width)) if hot is None else hot)
     shards = max(8, 1 + int((border.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // shard_bytes))
-    ranges = border.repartition(shards, "gram").mapInArrow(_sort_shard(width, 16 * shard_bytes), "block bigint, first bigint, count bigint")
-    if hot_ranges is not None:
-        ranges = ranges.union(hot_ranges)
+    ranges = border.repartition(shards, "gram").mapInArrow(_sort_shard(width, shard_bytes), "block bigint, first bigint, count bigint")
+    if repeats is not None:
+        ranges = ranges.union(repeats)
     told = verdicts.select("block", "bucket", "verdict", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("count")).unionByName(written(ranges, "ranges"), allowMissingColumns=True)
     more = ", kept string" if full else ""
-    return bodies.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(kept, width, buckets, full), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
+    return in_blocks(bodies, told, tasks).applyInArrow(_remove(kept, width, buckets, full), f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
 
 
 def digest(docs: DataFrame) -> DataFrame:
