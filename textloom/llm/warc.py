@@ -85,7 +85,8 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     where, date = new_path(spark, "warc"), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(page_id).cast("long").alias("i"), F.col(url).alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h")).withColumn("d", F.sha1("h"))
     again = rows.filter(F.octet_length("h") >= revisit_from).groupBy("d").agg(F.max("i").alias("last"), F.count("*").alias("n")).filter("n > 1").select("d", "last")
-    ready = rows.join(again, "d", "left").select("i", "u", "h", F.when(F.col("last") != F.col("i"), F.col("last")).alias("r"), F.unhex("d").alias("d"))
+    again = written(again, "repeated")  # few digests, as a rule, so that the pages stay where they are
+    ready = rows.join(F.broadcast(again) if again.count() <= 500_000 else again, "d", "left").select("i", "u", "h", F.when(F.col("last") != F.col("i"), F.col("last")).alias("r"), F.unhex("d").alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, found = TaskContext.get().partitionId(), None, []
@@ -194,7 +195,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = 16 << 20, payload: boo
     """A row per record of the archives (path, size), with its payload unless told otherwise."""
     ranges = manifest.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, "size")).select("path", "start", "end")
-    ranges = ranges.repartition(max(8, 2 * manifest.sparkSession.sparkContext.defaultParallelism), F.xxhash64("path", "start"))
+    count = manifest.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(max(2 * manifest.sparkSession.sparkContext.defaultParallelism, int(count) // 4), F.xxhash64("path", "start"))
     names = ["record_type", "url", "page_id", "refers_to", "payload_digest", "payload_bytes", *["payload"] * payload]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * payload]
 
