@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_bodies, block_tables, body_table, column_bytes, prepare, release, replayable, written
+from .common import block_bodies, block_tables, body_table, column_bytes, in_blocks, prepare, release, replayable, written
 
 SPACES = "[\x20\x09-\x0d]"
 
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
     found = sent.groupBy("bucket").applyInArrow(_encode(path), "bucket int, block bigint, n int, ids binary")
     bodies = block_bodies(base, len(keep), block_bytes)
     more = ", ids array<int>" * ids + ", decoded string" * decoded
-    return bodies.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_assemble(path, len(keep), buckets, ids, decoded), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return in_blocks(bodies, found, buckets).applyInArrow(_assemble(path, len(keep), buckets, ids, decoded), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -193,9 +193,11 @@ def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds `out`, the decoded text of an array of ids, by a join of each position with the id-to-piece table."""
+    """Adds `out`, the decoded text of an array of ids, by a join of each position with the id-to-piece table. Null and empty
+    arrays give an empty text; ids that the table lacks give nothing. Equal arrays are decoded once."""
     table = df.sparkSession.createDataFrame(list(enumerate(p.decode() for p in _pieces(tokenizer or tokenizer_file()))), "id int, piece string")
-    keyed = df.withColumn("_key", F.xxhash64(ids)).select("_key", ids).dropDuplicates(["_key"])
+    key = F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256)
+    keyed = df.withColumn("_key", key).select("_key", ids).dropDuplicates(["_key"])
     rows = keyed.select("_key", F.posexplode(ids).alias("pos", "id")).join(F.broadcast(table), "id")
     joined = rows.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias(out))
-    return df.withColumn("_key", F.xxhash64(ids)).join(joined, "_key", "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_key")
+    return df.withColumn("_key", key).join(joined, "_key", "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_key")
