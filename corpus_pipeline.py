@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of `documents`; the last returns the ids and digests of each document.
+
+Defined cases: a null or empty text is judged by the classifier like any other; one that it keeps has no shingles, no repeated
+bytes, no leaks and no tokens, so it goes through to the end (a null text stays null until then). Of rows that repeat a
+doc_id and have shingles, the near-copy stage keeps one, as copies; rows of the other stages are judged each. Ties of ids
+are the operators' (the smaller id stays). Texts of any length are worked on whole. An empty table gives no rows; extra
+columns, whatever their names, go through all stages but the last, which returns its own.
 """
 
 from __future__ import annotations

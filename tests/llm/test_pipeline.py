@@ -86,6 +86,25 @@ def test_empty_documents(spark, folder):
 
 
 def test_columns_that_clash(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20).withColumns({"score": F.lit("x"), "n_words": F.lit(1), "kept": F.lit(2)})
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20).withColumns({"score": F.lit("x"), "n_words": F.lit(1), "kept": F.lit(2), "ids": F.lit(3), "n_tokens": F.lit("t"), "bits": F.lit(4)})
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, folder).columns == docs.columns
+    last = corpus_pipeline.STAGES[4][1](spark, docs, folder)
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and last.count() == 20
+
+
+def test_odd_rows_of_each_stage(spark, folder):
+    """Nulls in every column, empty and very long texts, and ids that repeat, through every stage but the first as they are."""
+    clean = next(r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.text and 900 < len(r.text) < 2500)
+    long = " ".join(f"w{i} v{i % 977}" for i in range(150_000))
+    rows = [(1, clean, "en", "a", 1), (1, clean, "en", "b", 1), (1, "another text that is under the same id and has words", "en", "c", 1), (2, clean, None, None, None), (3, None, "en", "a", 0), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (None, "words under no id at all are here", "en", "a", 1), (5, long, "en", "a", 9), (6, long + " and more", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{folder}/documents.parquet").schema)
+    found = {name: stage(spark, docs, folder).collect() for name, stage in corpus_pipeline.STAGES}
+    assert len(found["quality classifier"]) <= len(rows)
+    near = sorted((r.doc_id or 0, (r.text or "")[:7]) for r in found["n-gram Jaccard join"])
+    assert [i for i, _ in near] == [0, 1, 3, 3, 4, 5]
+    cut = found["suffix-array dedup"]
+    assert len(cut) == len(rows) and sum(r.text is None for r in cut) == 2 and {r.doc_id: len(r.text or "") for r in cut}[6] < 200
+    assert len(found["benchmark decontamination"]) == len(rows)
+    ids = found["BPE encoding and decoding"]
+    assert len(ids) == len(rows) and sum(r.n_tokens == 0 for r in ids) == 3 and all(len(r.ids) == r.n_tokens for r in ids)
