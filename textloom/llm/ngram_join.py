@@ -19,8 +19,8 @@ A document's set is that of its distinct shingles of k words, each as a 64-bit h
 5. Linked classes form components. Where a tile's classes lie in more than one, all pairs across components that the
    bitmaps leave are compared, in blocks of `block` classes; most tiles have one component by then, and tiles of the same
    classes are compared once. While such tiles are large (more than `few` classes on average), each class is first
-   compared with the likeliest one of another component only, round after round as long as that links any, so that few
-   pairs are left.
+   compared with the likeliest one of another component only, in its largest tile, then in all of its tiles, round after
+   round as long as that links any, so that few pairs are left.
 
 A block of documents links the members of a tile that it has itself, and sends the smallest one only, so a tile that many
 documents share is one row a block where blocks meet.
@@ -348,7 +348,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     signs = found.filter("bits is not null")
     pairs = written(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
     edges = written(verify(pairs, signs, base, k, num, den), "links")
-    roots, every = connected_components(edges), False
+    roots, mode = connected_components(edges), "largest"
     members = shared.select("tile", "b").repartition("tile").distinct()  # one exchange serves the window below, too
     of_tile = Window.partitionBy("tile")
     while True:
@@ -363,17 +363,27 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         open_rows, sure = rest.agg(F.count("*"), F.sum("m")).first()
         if not open_rows:
             break
-        every = every or sure <= few * open_rows  # an open tile's size, on average over its rows
-        more = written(_across(rest.join(signs.select(F.col("id").alias("b"), F.col("n").alias("size"), "bits"), "b"), open_rows, num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        if mode == "largest" and sure <= few * open_rows:  # an open tile's size, on average over its rows
+            mode = "every"
+        if mode == "largest":  # of each class's tiles the one with the most classes, and all classes of tiles that one has chosen
+            top = F.max(F.struct("m", "tile")).over(Window.partitionBy("b"))
+            chosen = written(rest.withColumn("own_tile", F.col("tile") == top["tile"]), "chosen")
+            rows = chosen.join(chosen.filter("own_tile").select("tile").distinct(), "tile")
+        else:
+            rows = rest.withColumn("own_tile", F.lit(True))
+        rows = rows.join(signs.select(F.col("id").alias("b"), F.col("n").alias("size"), "bits"), "b")
+        more = written(_across(rows, open_rows, num, den, block, mode == "every").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         drop(spark, rest)
         new = written(verify(more, signs, base, k, num, den), "links")
         linked = not new.isEmpty()
         if linked:
             edges = written(edges.union(new), "links")
             roots = connected_components(edges)
-        if every:  # all pairs across components have been compared
+        if mode == "every":  # all pairs across components have been compared
             break
-        every, pairs = not linked, written(pairs.union(more), "pairs")
+        if not linked:
+            mode = "all" if mode == "largest" else "every"
+        pairs = written(pairs.union(more), "pairs")
     drop(spark, shared, pairs)
     classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("bits").isNotNull(), F.col("id"))).alias("node"))
     classes = classes.join(roots, "node", "left").select("s", "n", "lo", F.coalesce("root", "node").alias("root"))
@@ -384,7 +394,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
 def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every: bool) -> DataFrame:
     """Pairs (a < b) of one tile but of different components that the bitmaps leave, from `count` rows (tile, b, root, m, size,
-    bits): every one, or for each class the likeliest only.
+    bits, own_tile): every one, or for each class the likeliest only, in tiles that are its own.
 
     A tile of more than `block` classes is cut into blocks by hash, and each pair of blocks is apart; so many of these and of
     small tiles as have some thousands of rows together are one group, whatever the tiles' sizes.
@@ -397,7 +407,7 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
         table = table.combine_chunks()
         tile, p, q, own = (table[c].to_numpy() for c in ("tile", "p", "q", "own"))
         order = np.lexsort((own, q, p, tile))
-        tile, p, q, own, ids, roots, size = (x[order] for x in (tile, p, q, own, table["b"].to_numpy(), table["root"].to_numpy(), table["size"].to_numpy()))
+        tile, p, q, own, ids, roots, size, asks = (x[order] for x in (tile, p, q, own, table["b"].to_numpy(), table["root"].to_numpy(), table["size"].to_numpy(), table["own_tile"].to_numpy().astype(bool)))
         maps = table["bits"].to_pylist()
         maps = [maps[i] for i in order]
         # rows of a part that is one block, or the first of two, are compared with those after them, in its second block if there is one
@@ -438,7 +448,7 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
                     likeliest[x[by]] = y[by]  # the last one assigned is the likeliest
                     best[x[by]] = spare[by]
             if not every:
-                x = np.flatnonzero(best >= 0)
+                x = np.flatnonzero((best >= 0) & asks[s:e])
                 out.append(np.stack((np.minimum(ids[s + x], ids[s + likeliest[x]]), np.maximum(ids[s + x], ids[s + likeliest[x]]))))
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         release()
