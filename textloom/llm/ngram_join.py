@@ -391,7 +391,7 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
     """
     cut = rows.withColumn("m", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("b"), F.col("m")).cast("int"))
     cut = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumns({"p": F.least("own", "q"), "q": F.greatest("own", "q")})
-    cut = cut.withColumn("k", F.pmod(F.xxhash64("tile", "p", "q"), F.lit(1 + count // 8192)))
+    cut = cut.withColumn("k", F.pmod(F.xxhash64("tile", "p", "q"), F.lit(1 + count // 32768)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -404,6 +404,9 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
         at = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))) if len(tile) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(tile))
         out, held = [np.zeros((2, 0), np.int64)], 0
+        # the likeliest of a class in all of the group's tiles, by the place of its row in `of_row`
+        classes, of_row = np.unique(ids, return_inverse=True)
+        best, likeliest = np.full(len(classes), -1), np.zeros(len(classes), np.int64)
         for s, e in zip(at.tolist(), ends.tolist()):
             words = min(map(len, maps[s:e])) // 8
             bits = folded(maps[s:e], words)
@@ -412,7 +415,6 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
             else:
                 half = int(np.searchsorted(own[s:e], q[s]))
                 left, first = np.arange(half), np.full(half, half)
-            best, likeliest = np.full(e - s, -1), np.zeros(e - s, np.int64)
             step = max(1, (1 << 21) // ((e - s) * words))
             for low in range(0, len(left), step):
                 i, f = left[low : low + step], first[low : low + step]
@@ -434,12 +436,12 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
                     continue
                 for x, y in ((i, j), (j, i)):
                     by = np.argsort(spare, kind="stable")
-                    by = by[spare[by] > best[x[by]]]
-                    likeliest[x[by]] = y[by]  # the last one assigned is the likeliest
-                    best[x[by]] = spare[by]
-            if not every:
-                x = np.flatnonzero(best >= 0)
-                out.append(np.stack((np.minimum(ids[s + x], ids[s + likeliest[x]]), np.maximum(ids[s + x], ids[s + likeliest[x]]))))
+                    by = by[spare[by] > best[of_row[s + x[by]]]]
+                    likeliest[of_row[s + x[by]]] = ids[s + y[by]]  # the last one assigned is the likeliest
+                    best[of_row[s + x[by]]] = spare[by]
+        if not every:
+            x = np.flatnonzero(best >= 0)
+            out.append(np.stack((np.minimum(classes[x], likeliest[x]), np.maximum(classes[x], likeliest[x]))))
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         release()
         return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
