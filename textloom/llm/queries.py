@@ -71,8 +71,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_language, op4_warc, op5_repeats, op6_embeddings, op7_scores, op8_jaccard, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_language, op4_warc, op5_repeats, op6_embeddings, op7_scores, op8_jaccard, op9_quality, op10_bpe, op11_lines)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -129,6 +135,13 @@ l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
 c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN c ON id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "op11_lines": f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, unnest(w) AS line, unnest(range(len(w))) AS p FROM d),
+k AS (SELECT doc_id, line, p, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), {_AZ}) AS key FROM l),
+s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT doc_id, line, p, last IS NOT NULL AND doc_id <> last AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
 }
 
 
