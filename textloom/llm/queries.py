@@ -77,8 +77,14 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whiten
+
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_language, op4_warc, op5_repeats, op6_embeddings, op7_scores, op8_jaccard, op9_quality, op10_bpe, op11_lines)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_language, op4_warc, op5_repeats, op6_embeddings, op7_scores, op8_jaccard, op9_quality, op10_bpe, op11_lines, op12_whitening)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
