@@ -199,7 +199,7 @@ def test_scorer_of_nulls_and_session_keys(spark):
     assert E.session(tiny.formula_encoder({"x": 2})) is first
     others = [E.session(tiny.formula_encoder({"x": 2}, **o)) for o in ({"fixed_shape": True, "max_length": 9}, {"max_length": 9}, {"max_length": 8}, {"max_length": 7})]
     assert all(o is not first for o in others) and len(E._cache) == E.KEPT
-    assert others[0][1].padding["length"] == 9 and others[1][1].padding["length"] is None
+    assert [o.limit for o in others] == [9, 9, 8, 7] and all(o.tokenizer.padding is None and o.tokenizer.truncation is None for o in others)
 
 
 def test_pinned_and_capped_encoding(spark):
@@ -219,11 +219,11 @@ def test_requests_to_responses(spark, tmp_path):
     (tmp_path / "in.json").write_text("\n".join(map(json.dumps, lines)))
     asked = requests.read_requests(spark, str(tmp_path / "in.json"))
     rows = {r.request_id: r for r in serve.embed_requests(asked, tiny.formula_encoder({"x": 4}, pooling="mean"), resident=32).collect()}
-    assert set(rows) == {"a", "b"} and (rows["a"].max_length, rows["b"].max_length) == (32, 256)
+    assert set(rows) == {"a", "b", "c"} and (rows["a"].max_length, rows["b"].max_length) == (32, 256)
     assert rows["a"].token_count == [3, 1] and rows["a"].truncated == [False, False] and rows["a"].token_accounting
     assert len(rows["b"].dense) == 2 and rows["b"].dense[1] is None and rows["b"].token_count is None and rows["b"].truncated is None and not rows["b"].token_accounting
     requests.write_responses(serve.embed_requests(asked, tiny.formula_encoder({"x": 4})), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
     pairs = spark.createDataFrame([("r", "the", ["x", None, "y"])], "request_id string, query string, documents array<string>")
     (got,) = serve.rerank_requests(pairs, tiny.formula_encoder({"logits": 1}, head="rerank")).collect()
     assert got.scores == pytest.approx([1 / (1 + np.exp(-0.5)), 0.0, 1 / (1 + np.exp(-0.5))])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,30 +47,70 @@ class TokenizerRegistry:
         return spark.createDataFrame([(n, self.available(n), s) for n, s in self.status.items()], "name string, available boolean, status string")
 
 
+def _tokenizer(path: str):
+    """The tokenizer of this worker, which neither cuts nor pads."""
+    if path not in _loaded:
+        _loaded[path] = load_tokenizer(path)
+        _loaded[path].no_truncation()
+        _loaded[path].no_padding()
+    return _loaded[path]
+
+
 def counter(path: str | None):
     """A UDF: the number of tokens, special ones included, without truncation; null for a text that is refused or null."""
     ship_active()
 
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = None
-        if path is not None:
-            if path not in _loaded:
-                _loaded[path] = load_tokenizer(path)
-            tok = _loaded[path]
-            tok.no_truncation()
-            tok.no_padding()
+    @F.arrow_udf("int")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([_count(tok, t) for t in texts], dtype="Int32")
+            yield pa.array(_counts(path, texts.to_pylist()), pa.int32())
 
     return count
 
 
-def _count(tok, text: str | None) -> int | None:
-    if tok is None or text is None:
-        return None
+def request_counter(path: str | None):
+    """The same for arrays of texts; a null array is an empty one."""
+    ship_active()
+
+    @F.arrow_udf("array<int>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for requests in batches:
+            yield pa.array([_counts(path, x or []) for x in requests.to_pylist()], pa.list_(pa.int32()))
+
+    return count
+
+
+def routed_counter(paths: dict[str, str]):
+    """A UDF from the name of a tokenizer and an array of texts to their numbers of tokens; null for a name without a path."""
+    ship_active()
+
+    @F.arrow_udf("array<int>")
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, requests in batches:
+            pairs = zip(names.to_pylist(), requests.to_pylist())
+            yield pa.array([_counts(paths[n], x or []) if n in paths else None for n, x in pairs], pa.list_(pa.int32()))
+
+    return count
+
+
+def _counts(path: str | None, texts: list[str | None]) -> list[int | None]:
+    if path is None:
+        return [None] * len(texts)
+    tok, out = _tokenizer(path), []
+    for start in range(0, len(texts), 256):
+        part = texts[start : start + 256]
+        known = [t for t in part if t is not None]
+        try:
+            found = iter([len(x) for x in tok.encode_batch(known)])
+        except Exception:  # one of them is refused
+            found = iter([_count(tok, t) for t in known])
+        out += [None if t is None else next(found) for t in part]
+    return out
+
+
+def _count(tok, text: str) -> int | None:
     try:
-        return len(tok.encode(text).ids)
+        return len(tok.encode(text))
     except Exception:  # refusal of this text
         return None
 

@@ -402,36 +402,85 @@ def token_count_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_counts(_documents(spark, sf_dir), "text", tiny.tiny_tokenizer(tiny.WORDS), 256).drop("text")
 
 
-_FIRST_ID_SQL = f"(SELECT item_id, doc_id, {_X.format(place=0)} AS raw FROM (SELECT b.item_id, d.doc_id, ({_ids_sql('d.text')})[1] AS id FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id))"
+# The lengths that texts are padded to, far enough for the tables' texts.
+_LENGTHS = [16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 32768, 49152, 65536]
 
 
-@_query(f"SELECT item_id AS request_id, string_agg(round(1 / (1 + exp(-raw)), 4)::VARCHAR, ',' ORDER BY doc_id) AS scores, count(*)::INT AS n FROM {_FIRST_ID_SQL} GROUP BY item_id")
+@_query(f"""
+WITH n AS (SELECT doc_id, {WORDS_SQL} AS n FROM documents),
+l AS (SELECT doc_id, n, list_min(list_filter({_LENGTHS}, lambda x: x >= n)) AS length FROM n)
+SELECT doc_id, n::INT AS n_tokens, length::BIGINT AS length, greatest(1, least(256, (1 << 30)::BIGINT // (128 * length::BIGINT * length)))::INT AS rows FROM l""")
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length that each text is padded to and the rows of its filled pass, as the encoder runs them."""
+    made = _documents(spark, sf_dir).withColumn("p", encode.planned(tiny.formula_encoder({"x": 8}, batch_size=256, pin=True))(F.col("text")))
+    return made.select("doc_id", "p.n_tokens", "p.length", "p.rows")
+
+
+def _requests(spark: SparkSession, sf_dir: str, texts: str = "texts") -> DataFrame:
+    """Conversations as requests, their turns as texts; a few are there twice, and a few once more without texts."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    once = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("request_id")).agg(turns["text"].alias(texts))
+    again = F.when(F.col("request_id") % 7 == 0, F.array(F.col(texts), F.col(texts))).when(F.col("request_id") % 7 == 1, F.array(F.col(texts), F.array().cast("array<string>"))).otherwise(F.array(F.col(texts)))
+    return once.select("request_id", F.explode(again).alias(texts))
+
+
+_REQUESTS_SQL = """(SELECT conv_id, turn, text, copy FROM conversations, range(2) AS r(copy) WHERE copy = 0 OR conv_id % 7 = 0)"""
+_EMPTY_SQL = "(SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 1)"
+_JOINED = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@_query(f"""
+WITH w AS (SELECT conv_id, turn, copy, {_ids_sql()} AS w FROM {_REQUESTS_SQL}),
+p AS (SELECT conv_id, turn, copy, coalesce(list_sum(list_transform(list_filter(w, lambda x: x > 0), lambda x: ((7 * x) % 11 - 5) / 64.0::DOUBLE)), 0.0) AS s FROM w),
+q AS (SELECT conv_id, copy, turn, s, first_value(s) OVER (PARTITION BY conv_id, copy ORDER BY turn) AS q FROM p)
+SELECT conv_id AS request_id, string_agg(round(1 / (1 + exp(-(q + s))), 4)::VARCHAR, ',' ORDER BY turn) AS scores, count(*)::INT AS n FROM q GROUP BY conv_id, copy
+UNION ALL SELECT conv_id, '', 0 FROM {_EMPTY_SQL}""")
 def rerank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with their candidates as requests; the hand-made scorer's logit goes by the pair's first token, so the document
-    is given first."""
-    rows = _candidates(spark, sf_dir).join(_documents(spark, sf_dir), "doc_id")
-    scorer = encode.scorer(tiny.formula_encoder({"logits": 1}, batch_size=8, head="rerank"))
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    results = rank.rerank(rows.join(items, "item_id"), "item_id", "doc_id", scorer(F.col("text"), F.col("item")))
-    scored = rank.aligned_scores(rows.select("item_id", "doc_id"), results, "item_id", "doc_id", order="rank").withColumn("score", F.round("score", 4))
-    packed = responses(scored, "item_id", "doc_id", {"scores": "score"})
-    return packed.select(F.col("item_id").alias("request_id"), F.array_join(F.transform("scores", lambda x: x.cast("string")), ",").alias("scores"), F.size("scores").alias("n"))
+    """Each conversation's first turn as the query, all its turns as documents. The hand-made scorer adds weights of both texts' words."""
+    asked = _requests(spark, sf_dir, "documents").join(_requests(spark, sf_dir).groupBy("request_id").agg(F.max(F.get("texts", F.lit(0))).alias("query")), "request_id")
+    out = serve.rerank_requests(asked, tiny.scoring_encoder())
+    return out.select("request_id", _JOINED(F.transform("scores", lambda x: F.round(x, 4))).alias("scores"), F.size("scores").alias("n"))
 
 
 @_query(f"""
-WITH t AS (SELECT conv_id, turn, {_ids_sql()} AS w, CASE WHEN conv_id % 3 = 0 THEN 16 WHEN conv_id % 3 = 1 THEN 256 ELSE 40 END AS cap FROM conversations),
-r AS (SELECT conv_id, turn, len(w) AS n, cap, unnest(w[1:cap]) AS id FROM t),
-m AS (SELECT conv_id, turn, n, cap, avg({_X.format(place=0)}) AS x FROM r GROUP BY ALL)
-SELECT conv_id AS request_id, max(cap)::INT AS max_length, string_agg(n::VARCHAR, ',' ORDER BY turn) AS token_count, string_agg(CASE WHEN n > cap THEN 'true' ELSE 'false' END, ',' ORDER BY turn) AS truncated, true AS token_accounting, round(sum(x), 3) AS first_total FROM m GROUP BY conv_id""")
+WITH t AS (SELECT conv_id, copy, turn, {_ids_sql()} AS w, CASE WHEN conv_id % 3 = 0 THEN 16 WHEN conv_id % 3 = 1 THEN 256 ELSE 40 END AS cap FROM {_REQUESTS_SQL}),
+m AS (SELECT conv_id, copy, turn, len(w) AS n, cap, list_sum(list_transform(w[1:cap], lambda x: (7 * x) % 11 - 5)) AS x FROM t)
+SELECT conv_id AS request_id, max(cap)::INT AS max_length, string_agg(n::VARCHAR, ',' ORDER BY turn) AS token_count, string_agg(CASE WHEN n > cap THEN 'true' ELSE 'false' END, ',' ORDER BY turn) AS truncated, true AS token_accounting, 4 AS dimension, coalesce(sum(x), 0)::BIGINT AS quarters, true AS within
+FROM m GROUP BY conv_id, copy
+UNION ALL SELECT conv_id, 0, '', '', false, NULL, 0, true FROM {_EMPTY_SQL}""")
 def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as requests with limits of their own: 0 for the default, one below the least, one between."""
-    c = _table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    asked = c.groupBy(F.col("conv_id").alias("request_id")).agg(turns["text"].alias("texts")).withColumn("kind", F.lit("doc"))
-    asked = asked.withColumn("max_length", F.when(F.col("request_id") % 3 == 0, 3).when(F.col("request_id") % 3 == 1, 0).otherwise(40))
-    out = serve.embed_requests(asked, tiny.formula_encoder({"last_hidden_state": 4}, batch_size=8, pooling="mean", normalize=False))
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return out.select("request_id", "max_length", joined("token_count").alias("token_count"), joined("truncated").alias("truncated"), "token_accounting", F.round(V.total(F.transform("dense", lambda v: v[0])), 3).alias("first_total"))
+    """Requests with limits of their own: 0 for the default, one below the least, one between; means times their counts are exact
+    quarters. `within`: no pass had more rows than the request allows."""
+    length = F.when(F.col("request_id") % 3 == 0, 3).when(F.col("request_id") % 3 == 1, 0).otherwise(40)
+    asked = _requests(spark, sf_dir).withColumn("kind", F.lit("doc")).withColumn("max_length", length).withColumn("max_batch", (1 + F.col("request_id") % 5).cast("int"))
+    out = serve.embed_requests(asked, tiny.formula_encoder({"last_hidden_state": 4}, pooling="mean", normalize=False))
+    sums = F.zip_with("dense", "token_count", lambda v, n: F.round(4 * v[0].cast("double") * F.least(n, F.col("max_length"))).cast("bigint"))
+    within = ~F.exists("pass_rows", lambda n: n > 1 + F.col("request_id") % 5)
+    return out.select("request_id", "max_length", _JOINED("token_count").alias("token_count"), _JOINED("truncated").alias("truncated"), "token_accounting", "dimension", F.aggregate(sums, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("quarters"), within.alias("within"))
+
+
+@_query(f"""
+WITH r AS (SELECT conv_id, copy, turn, count(*) OVER (PARTITION BY conv_id, copy) AS n FROM {_REQUESTS_SQL})
+SELECT conv_id AS request_id, max(n)::INT AS n, string_agg(n::VARCHAR, ',') AS pass_rows FROM r GROUP BY conv_id, copy
+UNION ALL SELECT conv_id, 0, '' FROM {_EMPTY_SQL}""")
+def dynamic_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dynamically quantised model has one pass a request, of all its texts, whatever the request asks."""
+    asked = _requests(spark, sf_dir).withColumn("max_batch", F.lit(1))
+    out = serve.embed_requests(asked, tiny.formula_encoder({"last_hidden_state": 4}, batch_size=1 << 20, pooling="mean", quantization="dynamic"))
+    return out.select("request_id", F.size("dense").alias("n"), _JOINED("pass_rows").alias("pass_rows"))
+
+
+@_query(f"""
+WITH c AS (SELECT conv_id, copy, turn, CASE conv_id % 4 WHEN 0 THEN 'words' WHEN 1 THEN 'spaces' WHEN 2 THEN 'absent' ELSE 'words' END AS tokenizer,
+  CASE WHEN conv_id % 4 = 1 THEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) ELSE {WORDS_SQL} END AS n FROM {_REQUESTS_SQL})
+SELECT conv_id AS request_id, max(tokenizer) AS tokenizer, CASE WHEN max(tokenizer) <> 'absent' THEN string_agg(n::VARCHAR, ',' ORDER BY turn) END AS token_count, max(tokenizer) <> 'absent' AS available FROM c GROUP BY conv_id, copy
+UNION ALL SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'words' WHEN 1 THEN 'spaces' WHEN 2 THEN 'absent' ELSE 'words' END, CASE WHEN conv_id % 4 <> 2 THEN '' END, conv_id % 4 <> 2 FROM {_EMPTY_SQL}""")
+def tokenize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that name a tokenizer, one that is registered but absent, or none."""
+    registry = tokens.TokenizerRegistry({"words": tiny.tiny_tokenizer(tiny.WORDS), "spaces": tiny.space_tokenizer(), "absent": None}, default="words")
+    name = F.element_at(F.array(F.lit("words"), F.lit("spaces"), F.lit("absent"), F.lit(None).cast("string")), (1 + F.col("request_id") % 4).cast("int"))
+    out = serve.tokenize_requests(_requests(spark, sf_dir).withColumn("tokenizer", name), registry)
+    return out.select("request_id", "tokenizer", _JOINED("token_count").alias("token_count"), "available")
 
 
 @_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens FROM documents")

@@ -10,7 +10,7 @@ import json
 
 import numpy as np
 
-from ..operators.encode import Encoder
+from ..operators.encode import WHOLE, Encoder
 
 
 def _varint(n: int) -> bytes:
@@ -59,14 +59,23 @@ def gather_model(tables: dict[str, np.ndarray]) -> bytes:
     return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
 
 
+def sum_model(table: np.ndarray, name: str = "logits") -> bytes:
+    """A model from input_ids to the sum of the ids' rows."""
+    nodes = _field(1, _node("Gather", ["table", "input_ids"], ["rows"])) + _field(1, _node("ReduceSum", ["rows", "axes"], [name]) + _field(5, _field(1, "keepdims") + _field(3, 0) + _field(20, 2)))
+    weights = _field(5, _tensor("table", table.astype(np.float32))) + _field(5, _tensor("axes", np.array([1], np.int64)))
+    graph = nodes + _field(2, "tiny") + weights + _field(11, _value_info("input_ids", 7, ["batch", "length"])) + _field(12, _value_info(name, 1, ["batch", "dimension"]))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
+
+
 def tiny_tokenizer(words: list[str]) -> str:
     """The JSON of a tokenizer that knows these words, with an id for all others."""
     vocab = {"[UNK]": 0} | {w: i + 1 for i, w in enumerate(words)}
     return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocab, "unk_token": "[UNK]"}})
 
 
-#: A max_length that no text reaches.
-WHOLE = 1 << 40
+def space_tokenizer() -> str:
+    """The JSON of a tokenizer that splits at spaces and knows no word."""
+    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": {"[UNK]": 0}, "unk_token": "[UNK]"}})
 
 
 WORDS = "the and that of with be is for in to de la que le et der die und el los".split()
@@ -82,6 +91,16 @@ def formula_encoder(outputs: dict[str, int], max_length: int = WHOLE, batch_size
     return Encoder(model=gather_model({n: formula_table(d) for n, d in outputs.items()}), tokenizer=tiny_tokenizer(WORDS), max_length=max_length, batch_size=batch_size, **settings)
 
 
+def scoring_table() -> np.ndarray:
+    """((7 id) mod 11 - 5) / 64 for known words, 0 for others and for padding."""
+    return np.where(np.arange(len(WORDS) + 1) > 0, ((7 * np.arange(len(WORDS) + 1)) % 11 - 5) / 64, 0.0)[:, None]
+
+
+def scoring_encoder(**settings) -> Encoder:
+    """A reranker whose logit is the sum over both texts' words of the scoring table."""
+    return Encoder(**{"model": sum_model(scoring_table()), "tokenizer": tiny_tokenizer(WORDS), "head": "rerank", "max_length": WHOLE, "batch_size": 64} | settings)
+
+
 def tiny_encoder(dimension: int = 8, max_length: int = 64, batch_size: int = 64, **settings) -> Encoder:
     table = np.random.default_rng(3).standard_normal((len(WORDS) + 1, dimension))
     return Encoder(model=gather_model({"last_hidden_state": table}), tokenizer=tiny_tokenizer(WORDS), pooling="mean", max_length=max_length, batch_size=batch_size, **settings)
