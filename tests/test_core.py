@@ -244,6 +244,7 @@ def test_models_load_by_name(spark, tmp_path):
     put("Xenova/all-MiniLM-L12-v2", "onnx/model.onnx", tiny.gather_model({"last_hidden_state": table}))
     put("onnx-community/embeddinggemma-300m-ONNX", "onnx/model.onnx", tiny.gather_model({"last_hidden_state": -table, "sentence_embedding": table}))
     put("Qwen/Qwen3-Embedding-0.6B", "onnx/x.onnx", tiny.gather_model({"last_hidden_state": table}))
+    (tmp_path / "models--Qwen--Qwen3-Embedding-0.6B/snapshots/r1/config.json").write_text('{"hidden_size": 1024}')
     put("BAAI/bge-reranker-base", "onnx/model.onnx", tiny.gather_model({"logits": table}))
     df = spark.createDataFrame([("the and",), ("of",)], "text string")
     mean = models.load("dense", "allminilml12v2", str(tmp_path))
@@ -309,7 +310,7 @@ def test_settling():
 
 def test_models(spark):
     found = models.models(spark)
-    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"dense": 46, "sparse": 2, "joint": 1, "rerank": 4, "image": 5, "decoder": 4, "moe": 1}
+    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"dense": 46, "sparse": 2, "dual": 1, "joint": 1, "rerank": 4, "image": 5, "decoder": 4, "moe": 1}
     assert models.get_model("dense", "bgem3").dimension == 1024 and models.get_model("rerank", "BAAI/BGE-reranker-base").kind == "rerank"
     with pytest.raises(ValueError):
         models.get_model("dense", "BAAI/bge-m3")
@@ -350,7 +351,6 @@ def test_sparse_encoding_and_guards(spark):
     with pytest.raises(ValueError, match="one batch"):
         E.encode(many, tiny.tiny_encoder(quantization="dynamic"))
     assert E.encode(many.limit(5), tiny.tiny_encoder(quantization="dynamic")).count() == 5
-    assert E.parse_head_weights(b'{"weight": [[1, 2]], "bias": [0.5]}') == ((1.0, 2.0), 0.5)
     with pytest.raises(Exception, match="logits"):
         spark.createDataFrame([("a", "b")], "q string, d string").select(E.scorer(tiny.tiny_encoder())("q", "d")).collect()
     raw = E.raw_outputs(many.limit(2), tiny.tiny_encoder(), lambda outputs, mask: list(outputs["last_hidden_state"].max(axis=(1,))))

@@ -70,7 +70,9 @@ POOLING = {"cls": cls_pool, "mean": mean_pool, "mean_clamped": mean_pool_clamped
 
 def lexical_head(h: np.ndarray, ids: np.ndarray, mask: np.ndarray, weight: np.ndarray, bias: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each row: token ids, ascending, and the largest of relu(h . weight + bias) over each id's positions."""
-    w = np.maximum(covers(check_rank(h, False), *ids.shape) @ weight.reshape(-1) + bias, 0)
+    if check_rank(h, False).shape[-1] != weight.size:
+        raise ValueError(f"a head of {weight.size} weights does not fit {h.shape[-1]} dimensions")
+    w = np.maximum(covers(h, *ids.shape) @ weight.reshape(-1) + bias, 0)
     return [max_per_id(ids[i], w[i], mask[i]) for i in range(len(ids))]
 
 

@@ -24,7 +24,7 @@ from .layout import settled
 
 #: Names that an embedding output may have, in order of precedence, when there are several outputs.
 PRECEDENCE = ("text_embeds", "last_hidden_state", "sentence_embedding")
-DEFAULT_BATCH = 256
+DEFAULT_BATCH, DEFAULT_LENGTH = 256, 512
 #: A cap that no text reaches.
 WHOLE = 1 << 40
 KEPT = 4
@@ -49,7 +49,7 @@ class Encoder:
     inner_epsilon: bool = False
     output: str | None = None
     sparse_output: str | None = None
-    max_length: int = 512
+    max_length: int = DEFAULT_LENGTH
     batch_size: int = DEFAULT_BATCH
     pad_left: bool = False
     fixed_shape: bool = False
@@ -115,7 +115,7 @@ def session(e: Encoder) -> Loaded:
             options.add_external_initializers_from_files_in_memory([n for n, _ in e.external], [b for _, b in e.external], [len(b) for _, b in e.external])
         s = ort.InferenceSession(e.model, options, providers=list(check_providers(e.providers)))
         tok = load_tokenizer(e.tokenizer, e.max_length, e.pad_left)
-        limit = min(e.max_length, (tok.truncation or {}).get("max_length", e.max_length)) if os.path.isdir(e.tokenizer) else e.max_length
+        limit = min(e.max_length, (tok.truncation or {}).get("max_length", e.max_length))
         pad_id = (tok.padding or {}).get("pad_id", 0)
         tok.no_truncation()
         tok.no_padding()
@@ -196,8 +196,8 @@ def select_output(outputs: dict[str, np.ndarray], name: str | None = None) -> np
 
 
 def select_by_fragment(outputs: dict[str, int], fragment: str, rank: int) -> str:
-    """The output whose name holds the fragment; else the only one of the rank; never by position."""
-    named = [n for n in outputs if fragment in n]
+    """The output of this name; else the one whose name holds it; else the only one of the rank; never by position."""
+    named = [fragment] if fragment in outputs else [n for n in outputs if fragment in n]
     if len(named) == 1:
         return named[0]
     ranked = [n for n, r in outputs.items() if r == rank]
@@ -275,13 +275,14 @@ def encode_pass(e: Encoder, tokens: Tokens, at: Sequence[int], length: int | Non
         logits = arrays.covers(arrays.check_rank(select_output(outputs, e.output), False), n, ids.shape[1])
         found = none, arrays.splade_head(logits, mask), none
     elif e.head == "lexical":
-        found = none, arrays.lexical_head(select_output(outputs, e.output), ids, mask, np.array(e.weight, np.float32), e.bias), none
+        h = outputs[select_by_fragment({k: v.ndim for k, v in outputs.items()}, e.sparse_output, 3)] if e.sparse_output else select_output(outputs, e.output)
+        found = none, arrays.lexical_head(h, ids, mask, np.array(e.weight, np.float32), e.bias), none
     elif e.head == "dual":
         ranks = {k: v.ndim for k, v in outputs.items()}
-        d = outputs[e.output or select_by_fragment(ranks, "dense", 2)]
+        d = outputs[select_by_fragment(ranks, e.output or "dense", 2)]
         if d.ndim != 2 or len(d) < n:
             raise ValueError(f"the dense output's shape {d.shape} does not cover {n} rows")
-        h = outputs[e.sparse_output or select_by_fragment(ranks, "hidden", 3)]
+        h = outputs[select_by_fragment(ranks, e.sparse_output or "hidden", 3)]
         found = arrays.l2_normalize(d[:n]), arrays.lexical_head(h, ids, mask, np.array(e.weight, np.float32), e.bias), none
     else:  # joint: dense as it comes, weights of tokens, vectors of tokens
         if len(outputs) < 3:
@@ -477,17 +478,3 @@ def raw_outputs(df: DataFrame, e: Encoder, transform: Callable[[dict[str, np.nda
 def dimension(encoded: DataFrame, vector: str):
     """The length of a vector that was measured; None, never 0, without rows."""
     return encoded.agg(F.max(F.size(vector))).first()[0]
-
-
-def parse_head_weights(raw: bytes) -> tuple[tuple[float, ...], float]:
-    """weight and bias of a lexical head from a JSON file."""
-    import json
-
-    d = json.loads(raw)
-    weight = np.array(d["weight"], np.float32).reshape(-1)
-    bias = np.array(d.get("bias", 0.0), np.float32).reshape(-1)
-    if not len(weight) or len(bias) != 1:
-        raise ValueError("a head has a weight for each dimension and one bias")
-    return tuple(weight.tolist()), float(bias[0])
-
-

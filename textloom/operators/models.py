@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tokenizer_files import find_in_cache
-from .encode import Encoder
+from ..sources.head_weights import read_head
+from ..sources.tokenizer_files import find_snapshot, load_tokenizer
+from .encode import DEFAULT_LENGTH, Encoder
 
 # The dense text models: variant, code, file, dimension, pooling, quantisation.
 DENSE = """
@@ -63,12 +65,25 @@ SnowflakeArcticEmbedLQ | snowflake/snowflake-arctic-embed-l | onnx/model_quantiz
 # Models of the other families: variant, code, file, dimension (- where it has none).
 OTHERS = {
     "sparse": "SPLADEPPV1 | Qdrant/Splade_PP_en_v1 | model.onnx | -\nBGEM3 | BAAI/bge-m3 | onnx/model.onnx | -",
+    "dual": "BGEM3 | BAAI/bge-m3 | onnx/model.onnx | 1024",
     "joint": "BGEM3Q | gpahal/bge-m3-onnx-int8 | model_quantized.onnx | 1024",
     "rerank": "BGERerankerBase | BAAI/bge-reranker-base | onnx/model.onnx | -\nBGERerankerV2M3 | perlets/bge-reranker-v2-m3 | onnx/model.onnx | -\nJINARerankerV1TurboEn | jinaai/jina-reranker-v1-turbo-en | onnx/model.onnx | -\nJINARerankerV2BaseMultilingual | jinaai/jina-reranker-v2-base-multilingual | onnx/model.onnx | -",
     "image": "ClipVitB32 | Qdrant/clip-ViT-B-32-vision | model.onnx | 512\nResnet50 | Qdrant/resnet50-onnx | model.onnx | 2048\nUnicomVitB16 | Qdrant/Unicom-ViT-B-16 | model.onnx | 768\nUnicomVitB32 | Qdrant/Unicom-ViT-B-32 | model.onnx | 512\nNomicEmbedVisionV15 | nomic-ai/nomic-embed-vision-v1.5 | onnx/model.onnx | 768",
     "decoder": "Qwen3Embedding06B | Qwen/Qwen3-Embedding-0.6B | - | 1024\nQwen3Embedding4B | Qwen/Qwen3-Embedding-4B | - | 2560\nQwen3Embedding8B | Qwen/Qwen3-Embedding-8B | - | 4096\nQwen3VLEmbedding2B | Qwen/Qwen3-VL-Embedding-2B | - | 2048",
     "moe": "NomicEmbedTextV2MoE | nomic-ai/nomic-embed-text-v2-moe | - | 768",
 }
+# Files beside a model's own: its numbers, and the head's weights of models with a lexical head.
+BESIDE = {
+    ("dense", "BGEM3"): ("onnx/model.onnx_data",),
+    ("dense", "MultilingualE5Large"): ("model.onnx_data",),
+    ("dense", "EmbeddingGemma300M"): ("onnx/model.onnx_data",),
+    ("dense", "EmbeddingGemma300MQ4"): ("onnx/model_q4.onnx_data",),
+    ("dense", "EmbeddingGemma300MQ"): ("onnx/model_quantized.onnx_data",),
+    ("sparse", "BGEM3"): ("onnx/model.onnx_data",),
+    ("dual", "BGEM3"): ("onnx/model.onnx_data",),
+    ("rerank", "BGERerankerV2M3"): ("onnx/model.onnx_data",),
+}
+HEAD_FILES = {("sparse", "BGEM3"): "sparse_linear.safetensors", ("dual", "BGEM3"): "sparse_linear.safetensors"}
 #: How models of the other families are pooled, where they are.
 POOLING = {"decoder": "last_position", "moe": "mean", "image": "cls"}
 #: The output that is read by name instead of by precedence.
@@ -123,22 +138,60 @@ def served(registered: DataFrame, tokenizers: DataFrame) -> DataFrame:
     return rows.select("id", "name", "kind", "dimension", "max_sequence_length", "tokenizer", "available", "tokenizer_available").union(extra)
 
 
-#: Settings of an encoder that follow from a model's family.
-HEADS = {"dense": {}, "sparse": {"head": "splade"}, "joint": {"head": "joint"}, "rerank": {"head": "rerank"}, "decoder": {"pad_left": True, "inner_epsilon": True}, "moe": {}}
+#: Settings of an encoder that follow from a model's family, and from the model itself.
+HEADS = {"dense": {}, "sparse": {"head": "splade"}, "dual": {"head": "dual"}, "joint": {"head": "joint"}, "rerank": {"head": "rerank"}, "decoder": {"pad_left": True, "inner_epsilon": True}, "moe": {"pooling": "mean_clamped", "inner_epsilon": True}}
+OWN = {("sparse", "BGEM3"): {"head": "lexical", "sparse_output": "token_embedding"}, ("dual", "BGEM3"): {"output": "sentence_embedding", "sparse_output": "token_embedding"}}
+
+
+def decoder_config(text: str) -> dict:
+    """A decoder's settings: those of its text part where the file describes more than text."""
+    found = json.loads(text)
+    if "hidden_size" not in found:
+        found = found.get("text_config")
+    if not isinstance(found, dict) or "hidden_size" not in found:
+        raise ValueError("the configuration describes no decoder of texts")
+    return found
+
 
+def load(kind: str, name: str, cache: str, head_weights: str | None = None, ship: bool = False, **settings) -> Encoder:
+    """The encoder of a registered model whose files lie in a cache of the hub's layout, with the registry's pooling, output names,
+    quantisation and head.
 
-def load(kind: str, name: str, cache: str, **settings) -> Encoder:
-    """The encoder of a registered model whose files lie in a cache of the hub's layout, with the registry's pooling, output key
-    and quantisation. Decoder and mixture-of-experts models have no file of their own there: state file=, an ONNX export's."""
+    All files are of one revision, the newest that has them all (numbers beside a model's file are taken where they are there; a
+    model that lacks them does not load). A model with a lexical head takes the head's weights from the revision or
+    from the file `head_weights`; without either it is an error, never another head. Decoder and mixture-of-experts models have no file
+    of their own there: state file=, an ONNX export's; a decoder's own configuration must have the registered dimension and bounds the cap.
+    ship: the encoder holds the files themselves, for executors that cannot read the cache.
+    """
     info = get_model(kind, name)
     if kind not in HEADS:
         raise ValueError(f"{kind} models are not text encoders")
+    key = (kind, info.variant)
     file = settings.pop("file", info.file)
     if file is None:
         raise ValueError(f"{info.code} has no registered file; state file=")
-    found = find_in_cache(cache, info.code, file), find_in_cache(cache, info.code)
-    for path, what in zip(found, (file, "tokenizer.json")):
-        if path is None:
-            raise FileNotFoundError(f"{info.code}: no {what} under {cache}")
+    head_file = HEAD_FILES.get(key) if head_weights is None else None
+    wanted = (file, "tokenizer.json", *((head_file,) if head_file else ()), *(("config.json",) if kind == "decoder" else ()))
+    found = find_snapshot(cache, info.code, wanted)
+    if found is None:
+        raise FileNotFoundError(f"{info.code}: no revision under {cache} has all of {', '.join(wanted)}")
+    where = Path(found)
+    beside = [b for b in BESIDE.get(key, ()) if file == info.file and (where / b).is_file()]
     chosen = {"pooling": info.pooling} if info.pooling else {}
-    return Encoder(**{"model": found[0], "tokenizer": str(Path(found[1]).parent), "output": info.output_key, "quantization": info.quantization, **chosen, **HEADS[kind], **settings})
+    chosen |= {"output": info.output_key, "quantization": info.quantization} | HEADS[kind] | OWN.get(key, {})
+    if key in HEAD_FILES:
+        chosen["weight"], chosen["bias"] = read_head(head_weights or str(where / head_file))
+        if info.dimension is not None and "weight" not in settings and len(chosen["weight"]) != settings.pop("dimension", info.dimension):
+            raise ValueError(f"{info.code}: the head has {len(chosen['weight'])} weights for {info.dimension} dimensions")
+    if kind == "decoder":
+        config = decoder_config((where / "config.json").read_text("utf-8"))
+        if config["hidden_size"] != settings.pop("dimension", info.dimension):
+            raise ValueError(f"{info.code}: {config['hidden_size']} dimensions, and not the {info.dimension} that are registered")
+        if "max_position_embeddings" in config:
+            chosen["max_length"] = min(settings.pop("max_length", DEFAULT_LENGTH), config["max_position_embeddings"])
+    settings.pop("dimension", None)
+    made = Encoder(**{"model": str(where / file), "tokenizer": str(where), **chosen, **settings})
+    if not ship:
+        return made
+    tokenizer = load_tokenizer(made.tokenizer, made.max_length, made.pad_left).to_str()
+    return replace(made, model=(where / file).read_bytes(), tokenizer=tokenizer, external=tuple((Path(b).name, (where / b).read_bytes()) for b in beside))

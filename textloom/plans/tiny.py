@@ -7,10 +7,12 @@ a requirement.
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import numpy as np
 
 from ..operators.encode import WHOLE, Encoder
+from ..sources.head_weights import write_tensors
 
 
 def _varint(n: int) -> bytes:
@@ -42,16 +44,17 @@ def _node(kind: str, inputs: list[str], outputs: list[str]) -> bytes:
     return b"".join(_field(1, i) for i in inputs) + b"".join(_field(2, o) for o in outputs) + _field(4, kind)
 
 
-def gather_model(tables: dict[str, np.ndarray]) -> bytes:
-    """A model from input_ids to an output for each table: the rows of the ids, or, for names that start with pooled_, the
-    row of the first id."""
+def gather_model(tables: dict[str, np.ndarray], pooled_names: tuple[str, ...] = ()) -> bytes:
+    """A model from input_ids to an output for each table: the rows of the ids, or, for names that start with pooled_ or are in
+    `pooled_names`, the row of the first id."""
     nodes, weights, outputs = b"", b"", b""
+    first = {n for n in tables if n.startswith("pooled_") or n in pooled_names}
     for name, table in tables.items():
-        pooled = name.startswith("pooled_")
+        pooled = name in first
         nodes += _field(1, _node("Gather", [f"{name}_table", "first_id" if pooled else "input_ids"], [name]))
         weights += _field(5, _tensor(f"{name}_table", table.astype(np.float32)))
         outputs += _field(12, _value_info(name, 1, ["batch", "dimension"] if pooled else ["batch", "length", "dimension"]))
-    if any(n.startswith("pooled_") for n in tables):
+    if first:
         axis = _field(1, "axis") + _field(3, 1) + _field(20, 2)
         nodes = _field(1, _node("Gather", ["input_ids", "zero"], ["first_id"]) + _field(5, axis)) + nodes
         weights += _field(5, _field(2, 7) + _field(8, "zero") + _field(9, np.zeros(1, np.int64).tobytes()))
@@ -101,6 +104,24 @@ def scoring_encoder(**settings) -> Encoder:
     return Encoder(**{"model": sum_model(scoring_table()), "tokenizer": tiny_tokenizer(WORDS), "head": "rerank", "max_length": WHOLE, "batch_size": 64} | settings)
 
 
+def hub_cache(where: str, code: str, files: dict[str, bytes]) -> str:
+    """A cache of the hub's layout with one revision of one model: these files and the tiny tokenizer's."""
+    root = Path(where) / ("models--" + code.replace("/", "--")) / "snapshots" / "only"
+    plain = {"tokenizer.json": tiny_tokenizer(WORDS), "config.json": "{}", "special_tokens_map.json": "{}", "tokenizer_config.json": json.dumps({"model_max_length": WHOLE, "pad_token": "[UNK]"})}
+    for name, body in ({n: t.encode() for n, t in plain.items()} | files).items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(body)
+    return str(where)
+
+
+def two_headed(where: str, weight: tuple[float, ...], bias: float) -> str:
+    """A cache in which the registry's model with two heads is a look-up in the formula's table, with a head of these weights."""
+    table = formula_table(len(weight))
+    model = gather_model({"sentence_embedding": table, "token_embeddings": table}, ("sentence_embedding",))
+    head = write_tensors({"weight": np.array([weight]), "bias": np.array([bias])})
+    return hub_cache(where, "BAAI/bge-m3", {"onnx/model.onnx": model, "onnx/model.onnx_data": b"", "sparse_linear.safetensors": head})
+
+
 def tiny_encoder(dimension: int = 8, max_length: int = 64, batch_size: int = 64, **settings) -> Encoder:
     table = np.random.default_rng(3).standard_normal((len(WORDS) + 1, dimension))
     return Encoder(model=gather_model({"last_hidden_state": table}), tokenizer=tiny_tokenizer(WORDS), pooling="mean", max_length=max_length, batch_size=batch_size, **settings)

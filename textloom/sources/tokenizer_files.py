@@ -43,8 +43,15 @@ def _json(path: Path) -> dict:
     return json.loads(path.read_text("utf-8"))
 
 
-def find_in_cache(cache: str, model: str, name: str = "tokenizer.json") -> str | None:
-    """A file of a model in a cache of the hub's layout: models--owner--name/snapshots/revision/..., the newest revision."""
+def find_snapshot(cache: str, model: str, names: tuple[str, ...]) -> str | None:
+    """The newest revision of a model, in a cache of the hub's layout (models--owner--name/snapshots/revision/...), that has all these
+    files: they belong together. A revision is as new as its newest file of them."""
     root = Path(cache) / ("models--" + model.replace("/", "--")) / "snapshots"
-    found = sorted(root.glob(f"*/{name}"), key=lambda p: p.stat().st_mtime) if root.is_dir() else []
-    return str(found[-1]) if found else None
+    whole = [r for r in root.iterdir() if all((r / n).is_file() for n in names)] if root.is_dir() else []
+    return str(max(whole, key=lambda r: (max((r / n).stat().st_mtime for n in names), r.name))) if whole else None
+
+
+def find_in_cache(cache: str, model: str, name: str = "tokenizer.json") -> str | None:
+    """A file of a model in a cache of the hub's layout, of the newest revision that has it."""
+    found = find_snapshot(cache, model, (name,))
+    return str(Path(found) / name) if found else None
