@@ -152,7 +152,7 @@ def test_top_k_ties_zero_vectors_and_slices(spark, monkeypatch):
     queries = corpus.filter("id in (1, 3)")
     got = [tuple(r) for r in rank.top_k(queries, corpus, 3).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 1, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 0.0), (3, 3, 1, 1.0), (3, 1, 2, 0.0), (3, 2, 3, 0.0)]
-    monkeypatch.setattr(rank, "QUERY_BYTES", 16)
+    monkeypatch.setattr(rank, "BLOCK_BYTES", 16)
     assert [tuple(r) for r in rank.top_k(queries, corpus, 3).orderBy("query_id", "rank").collect()] == got
     assert rank.top_k(queries, corpus, 99).count() == 8  # the vector that is null is no result
     odd = corpus.union(spark.createDataFrame([(6, [-1.0, 0.1]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, None]), (None, [1.0, 0.0]), (10, [1.0])], corpus.schema))

@@ -13,12 +13,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..sources.tokenizer_files import load_tokenizer
 from ..session import ship_active
+from . import selfcheck
 from .batching import BUDGET, passes
 from .layout import settled
 
@@ -38,7 +39,8 @@ class Encoder:
     model: a path, or the file's bytes. external: initialisers that live beside the model, as (name, bytes) or, with a path,
     files in its directory. head: dense, lexical, splade, joint, dual or rerank. attention_budget: bytes of attention scores that
     a pass may take (one row always may). pin: passes of a length have one number of rows, so that there is one shape for each
-    length of the ladder; with fixed_shape, which pads all to max_length, there is one shape in all.
+    length of the ladder; with fixed_shape, which pads all to max_length, there is one shape in all. reference: the vector that
+    check_text must have; a worker checks it before its first pass, and a task whose check fails has no rows.
     """
 
     model: str | bytes
@@ -62,6 +64,8 @@ class Encoder:
     weight: tuple[float, ...] = ()
     bias: float = 0.0
     transformer: Callable | None = field(default=None, compare=False)
+    reference: tuple[float, ...] = ()
+    check_text: str = selfcheck.TEXT
 
     def __post_init__(self) -> None:
         if self.batch_size < 1:
@@ -72,6 +76,8 @@ class Encoder:
             raise ValueError(f"unknown head {self.head!r}")
         if self.quantization not in ("none", "static", "dynamic"):
             raise ValueError(f"unknown quantization {self.quantization!r}")
+        if self.reference and (self.head in ("lexical", "splade", "rerank") or self.transformer is not None):
+            raise ValueError("only a dense vector can be held against a reference")
 
 
 def check_providers(wanted: tuple[str, ...]) -> tuple[str, ...]:
@@ -94,6 +100,8 @@ class Loaded:
     limit: int
     pad_id: int
     special: int
+    status: selfcheck.Status | None = None
+    status_of: tuple[float, ...] | None = None
 
 
 def session(e: Encoder) -> Loaded:
@@ -101,7 +109,7 @@ def session(e: Encoder) -> Loaded:
     import onnxruntime as ort
 
     digest = lambda x: x if isinstance(x, str) else hashlib.blake2b(x).digest()
-    key = (digest(e.model), e.tokenizer, e.max_length, e.providers, e.threads, e.pad_left, e.fixed_shape, tuple((n, digest(b)) for n, b in e.external))
+    key = (digest(e.model), e.tokenizer, e.max_length, e.providers, e.threads, e.pad_left, e.fixed_shape, tuple((n, digest(b)) for n, b in e.external), e.reference, e.check_text)
     if key in _cache:
         _cache[key] = _cache.pop(key)  # the last one used is the last to go
     else:
@@ -120,9 +128,45 @@ def session(e: Encoder) -> Loaded:
         tok.no_truncation()
         tok.no_padding()
         _cache[key] = Loaded(s, tok, {i.name for i in s.get_inputs()}, limit, pad_id, tok.num_special_tokens_to_add(False))
+        if e.reference:
+            status = checked(e)
+            if not status.serving:
+                _cache.pop(key, None)
+                raise RuntimeError(f"the encoder does not give its reference vector: {status.error}, cosine {status.cosine}")
+            _cache[key].status = status
     return _cache[key]
 
 
+def checked(e: Encoder, reference: tuple[float, ...] | None = None) -> selfcheck.Status:
+    """The self-check of the encoder in this worker."""
+    wanted = e.reference if reference is None else reference
+    return selfcheck.check(lambda text: encode_tokens(e, tokenise(e, [text]))[0]["dense"], np.array(wanted, np.float32) if wanted else None, text=e.check_text)
+
+
+def statuses(e: Encoder):
+    """A UDF from any column to the status of the worker's encoder, which is checked once a worker and does not fail there:
+    struct<cosine, serving, verified, attempts, error>."""
+    ship_active()
+
+    @F.arrow_udf(f"struct<{selfcheck.SCHEMA}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        status = None
+        for batch in batches:
+            if status is None:
+                try:
+                    loaded = session(replace(e, reference=()))
+                    if loaded.status is None or loaded.status_of != e.reference:
+                        loaded.status, loaded.status_of = checked(replace(e, reference=()), e.reference), e.reference
+                    status = loaded.status
+                except Exception as problem:  # a model that does not load is a status, too
+                    status = selfcheck.Status(None, False, False, 0, str(problem))
+            row = {"cosine": status.cosine, "serving": status.serving, "verified": status.verified, "attempts": status.attempts, "error": status.error}
+            kind = pa.struct([("cosine", pa.float64()), ("serving", pa.bool_()), ("verified", pa.bool_()), ("attempts", pa.int32()), ("error", pa.string())])
+            yield pa.array([row] * len(batch), kind)
+
+    return run
+
+
 @dataclass
 class Tokens:
     """Texts as token ids, cut to their caps, with the number of tokens before the cut: None for a text that is refused."""
@@ -475,6 +519,11 @@ def raw_outputs(df: DataFrame, e: Encoder, transform: Callable[[dict[str, np.nda
     return df.withColumn(out, made(F.col(text))["dense"])
 
 
-def dimension(encoded: DataFrame, vector: str):
-    """The length of a vector that was measured; None, never 0, without rows."""
-    return encoded.agg(F.max(F.size(vector))).first()[0]
+def dimension_of(vector: Column) -> Column:
+    """An aggregate: the length of a vector that was measured; null, never 0, without rows."""
+    return F.max(F.when(vector.isNotNull(), F.size(vector)))
+
+
+def dimension(encoded: DataFrame, vector: str) -> int | None:
+    """The same as a number."""
+    return encoded.agg(dimension_of(F.col(vector))).first()[0]

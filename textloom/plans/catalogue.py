@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -236,6 +237,20 @@ def rerank_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.rerank(_candidates(spark, sf_dir), "item_id", "doc_id", _raw())
 
 
+@_query(f'SELECT item_id, doc_id AS "index", raw, rank FROM (SELECT item_id, doc_id, raw, row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, doc_id)::INT AS rank FROM {_CANDIDATES_SQL}) WHERE rank <= 3')
+def rerank_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rerank(_candidates(spark, sf_dir), "item_id", "doc_id", _raw(), n=3)
+
+
+@_query("""
+WITH c AS (SELECT CASE WHEN d.doc_id % 2 = 0 THEN 0 ELSE b.item_id END AS item_id, d.doc_id, ((length(d.text) % 29) - (length(b.text) % 13)) / 4.0::DOUBLE AS raw FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
+SELECT item_id, doc_id AS "index", raw, row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, doc_id)::INT AS rank FROM c""")
+def rerank_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request has half of all documents; its ranks are found in ranges of scores."""
+    rows = _candidates(spark, sf_dir).withColumn("item_id", F.when(F.col("doc_id") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.col("item_id")))
+    return rank.rerank(rows, "item_id", "doc_id", _raw(), ranges=16)
+
+
 @_query(f"SELECT item_id, doc_id, CASE WHEN raw < -2 THEN 0.0 ELSE round(1 / (1 + exp(-raw)), 6) END AS score FROM {_CANDIDATES_SQL}")
 def rerank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results below a logit are missing, as if the scorer had not given them."""
@@ -312,7 +327,7 @@ def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT max(len(embedding))::INT AS dimension FROM embeddings")
 def measured_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(encode.dimension(_table(spark, sf_dir, "embeddings"), "embedding"),)], "dimension int")
+    return _table(spark, sf_dir, "embeddings").agg(encode.dimension_of(F.col("embedding")).alias("dimension"))
 
 
 @_query("SELECT conv_id, string_agg(turn::VARCHAR || ':' || role, ',' ORDER BY turn) AS roles FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id")
@@ -373,6 +388,16 @@ def encode_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_dense(F.col("encoding.dense")))
 
 
+@_query("SELECT doc_id, true AS serving, true AS verified, 1.0::DOUBLE AS cosine, 1 AS attempts, false AS other_serving, -1.0::DOUBLE AS other_cosine, 8 AS dimension FROM documents")
+def encoder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What workers say of an encoder with its reference vector, by which its encoding is gated, and of one with another's."""
+    plain = tiny.formula_encoder({"text_embeds": 8})
+    vector = tuple(float(x) for x in next(encode.encode_rows(plain, [plain.check_text]))["dense"])
+    right, wrong = replace(plain, reference=vector), replace(plain, reference=tuple(-x for x in vector))
+    out = encode.encode(_documents(spark, sf_dir), right).withColumn("s", encode.statuses(right)(F.col("doc_id"))).withColumn("o", encode.statuses(wrong)(F.col("doc_id")))
+    return out.select("doc_id", "s.serving", "s.verified", F.round("s.cosine", DIGITS).alias("cosine"), "s.attempts", F.col("o.serving").alias("other_serving"), F.round("o.cosine", DIGITS).alias("other_cosine"), F.size("encoding.dense").alias("dimension"))
+
+
 @_query(_SPARSE_SQL.format(more="", rows=f"SELECT * FROM ({_HEAD_SQL}) WHERE w > 0"))
 def encode_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical head of the registry's model, with the weights in the file beside it."""
