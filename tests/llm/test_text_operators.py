@@ -101,7 +101,17 @@ def test_extraction_of_odd_pages(html, text):
         (f"<body><ul><li><a href=a>A</a><li><a href=b>B</a></ul><div><div>{BODY}</div></div><div>Buy this, it is cheap.</div></body>", PLAIN),
         (f"<body><form><nav><a href=a>A</a></nav><div>{BODY}</div><input name=q></form></body>", PLAIN),
         (f"<body><header><div><article>{BODY}</article></div></body>", PLAIN),
-        (f"<article>{BODY}<ul><li><a href=a>One link</a><li><a href=b>Another</a></ul><article><p>I like this.</p></article></article>", PLAIN),
+        (f"<article>{BODY}<ul><li><a href=a>One link</a><li><a href=b>Another</a></ul><article><p>I like this.</p></article></article>", PLAIN + "\nOne link\nAnother"),
+        (f"<body><div>{BODY}<ul><li><a href=a>One link</a><li><a href=b>Another</a></ul></div></body>", PLAIN),
+        (f"<body><article><h1>T</h1><article>{BODY}</article></article></body>", "T\n" + PLAIN),
+        (f"<body><article><article>{BODY}</article><article>{BODY}</article></article></body>", PLAIN + "\n" + PLAIN),
+        (f"<article>{BODY}" + "<article><p>I like this, and I have much to say about all of it.</p><article><p>So do I.</p></article></article>" * 9 + "</article>", PLAIN),
+        (f"<article>{BODY}<p class=share>a</p><p class='lead ad'>b</p><p id=related>c</p><div class='ad free'><p>d</p></div><div class=ad>e</div></article>", PLAIN + "\na\nb\nc\nd"),
+        (f"<article><div><p>First.</p></div><div>{BODY}</div><div><p>Last.</p></div></article>", "First.\n" + PLAIN + "\nLast."),
+        (f"<body><article><h3>Above</h3><div>{BODY}</div><h4>Below</h4><p>x</p></article></body>", "Above\n" + PLAIN + "\nBelow\nx"),
+        (f"<body><div><h3>Above</h3><div>{BODY}</div><h4>More to read</h4></div></body>", "Above\n" + PLAIN),
+        (f"<article>{BODY}<fieldset><legend>L</legend>text</fieldset><p role=status>s</p><div role=alert>w</div></article><p role=status>Notice.</p>", PLAIN + "\nL\ntext\ns\nw"),
+        (f"<article>{BODY}<section id=comments>{BODY}{BODY}{BODY}</section></article>", PLAIN + ("\n" + PLAIN) * 3),
         (f"<body><p>{'word ' * 40}</p><p>{'more ' * 40}</p></body>", ("word " * 40).strip() + "\n" + ("more " * 40).strip()),
     ],
 )
@@ -148,6 +158,58 @@ def test_densities_by_their_definition(seed):
         assert node.total == pytest.approx(sum(p.density for p in node.children() if p.tag not in html_extract.FORMATTING))
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_selection_by_its_definition(seed):
+    """The node of the largest density sum, with densities counted anew, is what the text comes from."""
+    import math
+    import random
+
+    rng = random.Random(seed)
+    words = iter(range(10**6))
+    text = lambda n: " ".join(f"w{next(words)}" for _ in range(n))
+
+    def made(depth):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.randrange(4 if depth else 2)
+            parts.append(("p", [text(rng.randrange(1, 40))]) if kind == 0 else ("a", [text(rng.randrange(1, 4))]) if kind == 1 else ("div" if kind == 2 else "section", made(depth - 1)))
+        return parts
+
+    page = ("body", made(3))
+    html = lambda node: node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(html, node[1])) + f"</{node[0]}>"
+
+    def figures(node):
+        """Characters, tags, link characters, link tags."""
+        if isinstance(node, str):
+            return len(node.replace(" ", "")), 0, 0, 0
+        inner = [figures(p) for p in node[1]]
+        c, t, lc, lt = (sum(x) for x in zip(*inner))
+        t, lt = t + sum(not isinstance(p, str) for p in node[1]), lt + sum(p[0] == "a" for p in node[1] if not isinstance(p, str))
+        return (c, t, c, t) if node[0] == "a" else (c, t, lc, lt)
+
+    whole = figures(page)
+
+    def density(node):
+        c, t, lc, lt = figures(node)
+        t = max(t, 1)
+        return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0000001)) / math.log(c / max(c - lc, 1) * lc + whole[2] / whole[0] * c + math.e)
+
+    below = lambda node: [x for p in node[1] if not isinstance(p, str) for x in (p, *below(p))]
+    total = lambda node: sum(density(p) for p in node[1] if not isinstance(p, str) and p[0] != "a")
+    core = max(below(page), key=total)
+    tree = html_extract.parse(html(page))
+    html_extract.clear(tree)
+    path, threshold = html_extract.choose(tree, html_extract.measure(tree))
+    if total(core) > 0:
+        assert path[0].total == pytest.approx(total(core)) and path[0].c == figures(core)[0]
+        on_path = [page, *(x for x in below(page) if core is x or any(core is y for y in below(x)))]
+        assert threshold == pytest.approx(min(density(x) for x in on_path))
+        got = html_extract.extract_text(html(page)).split()
+        for p in below(core):
+            if p[0] == "p":
+                assert p[1][0].split()[0] in got
+
+
 def test_extraction_of_deep_and_long_pages_takes_linear_time():
     import time
 
@@ -159,7 +221,7 @@ def test_extraction_of_deep_and_long_pages_takes_linear_time():
             best = min(best, time.perf_counter() - began)
         return best
 
-    for page in (lambda n: "<div>" * n + "</p>x</i>" * n, lambda n: "<span>" * n + "<p>x</p>" * n, lambda n: "<form>" * n + "x" + "<ul><li>y" * n, lambda n: "<header><b>" * n + "z"):
+    for page in (lambda n: "<div>" * n + "</p>x</i>" * n, lambda n: "<span>" * n + "<p>x</p>" * n, lambda n: "<form>" * n + "x" + "<ul><li>y" * n, lambda n: "<header><b>" * n + "z", lambda n: "<article>x y" * n):
         assert took(page(8000)) < 40 * took(page(800)) + 0.2
 
 

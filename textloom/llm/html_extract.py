@@ -9,14 +9,17 @@ where lb and cb are the body's link characters and characters: characters a tag,
 density sum is that of its children's densities, but for those that only mark words within a line. The core is the node below the body with the
 largest sum, or the body if none has any. The threshold is the least density on the path from the body to the core.
 
-The main text is the core's whole subtree, without parts that are mostly links (several of them) and less dense than the
-threshold, and without small parts that a class or id names as a whole as adverts, comments and the like (NAMES).
-Beside the path, a subtree stays if its density and its density sum reach the threshold, as a second article's do, or if
-it is a paragraph, list, table or the like as dense as that and not mostly links; headings right on the path stay. No name of a class or id counts in finding the core.
-
-By their tag go what is no text of the page (scripts, controls, media), and navigation, asides, footers, forms and
-headers outside articles, unless one holds more than half of the page's characters, as a form around a whole page does;
-by their attributes, what is hidden or has the role of such a part; and articles inside the article, which are comments.
+The main text is the core's whole subtree, or, where the core lies in an article, the whole of the outermost article: short
+paragraphs, headings and lists of links are as much part of it as long ones. Elsewhere parts of the core that are mostly links (several of
+them) and less dense than the threshold go, and beside the path a subtree stays if its density and its density sum reach the threshold, as a
+second article's do, or if it is a paragraph, list, table or the like as dense as that and not mostly links; headings right on the path
+stay (those of lower ranks where the core comes after them). No name of a class or id counts in finding the core.
+
+By their tag go what is no text of the page (scripts, controls, media), and navigation, asides, footers, forms and headers outside
+articles, unless one holds more than half of the page's characters, as a form around a whole page does; by their attributes, what is
+hidden or has the role of such a part. An article within an article is a comment, and goes, if it has less text that is no link than the outer one
+has of its own; else the outer one is its frame. A container (div, section, list) that a class or id as a whole calls adverts, comments
+and the like (NAMES) goes if its density sum is below half of the core's; no paragraph goes by its name.
 Texts of blocks have white space runs, also from character references, as one space, are trimmed and joined by line breaks.
 
 Parsing follows HTML's rules where they matter here: raw text in script, style and the like ends only at its own end tag,
@@ -46,15 +49,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_TEXT = frozenset("head script style noscript template iframe object embed svg canvas audio video map button input select option textarea dialog menu noembed noframes".split())
-ASIDE = frozenset("nav aside footer form fieldset header".split())
+ASIDE = frozenset("nav aside footer form header".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "optgroup", "option", "legend"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 SCOPE = frozenset("table td th ul ol dl article section main body html div blockquote aside nav footer header form".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span abbr cite q sub sup mark ins del time kbd var samp".split())
-HEADING = frozenset("h1 h2 hgroup".split())
+HEADING, LOWER = frozenset("h1 h2 hgroup".split()), frozenset("h3 h4 h5 h6".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure details".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status tablist".split())
-#: Names that say in one word what a part within an article is; they must be the whole name.
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form tablist".split())
+#: Roles of notices, which are text within an article.
+NOTICES = frozenset(("alert", "status"))
+FRAMES = frozenset("div section ul ol".split())
+#: Names that say in one word what a container is; they must be the whole of its class or id.
 NAMES = frozenset("ad ads advert advertisement sponsored promo comments comment-list disqus_thread sidebar cookie-notice newsletter share related breadcrumb breadcrumbs pagination".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -74,8 +80,9 @@ class Node:
         return [p for p in self.parts if not isinstance(p, str)]
 
 
-def dropped(tag: str, attributes: str) -> int:
-    """Whether the element is never main text: NEVER, or UNLESS it holds most of the page, or NAMED as no part of the article."""
+def dropped(tag: str, attributes: str, inside: bool = False) -> int:
+    """Whether the element is never main text: NEVER, or UNLESS it holds most of the page, or NAMED as no part of the article. inside: it
+    is part of an article."""
     if tag in NO_TEXT:
         return NEVER
     if attributes and tag not in ("html", "body", "main", "article"):
@@ -83,9 +90,9 @@ def dropped(tag: str, attributes: str) -> int:
             name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return NEVER
-            if name == "role" and value in ROLES:
+            if name == "role" and (value in ROLES or value in NOTICES and not inside):
                 return UNLESS
-            if name in ("class", "id") and not NAMES.isdisjoint(value.split()):
+            if name in ("class", "id") and tag in FRAMES and value.strip() in NAMES:
                 return NAMED
     return UNLESS if tag in ASIDE else 0
 
@@ -139,9 +146,9 @@ def parse(html: str) -> Node:
                         break
                 elif name in SCOPE and name not in ("td", "th") or name in SCOPE and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot"):
                     break
-        drop = dropped(tag, m[3] or "")
+        drop = dropped(tag, m[3] or "", bool(open_tags["article"]))
         inside = open_tags["article"] or open_tags["main"]
-        node = Node(tag, 0 if tag == "header" and drop == UNLESS and inside else NEVER if tag == "article" and open_tags["article"] else drop)
+        node = Node(tag, 0 if tag == "header" and drop == UNLESS and inside else drop)
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -178,11 +185,34 @@ def count(order: list[Node]) -> None:
         node.c, node.t, node.lc, node.lt = c, t, lc, lt
 
 
+def comments(root: Node) -> list[Node]:
+    """Articles within an article that have less text outside links than the outer one has of its own."""
+    own: dict[int, int] = {}
+    within: list[tuple[Node, Node]] = []
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    while todo:
+        node, outer = todo.pop()
+        if node.tag == "article":
+            own[id(node)] = node.c - node.lc
+            if outer is not None:
+                within.append((node, outer))
+            outer = node
+        todo.extend((p, outer) for p in node.children())
+    for node, outer in within:
+        own[id(outer)] -= node.c - node.lc
+    return [node for node, outer in within if node.c - node.lc < own[id(outer)]]
+
+
 def clear(root: Node) -> None:
-    """Takes out what goes by its tag or attributes."""
+    """Takes out what goes by its tag or attributes, and comments."""
     for node in in_order(root):
         node.parts = [p for p in node.parts if isinstance(p, str) or p.drop != NEVER]
     count(in_order(root))
+    gone = {id(node) for node in comments(root)}
+    if gone:
+        for node in in_order(root):
+            node.parts = [p for p in node.parts if isinstance(p, str) or id(p) not in gone]
+        count(in_order(root))
     most, todo = root.c / 2, [root]
     while todo:
         node = todo.pop()
@@ -206,26 +236,39 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def main_text(root: Node) -> Node:
-    """The tree of the main text."""
-    clear(root)
-    order = measure(root)
+def choose(root: Node, order: list[Node]) -> tuple[list[Node], float]:
+    """The path from the core to the root, and the threshold."""
     parent = {id(p): node for node in order for p in node.children()}
     core = max(order, key=lambda x: (x is not root) * x.total)  # the root if no other has any
-    core = core if core.total and core is not root else root
-    path = [core]
+    path = [core if core.total and core is not root else root]
     while id(path[-1]) in parent:
         path.append(parent[id(path[-1])])
-    threshold = min(x.density for x in path)
-    for node in in_order(core):
-        node.parts = [p for p in node.parts if isinstance(p, str) or not (p.drop == NAMED and 2 * p.c < core.c) and (p.tag in FORMATTING or p.lt < 2 or 2 * p.lc < p.c or p.density >= threshold)]
-    made = core
+    return path, min(x.density for x in path)
+
+
+def main_text(root: Node) -> Node:
+    """The tree of the main text."""
+    clear(root)
+    order = measure(root)
+    path, threshold = choose(root, order)
+    core = path[0]
+    articles = [k for k, x in enumerate(path) if x.tag == "article"]
+    path = path[articles[-1] :] if articles else path
+    most = core.total / 2
+    todo = [(path[0], bool(articles))]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.tag == "article"
+        node.parts = [p for p in node.parts if isinstance(p, str) or not (p.drop == NAMED and p.total < most) and (inside or p.tag in FORMATTING or p.lt < 2 or 2 * p.lc < p.c or p.density >= threshold)]
+        todo.extend((p, inside) for p in node.children())
+    made = path[0]
     for below, node in zip(path, path[1:]):
-        out = Node(node.tag)
+        out, seen = Node(node.tag), False
         for p in node.parts:
             if p is below:
                 out.parts.append(made)
-            elif not isinstance(p, str) and 2 * p.lc < p.c and (p.tag in HEADING or p.density >= threshold and (p.total >= threshold or p.tag in TEXTUAL)):
+                seen = True
+            elif not isinstance(p, str) and 2 * p.lc < p.c and (p.tag in HEADING or p.tag in LOWER and not seen or p.density >= threshold and (p.total >= threshold or p.tag in TEXTUAL)):
                 out.parts.append(p)
         made = out
     return made
