@@ -333,6 +333,26 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_bpe_decode_of_any_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.tokenizer_file())
+    lists = [[5, 9, 5], [], None, [5, 9, 5], [1 << 30, 7], [7, None, 8]]
+    df = spark.createDataFrame([(i, x, "k", "p", "t", "old") for i, x in enumerate(lists)], "id int, ids array<int>, _key string, key string, text string, decoded string")
+    got = bpe.decode(df).orderBy("id").collect()
+    piece = lambda i: tok.id_to_token(i)
+    assert [r.decoded for r in got] == [" ".join(map(piece, (5, 9, 5))), "", "", " ".join(map(piece, (5, 9, 5))), piece(7), " ".join(map(piece, (7, 8)))]
+    assert sorted(got[0].asDict()) == ["_key", "decoded", "id", "ids", "key", "text"] and (got[0]._key, got[0].text) == ("k", "t")
+
+
+def test_bpe_query_decodes_by_the_join(spark):
+    plan = queries.op10_bpe(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "piece" in plan and "Join Inner" in plan
+    ids, other = bpe.encode(frame(spark, [(1, "some words here")]), ids=True, decoded=True).first(), bpe.encode(frame(spark, [(1, None)]), ids=True, decoded=True).first()
+    (joined,) = bpe.decode(spark.createDataFrame([(ids.ids,)], "ids array<int>")).collect()
+    assert joined.decoded == ids.decoded and other.decoded == "" and other.n_tokens == 0
+
+
 def test_bpe_query(spark):
     assert queries.op10_bpe(spark, SF).count() == len(rows_of("documents"))
 

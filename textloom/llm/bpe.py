@@ -7,9 +7,12 @@ ids are its chunks' ids in order. Equal chunks recur within and across documents
    one compressed row for each of `buckets` hash buckets;
 2. a bucket's rows of all blocks meet in one task, which encodes each distinct chunk once and gives the ids back to each
    block in the order of the block's chunks;
-3. the blocks' documents, compressed, meet their ids and join them by position: the k-th chunk of a document takes its ids.
+3. the distinct ids of each block are joined with the id-to-piece table, whose size is the tokenizer's vocabulary;
+4. the blocks' documents, compressed, meet their ids and pieces and join them by position: the k-th chunk of a document takes
+   its ids, and each id its piece.
 
-Decoding joins ids with the id-to-piece table, whose size is the tokenizer's vocabulary.
+An id that the table lacks has no piece and is an error there. `decode` is the same join for arrays of ids of any origin, position by
+position.
 
 However often a chunk occurs, it is one entry a block; a bucket holds 1/`buckets` of the entries, and the number of
 buckets grows with the input, so what one task holds does not. Documents and dictionaries are two passes over the input,
@@ -33,13 +36,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import block_bodies, block_tables, body_table, column_bytes, in_blocks, prepare, release, replayable, written
 
 SPACES = "[\x20\x09-\x0d]"
+#: Stands for a bucket in rows that hold a block's pieces.
+PIECES = -1
 
 
 @lru_cache(2)
@@ -47,9 +53,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@lru_cache(2)
-def _pieces(path: str) -> list[bytes]:
-    return _encoder(path).pieces()
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """The id-to-piece table: id, piece; as large as the vocabulary."""
+    return spark.createDataFrame(list(enumerate(p.decode() for p in _encoder(path).pieces())), "id int, piece string")
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -120,22 +126,26 @@ def _encode(path: str) -> Callable:
         lists = [zstandard.decompress(z).decode().split("\n") for z in table.column("chunks").to_pylist()]
         distinct = sorted(set().union(*lists))
         ids = dict(zip(distinct, _encoder(path).ids(distinct)))
-        out = []
+        out, own = [], []
         for words in lists:
             found = [ids[w] for w in words]
-            out.append(zstandard.compress(np.array([len(f) // 4 for f in found], dtype="<u4").tobytes() + b"".join(found), 3))
-        return pa.table([table.column("bucket"), table.column("block"), pa.array([len(w) for w in lists], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block", "n", "ids"])
+            raw = b"".join(found)
+            own.append(np.unique(np.frombuffer(raw, "<i4")))
+            out.append(zstandard.compress(np.array([len(f) // 4 for f in found], dtype="<u4").tobytes() + raw, 3))
+        return pa.table([table.column("bucket"), table.column("block"), pa.array([len(w) for w in lists], pa.int32()), pa.array(out, pa.binary()), pa.array(own, pa.list_(pa.int32()))], ["bucket", "block", "n", "ids", "own"])
 
     return run
 
 
-def _assemble(path: str, kept: int, buckets: int, with_ids: bool, with_text: bool) -> Callable:
-    def run(bodies: pa.Table, dictionaries: pa.Table) -> pa.Table:
+def _assemble(kept: int, buckets: int, with_ids: bool, with_text: bool) -> Callable:
+    def run(bodies: pa.Table, told: pa.Table) -> pa.Table:
         release()
         table = body_table(bodies)
         texts = column_bytes(table, kept)
-        pieces, ids_of, text_of = _pieces(path), {}, {}
-        packed = {r["bucket"]: r for r in dictionaries.to_pylist()}
+        packed = {r["bucket"]: r for r in told.select(["bucket", "n", "ids"]).to_pylist()}
+        of_pieces = told.filter(pc.equal(told.column("bucket"), PIECES))
+        pieces = dict(zip(*([x for c in of_pieces.column(name).to_pylist() for x in c] for name in ("own", "pieces")))) if of_pieces.num_rows else {}
+        pieces, ids_of, text_of = {i: p.encode() for i, p in pieces.items()}, {}, {}
         for k, words in enumerate(_by_bucket(texts, buckets)):
             if not words:
                 continue
@@ -181,10 +191,15 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
     buckets = max(32, 2 * base.rdd.getNumPartitions())
     sent = base.mapInArrow(_dictionaries(len(keep), block_bytes, buckets), "bucket int, block bigint, chunks binary")
-    found = sent.groupBy("bucket").applyInArrow(_encode(path), "bucket int, block bigint, n int, ids binary")
+    found = written(sent.groupBy("bucket").applyInArrow(_encode(path), "bucket int, block bigint, n int, ids binary, own array<int>"), "chunk-ids")
+    own = found.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")).select("block", F.explode("own").alias("id"))
+    named = own.join(F.broadcast(piece_table(docs.sparkSession, path)), "id")  # of the vocabulary's size
+    rows = F.collect_list(F.struct("id", "piece"))
+    pieces = named.groupBy("block").agg(rows.alias("p")).select(F.lit(PIECES).alias("bucket"), "block", F.lit(0).alias("n"), F.lit(b"").alias("ids"), F.col("p.id").alias("own"), F.col("p.piece").alias("pieces"))
+    told = found.withColumns({"own": F.lit(None).cast("array<int>"), "pieces": F.lit(None).cast("array<string>")}).union(pieces)
     bodies = block_bodies(base, len(keep), block_bytes)
     more = ", ids array<int>" * ids + ", decoded string" * decoded
-    return in_blocks(bodies, found, buckets).applyInArrow(_assemble(path, len(keep), buckets, ids, decoded), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return in_blocks(bodies, told, buckets).applyInArrow(_assemble(len(keep), buckets, ids, decoded), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -194,10 +209,12 @@ def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds `out`, the decoded text of an array of ids, by a join of each position with the id-to-piece table. Null and empty
-    arrays give an empty text; ids that the table lacks give nothing. Equal arrays are decoded once."""
-    table = df.sparkSession.createDataFrame(list(enumerate(p.decode() for p in _pieces(tokenizer or tokenizer_file()))), "id int, piece string")
-    key = F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256)
-    keyed = df.withColumn("_key", key).select("_key", ids).dropDuplicates(["_key"])
-    rows = keyed.select("_key", F.posexplode(ids).alias("pos", "id")).join(F.broadcast(table), "id")
-    joined = rows.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias(out))
-    return df.withColumn("_key", key).join(joined, "_key", "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_key")
+    arrays give an empty text; ids that the table lacks give nothing. Equal arrays are decoded once. Other columns, whatever their names,
+    stay; one that has the name `out` is replaced."""
+    key = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit(""))), ","), 256)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("ids")).withColumn("key", key(F.col("ids")))
+    each = rows.select("key", "ids").dropDuplicates(["key"]).select("key", F.posexplode("ids").alias("pos", "id"))
+    named = each.join(F.broadcast(piece_table(df.sparkSession, tokenizer or tokenizer_file())), "id")
+    texts = named.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    text = F.coalesce("text", F.lit("")).alias(out)
+    return rows.join(texts, "key", "left").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != out], text)
