@@ -307,6 +307,57 @@ def test_quality_of_odd_rows(spark):
     assert np.allclose(whole, np.vstack([quality.features([(t or "").encode()]) for _, t in ODD]))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quality_weights_are_the_likeliest(seed):
+    """The penalised likelihood of the drawn preferences, written out, climbed by plain gradient steps from elsewhere."""
+    import math
+
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((60, 5))
+    good = x[:, 0] - 0.5 * x[:, 1] + 0.8 * rng.standard_normal(60) > 0
+    model = quality.fit_pairs(x, good, 0.7, pairs=300, seed=seed, ridge=0.05, steps=50)
+    up, down = quality.draw(good, 300, seed)
+    assert good[up].all() and not good[down].any()
+    shaped = [[c for c in row] for row in model.shaped(x)]
+
+    def likelihood(w):
+        strength = [sum(a * b for a, b in zip(row, w)) for row in shaped]
+        return sum(-math.log1p(math.exp(strength[j] - strength[i])) for i, j in zip(up, down)) / 300 - 0.025 * sum(a * a for a in w)
+
+    best = likelihood(model.weights)
+    for _ in range(40):
+        assert likelihood(model.weights + rng.standard_normal(len(model.weights)) * rng.choice([1e-3, 1e-2, 0.3])) < best
+    w = rng.standard_normal(len(model.weights))
+    z = np.array(shaped)
+    for _ in range(4000):
+        gap = (z[up] - z[down]) @ w
+        w += 0.3 * ((z[up] - z[down]).T @ (1 / (1 + np.exp(gap))) / 300 - 0.05 * w)
+    assert np.allclose(w, model.weights, atol=1e-3)
+    # the threshold parts the labels best of all levels between two rows
+    strength = z @ model.weights
+    parted = lambda level: np.mean(strength[good] >= level) - np.mean(strength[~good] >= level)
+    assert parted(model.threshold) >= max(parted(s) for s in strength) - 0.05
+    assert model.score(x[:1])[0] == pytest.approx(1 / (1 + math.exp(-((strength[0] - model.threshold) / model.spread + math.log(0.7 / 0.3)))))
+
+
+def test_quality_features_by_their_names():
+    import zlib
+
+    for t in ODD:
+        raw = (t[1] or "").encode()
+        got = dict(zip(quality.FEATURES, quality.features([raw])[0]))
+        words, lines, n = raw.split(), raw.split(b"\n"), max(len(raw.split()), 1)
+        size = max(len(raw), 1)
+        assert got["log bytes"] == pytest.approx(np.log1p(len(raw))) and got["log words"] == pytest.approx(np.log1p(len(words)))
+        assert got["capitals"] == pytest.approx(sum(65 <= b <= 90 for b in raw) / size) and got["digits"] == pytest.approx(sum(48 <= b <= 57 for b in raw) / size)
+        assert got["beyond ASCII"] == pytest.approx(sum(b > 127 for b in raw) / size) and got["exclamation marks"] == pytest.approx(raw.count(b"!") / size)
+        assert got["distinct words"] == pytest.approx(len(set(words)) / n**0.8) and got["distinct lines"] == pytest.approx(len(set(lines)) / len(lines))
+        assert got["most frequent word"] == pytest.approx(max(map(words.count, set(words)), default=0) / n) and got["word length"] == pytest.approx(len(raw) / n)
+        shares = quality.features([raw])[0, len(quality.FEATURES) :]
+        want = [sum(zlib.crc32(w.lower()) % quality.WORDS == b for w in words) for b in range(quality.WORDS)]
+        assert np.allclose(shares**2 * n, want)
+
+
 def test_quality_counts_every_word():
     line = " ".join(f"w{i}" for i in range(25))
     flooded = " ".join("flood" if i % 25 else f"w{i}" for i in range(5000))  # every 25th word is another
