@@ -1,29 +1,32 @@
-"""Every query of the core engine against its SQL, over the smallest tables."""
+"""Every query of the core engine against its SQL, over the two smallest sizes of the tables."""
 
 import duckdb
 import pytest
 
 from textloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
-def duck():
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    return c
+def ducks():
+    found = {}
+    for sf in (SF, LARGER):
+        found[sf] = duckdb.connect()
+        for t in TABLES:
+            found[sf].execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return found
 
 
 def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
+@pytest.mark.parametrize("sf", [SF, LARGER])
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
-def test_against_sql(spark, duck, name):
-    df = catalogue.queries()[name](spark, SF)
+def test_against_sql(spark, ducks, name, sf):
+    duck, df = ducks[sf], catalogue.queries()[name](spark, sf)
     columns = sorted(df.columns)
     mine = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     made = duck.execute(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({catalogue.oracle_sql()[name]})").fetchall()

@@ -1,6 +1,5 @@
 """Passes by length, and requests that stay what they are."""
 
-import json
 from collections import Counter
 
 import numpy as np
@@ -79,13 +78,7 @@ def test_few_shapes_and_little_padding(monkeypatch):
 
 
 def templated():
-    """A tokenizer with a token before and after each text."""
-    d = json.loads(tiny.tiny_tokenizer([*tiny.WORDS, "[B]", "[E]"]))
-    b, e = d["model"]["vocab"]["[B]"], d["model"]["vocab"]["[E]"]
-    part = lambda kind, name, at: {kind: {"id": name, "type_id": at}}
-    single = [part("SpecialToken", "[B]", 0), part("Sequence", "A", 0), part("SpecialToken", "[E]", 0)]
-    d["post_processor"] = {"type": "TemplateProcessing", "single": single, "pair": single + [part("Sequence", "B", 1), part("SpecialToken", "[E]", 1)], "special_tokens": {n: {"id": n, "ids": [i], "tokens": [n]} for n, i in (("[B]", b), ("[E]", e))}}
-    return json.dumps(d)
+    return tiny.template_tokenizer(tiny.WORDS)
 
 
 def test_one_tokenisation_gives_counts_and_cut_ids():

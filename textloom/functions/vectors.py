@@ -70,6 +70,14 @@ def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
 
 
+def drift(new: Column, old: Column) -> Column:
+    """differ (how many components), most and mean (of their distances), between vectors of one length; null for other lengths, as there
+    is no telling which components are the same."""
+    gaps = F.zip_with(new, old, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    found = F.struct(F.size(F.filter(gaps, lambda g: g > 0)).alias("differ"), F.array_max(gaps).alias("most"), (total(gaps) / F.size(gaps)).alias("mean"))
+    return F.when((F.size(new) == F.size(old)) & (F.size(new) > 0), found)
+
+
 def cls_pool(hidden: Column) -> Column:
     """The first token's vector of an array of token vectors."""
     return F.when(F.size(hidden) > 0, hidden[0])

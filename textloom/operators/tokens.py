@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import spans
 from ..sources.tokenizer_files import load_tokenizer
 from ..session import ship_active
 from .limits import one_of, truncated
@@ -93,6 +95,21 @@ def routed_counter(paths: dict[str, str]):
     return count
 
 
+def span_finder(path: str, wanted: int):
+    """A UDF from text to the runs of one token id: array<struct<start, end>>, positions of tokens, the end not in it; null of null."""
+    ship_active()
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = texts.to_pylist()
+            encoded = iter(_tokenizer(path).encode_batch([t for t in rows if t is not None]))
+            yield pa.array([None if t is None else [{"start": a, "end": b} for a, b in spans(np.array(next(encoded).ids), wanted)] for t in rows], kind)
+
+    return find
+
+
 def _counts(path: str | None, texts: list[str | None]) -> list[int | None]:
     if path is None:
         return [None] * len(texts)

@@ -388,14 +388,15 @@ def encode_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_dense(F.col("encoding.dense")))
 
 
-@_query("SELECT doc_id, true AS serving, true AS verified, 1.0::DOUBLE AS cosine, 1 AS attempts, false AS other_serving, -1.0::DOUBLE AS other_cosine, 8 AS dimension FROM documents")
+@_query("SELECT doc_id, true AS serving, true AS verified, 1.0::DOUBLE AS cosine, 1 AS attempts, false AS other_serving, -1.0::DOUBLE AS other_cosine, NULL::DOUBLE AS unknown_cosine, false AS unknown_serving, 8 AS dimension FROM documents")
 def encoder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What workers say of an encoder with its reference vector, by which its encoding is gated, and of one with another's."""
+    """What workers say of an encoder with its reference vector, by which its encoding is gated, of one with another's, and of
+    one that has none, whose cosine is unknown and not low."""
     plain = tiny.formula_encoder({"text_embeds": 8})
     vector = tuple(float(x) for x in next(encode.encode_rows(plain, [plain.check_text]))["dense"])
     right, wrong = replace(plain, reference=vector), replace(plain, reference=tuple(-x for x in vector))
-    out = encode.encode(_documents(spark, sf_dir), right).withColumn("s", encode.statuses(right)(F.col("doc_id"))).withColumn("o", encode.statuses(wrong)(F.col("doc_id")))
-    return out.select("doc_id", "s.serving", "s.verified", F.round("s.cosine", DIGITS).alias("cosine"), "s.attempts", F.col("o.serving").alias("other_serving"), F.round("o.cosine", DIGITS).alias("other_cosine"), F.size("encoding.dense").alias("dimension"))
+    out = encode.encode(_documents(spark, sf_dir), right).withColumn("s", encode.statuses(right)(F.col("doc_id"))).withColumn("o", encode.statuses(wrong)(F.col("doc_id"))).withColumn("u", encode.statuses(plain)(F.col("doc_id")))
+    return out.select("doc_id", "s.serving", "s.verified", F.round("s.cosine", DIGITS).alias("cosine"), "s.attempts", F.col("o.serving").alias("other_serving"), F.round("o.cosine", DIGITS).alias("other_cosine"), F.col("u.cosine").alias("unknown_cosine"), F.col("u.serving").alias("unknown_serving"), F.size("encoding.dense").alias("dimension"))
 
 
 @_query(_SPARSE_SQL.format(more="", rows=f"SELECT * FROM ({_HEAD_SQL}) WHERE w > 0"))
@@ -407,7 +408,11 @@ def encode_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_SPARSE_SQL.format(more="", rows=f"SELECT doc_id, place AS id, max(ln(1 + greatest({_X.format(place='place')}, 0))) AS w FROM {_IDS_ROWS}, range(9) AS r(place) GROUP BY ALL HAVING max({_X.format(place='place')}) > 0"))
 def encode_splade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode.encode(_documents(spark, sf_dir), tiny.formula_encoder({"logits": 9}, batch_size=8, head="splade"))
+    """The registry's model with such a head."""
+    with tempfile.TemporaryDirectory() as where:
+        cache = tiny.hub_cache(where, "Qdrant/Splade_PP_en_v1", {"model.onnx": tiny.gather_model({"logits": tiny.formula_table(9)})})
+        e = models.load("sparse", "Qdrant/Splade_PP_en_v1", cache, ship=True, max_length=encode.WHOLE)
+    out = encode.encode(_documents(spark, sf_dir), e)
     return out.select("doc_id", *_sparse())
 
 
@@ -516,19 +521,24 @@ def tokenize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "tokenizer", _JOINED("token_count").alias("token_count"), "available")
 
 
-@_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens FROM documents")
-def stream_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counting of token_count over a stream of the table's files."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the driver and all executors share."""
     import uuid
 
-    from ..streaming.inference import read_rows, run_available
-
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "/tmp/textloom"
-    where = f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(f"SELECT doc_id, {WORDS_SQL}::INT AS n_tokens FROM documents")
+def stream_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counting of token_count over a stream of the table's files."""
+    from ..streaming.inference import read_rows, run_available
+
+    where = shared_folder(spark, "stream")
     table = _table(spark, sf_dir, "documents")
     folder = all(f.rsplit("/", 2)[-2] == "documents.parquet" for f in table.inputFiles())
     stream = read_rows(spark, f"{sf_dir}/documents.parquet" if folder else sf_dir, table.schema, None if folder else "documents.parquet")
@@ -538,8 +548,12 @@ def stream_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import named  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import named  # noqa: F401
+
     return {k: v.strip() for k, v in _SQL.items()}

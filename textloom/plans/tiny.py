@@ -62,11 +62,11 @@ def gather_model(tables: dict[str, np.ndarray], pooled_names: tuple[str, ...] =
     return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
 
 
-def sum_model(table: np.ndarray, name: str = "logits") -> bytes:
-    """A model from input_ids to the sum of the ids' rows."""
-    nodes = _field(1, _node("Gather", ["table", "input_ids"], ["rows"])) + _field(1, _node("ReduceSum", ["rows", "axes"], [name]) + _field(5, _field(1, "keepdims") + _field(3, 0) + _field(20, 2)))
+def sum_model(table: np.ndarray, name: str = "logits", source: str = "input_ids") -> bytes:
+    """A model from ids (of tokens, or of another input) to the sum of their rows."""
+    nodes = _field(1, _node("Gather", ["table", source], ["rows"])) + _field(1, _node("ReduceSum", ["rows", "axes"], [name]) + _field(5, _field(1, "keepdims") + _field(3, 0) + _field(20, 2)))
     weights = _field(5, _tensor("table", table.astype(np.float32))) + _field(5, _tensor("axes", np.array([1], np.int64)))
-    graph = nodes + _field(2, "tiny") + weights + _field(11, _value_info("input_ids", 7, ["batch", "length"])) + _field(12, _value_info(name, 1, ["batch", "dimension"]))
+    graph = nodes + _field(2, "tiny") + weights + _field(11, _value_info(source, 7, ["batch", "length"])) + _field(12, _value_info(name, 1, ["batch", "dimension"]))
     return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
 
 
@@ -76,6 +76,17 @@ def tiny_tokenizer(words: list[str]) -> str:
     return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocab, "unk_token": "[UNK]"}})
 
 
+def template_tokenizer(words: list[str]) -> str:
+    """The same tokenizer, with [B] before a text and [E] after it and after a second one, whose tokens are of type 1."""
+    d = json.loads(tiny_tokenizer([*words, "[B]", "[E]"]))
+    mark = lambda name, kind: {"SpecialToken": {"id": name, "type_id": kind}}
+    text = lambda name, kind: {"Sequence": {"id": name, "type_id": kind}}
+    single = [mark("[B]", 0), text("A", 0), mark("[E]", 0)]
+    special = {n: {"id": n, "ids": [d["model"]["vocab"][n]], "tokens": [n]} for n in ("[B]", "[E]")}
+    d["post_processor"] = {"type": "TemplateProcessing", "single": single, "pair": [*single, text("B", 1), mark("[E]", 1)], "special_tokens": special}
+    return json.dumps(d)
+
+
 def space_tokenizer() -> str:
     """The JSON of a tokenizer that splits at spaces and knows no word."""
     return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": {"[UNK]": 0}, "unk_token": "[UNK]"}})
