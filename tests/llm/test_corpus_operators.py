@@ -97,6 +97,20 @@ def test_warc_archives_are_gzip_and_damage_is_noticed(spark, tmp_path):
     for step in (7, 64, size):
         found = [warc.parse(*r)[2] for s in range(0, size, step) for r in warc.read_range(path, s, min(size, s + step))]
         assert found == list(range(20))
+    starts = [sum(map(len, records[:k])) for k in range(20)]
+    whole = b"".join(records)
+    for k in range(1, 20):  # a member whose first bytes are damaged is missed by whoever reads the one before it
+        open(path, "wb").write(whole[: starts[k]] + b"\0" * 12 + whole[starts[k] + 12 :])
+        for step in (64, 200, size):
+            with pytest.raises(ValueError, match=f"no record at {starts[k]}"):
+                for s in range(0, size, step):
+                    list(warc.read_range(path, s, min(size, s + step)))
+    open(path, "wb").write(whole + b"tail")
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.read_range(path, 0, size))
+    open(path, "wb").write(whole + gzip.compress(b"no record"))
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.read_range(path, 0, size))
     open(path, "wb").write(b"".join(records)[:-30])
     with pytest.raises(ValueError, match="cut off"):
         list(warc.read_range(path, 0, size))

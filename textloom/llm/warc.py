@@ -8,7 +8,8 @@ shuffle, and the join to it is one that Spark can split where a digest is hot.
 
 Reading: archives are cut into ranges. The task of a range looks for the gzip magic in it, takes a place for a member only
 if decoding from there gives a WARC header, owns the records that start inside its range, and reads on past its end to
-finish the last one. Ranges of one archive need nothing of each other.
+finish the last one. Ranges of one archive need nothing of each other. Where a record ends, the next one starts or the archive
+ends; anything else there is an error, also beyond the range, so damage costs no record in silence.
 
 Defined cases: a null payload is empty; a null id is written as an empty one and read back as null, and its records are
 responses; rows that repeat an id and a payload are responses all, if that id is the largest; line breaks in a URL are
@@ -137,32 +138,55 @@ class _Member:
         return self.pos - len(self.zip.unused_data)
 
 
+def _header(file, at: int, buffered: bytes) -> tuple[_Member, dict[str, str], bytes] | None:
+    """The member at a place, its WARC header and what of the block came with it; None if there is no such header."""
+    member = _Member(file, at, buffered)
+    try:
+        while b"\r\n\r\n" not in member.out and member.out[:5] == b"WARC/"[: len(member.out)] and member.more(max(1 << 12, len(member.out))):
+            pass
+        if not member.out.startswith(b"WARC/") or b"\r\n\r\n" not in member.out:
+            return None
+        head, _, body = member.out.partition(b"\r\n\r\n")
+        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
+        return (member, fields, body) if int(fields["content-length"]) >= 0 else None
+    except (zlib.error, ValueError, KeyError):
+        return None
+
+
 def read_range(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header and block of each record that starts in [start, end)."""
+    """The header and block of each record that starts in [start, end).
+
+    A magic that is followed by no WARC header is taken for compressed data, but not where a record has just ended: what follows there
+    is another record or the end of the file, and anything else is an error. That holds beyond the range, too, so every record but
+    an archive's first is looked for by the one before it, and none is lost in silence.
+    """
     with open_file(path, "rb") as file:
-        at = start
-        while at < end:
+        at, due = start, False
+        while at < end or due:
             file.seek(at)
-            window = file.read(min(READ, end - at) + 2)
-            k = window.find(MAGIC)
-            if k < 0 or at + k >= end:
-                if len(window) <= 2 or at + len(window) - 2 >= end:
+            window = file.read(min(READ, end - at) + 2 if at < end else 1 << 14)
+            if due:
+                k = 0
+                if not window:
                     return
-                at += len(window) - 2
-                continue
+            else:
+                k = window.find(MAGIC)
+                if k < 0 or at + k >= end:
+                    if len(window) <= 2 or at + len(window) - 2 >= end:
+                        return
+                    at += len(window) - 2
+                    continue
             at += k
-            member = _Member(file, at, window[k:])
-            try:
-                while b"\r\n\r\n" not in member.out and member.out[:5] == b"WARC/"[: len(member.out)] and member.more(max(1 << 12, len(member.out))):
-                    pass
-                if not member.out.startswith(b"WARC/") or b"\r\n\r\n" not in member.out:
-                    raise ValueError
-                head, _, body = member.out.partition(b"\r\n\r\n")
-                fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
-                length = int(fields["content-length"])
-            except (zlib.error, ValueError, KeyError):  # the magic occurs inside compressed data
-                at += 1
+            found = _header(file, at, window[k:])
+            if found is None:
+                if due:
+                    raise ValueError(f"{path}: there is no record at {at}, where one has to start")
+                at, due = at + 1, False
                 continue
+            if at >= end:
+                return  # the next range's
+            member, fields, body = found
+            length = int(fields["content-length"])
             pieces, have = [body], len(body)
             while have < length + 4 or not member.zip.eof:
                 member.out = b""
@@ -173,7 +197,7 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str]
             if have < length or not member.zip.eof:
                 raise ValueError(f"{path}: the record at {at} is cut off")
             yield fields, b"".join(pieces)[:length]
-            at = member.end
+            at, due = member.end, True
 
 
 def parse(fields: dict[str, str], block: bytes) -> tuple:
