@@ -281,6 +281,38 @@ def test_language_by_brute_force(spark):
         assert lang == [best] and score[0] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), rel=1e-4)
 
 
+def test_grams_one_at_a_time():
+    """Every gram of every text spelled out, and hashed in whole numbers; texts beside it make no difference."""
+    bits = 16
+
+    def plain(text):
+        symbols, gap = [], False
+        for ch in (text or "").replace("\0", " ").lower():
+            if ch.isalpha():
+                symbols.append(ord(ch))
+                gap = False
+            elif not gap:
+                symbols.append(1)
+                gap = True
+        symbols += [0, 0, 0]
+        out = []
+        for i in range(len(symbols) - 2):
+            h, row = 0, []
+            for k, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+                h = (symbols[i] if k == 0 else h ^ symbols[i + k]) * m % 2**64
+                row.append(h >> (64 - bits))
+            out.append(row)
+        return out
+
+    texts = [t for _, t in ODD] + ["", None, "a", "Ünï!! çode\0 x", "", "123", "abc def", None]
+    for some in (texts, texts[::-1], texts[3:4], [""], [None, None]):
+        buckets, starts, has = langid.grams(some, bits)
+        edges = [*starts.tolist(), buckets.shape[1]]
+        for k, t in enumerate(some):
+            assert buckets[:, edges[k] : edges[k + 1]].T.tolist() == plain(t)
+            assert has[k] == any(ch.isalpha() for ch in (t or "").lower())
+
+
 def test_quality_on_held_out_rows(spark):
     got = {r.doc_id: r for r in queries.op9_quality(spark, "/root/testdata/sf0.01").collect()}
     held = [x for x in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist() if got[x["doc_id"]].held_out]

@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-A text is lower-cased; every run of other characters than letters counts as one space, and the text's ends as marks of
-their own. Its grams of 1 to 3 characters fall into 2^`bits` hash buckets.
+A text is lower-cased; every run of other characters than letters counts as one space, and the text's end as marks of its own.
+Its grams of 1 to 3 characters, which start at its characters and at the first mark and never reach into another text, fall into
+2^`bits` hash buckets.
 
 Training counts grams per language and bucket over all training rows: each task counts its rows densely, gives the
 counts that are not zero, and Spark sums them (a hot language or bucket combines before the shuffle). The sums, at most
@@ -38,24 +39,26 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 
 
 def grams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all grams (one row per gram size), the first place of each text, and whether it has a letter."""
+    """Buckets of all grams (one row per gram size), the first place of each text among them, and whether it has a letter."""
     joined = "\0\0\0".join([t.replace("\0", " ").lower() if t else "" for t in texts]) + "\0\0\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     marks = codes == 0
     letter = _is_letter(codes)
     c = np.where(letter, codes, np.where(marks, 0, 1)).astype(np.uint64)
     keep = ~((c == 1) & (np.concatenate(([0], c[:-1])) == 1))
-    # runs of three marks: every third mark ends a text
+    # three marks end a text; grams start at its characters and at the first of them
     thirds = np.flatnonzero(marks)[2::3]
-    at = np.cumsum(keep)
-    starts = np.concatenate(([0], at[thirds][:-1])) if len(thirds) else np.zeros(0, np.int64)
     has = np.add.reduceat(letter, np.concatenate(([0], thirds[:-1] + 1))) > 0
     c = np.concatenate((c[keep], np.zeros(2, np.uint64)))
     n, shift = len(c) - 2, np.uint64(64 - bits)
+    own, ends = c[:n] != 0, np.flatnonzero(c[:n] == 0)[2::3]
+    own[ends - 2] = True
+    at = np.cumsum(own)
+    starts = np.concatenate(([0], at[ends][:-1])) if len(ends) else np.zeros(0, np.int64)
     one = c[:n] * np.uint64(0x9E3779B97F4A7C15)
     two = (one ^ c[1 : n + 1]) * np.uint64(0xC2B2AE3D27D4EB4F)
     three = (two ^ c[2 : n + 2]) * np.uint64(0x165667B19E3779F9)
-    return np.stack([(h >> shift).astype(np.int32) for h in (one, two, three)]), starts, has
+    return np.stack([(h[own] >> shift).astype(np.int32) for h in (one, two, three)]), starts, has
 
 
 def count_grams(rows: DataFrame, bits: int) -> DataFrame:
