@@ -259,6 +259,20 @@ def test_vectors_by_brute_force(spark):
     assert kept.columns == df.columns and {r.vec_id for r in kept.collect()} >= set(expected.values()) | {9001}
 
 
+def test_embeddings_with_labels_of_text_and_ids_of_text(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+    with pytest.raises(ValueError, match="whole numbers"):
+        embed_dedup.near_duplicates(df.withColumn("vec_id", F.lit("x")))
+
+
+def test_lists_of_leaves_take_four_bytes():
+    x = np.random.default_rng(0).standard_normal((500, 8))
+    assert embed_dedup.Forest(x, 10**9, 5, 384, 0.98, 1.0).kind() == "<u4" and embed_dedup.Forest(x, 10**13, 5, 384, 0.98, 1.0).kind() == "<u8"
+
+
 def test_double_vectors_and_several_lengths(spark):
     rows = [(1, [1e300, 1e300], 0), (2, [2e300, 2e300], 0), (3, [1e-300, 0.0], 0), (4, [3e-310, 0.0], 0), (5, [1.0, 1.0, 1.0], 0), (6, [2.0, 2.0, 2.0], 0), (7, [1.0, -0.0, 0.0], 0), (8, [1.0, 0.0, 0.0], 0)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label int")).collect()}

@@ -15,8 +15,10 @@
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label,
 link with nothing and are their own component; vectors of different lengths do not link; rows that repeat an id are
-vectors of their own, and take part in the component of their id; a null id has no component; an empty table gives no
-rows; extra columns are ignored.
+vectors of their own, and take part in the component of their id; a null id has no component; labels may be of any type, ids
+are whole numbers (others are refused); an empty table gives no rows; extra columns are ignored.
+
+What a class costs: a row for each leaf it falls in, of its vector and 4 bytes for each of its leaves (8 beyond 2^32 leaves).
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import connected_components, prepare, written
 
 
 def clean(rows: DataFrame) -> DataFrame:
-    """id, label, dim, digest, vec (raw components, in the column's own precision; null where the row links with nothing) over
+    """id, label (as text), dim, digest, vec (raw components, in the column's own precision; null where the row links with nothing) over
     rows (id, v, label)."""
     kind = np.float64 if rows.schema["v"].dataType.elementType.typeName() == "double" else np.float32
 
@@ -50,7 +53,7 @@ def clean(rows: DataFrame) -> DataFrame:
             digests = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(dims.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["id", "label", "dim", "digest", "vec"])
 
-    return rows.mapInArrow(run, "id bigint, label bigint, dim int, digest binary, vec binary")
+    return rows.mapInArrow(run, "id bigint, label string, dim int, digest binary, vec binary")
 
 
 def unit(raw: list[bytes], dim: int) -> np.ndarray:
@@ -82,6 +85,10 @@ class Forest:
                 self.splits[t, node[order][heads]] = p[order][heads + sizes // 2]
                 node = 2 * node + (p >= self.splits[t, node])
 
+    def kind(self) -> str:
+        """Of a leaf's number in a list."""
+        return "<u4" if len(self.directions) << self.depth < 1 << 32 else "<u8"
+
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs; leaves are numbered over all trees, the first tree's first."""
         who, where = [], []
@@ -110,12 +117,13 @@ def index(heads: DataFrame, forests: dict[int, Forest]) -> DataFrame:
                     who, where = sent.value[int(dim)].leaves(unit(part.column("vec").to_pylist(), int(dim)))
                     order = np.lexsort((where, who))
                     who, where = who[order], where[order]
-                    lists = np.split(where, np.flatnonzero(np.diff(who)) + 1)
+                    lists = np.split(where.astype(sent.value[int(dim)].kind()), np.flatnonzero(np.diff(who)) + 1)
+                    packed = [x.tobytes() for x in lists]
                     rows = part.take(pa.array(who))
-                    every = pa.array([lists[i].astype("<i8").tobytes() for i in who], pa.binary())
+                    every = pa.array([packed[i] for i in who], pa.binary())
                     yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("dim"), pa.array(where), rows.column("id"), rows.column("rows"), rows.column("vec"), every], ["label", "dim", "leaf", "id", "rows", "vec", "every"])
 
-    return heads.mapInArrow(run, "label bigint, dim int, leaf bigint, id bigint, rows bigint, vec binary, every binary")
+    return heads.mapInArrow(run, "label string, dim int, leaf bigint, id bigint, rows bigint, vec binary, every binary")
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,14 +142,14 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(cosine: float) -> Callable:
+def _compare(cosine: float, kinds: dict[int, str]) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         n, leaf = table.num_rows, table["leaf"][0].as_py()
         p, q, own = table["p"][0].as_py(), table["q"][0].as_py(), table["own"].to_numpy()
         ids, rows, x = table["id"].to_numpy(), table["rows"].to_numpy(), unit(table["vec"].to_pylist(), table["dim"][0].as_py())
         # the leaves before this one that classes of the tile share, as bits
-        lists = [np.frombuffer(e, "<i8") for e in table["every"].to_pylist()]
+        lists = [np.frombuffer(e, kinds[table["dim"][0].as_py()]) for e in table["every"].to_pylist()]
         flat, at = np.concatenate(lists), np.repeat(np.arange(n), [len(e) for e in lists])
         at, flat = at[flat < leaf], flat[flat < leaf]
         codes, code, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -177,8 +185,10 @@ def _compare(cosine: float) -> Callable:
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", trees: int = 5, leaf: int = 384, tile: int = 2048, sample: int = 20_000, sample_bytes: int = 32 << 20, spill: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
+    if not isinstance(rows.schema[vec_id].dataType, IntegralType):
+        raise ValueError(f"ids are whole numbers, and {vec_id} is of type {rows.schema[vec_id].dataType.simpleString()}")
     prepare(rows.sparkSession)
-    base = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>" if "double" in rows.schema[embedding].dataType.simpleString() else "array<float>").alias("v"), F.col(f"`{label}`").cast("long").alias("label"))
+    base = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>" if "double" in rows.schema[embedding].dataType.simpleString() else "array<float>").alias("v"), F.col(f"`{label}`").cast("string").alias("label"))
     found = written(clean(base), "vectors")
     groups = found.filter("vec is not null and id is not null").groupBy("label", "digest").agg(F.min("id").alias("head"), F.count("*").alias("rows"))
     heads = written(found.filter("vec is not null").join(groups, ["label", "digest"]).filter("id = head").dropDuplicates(["label", "digest"]).select("id", "label", "dim", "vec", "rows"), "heads")
@@ -192,7 +202,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     sizes = entries.groupBy(*keys).agg(F.count("*").alias("m")).filter("m > 1").withColumn("m", F.ceil(F.col("m") / tile).cast("int"))
     placed = entries.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumns({"p": F.least("own", "q"), "q": F.greatest("own", "q")})
-    told = written(placed.groupBy(*keys, "p", "q").applyInArrow(_compare(cosine), "id bigint, links bigint, other bigint"), "links")
+    told = written(placed.groupBy(*keys, "p", "q").applyInArrow(_compare(cosine, {d: f.kind() for d, f in forests.items()}), "id bigint, links bigint, other bigint"), "links")
     links = told.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(told.filter("id <> other"), "id", "other")
     per = groups.join(links, groups["head"] == links["id"], "left").drop("id").join(roots, F.col("head") == roots["node"], "left")
