@@ -23,11 +23,14 @@ _made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder every executor can reach: spark.checkpoint.dir, or, where that is unset in local mode (tests), a temporary one. On a
+    cluster no folder of the driver's will do, and an unset one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
