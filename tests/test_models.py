@@ -18,6 +18,9 @@ WEIGHT, BIAS = tuple(k / 2 for k in range(8)), 0.25
 TEXT = "the and zz the of"
 
 
+EXPERTS = {"n_embd": 768, "num_attention_heads": 12, "n_inner": 3072, "n_layer": 12, "n_positions": 40, "vocab_size": 9}
+
+
 def expected_head():
     ids = np.array([[1, 2, 0, 1, 4]])
     h = tiny.formula_table(8)[ids]
@@ -80,9 +83,9 @@ def test_splade_stays_splade(tmp_path, spark):
 
 
 def test_mixture_of_experts_formulas(tmp_path, spark):
-    cache = tiny.hub_cache(str(tmp_path), "nomic-ai/nomic-embed-text-v2-moe", {"x.onnx": tiny.gather_model({"last_hidden_state": tiny.formula_table(4) * 1e-6})})
+    cache = tiny.hub_cache(str(tmp_path), "nomic-ai/nomic-embed-text-v2-moe", {"x.onnx": tiny.gather_model({"last_hidden_state": tiny.formula_table(4) * 1e-6}), "config.json": json.dumps(EXPERTS).encode()})
     e = models.load("moe", "nomic-ai/nomic-embed-text-v2-moe", cache, file="x.onnx")
-    assert (e.pooling, e.inner_epsilon) == ("mean_clamped", True)
+    assert (e.pooling, e.inner_epsilon, e.pad_id, e.max_length) == ("mean_clamped", True, 1, 40)
     mean = (tiny.formula_table(4) * 1e-6)[[1, 2, 0, 1, 4]].mean(axis=0)
     got = one(spark, e).dense
     assert np.allclose(got, mean / np.sqrt((mean**2).sum() + 1e-12), rtol=1e-4) and not np.allclose(got, mean / (np.linalg.norm(mean) + 1e-12), rtol=1e-2)
@@ -124,6 +127,8 @@ def test_every_text_model_of_the_registry_loads(tmp_path):
         files = {m.file or "x.onnx": model}
         if m.kind == "decoder":
             files["config.json"] = json.dumps({"text_config": {"hidden_size": m.dimension}}).encode()
+        if m.kind == "moe":
+            files["config.json"] = json.dumps(EXPERTS).encode()
         if (m.kind, m.variant) in models.HEAD_FILES:
             files["sparse_linear.safetensors"] = head_weights.write_tensors({"weight": np.zeros(1024), "bias": np.zeros(1)})
         cache = tiny.hub_cache(str(tmp_path / m.kind / m.variant), m.code, files)
@@ -131,3 +136,30 @@ def test_every_text_model_of_the_registry_loads(tmp_path):
         assert e.quantization == m.quantization and e.pooling == ('mean_clamped' if m.kind == 'moe' else m.pooling or 'cls') and (m.output_key is None or e.output == m.output_key)
         want = {"sparse": "lexical" if m.variant == "BGEM3" else "splade", "decoder": "dense", "moe": "dense"}.get(m.kind, m.kind)
         assert e.head == want and bool(e.weight) == (want in ("lexical", "dual"))
+
+
+def test_settings_of_experts(tmp_path):
+    found = models.expert_config(json.dumps(EXPERTS | {"num_experts": 4}))
+    assert found["hidden_size"] == 768 and found["num_experts"] == 4 and found["moe_top_k"] == 2 and found["pad_token_id"] == 1 and not models.SPELLINGS.keys() & found.keys()
+    for bad in ({}, {k: v for k, v in EXPERTS.items() if k != "n_embd"}, EXPERTS | {"hidden_size": 768}):
+        with pytest.raises(ValueError):
+            models.expert_config(json.dumps(bad))
+    cache = tiny.hub_cache(str(tmp_path), "nomic-ai/nomic-embed-text-v2-moe", {"x.onnx": b"", "config.json": json.dumps(EXPERTS | {"n_embd": 8}).encode()})
+    with pytest.raises(ValueError, match="8 dimensions"):
+        models.load("moe", "nomic-ai/nomic-embed-text-v2-moe", cache, file="x.onnx")
+
+
+def test_load_by_the_sessions_settings(spark, tmp_path):
+    cache = tiny.hub_cache(str(tmp_path), "Xenova/all-MiniLM-L12-v2", {"onnx/model.onnx": tiny.gather_model({"last_hidden_state": tiny.formula_table(4)})})
+    with pytest.raises(ValueError, match="model_cache"):
+        models.load_from(spark, "dense", "AllMiniLML12V2")
+    stated = {"model_cache": cache, "max_length": "33", "max_batch": "5", "pin_shapes": "on"}
+    try:
+        for k, v in stated.items():
+            spark.conf.set(f"spark.textloom.{k}", v)
+        e = models.load_from(spark, "dense", "AllMiniLML12V2", batch_size=7)
+        assert (e.max_length, e.batch_size, e.pin, e.pooling) == (33, 7, True, "mean")
+        assert E.encode(spark.createDataFrame([("the and",)], "text string"), e).first().encoding.dense is not None
+    finally:
+        for k in stated:
+            spark.conf.unset(f"spark.textloom.{k}")

@@ -39,7 +39,8 @@ class Encoder:
     model: a path, or the file's bytes. external: initialisers that live beside the model, as (name, bytes) or, with a path,
     files in its directory. head: dense, lexical, splade, joint, dual or rerank. attention_budget: bytes of attention scores that
     a pass may take (one row always may). pin: passes of a length have one number of rows, so that there is one shape for each
-    length of the ladder; with fixed_shape, which pads all to max_length, there is one shape in all. reference: the vector that
+    length of the ladder; with fixed_shape, which pads all to max_length, there is one shape in all. pad_id: the tokenizer's own where
+    it is not given. reference: the vector that
     check_text must have; a worker checks it before its first pass, and a task whose check fails has no rows.
     """
 
@@ -54,6 +55,7 @@ class Encoder:
     max_length: int = DEFAULT_LENGTH
     batch_size: int = DEFAULT_BATCH
     pad_left: bool = False
+    pad_id: int | None = None
     fixed_shape: bool = False
     pin: bool = False
     attention_budget: int = BUDGET
@@ -109,7 +111,7 @@ def session(e: Encoder) -> Loaded:
     import onnxruntime as ort
 
     digest = lambda x: x if isinstance(x, str) else hashlib.blake2b(x).digest()
-    key = (digest(e.model), e.tokenizer, e.max_length, e.providers, e.threads, e.pad_left, e.fixed_shape, tuple((n, digest(b)) for n, b in e.external), e.reference, e.check_text)
+    key = (digest(e.model), e.tokenizer, e.max_length, e.providers, e.threads, e.pad_left, e.pad_id, e.fixed_shape, tuple((n, digest(b)) for n, b in e.external), e.reference, e.check_text)
     if key in _cache:
         _cache[key] = _cache.pop(key)  # the last one used is the last to go
     else:
@@ -124,7 +126,7 @@ def session(e: Encoder) -> Loaded:
         s = ort.InferenceSession(e.model, options, providers=list(check_providers(e.providers)))
         tok = load_tokenizer(e.tokenizer, e.max_length, e.pad_left)
         limit = min(e.max_length, (tok.truncation or {}).get("max_length", e.max_length))
-        pad_id = (tok.padding or {}).get("pad_id", 0)
+        pad_id = (tok.padding or {}).get("pad_id", 0) if e.pad_id is None else e.pad_id
         tok.no_truncation()
         tok.no_padding()
         _cache[key] = Loaded(s, tok, {i.name for i in s.get_inputs()}, limit, pad_id, tok.num_special_tokens_to_add(False))

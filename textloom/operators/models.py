@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.head_weights import read_head
 from ..sources.tokenizer_files import find_snapshot, load_tokenizer
 from .encode import DEFAULT_LENGTH, Encoder
+from .settings import Settings
 
 # The dense text models: variant, code, file, dimension, pooling, quantisation.
 DENSE = """
@@ -153,6 +154,34 @@ def decoder_config(text: str) -> dict:
     return found
 
 
+# Names of a mixture-of-experts configuration that have another spelling, and what is not stated.
+SPELLINGS = {"n_embd": "hidden_size", "n_head": "num_attention_heads", "n_inner": "intermediate_size", "n_layer": "num_hidden_layers", "n_positions": "max_position_embeddings"}
+UNSTATED = {"type_vocab_size": 1, "num_experts": 8, "moe_top_k": 2, "moe_every_n_layers": 2, "rotary_emb_base": 10000.0, "rotary_emb_fraction": 1.0, "layer_norm_epsilon": 1e-5, "qkv_proj_bias": True, "mlp_fc1_bias": True, "mlp_fc2_bias": True, "pad_token_id": 1}
+
+
+def expert_config(text: str) -> dict:
+    """A mixture-of-experts model's settings in one spelling, with those that the file does not state; others must be there."""
+    raw = json.loads(text)
+    found = UNSTATED | {SPELLINGS.get(k, k): v for k, v in raw.items()}
+    missing = sorted({*SPELLINGS.values(), "vocab_size"} - found.keys())
+    if missing:
+        raise ValueError(f"the configuration lacks {', '.join(missing)}")
+    if len({SPELLINGS.get(k, k) for k in raw}) < len(raw):
+        raise ValueError("the configuration states something in two spellings")
+    return found
+
+
+CONFIGS = {"decoder": decoder_config, "moe": expert_config}
+
+
+def load_from(spark: SparkSession, kind: str, name: str, **settings) -> Encoder:
+    """As `load`, with the cache, cap, batch, pinning and providers of the session's settings where none are given."""
+    own = Settings.from_session(spark)
+    if not own.model_cache:
+        raise ValueError("the session states no model_cache")
+    return load(kind, name, own.model_cache, **{"max_length": own.max_length, "batch_size": own.max_batch, "pin": own.pin_shapes, "providers": own.providers} | settings)
+
+
 def load(kind: str, name: str, cache: str, head_weights: str | None = None, ship: bool = False, **settings) -> Encoder:
     """The encoder of a registered model whose files lie in a cache of the hub's layout, with the registry's pooling, output names,
     quantisation and head.
@@ -160,7 +189,8 @@ def load(kind: str, name: str, cache: str, head_weights: str | None = None, ship
     All files are of one revision, the newest that has them all (numbers beside a model's file are taken where they are there; a
     model that lacks them does not load). A model with a lexical head takes the head's weights from the revision or
     from the file `head_weights`; without either it is an error, never another head. Decoder and mixture-of-experts models have no file
-    of their own there: state file=, an ONNX export's; a decoder's own configuration must have the registered dimension and bounds the cap.
+    of their own there: state file=, an ONNX export's; their own configuration must have the registered dimension and bounds the cap,
+    and a mixture-of-experts model's states the id of padding.
     ship: the encoder holds the files themselves, for executors that cannot read the cache.
     """
     info = get_model(kind, name)
@@ -171,7 +201,7 @@ def load(kind: str, name: str, cache: str, head_weights: str | None = None, ship
     if file is None:
         raise ValueError(f"{info.code} has no registered file; state file=")
     head_file = HEAD_FILES.get(key) if head_weights is None else None
-    wanted = (file, "tokenizer.json", *((head_file,) if head_file else ()), *(("config.json",) if kind == "decoder" else ()))
+    wanted = (file, "tokenizer.json", *((head_file,) if head_file else ()), *(("config.json",) if kind in CONFIGS else ()))
     found = find_snapshot(cache, info.code, wanted)
     if found is None:
         raise FileNotFoundError(f"{info.code}: no revision under {cache} has all of {', '.join(wanted)}")
@@ -183,12 +213,14 @@ def load(kind: str, name: str, cache: str, head_weights: str | None = None, ship
         chosen["weight"], chosen["bias"] = read_head(head_weights or str(where / head_file))
         if info.dimension is not None and "weight" not in settings and len(chosen["weight"]) != settings.pop("dimension", info.dimension):
             raise ValueError(f"{info.code}: the head has {len(chosen['weight'])} weights for {info.dimension} dimensions")
-    if kind == "decoder":
-        config = decoder_config((where / "config.json").read_text("utf-8"))
+    if kind in CONFIGS:
+        config = CONFIGS[kind]((where / "config.json").read_text("utf-8"))
         if config["hidden_size"] != settings.pop("dimension", info.dimension):
             raise ValueError(f"{info.code}: {config['hidden_size']} dimensions, and not the {info.dimension} that are registered")
         if "max_position_embeddings" in config:
             chosen["max_length"] = min(settings.pop("max_length", DEFAULT_LENGTH), config["max_position_embeddings"])
+        if kind == "moe":
+            chosen["pad_id"] = config["pad_token_id"]
     settings.pop("dimension", None)
     made = Encoder(**{"model": str(where / file), "tokenizer": str(where), **chosen, **settings})
     if not ship:

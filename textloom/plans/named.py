@@ -62,8 +62,9 @@ WITH p AS (SELECT doc_id, place, avg({_X.format(place="place")}) AS x FROM {_IDS
 v AS (SELECT doc_id, list(x ORDER BY place) AS v FROM p GROUP BY doc_id)
 SELECT doc_id, {_ENDS.format(n=_INNER)} FROM v""")
 def encode_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixture-of-experts model's pooling and norm."""
-    e = _load("moe", "nomic-ai/nomic-embed-text-v2-moe", {"export.onnx": tiny.gather_model({"last_hidden_state": tiny.formula_table(8)})}, file="export.onnx", max_length=encode.WHOLE)
+    """A mixture-of-experts model's pooling and norm, its settings in another spelling."""
+    config = json.dumps({"n_embd": 768, "n_head": 12, "n_inner": 3072, "n_layer": 12, "n_positions": encode.WHOLE, "vocab_size": 22}).encode()
+    e = _load("moe", "nomic-ai/nomic-embed-text-v2-moe", {"export.onnx": tiny.gather_model({"last_hidden_state": tiny.formula_table(8)}), "config.json": config}, file="export.onnx", max_length=encode.WHOLE)
     return encode.encode(_documents(spark, sf_dir), e).select("doc_id", *_dense(F.col("encoding.dense")))
 
 
