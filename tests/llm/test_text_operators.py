@@ -30,6 +30,25 @@ def test_decontamination_by_brute_force(spark):
     assert got == decontaminate.brute_force([(d["doc_id"], d["text"]) for d in docs], [(i["item_id"], i["text"]) for i in items])
 
 
+def test_decontamination_by_hashes_and_a_join(spark):
+    """A benchmark that counts as large: hashes in many slices, and in one."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = decontaminate.brute_force([(d["doc_id"], d["text"]) for d in rows_of("documents")], [(i["item_id"], i["text"]) for i in rows_of("benchmark")])
+    for hash_bytes in (1 << 12, 1 << 26):
+        found = decontaminate.find_leaks(docs, bench, slice_bytes=1, hash_bytes=hash_bytes)
+        assert {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(found).collect()} == want
+    clash = docs.select("doc_id", "text", F.lit(1).alias("x"), F.lit("s").alias("size"), F.lit(2).alias("h"), F.lit(3).alias("words"))
+    small, large = (sorted(map(tuple, decontaminate.decontaminate(clash, bench, mode="cut", slice_bytes=b).collect())) for b in (1 << 22, 1))
+    assert small == large and len(small) == len(want)
+
+
+def test_window_hashes_stay_within_texts():
+    texts = [b"a b c", b"", b"  ", b"B c", b"x", b"a b"]
+    owner, place, h = decontaminate.hashed_windows(texts, 2)
+    assert list(zip(owner.tolist(), place.tolist())) == [(0, 0), (0, 1), (3, 0), (5, 0)] and h[1] == h[2] and h[0] == h[3] != h[1]
+    assert [len(x) for x in decontaminate.hashed_windows([], 3)] == [0, 0, 0] and [len(x) for x in decontaminate.hashed_windows([b""], 3)] == [0, 0, 0]
+
+
 def test_decontamination_of_odd_rows(spark):
     words = "one two three four five six seven eight nine ten eleven twelve".split()
     docs = [*ODD, (20, "X one TWO three, four; five six-seven eight nine ten y"), (21, "b a b"), (22, " ".join(words) + " " + " ".join(words)), (23, "one two three four five six seven eight nine")]

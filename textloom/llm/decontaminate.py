@@ -5,8 +5,12 @@ item of n words or more gives its runs of n consecutive words as windows; a shor
 
 The windows of the benchmark, as a hash set over numbered words, go to every executor in one broadcast; each task scans
 the token windows of its documents against it in numpy and verifies each hash hit word by word. Documents are never
-shuffled. The broadcast is bounded: a benchmark of more than `slice_bytes` of text is cut into slices by item, and the
-slices are applied one after the other, each with a broadcast of its own, to a table of hits so far.
+shuffled.
+
+A benchmark of more than `slice_bytes` of text (measured first) does not go whole: its windows are a table, and only their 64-bit
+hashes are broadcast, in slices of at most `hash_bytes`. Each slice is one scan of the documents, which gives the windows whose hash is
+in it as rows and writes no text; these are verified word by word by a join with the table of windows, and joined back by a
+128-bit hash of the text, as equal texts have equal hits. So a benchmark of a hundred megabytes takes a few scans.
 
 Defined cases: null text has no words and no hits; a null item text has no windows; an item without id marks words but is
 not counted among the items; repeated items count once, repeated documents are each judged; an empty benchmark marks
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_list, prepare, release, sliced, written
+from .ngram_join import mix, word_hashes
 
 #: A-Z to a-z; every other ASCII character outside 0-9a-z to a space; bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -91,26 +97,116 @@ def hash_windows(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_bytes: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_bytes: int = 4 << 20, hash_bytes: int = 64 << 20) -> DataFrame:
     """`keep` columns of every document, then n_words, n_hit, hit_words (indices of hit words), item_ids (sorted as strings)."""
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    slices = 1 + int((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // slice_bytes)
-    inside = text in keep  # else the text goes along until the last slice
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > slice_bytes:
+        return _find_by_hash(docs, items, n, text, keep, hash_bytes)
+    inside = text in keep
     cur = docs.select(*keep) if inside else docs.select(*keep, F.col(text).alias("_text"))
-    at = keep.index(text) if inside else len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cur.select(*keep).schema)
+    sent = spark.sparkContext.broadcast(Windows([(r.i, r.t.encode()) for r in items.toLocalIterator()], n))
+    return cur.mapInArrow(_scanner(sent, keep.index(text) if inside else len(keep), len(keep)), fields + ", n_words bigint, n_hit bigint, hit_words array<int>, item_ids array<string>")
+
+
+def hashed_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of `size` words: the text, the place of the first word in it, and a hash of the words."""
+    words, counts = word_hashes([t.translate(FOLD) for t in texts])
+    starts = np.cumsum(counts) - counts
+    many = np.maximum(counts - size + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), many)
+    place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    h = np.full(len(owner), size, np.uint64)
+    for k in range(size):
+        h = mix(h * _MUL + words[starts[owner] + place + k]) if len(owner) else h
+    return owner, place, h
+
+
+def _item_windows(n: int):
+    """size, h, words, item: a row for each distinct window of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, 1, 1 << 20):
+                rows: set[tuple] = set()
+                texts, words = bytes_list(batch.column(1)), [split_words(t) for t in bytes_list(batch.column(1))]
+                ids = batch.column(0).to_pylist()
+                for size in sorted({min(n, len(w)) for w in words} - {0}):
+                    own = [k for k, w in enumerate(words) if min(n, len(w)) == size]
+                    for k, place, h in zip(*(x.tolist() for x in hashed_windows([texts[k] for k in own], size))):
+                        rows.add((size, h, b" ".join(words[own[k]][place : place + size]), ids[own[k]]))
+                if rows:
+                    size, h, found, ident = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(ident, pa.int64())], ["size", "h", "words", "item"])
+
+    return run
+
+
+def _words_of(known: dict[int, list[bytes]], texts: list[bytes], k: int) -> list[bytes]:
+    if k not in known:
+        known[k] = split_words(texts[k])
+    return known[k]
+
+
+def _candidates(sent):
+    """x, y, size, pos, h, words of the windows of texts (x, y, text) whose hash is in the slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, 2):
+                texts = bytes_list(batch.column(2))
+                words: dict[int, list[bytes]] = {}
+                for size, known in sent.value.items():
+                    owner, place, h = hashed_windows(texts, size)
+                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                    if len(at):
+                        own = owner[at]
+                        found = [b" ".join(_words_of(words, texts, k)[p : p + size]) for k, p in zip(own.tolist(), place[at].tolist())]
+                        of = pa.array(own)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.full(len(at), size, np.int32)), pa.array(place[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(found, pa.binary()).cast(pa.string())], ["x", "y", "size", "pos", "h", "words"])
+        release()
+
+    return run
+
+
+def _find_by_hash(docs: DataFrame, items: DataFrame, n: int, text: str, keep: tuple[str, ...], hash_bytes: int) -> DataFrame:
+    """As find_leaks, for a benchmark of any size."""
+    spark = docs.sparkSession
+    windows = written(items.select("i", "t").mapInArrow(_item_windows(n), "size int, h bigint, words string, item bigint").distinct(), "windows")
+    hashes = written(windows.select("size", "h").distinct(), "window-hashes")
+    slices = 1 + 8 * hashes.count() // hash_bytes
+    key = [F.xxhash64(F.col(text)).alias("x"), F.xxhash64(F.lit(1), F.col(text)).alias("y")]
+    texts = docs.filter(F.col(text).isNotNull()).select(*key, F.col(text).alias("t"))
+    found = None
     for k in range(slices):
-        part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(slices)) == k)
-        sent = spark.sparkContext.broadcast(Windows([(r.i, r.t.encode()) for r in part.toLocalIterator()], n))
-        cur = cur.mapInArrow(_scanner(sent, at, len(keep) + (not inside and k < slices - 1), first=k == 0), fields + ("" if inside or k == slices - 1 else ", _text string") + ", n_words bigint, n_hit bigint, hit_words array<int>, item_ids array<string>")
-        if k < slices - 1:
-            cur = written(cur, "leaks")
-    return cur
+        table = hashes.filter(F.pmod("h", F.lit(slices)) == k).toArrow()
+        size, h = table.column("size").to_numpy(), table.column("h").to_numpy().view(np.uint64)
+        sent = spark.sparkContext.broadcast({int(c): np.sort(h[size == c]) for c in np.unique(size)})
+        part = texts.mapInArrow(_candidates(sent), "x bigint, y bigint, size int, pos int, h bigint, words string")
+        found = part if found is None else found.union(part)
+    one = ["size", "h", "words"]
+    sure = written(found.distinct().join(windows.select(*one).distinct(), one, "left_semi"), "hits")
+    spans = sure.groupBy("x", "y").agg(F.collect_set(F.struct("pos", "size")).alias("s"))
+    hits = spans.select("x", "y", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda r: F.sequence(r["pos"], r["pos"] + r["size"] - 1))))).alias("hit_words"))
+    named = sure.select("x", "y", *one).distinct().join(windows.filter("item is not null"), one).select("x", "y", F.col("item").cast("string").alias("item")).distinct()
+    named = named.groupBy("x", "y").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    told = hits.join(named, ["x", "y"], "left")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(split_words(t)) for t in bytes_list(batch.columns[-1])], pa.int64())], [*batch.schema.names[:-1], "n"])
+
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)], *key, F.col(text).alias("t"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    out = rows.mapInArrow(count, f"{fields}, n bigint").join(told, ["x", "y"], "left").withColumn("hit_words", F.coalesce("hit_words", none("int")))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, names)], F.col("n").alias("n_words"), F.size("hit_words").cast("bigint").alias("n_hit"), "hit_words", F.coalesce("item_ids", none("string")).alias("item_ids"))
 
 
-def _scanner(sent, at: int, kept: int, first: bool):
+def _scanner(sent, at: int, kept: int):
     """Scans the text in column `at`; the first `kept` columns stay."""
 
     def run(batches):
@@ -119,12 +215,7 @@ def _scanner(sent, at: int, kept: int, first: bool):
             for batch in sliced(whole, at):
                 words = [split_words(t) for t in bytes_list(batch.column(at))]
                 hits, found = windows.scan(words)
-                items = [{str(i) for i in f} for f in found]
-                if not first:
-                    hits = [np.union1d(a, np.array(b, dtype=np.int64)) for a, b in zip(hits, batch.column(batch.num_columns - 2).to_pylist())]
-                    items = [a | set(b) for a, b in zip(items, batch.column(batch.num_columns - 1).to_pylist())]
-                cols = batch.columns[:kept]
-                cols += [pa.array([len(w) for w in words], pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array([h.astype(np.int32) for h in hits], pa.list_(pa.int32())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+                cols = [*batch.columns[:kept], pa.array([len(w) for w in words], pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array([h.astype(np.int32) for h in hits], pa.list_(pa.int32())), pa.array([sorted(map(str, f)) for f in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:kept], "n_words", "n_hit", "hit_words", "item_ids"])
         release()
 
