@@ -46,7 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids."""
-    return bpe.encode(docs, keep=("doc_id", "lang", "source"), ids=True, block_bytes=8 << 20)
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"), ids=True, block_bytes=6 << 20)
 
 
 STAGES = [
