@@ -455,27 +455,29 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str, texts: str = "texts") -> DataFrame:
-    """Conversations as requests, their turns as texts; a few are there twice, and a few once more without texts."""
+    """Conversations as requests, their turns as texts, 64 turns a request, so that no group grows with a conversation; a few are
+    there twice, and a few once more without texts."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    once = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("request_id")).agg(turns["text"].alias(texts))
+    part = F.floor(F.col("turn") / 64).alias("part")
+    once = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("request_id"), part).agg(turns["text"].alias(texts))
     again = F.when(F.col("request_id") % 7 == 0, F.array(F.col(texts), F.col(texts))).when(F.col("request_id") % 7 == 1, F.array(F.col(texts), F.array().cast("array<string>"))).otherwise(F.array(F.col(texts)))
     return once.select("request_id", F.explode(again).alias(texts))
 
 
 _REQUESTS_SQL = """(SELECT conv_id, turn, text, copy FROM conversations, range(2) AS r(copy) WHERE copy = 0 OR conv_id % 7 = 0)"""
-_EMPTY_SQL = "(SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 1)"
+_EMPTY_SQL = "(SELECT DISTINCT conv_id, turn // 64 AS part FROM conversations WHERE conv_id % 7 = 1)"
 _JOINED = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
 @_query(f"""
 WITH w AS (SELECT conv_id, turn, copy, {_ids_sql()} AS w FROM {_REQUESTS_SQL}),
 p AS (SELECT conv_id, turn, copy, coalesce(list_sum(list_transform(list_filter(w, lambda x: x > 0), lambda x: ((7 * x) % 11 - 5) / 64.0::DOUBLE)), 0.0) AS s FROM w),
-q AS (SELECT conv_id, copy, turn, s, first_value(s) OVER (PARTITION BY conv_id, copy ORDER BY turn) AS q FROM p)
-SELECT conv_id AS request_id, string_agg(round(1 / (1 + exp(-(q + s))), 4)::VARCHAR, ',' ORDER BY turn) AS scores, count(*)::INT AS n FROM q GROUP BY conv_id, copy
+q AS (SELECT conv_id, copy, turn, s, first_value(s) OVER (PARTITION BY conv_id, copy, turn // 64 ORDER BY turn) AS q FROM p)
+SELECT conv_id AS request_id, string_agg(round(1 / (1 + exp(-(q + s))), 4)::VARCHAR, ',' ORDER BY turn) AS scores, count(*)::INT AS n FROM q GROUP BY conv_id, copy, turn // 64
 UNION ALL SELECT conv_id, '', 0 FROM {_EMPTY_SQL}""")
 def rerank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's first turn as the query, all its turns as documents. The hand-made scorer adds weights of both texts' words."""
-    asked = _requests(spark, sf_dir, "documents").join(_requests(spark, sf_dir).groupBy("request_id").agg(F.max(F.get("texts", F.lit(0))).alias("query")), "request_id")
+    asked = _requests(spark, sf_dir, "documents").withColumn("query", F.get("documents", F.lit(0)))
     out = serve.rerank_requests(asked, tiny.scoring_encoder())
     return out.select("request_id", _JOINED(F.transform("scores", lambda x: F.round(x, 4))).alias("scores"), F.size("scores").alias("n"))
 
@@ -484,7 +486,7 @@ def rerank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT conv_id, copy, turn, {_ids_sql()} AS w, CASE WHEN conv_id % 3 = 0 THEN 16 WHEN conv_id % 3 = 1 THEN 256 ELSE 40 END AS cap FROM {_REQUESTS_SQL}),
 m AS (SELECT conv_id, copy, turn, len(w) AS n, cap, list_sum(list_transform(w[1:cap], lambda x: (7 * x) % 11 - 5)) AS x FROM t)
 SELECT conv_id AS request_id, max(cap)::INT AS max_length, string_agg(n::VARCHAR, ',' ORDER BY turn) AS token_count, string_agg(CASE WHEN n > cap THEN 'true' ELSE 'false' END, ',' ORDER BY turn) AS truncated, true AS token_accounting, 4 AS dimension, coalesce(sum(x), 0)::BIGINT AS quarters, true AS within
-FROM m GROUP BY conv_id, copy
+FROM m GROUP BY conv_id, copy, turn // 64
 UNION ALL SELECT conv_id, 0, '', '', false, NULL, 0, true FROM {_EMPTY_SQL}""")
 def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with limits of their own: 0 for the default, one below the least, one between; means times their counts are exact
@@ -498,8 +500,8 @@ def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH r AS (SELECT conv_id, copy, turn, count(*) OVER (PARTITION BY conv_id, copy) AS n FROM {_REQUESTS_SQL})
-SELECT conv_id AS request_id, max(n)::INT AS n, string_agg(n::VARCHAR, ',') AS pass_rows FROM r GROUP BY conv_id, copy
+WITH r AS (SELECT conv_id, copy, turn, count(*) OVER (PARTITION BY conv_id, copy, turn // 64) AS n FROM {_REQUESTS_SQL})
+SELECT conv_id AS request_id, max(n)::INT AS n, string_agg(n::VARCHAR, ',') AS pass_rows FROM r GROUP BY conv_id, copy, turn // 64
 UNION ALL SELECT conv_id, 0, '' FROM {_EMPTY_SQL}""")
 def dynamic_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dynamically quantised model has one pass a request, of all its texts, whatever the request asks."""
@@ -511,7 +513,7 @@ def dynamic_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
 WITH c AS (SELECT conv_id, copy, turn, CASE conv_id % 4 WHEN 0 THEN 'words' WHEN 1 THEN 'spaces' WHEN 2 THEN 'absent' ELSE 'words' END AS tokenizer,
   CASE WHEN conv_id % 4 = 1 THEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) ELSE {WORDS_SQL} END AS n FROM {_REQUESTS_SQL})
-SELECT conv_id AS request_id, max(tokenizer) AS tokenizer, CASE WHEN max(tokenizer) <> 'absent' THEN string_agg(n::VARCHAR, ',' ORDER BY turn) END AS token_count, max(tokenizer) <> 'absent' AS available FROM c GROUP BY conv_id, copy
+SELECT conv_id AS request_id, max(tokenizer) AS tokenizer, CASE WHEN max(tokenizer) <> 'absent' THEN string_agg(n::VARCHAR, ',' ORDER BY turn) END AS token_count, max(tokenizer) <> 'absent' AS available FROM c GROUP BY conv_id, copy, turn // 64
 UNION ALL SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'words' WHEN 1 THEN 'spaces' WHEN 2 THEN 'absent' ELSE 'words' END, CASE WHEN conv_id % 4 <> 2 THEN '' END, conv_id % 4 <> 2 FROM {_EMPTY_SQL}""")
 def tokenize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that name a tokenizer, one that is registered but absent, or none."""

@@ -107,7 +107,7 @@ def raw_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH w AS (SELECT conv_id, copy, turn, {_ids_sql()} AS w FROM {_REQUESTS_SQL}),
 t AS (SELECT conv_id, copy, turn, w[1] AS id, len(w) - 1 AS kept FROM w),
 s AS (SELECT *, {_X.format(place=0)} AS x FROM t)
-SELECT conv_id AS request_id, count(*)::INT AS n, string_agg((4 * x)::INT::VARCHAR, ',' ORDER BY turn) AS first, string_agg(kept::VARCHAR, ',' ORDER BY turn) AS n_vectors, true AS one_pass FROM s GROUP BY conv_id, copy
+SELECT conv_id AS request_id, count(*)::INT AS n, string_agg((4 * x)::INT::VARCHAR, ',' ORDER BY turn) AS first, string_agg(kept::VARCHAR, ',' ORDER BY turn) AS n_vectors, true AS one_pass FROM s GROUP BY conv_id, copy, turn // 64
 UNION ALL SELECT conv_id, 0, '', '', true FROM {_EMPTY_SQL}""")
 def joint_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A joint model, which is dynamically quantised: one pass a request gives a vector a text, and a vector a token but the first."""
@@ -144,7 +144,7 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH c AS (SELECT conv_id, copy, turn, {WORDS_SQL} AS n FROM {_REQUESTS_SQL})
-SELECT conv_id::VARCHAR AS request_id, string_agg(n::VARCHAR, ',' ORDER BY turn) AS token_count, true AS token_accounting, 256 AS max_length FROM c GROUP BY conv_id, copy
+SELECT conv_id::VARCHAR AS request_id, string_agg(n::VARCHAR, ',' ORDER BY turn) AS token_count, true AS token_accounting, 256 AS max_length FROM c GROUP BY conv_id, copy, turn // 64
 UNION ALL SELECT conv_id::VARCHAR, '', false, 0 FROM {_EMPTY_SQL}""")
 def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests from JSON lines, and their responses through JSON lines."""
