@@ -405,6 +405,17 @@ def test_jaccard_of_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 9]
 
 
+def test_which_of_repeated_rows_stays_is_fixed(spark):
+    rows = [(1, "a b c d e f g", f"row {i}") for i in range(12)] + [(2, "a b c d e f g", "copy"), (3, "other words are in this one", "x")]
+    kept = set()
+    for seed, parts in ((0, 1), (1, 5), (2, 3)):
+        order = random.Random(seed).sample(rows, len(rows))
+        got = ngram_join.keep_one(spark.createDataFrame(order, "doc_id long, text string, _of string").repartition(parts)).collect()
+        assert sorted(r.doc_id for r in got) == [1, 3]
+        kept.add(next(r._of for r in got if r.doc_id == 1))
+    assert len(kept) == 1
+
+
 def test_word_hashes():
     texts = [b"Ab  cd\tef", b"", b"abcdefgh abcdefghi abcdefgh\n", "é É".encode()]
     hashes, counts = word_hashes(texts)

@@ -456,7 +456,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents without those whose component has a smaller id: one of each group stays, and all without a set. Of rows
-    that repeat the smallest id of a group, one stays."""
+    that repeat the smallest id of a group, one stays: the one whose columns have the smallest hash, which is the same at every run."""
     found = written(join_components(docs, k, num, den, text, doc_id).filter("doc_id is not null and n_shingles > 0"), "components")
     gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "copies")
     left = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, doc_id, "left_anti").select(*docs.columns)
@@ -464,4 +464,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: s
     drop(docs.sparkSession, found)
     if again.isEmpty():
         return left
-    return left.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(left.join(again, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    some = left.join(again, doc_id, "left_semi").select(*columns)
+    first = some.groupBy(F.col(f"`{doc_id}`").alias("_of")).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashable)).alias("_row")).select("_row.*")
+    return left.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(first)
