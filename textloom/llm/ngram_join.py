@@ -333,14 +333,14 @@ def _links(a, b, both, num: int, den: int):
     return den * both >= num * (a + b - both)
 
 
-def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 1024, few: int = 200) -> DataFrame:
+def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = 1024, few: int = 200, block_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
     if not replayable(base):
         base = written(base, "jaccard")
-    rows = written(sketches(base, k, num, den, max(32, 2 * base.rdd.getNumPartitions())), "sketches")
+    rows = written(sketches(base, k, num, den, max(32, 2 * base.rdd.getNumPartitions()), block_bytes), "sketches")
     across = rows.filter("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meet, "tile bigint, a bigint, b bigint")
     shared = written(rows.filter("tile is not null").select("tile", "a", "b").union(across), "shared")
     found = written(rows.filter("n is not null").select("id", "n", "s", "bits"), "sets")
@@ -454,10 +454,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return join_components(docs)
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 12 << 20) -> DataFrame:
     """The documents without those whose component has a smaller id: one of each group stays, and all without a set. Of rows
     that repeat the smallest id of a group, one stays: the one whose columns have the smallest hash, which is the same at every run."""
-    found = written(join_components(docs, k, num, den, text, doc_id).filter("doc_id is not null and n_shingles > 0"), "components")
+    found = written(join_components(docs, k, num, den, text, doc_id, block_bytes=block_bytes).filter("doc_id is not null and n_shingles > 0"), "components")
     gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "copies")
     left = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, doc_id, "left_anti").select(*docs.columns)
     again = written(found.filter("component_id = doc_id").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "repeated")

@@ -328,12 +328,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return find_repeats(docs)
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 12 << 20) -> DataFrame:
     """The documents, with their own columns, without repeated bytes; a character that is cut through goes whole."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
     others = tuple(n for i, n in enumerate(names) if i != at)
-    found = find_repeats(docs.toDF(*names), width, names[at], names[docs.columns.index(doc_id)], others, full=True)
+    found = find_repeats(docs.toDF(*names), width, names[at], names[docs.columns.index(doc_id)], others, block_bytes=block_bytes, full=True)
     return found.select(*[F.col("kept" if i == at else n).alias(c) for i, (n, c) in enumerate(zip(names, docs.columns))])
 
 
