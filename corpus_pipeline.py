@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from textloom.llm import bpe, common, decontaminate, ngram_join, quality, suffix_dedup
 from textloom.llm.langid import held_out
 
+#: Bytes of text that a task of a stage works on at once: less than the operators' own, as the executors' memory holds on to what
+#: earlier stages used.
+BLOCK = 6 << 20
 #: The stages end in ids, which SQL cannot make; tests hold the pipeline against its parts by brute force.
 ORACLE_SQL = None
 
@@ -30,12 +33,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: shingles of five words, similarity from 0.8 on."""
-    return ngram_join.keep_one(docs, k=5, num=80, den=100)
+    return ngram_join.keep_one(docs, k=5, num=80, den=100, block_bytes=BLOCK)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 100 bytes that also start earlier go; n_chars follows the text."""
-    left = suffix_dedup.remove_repeats(docs)
+    left = suffix_dedup.remove_repeats(docs, block_bytes=BLOCK)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -46,7 +49,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids."""
-    return bpe.encode(docs, keep=("doc_id", "lang", "source"), ids=True, block_bytes=6 << 20)
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"), ids=True, block_bytes=BLOCK)
 
 
 STAGES = [
