@@ -55,6 +55,18 @@ def test_components(spark, edges):
     assert got == components({x for e in real for x in e}, real)
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """One task unites what it can hold; edges of many tasks go through rounds, with the same result."""
+    made, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: made.append(name) or write(df, name))
+    edges = [(i, i + 1) for i in range(0, 400)] + [(1000, i) for i in range(1001, 1300)]
+    df, want = frame(spark, edges, "a long, b long").repartition(6), components({x for e in edges for x in e}, edges)
+    assert {r.node: r.root for r in common.connected_components(df).collect()} == want and len(made) == 2
+    assert {r.node: r.root for r in common.connected_components(df, task_edges=50).collect()} == want and len(made) > 4
+    words = df.select(F.lpad(F.col("a").cast("string"), 5, "0").alias("a"), F.lpad(F.col("b").cast("string"), 5, "0").alias("b"))
+    assert {int(r.node): int(r.root) for r in common.connected_components(words).collect()} == want
+
+
 # WARC
 
 
