@@ -408,6 +408,37 @@ def test_jaccard_by_brute_force(spark, seed, k, num, den):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in again.collect()} == got
 
 
+def test_jaccard_compares_a_shared_passage_once(spark, monkeypatch):
+    """Texts with a passage in common that do not link share tiles; a tile whose pairs have been compared does not come back."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2)) + " " + passage for _ in range(60)]  # 3 shingles of 30 are the text's own: none links
+    near = [f"n{i}" for i in range(60)]
+    for i in range(120):  # near copies, of which some link
+        own = list(near)
+        for j in range(1 + i % 3):
+            own[rng.randrange(58)] = f"x{i}{j}"
+        texts.append(" ".join(own))
+    docs = list(enumerate(texts))
+    opened, write = [], ngram_join.written
+
+    def counted(df, name):
+        made = write(df, name)
+        if name == "open":
+            opened.append({r.tile for r in made.select("tile").distinct().collect()})
+        return made
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    sets = {i: {" ".join(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in docs}
+    want = components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])])
+    for options in ({"few": 0}, {"few": 0, "block": 16}, {}):
+        opened.clear()
+        got = {r.doc_id: r.component_id for r in ngram_join.join_components(frame(spark, docs), **options).collect()}
+        assert got == want
+        if options == {"few": 0}:
+            assert opened[0] and all(later <= first for first, later in zip(opened, opened[1:])) and (len(opened) < 2 or len(opened[1]) < len(opened[0]))
+
+
 def test_jaccard_of_odd_rows(spark):
     got = ngram_join.join_components(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id is None} == {None} and {r.component_id for r in got if r.doc_id == 5} == {5}

@@ -18,9 +18,10 @@ A document's set is that of its distinct shingles of k words, each as a 64-bit h
    pairs. For pairs that the bound leaves, and whose sets are not equal, the texts are fetched and the sorted sets intersected.
 5. Linked classes form components. Where a tile's classes lie in more than one, all pairs across components that the
    bitmaps leave are compared, in blocks of `block` classes; most tiles have one component by then, and tiles of the same
-   classes are compared once. While such tiles are large (more than `few` classes on average), each class is first
-   compared with the likeliest one of another component only, round after round as long as that links any, so that few
-   pairs are left.
+   classes are compared once. While such tiles are large (more than `few` classes on average), blocks in which the bitmaps leave
+   more than PAIRS pairs a class are put off: each class there is first compared with the likeliest one of another component only.
+   Tiles that had such blocks, and no others, come back round after round as long as that links any, so that few pairs are left; then
+   all of theirs are compared.
 
 A block of documents links the members of a tile that it has itself, and sends the smallest one only, so a tile that many
 documents share is one row a block where blocks meet.
@@ -50,6 +51,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 DEALS = 12
 PRECISION = 16
 TILE_BITS = 48  # tiles that agree by chance cost a comparison, no more
+PAIRS = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -350,7 +352,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     edges = written(verify(pairs, signs, base, k, num, den), "links")
     roots, every = connected_components(edges), False
     members = shared.select("tile", "b").repartition("tile").distinct()  # one exchange serves the window below, too
-    of_tile = Window.partitionBy("tile")
+    of_tile, spent = Window.partitionBy("tile"), [shared, pairs]
     while True:
         # tiles that still hold classes of more than one component; of those with the same classes, one
         known = roots.withColumnRenamed("node", "b")
@@ -364,17 +366,22 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         if not open_rows:
             break
         every = every or sure <= few * open_rows  # an open tile's size, on average over its rows
-        more = written(_across(rest.join(signs.select(F.col("id").alias("b"), F.col("n").alias("size"), "bits"), "b"), open_rows, num, den, block, every).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-        drop(spark, rest)
+        left = written(_across(rest.join(signs.select(F.col("id").alias("b"), F.col("n").alias("size"), "bits"), "b"), open_rows, num, den, block, every), "left")
+        more = written(left.filter("tile is null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        # a tile whose pairs have all been compared is done; one that had more than were taken comes back
+        again = left.filter("tile is not null").select("tile").distinct()
+        members = written(rest.select("tile", "b").join(again, "tile", "left_semi"), "members")
+        drop(spark, rest, left)
         new = written(verify(more, signs, base, k, num, den), "links")
         linked = not new.isEmpty()
         if linked:
             edges = written(edges.union(new), "links")
             roots = connected_components(edges)
-        if every:  # all pairs across components have been compared
+        if members.isEmpty():  # all pairs across components have been compared
             break
         every, pairs = not linked, written(pairs.union(more), "pairs")
-    drop(spark, shared, pairs)
+        spent += [members, pairs]
+    drop(spark, *spent)
     classes = found.filter("s is not null").groupBy("s", "n").agg(F.min("id").alias("lo"), F.min(F.when(F.col("bits").isNotNull(), F.col("id"))).alias("node"))
     classes = classes.join(roots, "node", "left").select("s", "n", "lo", F.coalesce("root", "node").alias("root"))
     labels = classes.groupBy("root").agg(F.min("lo").alias("component_id"))
@@ -384,7 +391,8 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
 def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every: bool) -> DataFrame:
     """Pairs (a < b) of one tile but of different components that the bitmaps leave, from `count` rows (tile, b, root, m, size,
-    bits): every one, or for each class the likeliest only.
+    bits): every one; or, unless `every`, for each class the likeliest only where a block has more than PAIRS pairs a class. The tiles of
+    such blocks are rows, too.
 
     A tile of more than `block` classes is cut into blocks by hash, and each pair of blocks is apart; so many of these and of
     small tiles as have some thousands of rows together are one group, whatever the tiles' sizes.
@@ -403,7 +411,7 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
         # rows of a part that is one block, or the first of two, are compared with those after them, in its second block if there is one
         at = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))) if len(tile) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(tile))
-        out, held = [np.zeros((2, 0), np.int64)], 0
+        out, held, unfinished = [np.zeros((2, 0), np.int64)], 0, set()
         # the likeliest of a class in all of the group's tiles, by the place of its row in `of_row`
         classes, of_row = np.unique(ids, return_inverse=True)
         best, likeliest = np.full(len(classes), -1), np.zeros(len(classes), np.int64)
@@ -416,6 +424,7 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
                 half = int(np.searchsorted(own[s:e], q[s]))
                 left, first = np.arange(half), np.full(half, half)
             step = max(1, (1 << 21) // ((e - s) * words))
+            taken, room = [], None if every else PAIRS * (e - s)
             for low in range(0, len(left), step):
                 i, f = left[low : low + step], first[low : low + step]
                 n = e - s - f
@@ -427,26 +436,33 @@ def _across(rows: DataFrame, count: int, num: int, den: int, block: int, every:
                 spare = den * both - num * (a + b - both)
                 live = np.flatnonzero(spare >= 0)
                 i, j, spare = i[live], j[live], spare[live]
-                if every:
-                    out.append(np.stack((np.minimum(ids[s + i], ids[s + j]), np.maximum(ids[s + i], ids[s + j]))))
+                if room is None or room >= 0:
+                    taken.append(np.stack((np.minimum(ids[s + i], ids[s + j]), np.maximum(ids[s + i], ids[s + j]))))
                     held += len(i)
-                    if held > 1 << 20:  # a pair may share many tiles
-                        out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-                        held = 0
-                    continue
+                    if every:
+                        if held > 1 << 20:  # a pair may share many tiles
+                            out, taken = [np.unique(np.concatenate(out + taken, axis=1), axis=1)], []
+                            held = 0
+                        continue
+                    room -= len(i)
                 for x, y in ((i, j), (j, i)):
                     by = np.argsort(spare, kind="stable")
                     by = by[spare[by] > best[of_row[s + x[by]]]]
                     likeliest[of_row[s + x[by]]] = ids[s + y[by]]  # the last one assigned is the likeliest
                     best[of_row[s + x[by]]] = spare[by]
-        if not every:
+            if room is None or room >= 0:
+                out += taken
+            else:
+                unfinished.add(int(tile[s]))
+        if unfinished:
             x = np.flatnonzero(best >= 0)
             out.append(np.stack((np.minimum(classes[x], likeliest[x]), np.maximum(classes[x], likeliest[x]))))
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         release()
-        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+        found, missing = pa.table([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "tile"]), pa.nulls(len(unfinished), pa.int64())
+        return pa.concat_tables([found, pa.table([missing, missing, pa.array(sorted(unfinished), pa.int64())], ["a", "b", "tile"])])
 
-    return cut.groupBy("k").applyInArrow(run, "a bigint, b bigint")
+    return cut.groupBy("k").applyInArrow(run, "a bigint, b bigint, tile bigint")
 
 
 def digest(docs: DataFrame) -> DataFrame:
