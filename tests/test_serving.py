@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -192,3 +193,39 @@ def test_requests_are_not_shuffled(spark):
     df = spark.createDataFrame([("a", ["x"], "doc", 0, 0)], REQUESTS)
     plan = serve.embed_requests(df, tiny.formula_encoder({"x": 4}))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython [run") <= 1
+
+
+@pytest.mark.parametrize("kind", ["texts", "requests", "spans"])
+def test_a_worker_holds_part_of_a_batch(spark, kind, monkeypatch):
+    """However many rows Arrow sends at once, only so many are tokens and vectors at a time; a long row stands alone."""
+    from textloom.operators import batching, encode, tokens
+    from textloom.plans import tiny
+
+    texts = [f"the cat {i} " * (1 + i % 5) for i in range(2500)] + [None, "the " * 400_000, "", "a cat"]
+    model = tiny.formula_encoder({"pooled_a": 8, "b": 1, "c": 4}, head="joint", quantization="dynamic" if kind == "requests" else "none", batch_size=4, max_length=64)
+    seen, load = [], tokens._tokenizer
+
+    class Counted:
+        def __init__(self, path):
+            self.inner = load(path)
+
+        def encode_batch(self, rows):
+            seen.append(list(rows))
+            return self.inner.encode_batch(rows)
+
+    tokenise = encode.tokenise
+    monkeypatch.setattr(encode, "tokenise", lambda e, part, *more: seen.append(list(part)) or tokenise(e, part, *more))
+    monkeypatch.setattr(tokens, "_tokenizer", Counted)
+    if kind == "texts":
+        found = [r for b in encode.encoder(model).func(iter([pa.array(texts)])) for r in b.to_pylist()]
+        whole = [r for t in texts[:3] + texts[-4:] for b in encode.encoder(model).func(iter([pa.array([t], pa.string())])) for r in b.to_pylist()]
+        assert found[:3] + found[-4:] == whole
+    elif kind == "requests":
+        rows = [texts[i : i + 2] for i in range(0, len(texts), 2)] * 2
+        found = [r for b in encode.request_encoder(model).func(iter([(pa.array(rows), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int32()))])) for r in b.to_pylist()]
+        assert [len(r["n_tokens"]) for r in found] == [2] * len(rows)
+    else:
+        found = [r for b in tokens.span_finder(tiny.tiny_tokenizer(tiny.WORDS), 0).func(iter([pa.array(texts)])) for r in b.to_pylist()]
+        assert len(found) == len(texts) and found[2500] is None and found[2501] == []
+    parts = [p for p in seen if sum(len(t or "") for t in p) < 1_000_000]
+    assert len(parts) >= 3 and max(len(p) for p in seen) <= 2 * batching.PART_ROWS

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import re
 import tempfile
 import uuid
@@ -17,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship, small_batches
 
 _made: set[str] = set()
 
@@ -49,11 +48,7 @@ def prepare(spark: SparkSession, most: int = 8 << 20) -> None:
     """Send this package to the workers, and let Arrow batches of this session hold `most` bytes at most: long texts would else fill the executors' memory beyond
     the heap, where each task has several batches at once. A smaller setting stays."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    m = re.fullmatch(r"(\d+)([bkmg]?)b?", str(spark.conf.get(key, "64m")).lower())
-    if m is None or int(m[1]) * units[m[2] or "b"] > most or int(m[1]) <= 0:
-        spark.conf.set(key, str(most))
+    small_batches(spark, most)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -168,15 +163,6 @@ def column_bytes(table: pa.Table, column: int) -> list[bytes]:
     return [t for c in table.column(column).chunks for t in bytes_list(c)]
 
 
-def release() -> None:
-    """Give freed memory back to the system; workers are kept between tasks, and so would be what they once used."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not glibc
-        pass
-
-
 def planes(x: np.ndarray) -> bytes:
     """64-bit numbers with bytes of equal weight together, which compress better."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T).tobytes()

@@ -9,16 +9,48 @@ short ones long, and a model sees few shapes: with filled passes, one a length.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import release
 from .layout import attention_bytes
 
 #: The least length, and bytes of attention scores that a pass may take.
 LEAST, BUDGET = 16, 1 << 30
+#: Bytes of text and rows that are tokens, vectors and results in a worker's memory at once, whatever Arrow's batches hold.
+PART_BYTES, PART_ROWS = 1 << 20, 1024
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of text of each row of strings or of lists of strings, 16 more for each string; 0 of other types."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        sums, edges = np.concatenate(([0], np.cumsum(_bytes(column.values)))), column.offsets.to_numpy()
+        return sums[edges[1:]] - sums[edges[:-1]]
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    return np.zeros(len(column), np.int64)
+
+
+def parts(*columns: pa.Array, whole: bool = False, most: int = PART_BYTES, rows: int = PART_ROWS) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns in runs of rows with about `most` bytes of text, `rows` rows at most (a longer row stands alone); all at once if `whole`.
+    Freed memory goes back after each."""
+    n, start = len(columns[0]), 0
+    if whole or not n:
+        yield columns
+        return
+    sums = np.cumsum(sum(_bytes(c) for c in columns))
+    while start < n:
+        base = sums[start - 1] if start else 0
+        end = min(n, start + rows, max(start + 1, int(np.searchsorted(sums, base + most, side="right"))))
+        yield tuple(c.slice(start, end - start) for c in columns)
+        release()
+        start = end
 
 
 @dataclass(frozen=True)

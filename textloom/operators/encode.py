@@ -20,7 +20,7 @@ from ..functions import arrays
 from ..sources.tokenizer_files import load_tokenizer
 from ..session import ship_active
 from . import selfcheck
-from .batching import BUDGET, passes
+from .batching import BUDGET, parts, passes
 from .layout import settled
 
 #: Names that an embedding output may have, in order of precedence, when there are several outputs.
@@ -356,13 +356,20 @@ def _numbers(rows: list, kind: str) -> pa.ListArray:
     return _lists(rows, lambda there: pa.array(np.concatenate(there).astype(kind) if there else np.zeros(0, kind)))
 
 
+def _vectors(there: list[np.ndarray]) -> pa.ListArray:
+    """The rows of all matrices as lists, without an object for each."""
+    sizes = np.concatenate([np.full(len(m), m.shape[1] if m.ndim == 2 else 0, np.int32) for m in there]) if there else np.zeros(0, np.int32)
+    flat = np.concatenate([np.asarray(m, np.float32).ravel() for m in there]) if there else np.zeros(0, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+
+
 def packed(found: list[dict | None]) -> pa.StructArray:
     """Rows of encode_tokens as ENCODING; a row that is None has null fields."""
     of = lambda name: [None if r is None else r[name] for r in found]
     sparse = [None if r is None or r["sparse"] is None else r["sparse"] for r in found]
     parts = [_numbers([None if s is None else s[k] for s in sparse], kind) for k, kind in ((0, "i8"), (1, "f4"))]
     pairs = pa.StructArray.from_arrays(parts, ["indices", "values"], mask=pa.array([s is None for s in sparse], pa.bool_()))
-    multi = _lists([None if m is None else list(m) for m in of("multi")], lambda there: _numbers([v for m in there for v in m], "f4"))
+    multi = _lists(of("multi"), _vectors)
     return pa.StructArray.from_arrays([_numbers(of("dense"), "f4"), pairs, multi], ["dense", "sparse", "multi"])
 
 
@@ -372,7 +379,7 @@ def encoder(e: Encoder):
 
     @F.arrow_udf(ENCODING)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for (texts,) in (part for batch in batches for part in parts(batch, whole=e.quantization == "dynamic")):
             found: list[dict | None] = [None] * len(texts)
             known = [(i, t) for i, t in enumerate(texts.to_pylist()) if t is not None]
             for (i, _), r in zip(known, encode_rows(e, [t for _, t in known])):
@@ -388,7 +395,7 @@ def planned(e: Encoder):
 
     @F.arrow_udf("struct<n_tokens: int, length: bigint, rows: int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for (texts,) in (part for batch in batches for part in parts(batch)):
             known = [(i, t) for i, t in enumerate(texts.to_pylist()) if t is not None]
             tokens = tokenise(e, [t for _, t in known])
             there = [k for k, c in enumerate(tokens.counts) if c is not None]
@@ -407,7 +414,7 @@ def capped_encoder(e: Encoder):
 
     @F.arrow_udf(ENCODING)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, caps in batches:
+        for texts, caps in (part for batch in batches for part in parts(*batch, whole=e.quantization == "dynamic")):
             found: list[dict | None] = [None] * len(texts)
             known = [(i, t, c) for i, (t, c) in enumerate(zip(texts.to_pylist(), caps.to_pylist())) if t is not None and c is not None]
             for (i, _, _), r in zip(known, encode_tokens(e, tokenise(e, [t for _, t, _ in known], [c for _, _, c in known]))):
@@ -420,13 +427,13 @@ def capped_encoder(e: Encoder):
 def request_encoder(e: Encoder):
     """A UDF from a request's texts, its cap and its largest batch to REQUEST: arrays in the order of the texts, from one tokenisation.
 
-    Texts of all requests at hand share passes, where their largest batch is the same; a dynamically quantised model has one pass for each
+    Texts of the requests of a part share passes, where their largest batch is the same; a dynamically quantised model has one pass for each
     request. A null text has a null count and null vectors; a null array is an empty one."""
     ship_active()
 
     @F.arrow_udf(REQUEST)
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for requests, caps, sizes in batches:
+        for requests, caps, sizes in (part for batch in batches for part in parts(*batch)):
             lists = [x or [] for x in requests.to_pylist()]
             edges = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
             owner = [k for k, texts in enumerate(lists) for _ in texts]
@@ -482,7 +489,7 @@ def scorer(e: Encoder):
 
     @F.arrow_udf("float")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for queries, documents in batches:
+        for queries, documents in (part for batch in batches for part in parts(*batch)):
             out: list[float | None] = [None] * len(queries)
             both = [(i, q, d) for i, (q, d) in enumerate(zip(queries.to_pylist(), documents.to_pylist())) if q is not None and d is not None]
             for (i, _, _), x in zip(both, logits(e, [q for _, q, _ in both], [d for _, _, d in both])):
@@ -499,7 +506,7 @@ def request_scorer(e: Encoder):
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for queries, documents, sizes in batches:
+        for queries, documents, sizes in (part for batch in batches for part in parts(*batch)):
             queries, lists, sizes = queries.to_pylist(), [x or [] for x in documents.to_pylist()], sizes.to_pylist()
             out: list[list[float | None]] = [[None] * len(x) for x in lists]
             together: dict[int, list[tuple[int, int]]] = {}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import re
 import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -49,3 +52,21 @@ def ship_active() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship(spark)
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches of this session hold `most` bytes at most; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    m = re.fullmatch(r"(\d+)([bkmg]?)b?", str(spark.conf.get(key, "64m")).lower())
+    if m is None or int(m[1]) * units[m[2] or "b"] > most or int(m[1]) <= 0:
+        spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers are kept between tasks, and so would be what they once used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
