@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import spans
 from ..sources.tokenizer_files import load_tokenizer
 from ..session import ship_active
+from .batching import parts
 from .limits import one_of, truncated
 
 _loaded: dict[str, object] = {}
@@ -64,7 +65,7 @@ def counter(path: str | None):
 
     @F.arrow_udf("int")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for (texts,) in (part for batch in batches for part in parts(batch)):
             yield pa.array(_counts(path, texts.to_pylist()), pa.int32())
 
     return count
@@ -76,7 +77,7 @@ def request_counter(path: str | None):
 
     @F.arrow_udf("array<int>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for requests in batches:
+        for (requests,) in (part for batch in batches for part in parts(batch)):
             yield pa.array([_counts(path, x or []) for x in requests.to_pylist()], pa.list_(pa.int32()))
 
     return count
@@ -88,7 +89,7 @@ def routed_counter(paths: dict[str, str]):
 
     @F.arrow_udf("array<int>")
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for names, requests in batches:
+        for names, requests in (part for batch in batches for part in parts(*batch)):
             pairs = zip(names.to_pylist(), requests.to_pylist())
             yield pa.array([_counts(paths[n], x or []) if n in paths else None for n, x in pairs], pa.list_(pa.int32()))
 
@@ -102,7 +103,7 @@ def span_finder(path: str, wanted: int):
 
     @F.arrow_udf("array<struct<start: int, end: int>>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for (texts,) in (part for batch in batches for part in parts(batch)):
             rows = texts.to_pylist()
             encoded = iter(_tokenizer(path).encode_batch([t for t in rows if t is not None]))
             yield pa.array([None if t is None else [{"start": a, "end": b} for a, b in spans(np.array(next(encoded).ids), wanted)] for t in rows], kind)
