@@ -1,6 +1,7 @@
 """Blocked top-k against brute force, ranks of a request that holds half of all rows, and encoders that are gated."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -145,3 +146,16 @@ def test_a_check_is_made_once_a_worker(monkeypatch):
     for _ in range(3):
         list(E.encode_rows(e, ["the", "of"]))
     assert len(calls) == 1 and E.session(e).status.verified
+
+
+def test_corpus_blocks_are_small(spark):
+    """A batch of long vectors is several blocks, and products are worked on in pieces, with the same best ones."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 256))
+    df = spark.createDataFrame(pa.table({"id": pa.array(range(len(x)), pa.int64()), "vector": pa.array(list(x), pa.list_(pa.float64()))})).coalesce(1)
+    blocks = [len(r.rows) for r in rank.corpus_blocks(df, "id", "vector", 1).collect()]
+    assert max(blocks) <= 1.5 * rank.BLOCK_BYTES and sum(blocks) >= x.nbytes
+    got = {(r.query_id, r["rank"]): r.id for r in rank.top_k(df.filter("id % 20 = 0"), df, 3).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    best = np.argsort(-(unit[::20] @ unit.T), axis=1)[:, :3]
+    assert got == {(20 * q, n + 1): int(i) for q, row in enumerate(best) for n, i in enumerate(row)}

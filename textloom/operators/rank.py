@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, sigmoid
-from ..session import ship
+from ..session import release, ship, small_batches
 
 #: Bytes of query vectors in a block, and in all blocks of a join whose query side is broadcast.
 BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 8 << 20
-#: Rows of queries that are multiplied at once.
-ROWS = 1024
+#: Cells of a product of queries and corpus rows that are worked on at once.
+CELLS = 1 << 20
 
 
 def _matrix(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,13 +61,14 @@ def query_blocks(queries: DataFrame, query_id: str, query_vector: str) -> tuple[
 
 
 def corpus_blocks(corpus: DataFrame, corpus_id: str, corpus_vector: str, shards: int) -> DataFrame:
-    """shard, rows: the corpus in blocks, one of each Arrow batch, dealt to shards in turn."""
+    """shard, rows: the corpus in blocks of about BLOCK_BYTES, one or more of each Arrow batch, dealt to shards in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int32()), pa.array([_body(batch)], pa.binary())], ["shard", "rows"])
+            step = max(1, batch.num_rows // max(1, -(-batch.nbytes // BLOCK_BYTES)))
+            for start in range(0, batch.num_rows, step):
+                yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int32()), pa.array([_body(batch.slice(start, step))], pa.binary())], ["shard", "rows"])
                 turn += 1
 
     base = corpus.select(F.col(corpus_id).alias("id"), F.col(corpus_vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
@@ -88,6 +89,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id", q
         raise ValueError("k is at least 1")
     spark = queries.sparkSession
     ship(spark)
+    small_batches(spark)
     kinds = queries.schema[query_id].dataType.simpleString(), corpus.schema[corpus_id].dataType.simpleString()
     blocks, size = query_blocks(queries, query_id, query_vector)
     shards = 1 if size <= BROADCAST_BYTES else max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -104,6 +106,7 @@ def _best_of(k: int):
         for batch in batches:
             for rows, body in zip(batch.column(0), batch.column(1)):
                 yield from _best(_table(rows.as_buffer()), _table(body.as_buffer()), k)
+            release()
 
     return run
 
@@ -118,8 +121,9 @@ def _best(rows: pa.Table, asked: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(ids.to_numpy(zero_copy_only=False)[known], kind="stable")
     known, x, norms = known[order], x[order], norms[order]
     n = min(k, len(known))
-    for start in range(0, len(there), ROWS):
-        part = slice(start, start + ROWS)
+    step = max(1, CELLS // len(known))
+    for start in range(0, len(there), step):
+        part = slice(start, start + step)
         length = q_norms[part, None] * norms[None, :]
         scores = np.round(np.where(length > 0, (q[part] @ x.T) / np.where(length > 0, length, 1), 0.0), 9)
         # all that reach the n-th best score, then in order of score and id
