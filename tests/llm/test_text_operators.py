@@ -391,6 +391,29 @@ def test_quality_weights_are_the_likeliest(seed):
     assert model.score(x[:1])[0] == pytest.approx(1 / (1 + math.exp(-((strength[0] - model.threshold) / model.spread + math.log(0.7 / 0.3)))))
 
 
+def test_quality_learns_from_every_labelled_row(spark, tmp_path):
+    """The weights climb the likelihood of all pairs of each block; with one block, of all pairs there are."""
+    rng = np.random.default_rng(2)
+    good = rng.random(90) < 0.4
+    docs = [(i, " ".join(rng.choice(["a", "bb.", "CCC", "d1", "!!"], 12, p=[0.4, 0.3, 0.1, 0.1, 0.1] if g else [0.2, 0.2, 0.2, 0.2, 0.2]))) for i, g in enumerate(good)]
+    df, labels = frame(spark, docs), spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    model = quality.fit(df, labels, ridge=0.05)
+    x = quality.features([t.encode() for _, t in docs])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    z = model.shaped(x)
+    diff = (z[good][:, None, :] - z[~good][None, :, :]).reshape(-1, z.shape[1])
+    miss = 1 / (1 + np.exp(diff @ model.weights))
+    assert np.abs((diff * miss[:, None]).mean(axis=0) - 0.05 * model.weights).max() < 1e-6
+    strength = z @ model.weights
+    parted = lambda level: np.mean(strength[good] >= level) - np.mean(strength[~good] >= level)
+    assert parted(model.threshold) >= max(map(parted, strength)) - 1e-3 and model.spread == pytest.approx(strength.std() / 2)
+    # in many blocks, and with one good row in all of them, every row still counts
+    many = quality.fit(df, labels, ridge=0.05, rows=8)
+    assert np.corrcoef(z @ many.weights, strength)[0, 1] > 0.9 and np.allclose(many.mean, model.mean)
+    rare = quality.fit(df, labels.filter("quality = 0 or doc_id = " + str(int(np.flatnonzero(good)[0]))), ridge=0.05, rows=8)
+    assert rare.weights.any() and rare.score(x[good][:1])[0] >= 0.7
+
+
 def test_quality_features_by_their_names():
     import zlib
 

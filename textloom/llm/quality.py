@@ -1,15 +1,15 @@
 """A quality classifier: Bradley-Terry pairwise ranking of documents by features of their whole text.
 
-A document's strength is linear in its features. From labelled rows, pairs of a good and a bad document are drawn; the
-probability that the good one is preferred is the logistic function of the difference of strengths, so the weights are
-those of a logistic regression, without intercept, on feature differences. The threshold is a quantile of the strengths
-of the labelled rows: the level that parts the labels best (by Youden's index). Scores are the strengths, put through a
+A document's strength is linear in its features. Of a good and a bad document, the probability that the good one is preferred is the
+logistic function of the difference of strengths, so the weights are those of a logistic regression, without intercept, on feature
+differences. All labelled rows are learned from: they are dealt by hash to blocks of some hundreds of each label, and all pairs within a block
+count. The threshold is the level of strength that parts all labelled rows best (by Youden's index). Scores are the strengths, put through a
 logistic curve that gives `cut` at the threshold.
 
 Features are of two kinds: FEATURES, which count bytes, lines and words, and the shares of WORDS hash buckets in a text's words (A-Z in
 lower case), which say what it is about. The former also enter by their square and root, as a text can be too long or too short. They are
-computed on the executors, in numpy over the bytes of a batch; only those of at most `most_rows` labelled
-rows (the ones whose hashed ids come first, so the same at every run) reach the driver, where `pairs` pairs are fitted.
+computed on the executors, in numpy over the bytes of a batch. Those of labelled rows are written as blocks; each step of Newton's method is a
+Spark job over them, whose sums are added on the executors and only then reach the driver. Work grows with the number of labelled rows.
 
 Defined cases: a null text is an empty one and is scored like any other; where one of the two labels is missing, every
 score is `cut`; several labels of one document that differ count for both; null labels and ids are not trained on;
@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, prepare, release, sliced
+from .common import bytes_list, drop, prepare, release, sliced, written
 from .langid import held_out
 
 #: Classes of bytes: 0 other symbol, 1 capital, 2 small letter, 3 digit, 4 space, 5 line break, 6 sentence punctuation, 7 beyond ASCII, 8 quotes and brackets.
@@ -38,6 +38,8 @@ FEATURES = (
 )
 #: Buckets of words, and pairs whose differences are held at once.
 WORDS, CHUNK = 128, 2048
+#: Documents of each label that a block has at least, if there are as many, and levels of strength that are tried as the threshold.
+LEAST, LEVELS = 8, 1 << 14
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -98,7 +100,7 @@ def draw(good: np.ndarray, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, cut: float, pairs: int = 40_000, seed: int = 7, ridge: float = 1e-3, steps: int = 25) -> Model:
-    """Fits by Newton's method on `pairs` drawn pairs; `good` is the label of each row of `x`."""
+    """The same likelihood for a small matrix, on `pairs` drawn pairs; `good` is the label of each row of `x`. The operator uses `fit`."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model = Model(mean, scale, np.zeros(x.shape[1] + 2 * min(x.shape[1], len(FEATURES))), 0.0, 1.0, cut)
     if good.all() or not good.any():
@@ -145,20 +147,95 @@ def _scored(df: DataFrame, kept: int, at: int, model: Model | None) -> DataFrame
     return df.mapInArrow(run, fields + (", score double" if model else ", features array<double>"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", most_rows: int = 20_000, cut: float = 0.7) -> Model:
-    """Learns from at most `most_rows` labelled documents, about evenly of both labels."""
+def _blocks(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, quality: str, rows: int) -> DataFrame:
+    """body: blocks of about `rows` labelled documents of each label, as the features of the good ones and of the bad ones. Every labelled document is in
+    one block; those of a label that is too rare for all blocks are in several, of which the first counts as `own`."""
     marks = labels.select(F.col(doc_id).alias("_id"), (F.col(quality) == 1).alias("_good")).filter("_id is not null and _good is not null").distinct()
-    first = lambda good: marks.filter(F.col("_good") == good).orderBy(F.xxhash64("_id"), "_id").limit(most_rows // 2)
-    chosen = F.broadcast(first(True).union(first(False)))  # of most_rows rows at most
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_id", "_good", "_text")
-    got = _scored(rows, 2, 2, None).toArrow().combine_chunks()
-    if not got.num_rows:
-        return fit_pairs(np.zeros((1, len(FEATURES) + WORDS)), np.ones(1, bool), cut)
-    good = got.column("_good").to_numpy(zero_copy_only=False).astype(bool)
-    order = np.lexsort((good, got.column("_id").to_numpy(zero_copy_only=False)))
-    x = got.column("features").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)[order]
-    del got
-    return fit_pairs(x, good[order], cut)
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(marks, "_id").select("_id", "_good", "_text")
+    found = written(_scored(found, 2, 2, None), "features")
+    counts = {r._good: r.n for r in found.groupBy("_good").agg(F.count("*").alias("n")).collect()}
+    n = max(1, -(-max(counts.values(), default=0) // rows))
+    copies = lambda good: min(n, -(-LEAST * n // max(counts.get(good, 0), 1)))  # noqa: E731  LEAST of each label in a block, if there are as many
+    own = F.pmod(F.xxhash64("_id", F.col("features")), F.lit(n))
+    spread = F.when(F.col("_good"), copies(True)).otherwise(copies(False)).cast("int")
+    dealt = found.withColumn("_copy", F.explode(F.sequence(F.lit(0), spread - 1))).withColumn("_block", F.pmod(own + F.col("_copy") * F.ceil(F.lit(n) / spread), F.lit(n)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x = table["features"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        good, first = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("_good", "_copy_is_own"))
+        release()
+        return pa.table({"good": pa.array([x[good].tobytes()], pa.binary()), "bad": pa.array([x[~good].tobytes()], pa.binary()), "own": pa.array([np.concatenate((first[good], first[~good])).tobytes()], pa.binary())})
+
+    sent = dealt.select("_block", "_good", "features", (F.col("_copy") == 0).alias("_copy_is_own"))
+    made = written(sent.groupBy("_block").applyInArrow(run, "good binary, bad binary, own binary"), "blocks")
+    drop(docs.sparkSession, found)
+    return made
+
+
+def _total(blocks: DataFrame, figures: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...] | None:
+    """Sums over all blocks of what `figures` gives for features of good and bad documents and which of these are a block's own; summed in each task first, then on
+    the executors."""
+    add = lambda a, b: b if a is None else a if b is None else tuple(x + y for x, y in zip(a, b))
+    width = len(FEATURES) + WORDS
+
+    def one(held, row):
+        good, bad = (np.frombuffer(row[c], np.float64).reshape(-1, width) for c in ("good", "bad"))
+        return add(held, figures(good, bad, np.frombuffer(row["own"], bool)))
+
+    return blocks.rdd.treeAggregate(None, one, add)
+
+
+def pair_sums(up: np.ndarray, down: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all pairs of a row of `up` and one of `down`: the log likelihood's gradient and minus its Hessian, by matrix products, and the number of pairs."""
+    p = 1 / (1 + np.exp(-np.clip((up @ w)[:, None] - (down @ w)[None, :], -30, 30)))
+    miss, var = 1 - p, p * (1 - p)
+    cross = up.T @ (var @ down)
+    hess = (up * var.sum(axis=1)[:, None]).T @ up + (down * var.sum(axis=0)[:, None]).T @ down - cross - cross.T
+    return up.T @ miss.sum(axis=1) - down.T @ miss.sum(axis=0), hess, np.array(float(p.size))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", cut: float = 0.7, rows: int = 512, ridge: float = 1e-3, steps: int = 25) -> Model:
+    """Learns from all labelled documents. The driver holds sums over features, and counts of LEVELS levels of strength, only."""
+    prepare(docs.sparkSession)
+    width, blocks = len(FEATURES) + WORDS, _blocks(docs, labels, text, doc_id, quality, rows)
+    own = lambda good, bad, first: np.vstack((good, bad))[first]
+    got = _total(blocks, lambda g, b, o: (own(g, b, o).sum(axis=0), np.array([o[: len(g)].sum(), o[len(g) :].sum()], float)))
+    model = Model(np.zeros(width), np.ones(width), np.zeros(width + 2 * len(FEATURES)), 0.0, 1.0, cut)
+    if got is None:
+        return model
+    n_good, n_bad = got[1]
+    mean = got[0] / (n_good + n_bad)
+    (spread,) = _total(blocks, lambda g, b, o: (((own(g, b, o) - mean) ** 2).sum(axis=0),))
+    model.mean, model.scale = mean, np.maximum(np.sqrt(spread / (n_good + n_bad)), 1e-6)
+    if not n_good or not n_bad:
+        return model
+    w = model.weights
+    for _ in range(steps):
+        grad, hess, pairs = _total(blocks, lambda g, b, o, w=w: pair_sums(model.shaped(g), model.shaped(b), w))
+        step = np.linalg.solve(hess / pairs + ridge * np.eye(len(w)), grad / pairs - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    # the level of strength that parts all labelled documents best, of LEVELS between the least and the largest
+    strengths = lambda g, b, o: (model.shaped(g[o[: len(g)]]) @ w, model.shaped(b[o[len(g) :]]) @ w)
+    extremes = blocks.rdd.map(lambda r: np.concatenate(strengths(*(np.frombuffer(r[c], np.float64).reshape(-1, width) for c in ("good", "bad")), np.frombuffer(r["own"], bool)))).filter(len)
+    low, high = extremes.map(lambda s: (s.min(), s.max())).treeReduce(lambda a, b: (min(a[0], b[0]), max(a[1], b[1])))
+    size = max(high - low, 1e-12) / LEVELS
+    place = lambda s: np.clip(((s - low) / size).astype(np.int64), 0, LEVELS - 1)
+
+    def counted(g, b, o):
+        s, t = strengths(g, b, o)
+        both = np.concatenate((s, t))
+        return np.bincount(place(s), minlength=LEVELS), np.bincount(place(t), minlength=LEVELS), np.array([both.sum(), (both * both).sum()])
+
+    good, bad, (total, squares) = _total(blocks, counted)
+    youden = np.cumsum(bad)[:-1] / n_bad - np.cumsum(good)[:-1] / n_good
+    model.threshold = float(low + size * (1 + np.median(np.flatnonzero(youden >= youden.max() - 1e-9))))
+    n = n_good + n_bad
+    model.weights, model.spread = w, max(float(np.sqrt(max(squares / n - (total / n) ** 2, 0.0))) / 2, 1e-6)
+    drop(docs.sparkSession, blocks)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
