@@ -407,6 +407,7 @@ def test_quality_learns_from_every_labelled_row(spark, tmp_path):
     strength = z @ model.weights
     parted = lambda level: np.mean(strength[good] >= level) - np.mean(strength[~good] >= level)
     assert parted(model.threshold) >= max(map(parted, strength)) - 1e-3 and model.spread == pytest.approx(strength.std() / 2)
+    assert np.allclose(quality.fit(df, labels, ridge=0.05, most=0).weights, model.weights)
     # in many blocks, and with one good row in all of them, every row still counts
     many = quality.fit(df, labels, ridge=0.05, rows=8)
     assert np.corrcoef(z @ many.weights, strength)[0, 1] > 0.9 and np.allclose(many.mean, model.mean)

@@ -147,12 +147,16 @@ def _scored(df: DataFrame, kept: int, at: int, model: Model | None) -> DataFrame
     return df.mapInArrow(run, fields + (", score double" if model else ", features array<double>"))
 
 
-def _blocks(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, quality: str, rows: int) -> DataFrame:
-    """body: blocks of about `rows` labelled documents of each label, as the features of the good ones and of the bad ones. Every labelled document is in
+def _blocks(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, quality: str, rows: int, most: int) -> DataFrame:
+    """good, bad, own: blocks of about `rows` labelled documents of each label, as the features of the good ones and of the bad ones. Every labelled document is in
     one block; those of a label that is too rare for all blocks are in several, of which the first counts as `own`."""
     marks = labels.select(F.col(doc_id).alias("_id"), (F.col(quality) == 1).alias("_good")).filter("_id is not null and _good is not null").distinct()
-    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(marks, "_id").select("_id", "_good", "_text")
-    found = written(_scored(found, 2, 2, None), "features")
+    marks, texts = written(marks, "marks"), docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    if marks.count() <= most:  # texts stay where they are; beyond that features travel, and not the texts
+        found = _scored(texts.join(F.broadcast(marks), "_id").select("_id", "_good", "_text"), 2, 2, None)
+    else:
+        found = _scored(texts, 1, 1, None).join(marks, "_id").select("_id", "_good", "features")
+    found = written(found, "features")
     counts = {r._good: r.n for r in found.groupBy("_good").agg(F.count("*").alias("n")).collect()}
     n = max(1, -(-max(counts.values(), default=0) // rows))
     copies = lambda good: min(n, -(-LEAST * n // max(counts.get(good, 0), 1)))  # noqa: E731  LEAST of each label in a block, if there are as many
@@ -169,7 +173,7 @@ def _blocks(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, quality:
 
     sent = dealt.select("_block", "_good", "features", (F.col("_copy") == 0).alias("_copy_is_own"))
     made = written(sent.groupBy("_block").applyInArrow(run, "good binary, bad binary, own binary"), "blocks")
-    drop(docs.sparkSession, found)
+    drop(docs.sparkSession, found, marks)
     return made
 
 
@@ -195,10 +199,10 @@ def pair_sums(up: np.ndarray, down: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     return up.T @ miss.sum(axis=1) - down.T @ miss.sum(axis=0), hess, np.array(float(p.size))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", cut: float = 0.7, rows: int = 512, ridge: float = 1e-3, steps: int = 25) -> Model:
-    """Learns from all labelled documents. The driver holds sums over features, and counts of LEVELS levels of strength, only."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", cut: float = 0.7, rows: int = 512, ridge: float = 1e-3, steps: int = 25, most: int = 1_000_000) -> Model:
+    """Learns from all labelled documents; up to `most` labels are broadcast to the texts. The driver holds sums over features, and counts of LEVELS levels of strength, only."""
     prepare(docs.sparkSession)
-    width, blocks = len(FEATURES) + WORDS, _blocks(docs, labels, text, doc_id, quality, rows)
+    width, blocks = len(FEATURES) + WORDS, _blocks(docs, labels, text, doc_id, quality, rows, most)
     own = lambda good, bad, first: np.vstack((good, bad))[first]
     got = _total(blocks, lambda g, b, o: (own(g, b, o).sum(axis=0), np.array([o[: len(g)].sum(), o[len(g) :].sum()], float)))
     model = Model(np.zeros(width), np.ones(width), np.zeros(width + 2 * len(FEATURES)), 0.0, 1.0, cut)
