@@ -19,6 +19,11 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNotNull(), F.size(words(text)))
 
 
+def has_words(text: Column) -> Column:
+    """Whether there is a piece; null of null."""
+    return text.rlike(r"(?U)\S")
+
+
 def fill_template(template: str, text: Column, slot: str = "{text}") -> Column:
     """The template with the text in its slot; the slot must occur."""
     if slot not in template:
