@@ -10,14 +10,14 @@ from .vectors import MASK_EPSILON, NORM_EPSILON
 SPECIAL_IDS = (0, 1, 2, 3)
 
 
-def l2_normalize(v: np.ndarray) -> np.ndarray:
+def l2_normalize(v: np.ndarray, kind: type = np.float32) -> np.ndarray:
     v = v.astype(np.float64)
-    return (v / (np.sqrt((v * v).sum(axis=-1, keepdims=True)) + NORM_EPSILON)).astype(np.float32)
+    return (v / (np.sqrt((v * v).sum(axis=-1, keepdims=True)) + NORM_EPSILON)).astype(kind)
 
 
-def l2_normalize_inner(v: np.ndarray) -> np.ndarray:
+def l2_normalize_inner(v: np.ndarray, kind: type = np.float32) -> np.ndarray:
     v = v.astype(np.float64)
-    return (v / np.sqrt((v * v).sum(axis=-1, keepdims=True) + NORM_EPSILON)).astype(np.float32)
+    return (v / np.sqrt((v * v).sum(axis=-1, keepdims=True) + NORM_EPSILON)).astype(kind)
 
 
 def check_rank(h: np.ndarray, pooled_ok: bool = True) -> np.ndarray:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -41,7 +42,8 @@ class Encoder:
     a pass may take (one row always may). pin: passes of a length have one number of rows, so that there is one shape for each
     length of the ladder; with fixed_shape, which pads all to max_length, there is one shape in all. pad_id: the tokenizer's own where
     it is not given. reference: the vector that
-    check_text must have; a worker checks it before its first pass, and a task whose check fails has no rows.
+    check_text must have; a worker checks it before its first pass, and a task whose check fails has no rows. double: dense vectors are
+    array<double>, as pooling and norm compute them, and not rounded to single precision.
     """
 
     model: str | bytes
@@ -68,6 +70,12 @@ class Encoder:
     transformer: Callable | None = field(default=None, compare=False)
     reference: tuple[float, ...] = ()
     check_text: str = selfcheck.TEXT
+    double: bool = False
+
+    @property
+    def kind(self) -> type:
+        """The numbers of dense vectors."""
+        return np.float64 if self.double else np.float32
 
     def __post_init__(self) -> None:
         if self.batch_size < 1:
@@ -273,7 +281,7 @@ def forward(e: Encoder, tokens: Tokens, at: Sequence[int] | None = None, length:
 def dense(e: Encoder, outputs: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
     h = arrays.covers(select_output(outputs, e.output), len(mask), None)
     v = arrays.POOLING[e.pooling](h, mask)
-    return (arrays.l2_normalize_inner if e.inner_epsilon else arrays.l2_normalize)(v) if e.normalize else v.astype(np.float32)
+    return (arrays.l2_normalize_inner if e.inner_epsilon else arrays.l2_normalize)(v, e.kind) if e.normalize else v.astype(e.kind)
 
 
 def encode_rows(e: Encoder, texts: list[str], cap: int | None = None) -> Iterator[dict]:
@@ -313,7 +321,7 @@ def encode_pass(e: Encoder, tokens: Tokens, at: Sequence[int], length: int | Non
         outputs, ids, mask = {k: v[: len(at)] if len(v) == rows else v for k, v in outputs.items()}, ids[: len(at)], mask[: len(at)]
     n, none = len(at), [None] * len(at)
     if e.transformer is not None:
-        rows = [np.asarray(r, np.float32) for r in e.transformer(outputs, mask)]
+        rows = [np.asarray(r, e.kind) for r in e.transformer(outputs, mask)]
         found = rows, none, none
     elif e.head == "dense":
         found = dense(e, outputs, mask), none, none
@@ -329,13 +337,13 @@ def encode_pass(e: Encoder, tokens: Tokens, at: Sequence[int], length: int | Non
         if d.ndim != 2 or len(d) < n:
             raise ValueError(f"the dense output's shape {d.shape} does not cover {n} rows")
         h = outputs[select_by_fragment(ranks, e.sparse_output or "hidden", 3)]
-        found = arrays.l2_normalize(d[:n]), arrays.lexical_head(h, ids, mask, np.array(e.weight, np.float32), e.bias), none
+        found = arrays.l2_normalize(d[:n], e.kind), arrays.lexical_head(h, ids, mask, np.array(e.weight, np.float32), e.bias), none
     else:  # joint: dense as it comes, weights of tokens, vectors of tokens
         if len(outputs) < 3:
             raise ValueError(f"a joint model has three outputs, not {len(outputs)}")
         d, w, multi = list(outputs.values())[:3]
         w = w[..., 0] if w.ndim == 3 else w
-        found = d[:n].astype(np.float32), [arrays.max_per_id(ids[i][: w.shape[1]], w[i], mask[i][: w.shape[1]]) for i in range(n)], arrays.multivector_keep(multi[:n], mask)
+        found = d[:n].astype(e.kind), [arrays.max_per_id(ids[i][: w.shape[1]], w[i], mask[i][: w.shape[1]]) for i in range(n)], arrays.multivector_keep(multi[:n], mask)
     if any(len(f) != n for f in found):
         raise ValueError(f"heads of {', '.join(str(len(f)) for f in found)} rows for {n} texts")
     return [{"dense": a, "sparse": b, "multi": c, "rows": rows} for a, b, c in zip(*found)]
@@ -345,6 +353,11 @@ ENCODING = "struct<dense: array<float>, sparse: struct<indices: array<bigint>, v
 REQUEST = "struct<n_tokens: array<int>, dense: array<array<float>>, sparse: array<struct<indices: array<bigint>, values: array<float>>>, multi: array<array<array<float>>>, pass_rows: array<int>>"
 
 
+def _typed(schema: str, e: Encoder) -> str:
+    """ENCODING or REQUEST with the encoder's kind of dense vectors."""
+    return re.sub(r"(dense: (?:array<)+)float", r"\1double", schema) if e.double else schema
+
+
 def _lists(rows: list, values: Callable[[list], pa.Array]) -> pa.ListArray:
     """A list column; `values` makes the child of all rows that are there. None is null."""
     there = [r for r in rows if r is not None]
@@ -363,28 +376,28 @@ def _vectors(there: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
 
 
-def packed(found: list[dict | None]) -> pa.StructArray:
-    """Rows of encode_tokens as ENCODING; a row that is None has null fields."""
+def packed(found: list[dict | None], kind: type = np.float32) -> pa.StructArray:
+    """Rows of encode_tokens as ENCODING, with this kind of dense vectors; a row that is None has null fields."""
     of = lambda name: [None if r is None else r[name] for r in found]
     sparse = [None if r is None or r["sparse"] is None else r["sparse"] for r in found]
     parts = [_numbers([None if s is None else s[k] for s in sparse], kind) for k, kind in ((0, "i8"), (1, "f4"))]
     pairs = pa.StructArray.from_arrays(parts, ["indices", "values"], mask=pa.array([s is None for s in sparse], pa.bool_()))
     multi = _lists(of("multi"), _vectors)
-    return pa.StructArray.from_arrays([_numbers(of("dense"), "f4"), pairs, multi], ["dense", "sparse", "multi"])
+    return pa.StructArray.from_arrays([_numbers(of("dense"), np.dtype(kind).str), pairs, multi], ["dense", "sparse", "multi"])
 
 
 def encoder(e: Encoder):
     """A UDF from text to ENCODING; a null text gives nulls."""
     ship_active()
 
-    @F.arrow_udf(ENCODING)
+    @F.arrow_udf(_typed(ENCODING, e))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for (texts,) in (part for batch in batches for part in parts(batch, whole=e.quantization == "dynamic")):
             found: list[dict | None] = [None] * len(texts)
             known = [(i, t) for i, t in enumerate(texts.to_pylist()) if t is not None]
             for (i, _), r in zip(known, encode_rows(e, [t for _, t in known])):
                 found[i] = r
-            yield packed(found)
+            yield packed(found, e.kind)
 
     return run
 
@@ -412,14 +425,14 @@ def capped_encoder(e: Encoder):
     """A UDF from text and the most tokens of it to ENCODING; texts with different caps share passes. Nulls give nulls."""
     ship_active()
 
-    @F.arrow_udf(ENCODING)
+    @F.arrow_udf(_typed(ENCODING, e))
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, caps in (part for batch in batches for part in parts(*batch, whole=e.quantization == "dynamic")):
             found: list[dict | None] = [None] * len(texts)
             known = [(i, t, c) for i, (t, c) in enumerate(zip(texts.to_pylist(), caps.to_pylist())) if t is not None and c is not None]
             for (i, _, _), r in zip(known, encode_tokens(e, tokenise(e, [t for _, t, _ in known], [c for _, _, c in known]))):
                 found[i] = r
-            yield packed(found)
+            yield packed(found, e.kind)
 
     return run
 
@@ -431,7 +444,7 @@ def request_encoder(e: Encoder):
     request. A null text has a null count and null vectors; a null array is an empty one."""
     ship_active()
 
-    @F.arrow_udf(REQUEST)
+    @F.arrow_udf(_typed(REQUEST, e))
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for requests, caps, sizes in (part for batch in batches for part in parts(*batch)):
             lists = [x or [] for x in requests.to_pylist()]
@@ -448,7 +461,7 @@ def request_encoder(e: Encoder):
             for (_, size), places in together.items():
                 for place, r in zip(places, encode_tokens(e, tokens.take(places), size)):
                     found[known[place]], counts[known[place]] = r, tokens.counts[place]
-            made = packed(found)
+            made = packed(found, e.kind)
             columns = [pa.array(counts, pa.int32()), *[made.field(k) for k in range(3)], pa.array([None if r is None else r["rows"] for r in found], pa.int32())]
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edges, c) for c in columns], ["n_tokens", "dense", "sparse", "multi", "pass_rows"])
 
